@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import language, line_dedup
+from tickloom.llm import decontaminate, language, line_dedup, sentencepiece, simhash
 from tickloom.llm.common import held_out, materialise, table
 
 
@@ -22,7 +22,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.filter(F.length(F.btrim("text", F.lit(line_dedup.STRIPPED))) > 0).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-STAGES = [("language_id", language_id), ("line_dedup", dedup_lines)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest id."""
+    return simhash.one_of_each(docs, size=3, distance=3)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy, edited or not, of a benchmark item."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), threshold=0.6)
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each document, and whether decoding them gives its text again."""
+    encoded = sentencepiece.encode_documents(docs)
+    back = sentencepiece.decode_documents(encoded)
+    return back.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("near_dedup", near_dedup), ("decontamination", decontamination), ("sentencepiece", pieces)]
 
 #: SQL can't express the stages; tests compare them with brute force.
 ORACLE_SQL = None

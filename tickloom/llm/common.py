@@ -46,3 +46,9 @@ def ascii_lower(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Rows kept out of every fit: crc32 of doc_id as text, mod 4, is 2 (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Let an aggregate stand on its own before a join: Spark splits the partitions of a hot key on the other side of a
+    join only if both sides are shuffled for that join."""
+    return df.hint("rebalance")

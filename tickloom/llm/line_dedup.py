@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, materialise, spread
 
 #: What is stripped at both ends of a line: the space and U+0009 to U+000D.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -56,7 +56,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_ld_id", "_ld_text", "first")).alias("origin"))
         .filter(F.col("n") >= min_docs)
     )
-    hit = placed.join(common, ["h1", "h2"]).select("_ld_id", "_ld_text", "origin", F.explode("places").alias("pos"))
+    hit = placed.join(spread(common), ["h1", "h2"]).select("_ld_id", "_ld_text", "origin", F.explode("places").alias("pos"))
     if keep == "first":
         hit = hit.filter(~F.struct("_ld_id", "_ld_text", "pos").eqNullSafe(F.struct("origin._ld_id", "origin._ld_text", "origin.first")))
     words = hit.groupBy("_ld_id", "_ld_text", (F.col("pos") / 64).cast("int").alias("word")).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, line_dedup, toxicity
+from . import decontaminate, hnsw, language, licenses, line_dedup, lm_score, sentencepiece, simhash, toxicity, warc
 from .common import held_out, table
 
 
@@ -35,7 +35,49 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_line_dedup, op5_language_id, op6_toxicity)}
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = hnsw.build_index(rows, k=5)
+    return hnsw.nearest(rows.filter(F.col("vec_id") % 50 == 0), index, k=5)
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_score.backoff_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), order=3, alpha=0.4)
+    return found.select("doc_id", "n_words", F.round("log_sum", 4).alias("log_sum"), F.round("log_mean", 6).alias("log_mean"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = sentencepiece.encode_documents(docs)
+    back = sentencepiece.decode_documents(encoded)
+    joined = F.array_join("pieces", " ")
+    return back.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(joined, 256).alias("pieces_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    manifest = warc.write_archives(warc.classify(pages, least=1000), warc.archive_folder(spark))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), threshold=0.6)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, size=3, distance=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_nearest_vectors, op2_license_scan, op3_lm_score, op4_line_dedup, op5_language_id, op6_toxicity, op7_sentencepiece, op8_warc_packages,
+        op9_decontamination, op10_simhash,
+    )
+}
 
 _LINES = """
 lines AS (
@@ -48,7 +90,48 @@ lines AS (
   SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
 )"""
 
+_GRAMS = """
+texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents
+), spots AS (
+  SELECT doc_id, len(ws) AS n_doc, pos, ws[pos] AS w3, CASE WHEN pos > 1 THEN ws[pos - 1] END AS w2, CASE WHEN pos > 2 THEN ws[pos - 2] END AS w1
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM texts)
+), own1 AS (SELECT doc_id, w3, count(*) AS n FROM spots GROUP BY ALL),
+own2 AS (SELECT doc_id, w2, w3, count(*) AS n FROM spots WHERE pos > 1 GROUP BY ALL),
+own3 AS (SELECT doc_id, w1, w2, w3, count(*) AS n FROM spots WHERE pos > 2 GROUP BY ALL),
+rest1 AS (SELECT doc_id, w3, sum(n) OVER (PARTITION BY w3) - n AS n FROM own1),
+rest2 AS (SELECT doc_id, w2, w3, sum(n) OVER (PARTITION BY w2, w3) - n AS n FROM own2),
+rest3 AS (SELECT doc_id, w1, w2, w3, sum(n) OVER (PARTITION BY w1, w2, w3) - n AS n FROM own3),
+whole AS (SELECT count(*) AS n FROM spots),
+scored AS (
+  SELECT s.doc_id, CASE
+    WHEN s.pos > 2 AND c3.n > 0 THEN c3.n / c2b.n
+    WHEN s.pos > 1 AND c2.n > 0 THEN power(0.4, least(3, s.pos) - 2) * c2.n / c1b.n
+    WHEN c1.n > 0 THEN power(0.4, least(3, s.pos) - 1) * c1.n / (whole.n - s.n_doc)
+    ELSE power(0.4, least(3, s.pos)) / (whole.n - s.n_doc + 1) END AS p
+  FROM spots s CROSS JOIN whole
+  LEFT JOIN rest3 c3 ON c3.doc_id = s.doc_id AND c3.w1 = s.w1 AND c3.w2 = s.w2 AND c3.w3 = s.w3
+  LEFT JOIN rest2 c2 ON c2.doc_id = s.doc_id AND c2.w2 = s.w2 AND c2.w3 = s.w3
+  LEFT JOIN rest2 c2b ON c2b.doc_id = s.doc_id AND c2b.w2 = s.w1 AND c2b.w3 = s.w2
+  LEFT JOIN rest1 c1 ON c1.doc_id = s.doc_id AND c1.w3 = s.w3
+  LEFT JOIN rest1 c1b ON c1b.doc_id = s.doc_id AND c1b.w3 = s.w2
+)"""
+
 SQL = {
+    "op3_lm_score": f"""
+WITH {_GRAMS.strip()}
+SELECT t.doc_id, len(t.ws) AS n_words, round(coalesce(x.total, 0), 4) AS log_sum, round(x.total / len(t.ws), 6) AS log_mean
+FROM texts t LEFT JOIN (SELECT doc_id, sum(ln(p)) AS total FROM scored GROUP BY doc_id) x ON x.doc_id = t.doc_id""",
+    "op8_warc_packages": """
+WITH own AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), keepers AS (
+  SELECT payload_digest, max(page_id) AS keeper FROM own WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, own.payload_digest, CASE WHEN page_id <> coalesce(keeper, page_id) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> coalesce(keeper, page_id) THEN keeper END AS refers_to
+FROM own LEFT JOIN keepers ON keepers.payload_digest = own.payload_digest AND payload_bytes >= 1000""",
     "op4_line_dedup": f"""
 WITH {_LINES.strip()}
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (common.key IS NOT NULL) AS n_dropped,
