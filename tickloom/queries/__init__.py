@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import indicators, preparation, signals_returns, sweeps
+from . import indicators, preparation, signals_returns, sweeps, trades
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "indicators", "preparation", "signals_returns", "sweeps"]
+__all__ = ["QUERIES", "SQL", "indicators", "preparation", "signals_returns", "sweeps", "trades"]
