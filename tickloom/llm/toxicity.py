@@ -1,7 +1,7 @@
 """Toxicity scores from a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed n-grams (UTF-8 bytes of the lower-cased text) that it holds, each once. The fit counts
-in how many toxic and other documents each feature stands, takes the log ratio of the smoothed shares as its scale, and
+A text's features are the hashed n-grams (UTF-8 bytes of the lower-cased text) that it holds, and those that it holds at
+least twice and three times. The fit counts in how many toxic and other documents each feature stands, takes the log ratio of the smoothed shares as its scale, and
 trains a logistic classifier on the scaled features. All of this uses a bounded sample of labelled documents; scores are
 for whole texts.
 
@@ -18,21 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-BITS = 20
-SIZES = (4, 5)
+BITS = 22
+SIZES = (4, 6, 8)
+#: An n-gram counts as a feature for each of its first occurrences, up to so many.
+LEVELS = 3
 
 
 class Hasher:
-    """Distinct hashed n-grams of a text."""
+    """Distinct hashed features of a text: n-grams that it holds at least once, twice and three times."""
 
     def __init__(self) -> None:
         self.seen = np.zeros(1 << BITS, np.int32)
         self.count = np.arange(1 << 16, dtype=np.int32)
 
-    def __call__(self, text: str | None, chunk: int = 1 << 18) -> np.ndarray:
+    def __call__(self, text: str | None) -> np.ndarray:
         raw = np.frombuffer(f" {text or ''} ".lower().encode("utf-8"), np.uint8).astype(np.uint32)
-        parts = [self._grams(raw[i : i + chunk + n - 1], n) for n in SIZES for i in range(0, max(1, len(raw) - n + 1), chunk)]
-        return self._distinct(np.concatenate(parts))
+        return np.concatenate([level for n in SIZES for level in self._levels(self._grams(raw, n))])
 
     def _grams(self, raw: np.ndarray, n: int) -> np.ndarray:
         size = max(0, len(raw) - n + 1)
@@ -43,12 +44,16 @@ class Hasher:
         h *= np.uint32(0x9E3779B1)
         return h >> np.uint32(32 - BITS)
 
-    def _distinct(self, h: np.ndarray) -> np.ndarray:
+    def _levels(self, h: np.ndarray):
+        """Values that occur, then those that occur again, and so on; each under a code of its own."""
         if len(h) > len(self.count):
             self.count = np.arange(len(h), dtype=np.int32)
-        at = self.count[: len(h)]
-        self.seen[h] = at  # the last place of each value wins
-        return h[self.seen[h] == at]
+        for level in range(LEVELS):
+            at = self.count[: len(h)]
+            self.seen[h] = at  # the last place of each value wins
+            last = self.seen[h] == at
+            yield h[last] ^ np.uint32(level * 0x5BD1E995 & (1 << BITS) - 1)
+            h = h[~last]
 
 
 class NaiveBayesLinear:
@@ -57,40 +62,28 @@ class NaiveBayesLinear:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         hasher = Hasher()
-        margin = np.array([self.weights[hasher(t if isinstance(t, str) else None)].sum(dtype=np.float64) for t in texts], np.float64) + self.intercept
-        return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+        return _sigmoid(np.array([self.weights[hasher(t if isinstance(t, str) else None)].sum(dtype=np.float64) for t in texts], np.float64) + self.intercept)
 
 
-def fit(texts: list[str | None], labels: np.ndarray, share: float | None = None, min_docs: int = 3, min_ratio: float = 0.7, penalty: float = 3e-3, steps: int = 150) -> NaiveBayesLinear:
-    """``share``: of label 1 among all rows, where the sample has another. Features in fewer than ``min_docs`` documents,
-    or with a log ratio below ``min_ratio``, get no weight."""
-    y = np.asarray(labels, np.float64)
-    share = float(y.mean()) if share is None and len(y) else (share or 0.0)
-    if not len(y) or y.min() == y.max():
-        p = min(max(share, 1e-6), 1 - 1e-6)
-        return NaiveBayesLinear(np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p))))
-    hasher = Hasher()
-    rows = [hasher(t if isinstance(t, str) else None) for t in texts]
-    counts = np.zeros((2, 1 << BITS))
+def _solve(rows: list[np.ndarray], y: np.ndarray, min_docs: int, min_ratio: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept for classes of equal weight; features in few documents or with an even ratio get no weight."""
+    counts = np.zeros((2, 1 << BITS), np.float32)
     for row, label in zip(rows, y.astype(int), strict=True):
         counts[label, row] += 1
     # Shares of documents with the feature, so that an even feature has ratio 0.
     ratio = np.log((counts[1] + 1) / (y.sum() + 2)) - np.log((counts[0] + 1) / ((1 - y).sum() + 2))
-    ratio[(counts.sum(0) < min_docs) | (np.abs(ratio) < min_ratio)] = 0
-    used = np.flatnonzero(ratio)
-    number = np.full(1 << BITS, -1, np.int64)
+    used = np.flatnonzero((counts.sum(0) >= min_docs) & (np.abs(ratio) >= min_ratio))
+    number = np.full(1 << BITS, -1, np.int32)
     number[used] = np.arange(len(used))
     kept = [n[n >= 0] for n in (number[row] for row in rows)]
-    col = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-    scale = ratio[used]
+    col, row = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(k) for k in kept])
+    scale = ratio[used].astype(np.float64)
+    scale /= max(1.0, np.sqrt(np.mean([float((scale[k] ** 2).sum()) for k in kept])))
     value = scale[col]
-    norm = 1 / max(1.0, np.sqrt(np.mean([float((scale[k] ** 2).sum()) for k in kept])))
-    value = value * norm
     w, b, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     cost = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], len(y)) + b, -40, 40)))
+        p = _sigmoid(np.bincount(row, value * w[col], len(y)) + b)
         error = cost * (p - y) / len(y)
         grad = np.append(np.bincount(col, value * error[row], len(used)) + penalty * w / len(y), error.sum())
         m += 0.1 * (grad - m)
@@ -98,9 +91,50 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float | None = None,
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w * scale * norm
-    p = min(max(share, 1e-6), 1 - 1e-6)
-    return NaiveBayesLinear(weights, float(b + np.log(p / (1 - p))))
+    weights[used] = w * scale
+    return weights, float(b)
+
+
+def _calibrate(margin: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and offset that turn margins of unseen documents into log odds, for a share of label 1 as in all rows."""
+    a, b = 1.0, 0.0
+    cost = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum()))
+    for _ in range(50):  # Newton steps, with a light pull towards slope 1
+        p = _sigmoid(a * margin + b)
+        r, h = cost * (p - y), cost * p * (1 - p) + 1e-9
+        grad = np.array([(r * margin).sum() + 1e-3 * (a - 1), r.sum()])
+        hess = np.array([[(h * margin * margin).sum() + 1e-3, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-6]])
+        move = np.linalg.solve(hess, grad)
+        a, b = a - np.clip(move[0], -0.5, 0.5), b - np.clip(move[1], -1, 1)
+    return max(float(a), 0.05), float(b)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def fit(texts: list[str | None], labels: np.ndarray, share: float | None = None, min_docs: int = 5, min_ratio: float = 1.5, penalty: float = 3e-3, steps: int = 200, folds: int = 3) -> NaiveBayesLinear:
+    """``share``: of label 1 among all rows, where the sample has another. Scores are calibrated on folds left out."""
+    y = np.asarray(labels, np.float64)
+    share = min(max(float(y.mean()) if share is None and len(y) else (share or 0.0), 1e-6), 1 - 1e-6)
+    if not len(y) or y.min() == y.max():
+        return NaiveBayesLinear(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+    hasher = Hasher()
+    rows = [hasher(t if isinstance(t, str) else None) for t in texts]
+    part = np.zeros(len(y), int)
+    for k in (0, 1):  # both classes in every fold
+        own = np.flatnonzero(y == k)
+        part[own] = np.arange(len(own)) % folds
+    options = (min_docs, min_ratio, penalty, steps)
+    margin = np.zeros(len(y))
+    for k in range(folds):
+        inside, outside = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        if 0 < y[inside].sum() < len(inside):
+            weights, b = _solve([rows[i] for i in inside], y[inside], *options)
+            margin[outside] = [float(weights[rows[i]].sum(dtype=np.float64)) + b for i in outside]
+    weights, b = _solve(rows, y, *options)
+    slope, offset = _calibrate(margin, y, share)
+    return NaiveBayesLinear(weights * np.float32(slope), slope * b + offset)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000) -> NaiveBayesLinear:
