@@ -177,6 +177,15 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"id": "Int64", "item_id": "Int64", "score": "float64"})
 
 
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without a match. A row is known by its id and its text, so a null id is no hindrance."""
+    part = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    # Matches carry the hash of their text in the place of the id, and one text matches alike under any id.
+    own = docs.select(part.alias("_dc_part"), F.col(text_col).alias("_dc_text"))
+    found = contaminated(own, items, "_dc_part", "_dc_text", **options).select("_dc_part").distinct()
+    return docs.withColumn("_dc_part", part).join(found, "_dc_part", "left_anti").drop("_dc_part")
+
+
 def _named(found: DataFrame, id_col: str) -> DataFrame:
     return found.withColumnRenamed("id", id_col)
 

@@ -2,7 +2,7 @@
 
 Distinct fingerprints are linked when at most ``distance`` bits differ. Candidate groups come from an exact scheme: of
 ``distance + 2`` bit blocks two at least are equal in any linked pair, so each fingerprint joins one group for each
-choice of two blocks. Within a group the table of Hamming distances to the pivots discards the pairs whose largest
+choice of two blocks. Larger distances make shorter blocks and so larger groups: they suit smaller corpora. Within a group the table of Hamming distances to the pivots discards the pairs whose largest
 coordinate difference exceeds ``distance`` (the triangle inequality: no link is lost), and only the survivors are
 compared bit by bit. Large groups are dealt out as tiles, so that no task ever holds more than two tiles, and every tile
 pair returns a spanning forest of its links rather than the links.
@@ -29,7 +29,9 @@ BITS = 64
 SEED = 42
 #: Number of reference fingerprints; they are drawn from a fixed seed.
 PIVOTS = 16
+#: Fingerprints of one tile of a large group; groups of up to SMALL_UNIT are compared all together.
 TILE = 2048
+SMALL_UNIT = 64
 
 
 def _starts_and_ends(text: str | None) -> tuple[bytes, list[int], list[int]]:
@@ -113,6 +115,29 @@ def _links(prints: np.ndarray, table: np.ndarray, other: np.ndarray, distance: i
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+def _small_units(prints: np.ndarray, table: np.ndarray, bounds: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``distance`` of all small units at once: each row against the next, the one after it, and so on. Sides of
+    tiles aren't told apart here: pairs within one tile are links as well."""
+    sizes = np.diff(bounds)
+    unit = np.repeat(np.where(sizes <= SMALL_UNIT, np.arange(len(sizes)), -1), sizes)
+    rows = np.flatnonzero(unit >= 0)
+    out_i, out_j = [], []
+    for step in range(1, SMALL_UNIT):
+        rows = rows[rows + step < len(prints)]
+        rows = rows[unit[rows] == unit[rows + step]]
+        if not len(rows):
+            break
+        i, j = rows, rows + step
+        for k in range(table.shape[1]):
+            near = np.abs(table[i, k] - table[j, k]) <= distance
+            i, j = i[near], j[near]
+        near = np.bitwise_count(prints[i] ^ prints[j]) <= distance
+        out_i.append(i[near])
+        out_j.append(j[near])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest index that each of n nodes reaches over the links."""
     root = np.arange(n)
@@ -147,17 +172,15 @@ def _edges_of_units(distance: int):
         for pdf, bounds in _whole_units(batches):
             prints, side = pdf["fp"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
             table = np.frombuffer(b"".join(pdf["near"]), np.uint8).reshape(len(pdf), -1).astype(np.int16)
-            a, b = [], []
+            found = [_small_units(prints, table, np.array(bounds), distance)]
             for s, e in itertools.pairwise(bounds):
-                if e - s < 2:
-                    continue
-                i, j = _links(prints[s:e], table[s:e], side[s:e], distance)
-                root = forest(e - s, i, j)
-                moved = np.flatnonzero(root != np.arange(e - s))
-                a.append(prints[s:e][moved])
-                b.append(prints[s:e][root[moved]])
-            if a:
-                yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+                if e - s > SMALL_UNIT:
+                    i, j = _links(prints[s:e], table[s:e], side[s:e], distance)
+                    found.append((i + s, j + s))
+            root = forest(len(pdf), *map(np.concatenate, zip(*found)))
+            moved = np.flatnonzero(root != np.arange(len(pdf)))
+            if len(moved):
+                yield pd.DataFrame({"a": prints[moved].view(np.int64), "b": prints[root[moved]].view(np.int64)})
 
     return run
 
