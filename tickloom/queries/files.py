@@ -60,7 +60,6 @@ def mixed(spark, sf):
 
 @query("SELECT event_type AS symbol, event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS ts FROM events")
 def parse_mixed_timestamps(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return src.parse_mixed_timestamps(mixed(spark, sf).drop("ts"), "raw", ("symbol",)).select("symbol", "event_id", stamp())
 
 

@@ -58,13 +58,12 @@ def clamp_range(spark, sf):
     return shown(prep.clamp_range(own.withColumn("dataset", F.col("symbol")), available, "1990-01-01", "2100-01-01", "2024-01-20"))
 
 
-@query("SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value AS open, value AS high, value AS low, value AS close, 0.0::DOUBLE AS volume FROM events")
+@query("SELECT event_type AS symbol, epoch_us(ts) AS us, value AS open, value AS high, value AS low, value AS close, 0.0::DOUBLE AS volume FROM events")
 def normalize_vendor_bars(spark, sf):
     e = table(spark, sf, "events")
     nanos = F.expr("(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)) * 1000").alias("ts_event")
     raw = e.select(F.col("event_type").alias("symbol"), nanos, *[F.col("value").alias(c) for c in ("open", "high", "low", "close")])
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return prep.normalize_vendor_bars(raw).select("symbol", stamp(), "open", "high", "low", "close", "volume")
+    return prep.normalize_vendor_bars(raw).select("symbol", F.unix_micros("ts").alias("us"), "open", "high", "low", "close", "volume")
 
 
 LISTED = "listed AS (SELECT DISTINCT upper(p_brand) AS s, CASE WHEN p_brand LIKE '%1' THEN 'NYSE' ELSE 'NASDAQ' END AS x FROM part WHERE p_brand LIKE 'Brand#1%' OR p_brand LIKE 'Brand#2%')"
