@@ -14,15 +14,21 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections import deque
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Piece types of the model format (fixed values).
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
+#: ASCII marks that often end a word.
+MARKS = ".,;:!?|*$%&#\"()[]{}<>/=+"
+#: Characters below this code, and the space mark, have a column in the automaton's table.
+COMMON = 0x250
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -67,12 +73,43 @@ def read_pieces(path: str = MODEL) -> list[tuple[str, float, int]]:
     return pieces
 
 
+class _Remembered(dict):
+    """Packed ids of words, which stand for ``prefix`` and the word. In two halves: when the newer one is full, the older one
+    is forgotten. Words are cut further where no piece goes across: at characters of no piece, and before marks at the end."""
+
+    def __init__(self, model: PieceModel, prefix: str, most: int = 250_000) -> None:
+        self.model, self.prefix, self.most, self.older = model, prefix, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        model = self.model
+        if model.line_end is not None and "\n" in word:
+            head, _, rest = word.partition("\n")
+            return self[head] + model.line_end + model.bare[rest]
+        if word and word[-1] in MARKS:
+            core = word.rstrip(MARKS)
+            if core and core[-1].isalnum() and core[-1] not in model.odd:
+                return self[core] + model.bare[word[len(core) :]]
+        ids = self.older.get(word)
+        if ids is None:
+            ids = _packed(model.best_path(self.prefix + word))
+        if len(word) < 64:
+            self.keep(word, ids)
+        return ids
+
+    def keep(self, word: str, ids: bytes) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class PieceModel:
     """Encoder and decoder; the automaton is built at first use in each worker."""
 
-    #: Words that a worker remembers twice over: the older half goes when the newer one is full.
-    REMEMBERED = 150_000
-
     def __init__(self, pieces: list[tuple[str, float, int]]) -> None:
         self.pieces = pieces
         self.ready = False
@@ -100,25 +137,28 @@ class PieceModel:
                 at = step[at][ch]
             if ends[at] is None or s > ends[at][2]:
                 ends[at] = (i, len(p), s)
-        fail, output = [0] * len(step), [0] * len(step)  # output: the nearest state with a piece, itself first
+        fail, order = [0] * len(step), []  # order: by depth, so that what a failure link leads to comes first
         waiting = deque([0])
         while waiting:
             at = waiting.popleft()
+            order.append(at)
             for ch, to in step[at].items():
                 if at:
                     back = fail[at]
                     while back and ch not in step[back]:
                         back = fail[back]
                     fail[to] = step[back].get(ch, 0)
-                output[to] = to if ends[to] else output[fail[to]]
                 waiting.append(to)
-        self.step, self.fail, self.output = step, fail, output
-        self.piece, self.size, self.score = ([e[k] if e else 0 for e in ends] for k in range(3))
-        self.shorter = [output[fail[s]] for s in range(len(step))]
-        breaks = "".join(ch for ch in "\n\t\r" if not any(ch in p for p, _, _ in usable))
-        self.words = re.compile(f" *[^ {breaks}]+| +|[{breaks}]" if breaks else " *[^ ]+| +")
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.step, self.fail = step, fail
+        # The output links of each state, followed to their end: (piece id, characters, score), the longest first.
+        self.chain: list[tuple[tuple[int, int, float], ...]] = [()] * len(step)
+        for at in order:
+            self.chain[at] = ((ends[at],) if ends[at] else ()) + self.chain[fail[at]]
+        inside = {pair for p, _, _ in usable for pair in zip(p, p[1:])}
+        self.odd = {a for a, b in inside if a.isalnum() and b in MARKS}  # letters with a mark after them in a piece
+        self.line_end = None if any("\n" in p for p, _, _ in usable) else _packed([self.byte_ids[10]])
+        self.known, self.bare = _Remembered(self, SPACE), _Remembered(self, "")
+        self._tabulate(order)
         self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() if kind in (NORMAL, USER_DEFINED) else b"" for p, _, kind in self.pieces]
         self.ready = True
 
@@ -132,56 +172,133 @@ class PieceModel:
 
     def best_path(self, text: str) -> list[int]:
         """Ids of the segmentation of largest total score; ties go to the longer last piece."""
-        step, output, shorter, size, score, unknown = self.step, self.output, self.shorter, self.size, self.score, self.unknown
-        best, came = [0.0], [0]  # came: the state of the last piece, 0 for a character in bytes
-        state = 0
-        for i, ch in enumerate(text, 1):
+        step, chain, unknown = self.step, self.chain, self.unknown
+        best, came, sizes = [0.0], [-1], [1]  # the last piece of each best path and its length; -1: a character in bytes
+        state, i, top = 0, 0, 0.0
+        for ch in text:
+            i += 1
             to = step[state].get(ch)
             state = self._move(state, ch) if to is None else to
-            top, by, out = best[-1] + unknown, 0, output[state]
-            while out:
-                total = best[i - size[out]] + score[out]
+            top += unknown
+            by, length = -1, 1
+            for piece, size, score in chain[state]:
+                total = best[i - size] + score
                 if total > top:
-                    top, by = total, out
-                out = shorter[out]
+                    top, by, length = total, piece, size
             best.append(top)
             came.append(by)
+            sizes.append(length)
         ids: list[int] = []
-        i = len(text)
         while i:
-            by = came[i]
-            if by:
-                ids.append(self.piece[by])
-                i -= size[by]
+            if came[i] >= 0:
+                ids.append(came[i])
             else:
-                i -= 1
-                ids.extend(self.byte_ids[b] for b in reversed((" " if text[i] == SPACE else text[i]).encode("utf-8")))
+                ids.extend(self.byte_ids[b] for b in reversed((" " if text[i - 1] == SPACE else text[i - 1]).encode("utf-8")))
+            i -= sizes[i]
         ids.reverse()
         return ids
 
-    def _word(self, word: str) -> list[int]:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.best_path(word.replace(" ", SPACE))
-        if len(word) < 64:
-            if len(self.known) >= self.REMEMBERED:
-                self.older, self.known = self.known, {}
-            self.known[word] = ids
-        return ids
+    def _tabulate(self, order: list[int]) -> None:
+        """The automaton as arrays, for many words at once: moves over the common characters, failure links followed, and
+        each state's output links in a row."""
+        chars = sorted({ch for edges in self.step for ch in edges if ch == SPACE or ord(ch) < COMMON})
+        self.column = np.full(COMMON + 1, len(chars), np.int64)  # the last column: a character that no piece has
+        for k, ch in enumerate(chars):
+            self.column[min(ord(ch), COMMON)] = k
+        self.moves = np.zeros((len(self.step), len(chars) + 1), np.uint16 if len(self.step) < 65536 else np.int32)
+        number = {ch: k for k, ch in enumerate(chars)}
+        for at in order:
+            if at:
+                self.moves[at] = self.moves[self.fail[at]]
+            own = [(number[ch], to) for ch, to in self.step[at].items() if ch in number]
+            if own:
+                self.moves[at, [k for k, _ in own]] = [to for _, to in own]
+        self.outputs = np.fromiter(map(len, self.chain), np.int64, len(self.chain))
+        self.first = np.cumsum(self.outputs) - self.outputs
+        rows = [x for c in self.chain for x in c]
+        self.out_id, self.out_size, self.out_score = (np.array([r[k] for r in rows], t) for k, t in enumerate((np.int32, np.int64, np.float64)))
+
+    def best_paths(self, words: list[str]) -> list[bytes]:
+        """``best_path`` of many words of common characters, all of them advancing together; packed."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        columns = self.column[np.minimum(codes, COMMON)]
+        order = np.argsort(-sizes, kind="stable")  # the longest first, so that those still going are a prefix
+        sizes, starts = sizes[order], (np.cumsum(sizes) - sizes)[order]
+        n, longest = len(words), int(sizes.max(initial=0))
+        best = np.zeros((n, longest + 1))
+        came, back = np.full((n, longest + 1), -1, np.int32), np.ones((n, longest + 1), np.int64)
+        state = np.zeros(n, np.int64)
+        for i in range(1, longest + 1):
+            going = int(np.searchsorted(-sizes, -i, "right"))
+            state = self.moves[state[:going], columns[starts[:going] + i - 1]].astype(np.int64)
+            top = best[:going, i - 1] + self.unknown
+            count, first = self.outputs[state], self.first[state]
+            rows = np.flatnonzero(count)
+            k = 0
+            while len(rows):
+                out = first[rows] + k
+                size = self.out_size[out]
+                total = best[rows, i - size] + self.out_score[out]
+                better = total > top[rows]
+                hit = rows[better]
+                top[hit] = total[better]
+                came[hit, i], back[hit, i] = self.out_id[out[better]], size[better]
+                k += 1
+                rows = rows[count[rows] > k]
+            best[:going, i] = top
+        ids, at, turn = np.zeros((n, longest), np.int32), sizes.copy(), np.zeros(n, np.int64)
+        live = np.flatnonzero(at > 0)
+        while len(live):
+            turn[live] += 1
+            ids[live, longest - turn[live]] = came[live, at[live]]
+            at[live] -= back[live, at[live]]
+            live = live[at[live] > 0]
+        out: list[bytes] = [b""] * n
+        for row, k, n_ids in zip(order.tolist(), range(n), turn.tolist(), strict=True):
+            found = ids[k, longest - n_ids :]
+            out[row] = found.tobytes()
+        for row in np.flatnonzero((ids < 0).any(1)).tolist():  # characters in bytes
+            out[order[row]] = _packed(self.best_path(words[order[row]]))
+        return out
 
-    def encode(self, text: str) -> list[int]:
+    def learn(self, texts: list[str | None]) -> None:
+        """Remember the words of some texts that are new, all at once."""
+        if not self.ready:
+            self._prepare()
+        new: set[str] = set()
+        for t in texts:
+            if t:
+                new.update(t.split(" "))
+        cores = {w.rstrip(MARKS) if "\n" not in w else "" for w in new}
+        known, older = self.known, self.known.older
+        cores = [w for w in cores if w and len(w) < 40 and w not in known and w not in older]
+        common = [w for w in cores if (w.isascii() or max(w) < chr(COMMON)) and w[-1] not in MARKS]
+        for k in range(0, len(common), 4096):
+            part = common[k : k + 4096]
+            for w, ids in zip(part, self.best_paths([SPACE + w for w in part]), strict=True):
+                known.keep(w, ids)
+
+    def _part(self, part: str, first: dict[str, bytes]) -> bytes:
+        """Ids of a text without the space mark; ``first`` encodes its first word."""
+        if "  " not in part:
+            word, *words = part.split(" ")
+            return first[word] + b"".join(map(self.known.__getitem__, words))
+        ids = []
+        for run in re.findall(" *[^ ]+| +", (" " if first is self.known else "") + part):  # pieces may hold several spaces
+            word = run.lstrip(" ")
+            single = len(run) - len(word) == 1 and word
+            ids.append(self.known[word] if single else self.bare[run.replace(" ", SPACE)])
+        return b"".join(ids)
+
+    def encode(self, text: str) -> np.ndarray:
         if not self.ready:
             self._prepare()
         if not text:
-            return []
-        out: list[int] = []
-        for k, part in enumerate(text.split(SPACE)):
-            if k:  # the mark itself
-                out += [self.byte_ids[b] for b in SPACE.encode("utf-8")]
-            for word in self.words.findall(part if k else " " + part):
-                ids = self.known.get(word)
-                out += self._word(word) if ids is None else ids
-        return out
+            return np.zeros(0, np.int32)
+        mark = _packed([self.byte_ids[b] for b in SPACE.encode("utf-8")])
+        parts = (self._part(part, self.bare if k else self.known) for k, part in enumerate(text.split(SPACE)))
+        return np.frombuffer(mark.join(parts), np.int32)
 
     def decode(self, ids) -> str:
         if not self.ready:
@@ -202,19 +319,29 @@ def _built(pieces: list[tuple[str, float, int]]) -> PieceModel:
 
 
 def encode_pieces(text: Column, pieces: list[tuple[str, float, int]]) -> Column:
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
         model = _built(pieces)
-        return pd.Series([model.encode(t) if isinstance(t, str) else None for t in texts], dtype=object)
+        found = []
+        for k in range(0, len(texts), 256):
+            part = texts.slice(k, 256).to_pylist()
+            model.learn(part)
+            found += [None if t is None else model.encode(t) for t in part]
+        sizes = np.fromiter((0 if ids is None else len(ids) for ids in found), np.int64, len(found))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        none = np.fromiter((ids is None for ids in found), bool, len(found))
+        flat = np.concatenate([np.zeros(0, np.int32), *[ids for ids in found if ids is not None]])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(none))
 
     return encode(text)
 
 
 def decode_pieces(ids: Column, pieces: list[tuple[str, float, int]]) -> Column:
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def decode(rows: pa.Array) -> pa.Array:
         model = _built(pieces)
-        return pd.Series([None if r is None else model.decode(r.tolist() if hasattr(r, "tolist") else r) for r in rows], dtype=object)
+        flat, offsets, valid = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy(), rows.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array([model.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(offsets, offsets[1:], valid)], pa.string())
 
     return decode(ids)
 
