@@ -6,7 +6,8 @@ end record, its ZIP64 form and the central directory, finds the two members, and
 
 Defined cases: a null payload is empty; payloads shorter than ``least`` bytes are all responses; of equal longer
 payloads every row with the largest id is a response (repeated rows: each of them), the others revisit it; a null id
-never is the largest unless all are null, and then all are responses; a null url is the empty string; an empty table
+never is the largest unless all are null, and then all are responses; a null url is the empty string, and urls are percent-encoded where
+needed; an empty table
 gives no archive and an empty result. A task that fails and runs again writes archives of new names; only those of the
 attempt that Spark keeps are in the manifest.
 """
@@ -20,6 +21,7 @@ import struct
 import uuid
 import zipfile
 import zlib
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs as arrow_fs
@@ -41,6 +43,11 @@ LOCAL, LOCAL_SIZE = b"PK\x03\x04", 30
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 
 
+def encoded(url: str) -> str:
+    """The url with spaces, control and non-ASCII characters percent-encoded."""
+    return quote(url, safe="".join(map(chr, range(0x21, 0x7F))), errors="replace")
+
+
 def _headers(first: str, pairs: list[tuple[str, object]]) -> bytes:
     return ("\r\n".join([first, *[f"{k}: {v}" for k, v in pairs if v is not None]]) + "\r\n\r\n").encode("utf-8")
 
@@ -52,7 +59,7 @@ def record(page_id, url: str, payload: bytes, size: int, digest: str, refers_to)
     block = http if revisit else http + payload
     head = _headers("WARC/1.1", [
         ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", DATE),
-        ("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Target-URI", encoded(url)), ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None),
         ("WARC-Refers-To", f"<urn:page:{refers_to}>" if revisit else None),
         ("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(block)),
@@ -191,7 +198,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             for page_id, url, payload, size, digest, to in zip(ids, pdf["url"], pdf["payload"], pdf["size"], pdf["digest"], refers, strict=True):
                 own_id = None if page_id is pd.NA else int(page_id)
                 packed = record(own_id, url, payload, int(size), digest, None if to is pd.NA else int(to))
-                index.append(f"{url or '-'} {DATE} " + json.dumps({"page": own_id, "offset": data.tell(), "length": len(packed)}) + "\n")
+                index.append(f"{encoded(url) or '-'} {DATE} " + json.dumps({"page": own_id, "offset": data.tell(), "length": len(packed)}) + "\n")
                 data.write(packed)
                 if data.tell() >= archive_bytes:
                     yield finish()
@@ -213,7 +220,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 filesystem, name = arrow_fs.FileSystem.from_uri(path)
                 with filesystem.open_input_file(name) as source:
                     package = ZipPackage(source, source.size())
-                    lines = [json.loads(line[line.index(" {") + 1 :]) for line in package.read(INDEX).decode("utf-8").splitlines()]
+                    lines = [json.loads(line[line.index(" {") + 1 :]) for line in package.read(INDEX).decode("utf-8").split("\n") if line]
                     rows = []
                     for data in package.ranges(DATA, [(x["offset"], x["length"]) for x in lines]):
                         rec = parse_record(data)
