@@ -8,8 +8,8 @@ The n-grams of the items reach the tasks as a lookup table while they are few (`
 number); beyond that the documents' n-grams are joined to them by a shuffle, and texts are read for the hits only.
 
 Defined cases: null and empty texts match nothing; items with fewer words than an n-gram has use the whole sequence as
-their only n-gram; items without words match nothing; a repeated document gives repeated rows; a repeated item id with
-several texts counts as several items of that name; null ids and extra columns pass through.
+their only n-gram; items without words match nothing; repeated rows give their matches once; a repeated item id with
+several texts counts as several items of that name; rows with a null id match like others; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -187,7 +187,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def _named(found: DataFrame, id_col: str) -> DataFrame:
-    return found.withColumnRenamed("id", id_col)
+    return found.distinct().withColumnRenamed("id", id_col)
 
 
 def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, threshold: float, size: int, share: float = 0.5, least: int = 6) -> DataFrame:
@@ -205,8 +205,10 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, thres
     whole = Window.partitionBy("item_id", "item_part")
     seeds = ranked.withColumn("r", F.rank().over(whole.orderBy("n"))).withColumn("c", F.count(F.lit(1)).over(whole)).filter(F.col("r") <= F.greatest(F.lit(least), F.floor(F.col("c") * share))).select("item_id", "item_part", "gram")
     pairs = ours.join(seeds, "gram").select("id", "part", "item_id", "item_part").distinct()
-    texts = pairs.join(corpus, [pairs["part"] == corpus["part"], pairs["id"].eqNullSafe(corpus["id"])]).select(corpus["id"], "text", "item_id", "item_part")
-    both = texts.join(tests.select("item_part", "item", F.col("item_id").alias("_item")), "item_part").filter(F.col("item_id").eqNullSafe(F.col("_item")))
+    read = corpus.select(F.col("id").alias("doc"), F.col("part").alias("doc_part"), "text").distinct()
+    texts = pairs.join(read, (F.col("part") == F.col("doc_part")) & F.col("id").eqNullSafe(F.col("doc"))).select("id", "text", "item_id", "item_part")
+    every = tests.select(F.col("item_part").alias("test_part"), F.col("item_id").alias("test"), "item").distinct()
+    both = texts.join(every, (F.col("item_part") == F.col("test_part")) & F.col("item_id").eqNullSafe(F.col("test"))).select("id", "text", "item_id", "item")
 
     def align(batches):
         for pdf in batches:
@@ -217,4 +219,4 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, thres
             if rows:
                 yield _frame(rows)
 
-    return _named(both.select("id", "text", "item_id", "item").mapInPandas(align, SCHEMA), id_col)
+    return _named(both.mapInPandas(align, SCHEMA), id_col)
