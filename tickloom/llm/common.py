@@ -52,3 +52,15 @@ def spread(df: DataFrame) -> DataFrame:
     """Let an aggregate stand on its own before a join: Spark splits the partitions of a hot key on the other side of a
     join only if both sides are shuffled for that join."""
     return df.hint("rebalance")
+
+
+#: Texts in a batch between Spark and Python: Spark's default of 10,000 rows is meant for narrow rows.
+BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, with Arrow batches fit for texts: lowers the session's setting if it stands at its default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name, "10000") == "10000":
+        df.sparkSession.conf.set(name, str(BATCH))
+    return df

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER
+from .common import ASCII_LOWER, small_batches
 
 SIZE = 3
 #: Items' n-grams that may be sent to every task.
@@ -154,6 +154,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     words = own.agg(F.coalesce(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit(" "))) + 1), F.lit(0))).first()[0]
     if words > small:
         return _joined(docs, own, id_col, text_col, threshold, size)
+    docs = small_batches(docs)
     known = Items([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], size)
     seeds = seeds_of(known, document_frequencies(docs, known, text_col))
 

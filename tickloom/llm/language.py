@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
@@ -158,4 +160,4 @@ def identify(docs: DataFrame, net: ByteConvNet, text_col: str = "text", out_col:
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(net.predict(list(texts)), columns=["lang", "score"]).astype({"score": "float64"})
 
-    return docs.withColumn(out_col, predict(F.col(f"`{text_col}`")))
+    return small_batches(docs).withColumn(out_col, predict(F.col(f"`{text_col}`")))

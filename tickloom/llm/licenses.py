@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER
+from .common import ASCII_LOWER, small_batches
 
 #: Base phrases and the labels that stand for them.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -222,4 +222,4 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licen
         out["spans"] = [[dict(zip(("label", "first", "last", "covered"), s)) for s in spans] for spans in out["spans"]]
         return out
 
-    return docs.withColumn(out_col, scan(F.col(f"`{text_col}`")))
+    return small_batches(docs).withColumn(out_col, scan(F.col(f"`{text_col}`")))

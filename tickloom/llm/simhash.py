@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialise, spread
+from .common import ASCII_LOWER, materialise, small_batches, spread
 from .components import components
 
 BITS = 64
@@ -70,7 +70,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fi
         prints = [fingerprint(shingle_hashes(t if isinstance(t, str) else None, size)) for t in texts]
         return pd.Series(np.array(prints, np.uint64).view(np.int64))
 
-    return docs.withColumn(out_col, of(F.col(f"`{text_col}`")))
+    return small_batches(docs).withColumn(out_col, of(F.col(f"`{text_col}`")))
 
 
 def pivots(count: int = PIVOTS) -> list[int]:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 BITS = 22
 SIZES = (4, 6, 8)
@@ -120,7 +122,11 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float | None = None,
     if not len(y) or y.min() == y.max():
         return NaiveBayesLinear(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
     hasher = Hasher()
-    rows = [hasher(t if isinstance(t, str) else None) for t in texts]
+    given = [t if isinstance(t, str) else None for t in texts]
+    found = np.zeros(1 << BITS, np.int32)
+    for t in given:
+        found[hasher(t)] += 1
+    rows = [own[found[own] >= min_docs] for own in map(hasher, given)]  # rare features could get no weight in any fold
     part = np.zeros(len(y), int)
     for k in (0, 1):  # both classes in every fold
         own = np.flatnonzero(y == k)
@@ -156,6 +162,6 @@ def score(docs: DataFrame, model: NaiveBayesLinear, text_col: str = "text", out_
     def scores(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(list(texts)))
 
-    return docs.withColumn(out_col, scores(F.col(f"`{text_col}`")))
+    return small_batches(docs).withColumn(out_col, scores(F.col(f"`{text_col}`")))
 
 
