@@ -16,19 +16,22 @@ import re
 import struct
 from array import array
 from collections import deque
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = "▁"
 #: Piece types of the model format (fixed values).
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 #: ASCII marks that often end a word.
 MARKS = ".,;:!?|*$%&#\"()[]{}<>/=+"
 #: Characters below this code, and the space mark, have a column in the automaton's table.
-COMMON = 0x250
+COMMON = 0x180
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -77,30 +80,30 @@ class _Remembered(dict):
     """Packed ids of words, which stand for ``prefix`` and the word. In two halves: when the newer one is full, the older one
     is forgotten. Words are cut further where no piece goes across: at characters of no piece, and before marks at the end."""
 
-    def __init__(self, model: PieceModel, prefix: str, most: int = 250_000) -> None:
+    def __init__(self, model: PieceModel, prefix: str, most: int = 120_000) -> None:
         self.model, self.prefix, self.most, self.older = model, prefix, most, {}
 
     def __missing__(self, word: str) -> bytes:
         model = self.model
-        if model.line_end is not None and "\n" in word:
-            head, _, rest = word.partition("\n")
-            return self[head] + model.line_end + model.bare[rest]
-        if word and word[-1] in MARKS:
+        if word and word[-1] in MARKS and "\n" not in word:
             core = word.rstrip(MARKS)
             if core and core[-1].isalnum() and core[-1] not in model.odd:
                 return self[core] + model.bare[word[len(core) :]]
+        if model.line_end is not None and "\n" in word:
+            head, _, rest = word.partition("\n")
+            return self[head] + model.line_end + model.bare[rest]
         ids = self.older.get(word)
         if ids is None:
             ids = _packed(model.best_path(self.prefix + word))
         if len(word) < 64:
-            self.keep(word, ids)
+            self.make_room()
+            self[word] = ids
         return ids
 
-    def keep(self, word: str, ids: bytes) -> None:
+    def make_room(self) -> None:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        self[word] = ids
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -262,22 +265,25 @@ class PieceModel:
             out[order[row]] = _packed(self.best_path(words[order[row]]))
         return out
 
-    def learn(self, texts: list[str | None]) -> None:
-        """Remember the words of some texts that are new, all at once."""
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """``encode`` of some texts, after their new words have been learned all at once."""
         if not self.ready:
             self._prepare()
-        new: set[str] = set()
-        for t in texts:
-            if t:
-                new.update(t.split(" "))
-        cores = {w.rstrip(MARKS) if "\n" not in w else "" for w in new}
+        plain = [t.split(" ") if t and SPACE not in t and "  " not in t else None for t in texts]
+        self.learn([words for words in plain if words])
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), np.int32) if words else None if t is None else self.encode(t) for t, words in zip(texts, plain, strict=True)]
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Remember those words of some texts that are new."""
         known, older = self.known, self.known.older
-        cores = [w for w in cores if w and len(w) < 40 and w not in known and w not in older]
-        common = [w for w in cores if (w.isascii() or max(w) < chr(COMMON)) and w[-1] not in MARKS]
-        for k in range(0, len(common), 4096):
-            part = common[k : k + 4096]
-            for w, ids in zip(part, self.best_paths([SPACE + w for w in part]), strict=True):
-                known.keep(w, ids)
+        words = set(chain.from_iterable(texts))
+        cores = set(map(str.rstrip, [w for w in words if w not in known], repeat(MARKS)))
+        new = [w for w in cores if w and w not in known and w not in older and len(w) < 40 and "\n" not in w and (w.isascii() or max(w) < chr(COMMON))]
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            known.make_room()
+            known.update(zip(part, self.best_paths([SPACE + w for w in part]), strict=True))
 
     def _part(self, part: str, first: dict[str, bytes]) -> bytes:
         """Ids of a text without the space mark; ``first`` encodes its first word."""
@@ -318,20 +324,24 @@ def _built(pieces: list[tuple[str, float, int]]) -> PieceModel:
     return _BUILT[key]
 
 
+#: Texts that a worker encodes or decodes at a time; what it returns is one buffer that grows.
+SLICE = 256
+
+
 def encode_pieces(text: Column, pieces: list[tuple[str, float, int]]) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         model = _built(pieces)
-        found = []
-        for k in range(0, len(texts), 256):
-            part = texts.slice(k, 256).to_pylist()
-            model.learn(part)
-            found += [None if t is None else model.encode(t) for t in part]
-        sizes = np.fromiter((0 if ids is None else len(ids) for ids in found), np.int64, len(found))
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        none = np.fromiter((ids is None for ids in found), bool, len(found))
-        flat = np.concatenate([np.zeros(0, np.int32), *[ids for ids in found if ids is not None]])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(none))
+        flat, sizes, none = bytearray(), [], []
+        for k in range(0, len(texts), SLICE):
+            for ids in model.encode_all(texts.slice(k, SLICE).to_pylist()):
+                none.append(ids is None)
+                sizes.append(0 if ids is None else len(ids))
+                if ids is not None:
+                    flat += ids.data
+        offsets = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int32)
+        values = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(none, pa.bool_()))
 
     return encode(text)
 
@@ -341,15 +351,17 @@ def decode_pieces(ids: Column, pieces: list[tuple[str, float, int]]) -> Column:
     def decode(rows: pa.Array) -> pa.Array:
         model = _built(pieces)
         flat, offsets, valid = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy(), rows.is_valid().to_numpy(zero_copy_only=False)
-        return pa.array([model.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(offsets, offsets[1:], valid)], pa.string())
+        spans = list(zip(offsets, offsets[1:], valid))
+        parts = [pa.array([model.decode(flat[a:b].tolist()) if ok else None for a, b, ok in spans[k : k + SLICE]], pa.string()) for k in range(0, len(spans), SLICE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return decode(ids)
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, text_col: str = "text", out_col: str = "pieces") -> DataFrame:
     """``docs`` with an array of piece ids."""
-    return docs.withColumn(out_col, encode_pieces(F.col(f"`{text_col}`"), read_pieces(model)))
+    return small_batches(docs).withColumn(out_col, encode_pieces(F.col(f"`{text_col}`"), read_pieces(model)))
 
 
 def decode_documents(docs: DataFrame, model: str = MODEL, pieces_col: str = "pieces", out_col: str = "decoded") -> DataFrame:
-    return docs.withColumn(out_col, decode_pieces(F.col(f"`{pieces_col}`"), read_pieces(model)))
+    return small_batches(docs).withColumn(out_col, decode_pieces(F.col(f"`{pieces_col}`"), read_pieces(model)))
