@@ -381,6 +381,32 @@ def test_copies_and_edits_are_found(spark, small):
     assert left.columns == nameless.columns and left.count() == len(texts) - 17
 
 
+@pytest.mark.parametrize("small", [decontaminate.SMALL, 0])
+def test_edited_copies_without_rare_runs_are_found(spark, small):
+    """Copies with every fifth, sixth or third word changed, alone or beside a verbatim one, and words put in between."""
+    rng = random.Random(5)
+    items = [" ".join(f"{rng.choice('abcdefgh')}{i}x{k}" for k in range(26)) for i in range(5)]
+    change = lambda t, n: " ".join("other" if k % n == n - 1 else w for k, w in enumerate(t.split()))
+    between = " ".join(w + " new" * (k % 2) for k, w in enumerate(items[3].split()))
+    texts = [change(items[0], 5), change(items[1], 6), items[2], "start " + change(items[2], 5), between, change(items[4], 3)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, texts, extra=False), bench, small=small).collect()}
+    assert found == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 3)}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+def test_no_alignment_is_lost(threshold):
+    rng = random.Random(11)
+    for _ in range(150):
+        words = [rng.choice("abcdefghij").encode() for _ in range(rng.randrange(1, 14))]
+        copy = [w for w in words for w in rng.choice([[w], [w], [w], [b"z"], [w, b"z"], []])]
+        text = [rng.choice("abcdefghijklm").encode() for _ in range(rng.randrange(30))] + copy + [rng.choice("klm").encode() for _ in range(9)]
+        item = b" ".join(words).decode()
+        score = alignment_by_hand([*words], text) / (decontaminate.MATCH * len(words))
+        found = decontaminate.matches(decontaminate.Items([(7, item)], threshold), text)
+        assert [(m[0], m[1]) for m in found] == ([(7, score)] if score >= threshold else [])
+
+
 def test_digest_columns(spark, tables):
     row = queries.QUERIES["op4_line_dedup"](spark, tables).first()
     assert len(row["kept_sha256"]) == len(hashlib.sha256().hexdigest())

@@ -1,26 +1,28 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds join training passages to test items, Smith-Waterman scores them.
 
-The items' n-grams are counted over all documents (document frequency). For each item its rarest n-grams are its seeds.
-A document that holds seeds of an item is aligned, around the places of the seeds, with the whole item, word by word;
-the alignment score as a share of the item's own score tells verbatim, edited and paraphrased copies.
+An item's seeds are its n-grams of up to ``size`` words: as many words as any alignment that reaches the threshold must
+have in a run (``seed_rule``; two words at 0.6 for all but the shortest items). A document in which as many seeds of an
+item stand together as such an alignment must hold is aligned there with the whole item, word by word; so no alignment
+that reaches the threshold is lost. The score as a share of the item's own tells verbatim, edited and paraphrased copies.
 
-The n-grams of the items reach the tasks as a lookup table while they are few (``small`` is checked against their
+The seeds of the items reach the tasks as a lookup table while they are few (``small`` is checked against their
 number); beyond that the documents' n-grams are joined to them by a shuffle, and texts are read for the hits only.
 
-Defined cases: null and empty texts match nothing; items with fewer words than an n-gram has use the whole sequence as
-their only n-gram; items without words match nothing; repeated rows give their matches once; a repeated item id with
+Defined cases: null and empty texts match nothing; items of few words have seeds of one word; items without words
+match nothing; repeated rows give their matches once; a repeated item id with
 several texts counts as several items of that name; rows with a null id match like others; extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, small_batches
@@ -66,88 +68,97 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     return best, stop, start
 
 
+def points_for(n: int, threshold: float) -> int:
+    """The least alignment score with which an item of ``n`` words reaches the threshold."""
+    return max(1, math.ceil(threshold * MATCH * n - 1e-9))
+
+
+def seed_rule(n: int, threshold: float, size: int = SIZE) -> tuple[int, int, int]:
+    """Words of a seed, the least number of them in an alignment that reaches the threshold, and its longest passage.
+
+    An alignment with m matches and b gaps or mismatches scores 2m - b, so b is at most 2m less the points wanted. Its
+    matches form b + 1 runs at most, which hold m - (s - 1)(b + 1) seeds of s words at least: fewest where m is n, or, for
+    single words, where b is 0. The longest seeds that can't be missing are taken. The passage has m + b words at most.
+    """
+    points = points_for(n, threshold)
+    breaks = max(0, MATCH * n - points)
+    least = -(-points // MATCH)
+    for s in range(min(size, n), 1, -1):
+        need = min(m - (s - 1) * (MATCH * m - points + 1) for m in (least, n))
+        if need > 0:
+            return s, need, n + breaks
+    return 1, least, n + breaks
+
+
 class Items:
-    """The test items by number, and the places of each n-gram in them."""
+    """The test items by number, and the items of each seed; each item has seeds of its own size."""
 
-    def __init__(self, rows: list[tuple[int, str]], size: int = SIZE) -> None:
-        self.size, self.ids, self.words = size, [r[0] for r in rows], [words_of(r[1]) for r in rows]
-        self.places: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, rows: list[tuple[int, str]], threshold: float, size: int = SIZE) -> None:
+        self.ids, self.words, self.threshold = [r[0] for r in rows], [words_of(r[1]) for r in rows], threshold
+        self.rules = [seed_rule(len(w), threshold, size) for w in self.words]
+        places: dict[tuple[bytes, ...], dict[int, None]] = defaultdict(dict)
         for k, words in enumerate(self.words):
-            for at, gram in enumerate(grams_of(words, size)):
-                self.places[gram].append((k, at))
-        self.places = dict(self.places)
-        self.numbers = {g: i for i, g in enumerate(self.places)}
+            for gram in grams_of(words, self.rules[k][0]):
+                places[gram][k] = None
+        self.places = {g: list(own) for g, own in places.items()}
         self.sizes = sorted({len(g) for g in self.places})
+        self._numbers: dict[int, tuple[dict[bytes, int], np.ndarray]] = {}
 
     def found(self, words: list[bytes]) -> list[tuple[int, tuple[bytes, ...]]]:
-        """(position, n-gram) for every n-gram of the items in the words."""
+        """(position, seed) for every seed of the items in the words."""
         places = self.places
         return [(i, g) for n in self.sizes for i, g in enumerate(zip(*[words[k:] for k in range(n)])) if g in places]
 
-
-def seeds_of(items: Items, frequency: dict[int, int], share: float = 0.5, least: int = 6) -> dict[tuple[bytes, ...], list[tuple[int, int]]]:
-    """Places of the seeds: of each item the rarest n-grams, ``share`` of them and ``least`` at least; ties all count."""
-    by_item: dict[int, list[tuple[int, tuple[bytes, ...], int]]] = defaultdict(list)
-    for gram, places in items.places.items():
-        for k, at in places:
-            by_item[k].append((frequency.get(items.numbers[gram], 0), gram, at))
-    seeds: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
-    for k, own in by_item.items():
-        counts = sorted(c for c, _, _ in own)
-        limit = counts[min(len(counts), max(least, int(len(counts) * share))) - 1]
-        for c, gram, at in own:
-            if c <= limit:
-                seeds[gram].append((k, at))
-    return dict(seeds)
-
-
-def matches(items: Items, seeds: dict, words: list[bytes], threshold: float) -> list[tuple[int, float, int, int]]:
+    def numbers(self, k: int) -> tuple[dict[bytes, int], np.ndarray]:
+        """Numbers of the words of an item, and the item in them."""
+        if k not in self._numbers:
+            item = self.words[k]
+            numbers = {w: n for n, w in enumerate(dict.fromkeys(item))}
+            self._numbers[k] = numbers, np.fromiter((numbers[w] for w in item), np.int64, len(item))
+        return self._numbers[k]
+
+
+def passages(at: list[int], rule: tuple[int, int, int], n_words: int) -> list[tuple[int, int]]:
+    """Spans of words outside which no alignment reaches the threshold: around seeds that stand close enough together."""
+    s, need, longest = rule
+    spans: list[tuple[int, int]] = []
+    for first, last in zip(at, at[need - 1 :]):
+        if last + s - first <= longest:
+            low, high = max(0, last + s - longest), min(n_words, first + longest)
+            if spans and low <= spans[-1][1]:
+                spans[-1] = (min(low, spans[-1][0]), max(high, spans[-1][1]))
+            else:
+                spans.append((low, high))
+    return spans
+
+
+def matches(items: Items, words: list[bytes]) -> list[tuple[int, float, int, int]]:
     """(item id, score, first word, words) of each item whose best alignment reaches the threshold."""
     hits: dict[int, list[int]] = defaultdict(list)
     for i, gram in items.found(words):
-        for k, at in seeds.get(gram, ()):
-            hits[k].append(i - at)  # where the item would begin
+        for k in items.places[gram]:
+            hits[k].append(i)
     out = []
-    for k, begins in hits.items():
-        item = items.words[k]
-        margin = max(4, len(item) // 3)
-        numbers = {w: n for n, w in enumerate(dict.fromkeys(item))}
-        own = np.fromiter((numbers[w] for w in item), np.int64, len(item))
-        best = (0, 0, 0)
-        begins = sorted(set(begins))
-        group = [begins[0], begins[0]]
-        for b in [*begins[1:], None]:
-            if b is not None and b - group[1] <= margin and b - group[0] <= 4 * len(item):
-                group[1] = b
-                continue
-            low, high = max(0, group[0] - margin), min(len(words), group[1] + len(item) + margin)
+    for k, at in hits.items():
+        rule, n = items.rules[k], len(items.words[k])
+        if len(at) < rule[1]:
+            continue
+        points, best = points_for(n, items.threshold), (0, 0, 0)
+        for low, high in passages(at, rule, len(words)):
+            numbers, own = items.numbers(k)
             passage = np.fromiter((numbers.get(w, -1) for w in words[low:high]), np.int64, high - low)
+            # As many words of the item as matches are needed must stand within the longest passage.
+            known = np.concatenate([[0], np.cumsum(passage >= 0)])
+            reach = min(rule[2], high - low)
+            if (known[reach:] - known[: len(known) - reach]).max() * MATCH < points:
+                continue
             score, stop, start = smith_waterman(own, passage)
             best = max(best, (score, low + start, low + stop))
-            group = [b, b]
-        score = best[0] / (MATCH * len(item))
-        if score >= threshold:
-            out.append((items.ids[k], score, best[1], best[2] - best[1]))
+        if best[0] >= points:
+            out.append((items.ids[k], best[0] / (MATCH * n), best[1], best[2] - best[1]))
     return out
 
 
-def document_frequencies(docs: DataFrame, items: Items, text_col: str = "text") -> dict[int, int]:
-    """In how many documents each of the items' n-grams stands: as many numbers as the items have n-grams at most."""
-
-    def count(batches):
-        totals = np.zeros(len(items.numbers), np.int64)
-        for pdf in batches:
-            for text in pdf["text"]:
-                if isinstance(text, str):
-                    own = {items.numbers[g] for _, g in items.found(words_of(text))}
-                    totals[list(own)] += 1
-        used = np.flatnonzero(totals)
-        yield pd.DataFrame({"gram": used, "n": totals[used]})
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {int(r["gram"]): int(r["n"]) for r in counted.toLocalIterator()}
-
-
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.6, size: int = SIZE, small: int = SMALL) -> DataFrame:
     """A row for each document and item whose alignment reaches ``threshold``: ids, ``score``, ``first_word``, ``n_words``."""
     own = items.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
@@ -155,15 +166,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if words > small:
         return _joined(docs, own, id_col, text_col, threshold, size)
     docs = small_batches(docs)
-    known = Items([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], size)
-    seeds = seeds_of(known, document_frequencies(docs, known, text_col))
+    known = Items([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], threshold, size)
 
     def align(batches):
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["id"].astype("Int64"), pdf["text"], strict=True):
                 if isinstance(text, str):
-                    rows += [(doc_id, *m) for m in matches(known, seeds, words_of(text), threshold)]
+                    rows += [(doc_id, *m) for m in matches(known, words_of(text))]
             if rows:
                 yield _frame(rows)
 
@@ -191,32 +201,44 @@ def _named(found: DataFrame, id_col: str) -> DataFrame:
     return found.distinct().withColumnRenamed("id", id_col)
 
 
-def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, threshold: float, size: int, share: float = 0.5, least: int = 6) -> DataFrame:
-    """The same for items too many for a lookup table: n-grams of both sides meet in a shuffle by hash."""
+def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, threshold: float, size: int) -> DataFrame:
+    """The same for items too many for a lookup table: seeds of both sides meet in a shuffle by hash. A document is read for
+    an item if it holds as many of the item's seeds as an alignment that reaches the threshold must have."""
+    def digests(words: list[bytes], size: int) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(g)) for g in zip(*[words[i:] for i in range(size)])], np.uint64).view(np.int64)
+
+    @F.pandas_udf("array<long>")
+    def seeds(texts: pd.Series) -> pd.Series:
+        found = [words_of(t) for t in texts]
+        return pd.Series([digests(w, seed_rule(len(w), threshold, size)[0]) for w in found])
+
+    @F.pandas_udf("size int, need long")
+    def rules(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([seed_rule(len(words_of(t)), threshold, size)[:2] for t in texts], columns=["size", "need"])
+
+    tests = items.select("item_id", F.xxhash64("text").alias("item_part"), F.col("text").alias("item")).distinct().withColumn("rule", rules("item"))
+    sizes = sorted(r[0] for r in tests.select("rule.size").distinct().collect())
+
     @F.pandas_udf("array<long>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array([xxhash.xxh64_intdigest(b" ".join(g)) for g in grams_of(words_of(t if isinstance(t, str) else None), size)], np.uint64).view(np.int64) for t in texts])
-
-    corpus = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("part"), F.col(text_col).alias("text"))
-    tests = items.select("item_id", F.xxhash64("text").alias("item_part"), F.col("text").alias("item"))
-    ours = corpus.select("id", "part", F.explode(F.array_distinct(hashes("text"))).alias("gram"))
-    theirs = tests.select("item_id", "item_part", F.explode(F.array_distinct(hashes("item"))).alias("gram"))
-    frequency = ours.join(theirs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    ranked = theirs.join(frequency, "gram", "left").fillna(0, ["n"])
-    whole = Window.partitionBy("item_id", "item_part")
-    seeds = ranked.withColumn("r", F.rank().over(whole.orderBy("n"))).withColumn("c", F.count(F.lit(1)).over(whole)).filter(F.col("r") <= F.greatest(F.lit(least), F.floor(F.col("c") * share))).select("item_id", "item_part", "gram")
-    pairs = ours.join(seeds, "gram").select("id", "part", "item_id", "item_part").distinct()
+    def every_seed(texts: pd.Series) -> pd.Series:
+        found = [words_of(t if isinstance(t, str) else None) for t in texts]
+        return pd.Series([np.unique(np.concatenate([np.zeros(0, np.int64), *[digests(w, n) for n in sizes]])) for w in found])
+
+    corpus = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("part"), F.col(text_col).alias("text"))
+    theirs = tests.select("item_id", "item_part", F.col("rule.need").alias("need"), F.explode(seeds("item")).alias("gram")).groupBy("item_id", "item_part", "need", "gram").agg(F.count(F.lit(1)).alias("n"))
+    ours = corpus.select("id", "part", F.explode(every_seed("text")).alias("gram"))
+    shared = ours.join(theirs, "gram").groupBy("id", "part", "item_id", "item_part", "need").agg(F.sum("n").alias("n"))
+    pairs = shared.filter(F.col("n") >= F.col("need")).select("id", "part", "item_id", "item_part")
     read = corpus.select(F.col("id").alias("doc"), F.col("part").alias("doc_part"), "text").distinct()
     texts = pairs.join(read, (F.col("part") == F.col("doc_part")) & F.col("id").eqNullSafe(F.col("doc"))).select("id", "text", "item_id", "item_part")
-    every = tests.select(F.col("item_part").alias("test_part"), F.col("item_id").alias("test"), "item").distinct()
+    every = tests.select(F.col("item_part").alias("test_part"), F.col("item_id").alias("test"), "item")
     both = texts.join(every, (F.col("item_part") == F.col("test_part")) & F.col("item_id").eqNullSafe(F.col("test"))).select("id", "text", "item_id", "item")
 
     def align(batches):
         for pdf in batches:
             rows = []
             for doc_id, text, item_id, item in zip(pdf["id"].astype("Int64"), pdf["text"], pdf["item_id"].astype("Int64"), pdf["item"], strict=True):
-                one = Items([(item_id, item)], size)
-                rows += [(doc_id, *m) for m in matches(one, one.places, words_of(text), threshold)]
+                rows += [(doc_id, *m) for m in matches(Items([(item_id, item)], threshold, size), words_of(text))]
             if rows:
                 yield _frame(rows)
 
