@@ -407,6 +407,27 @@ def test_no_alignment_is_lost(threshold):
         assert [(m[0], m[1]) for m in found] == ([(7, score)] if score >= threshold else [])
 
 
+def test_both_paths_give_equal_rows(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(4))
+    items = [" ".join(word() for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 9, 15, 30)]
+    texts = [" ".join([*[word() for _ in range(9)], *[w for w in t.split() for w in rng.choice([[w], [w], [w], [w, "q"], ["q"]])], word()]) for t in items * 4] + [items[0], None, ""]
+    bench = spark.createDataFrame([*enumerate(items), (3, items[4]), (None, items[5]), (2, items[2]), (77, ""), (78, None)], "item_id long, text string")
+    small, large = [sorted(map(repr, decontaminate.contaminated(docs(spark, texts), bench, small=n).collect())) for n in (decontaminate.SMALL, 0)]
+    assert small == large and any("item_id=0," in r for r in large) and any("item_id=1," in r for r in large)
+
+
+def test_words_between_tabs_and_newlines_count(spark, monkeypatch):
+    taken = []
+    joined = decontaminate._joined
+    monkeypatch.setattr(decontaminate, "_joined", lambda *a: taken.append(1) or joined(*a))
+    bench = spark.createDataFrame([(1, "a\tb\nc\td\re\tf")], "item_id long, text string")
+    decontaminate.contaminated(docs(spark), bench, small=6)
+    assert not taken
+    decontaminate.contaminated(docs(spark), bench, small=5)
+    assert taken
+
+
 def test_digest_columns(spark, tables):
     row = queries.QUERIES["op4_line_dedup"](spark, tables).first()
     assert len(row["kept_sha256"]) == len(hashlib.sha256().hexdigest())

@@ -6,7 +6,7 @@ item stand together as such an alignment must hold is aligned there with the who
 that reaches the threshold is lost. The score as a share of the item's own tells verbatim, edited and paraphrased copies.
 
 The seeds of the items reach the tasks as a lookup table while they are few (``small`` is checked against their
-number); beyond that the documents' n-grams are joined to them by a shuffle, and texts are read for the hits only.
+words); beyond that the documents' n-grams are joined to them by a shuffle, and texts are read for the hits only.
 
 Defined cases: null and empty texts match nothing; items of few words have seeds of one word; items without words
 match nothing; repeated rows give their matches once; a repeated item id with
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, small_batches
 
 SIZE = 3
-#: Items' n-grams that may be sent to every task.
+#: Words of items that may be sent to every task.
 SMALL = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -162,8 +162,12 @@ def matches(items: Items, words: list[bytes]) -> list[tuple[int, float, int, int
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.6, size: int = SIZE, small: int = SMALL) -> DataFrame:
     """A row for each document and item whose alignment reaches ``threshold``: ids, ``score``, ``first_word``, ``n_words``."""
     own = items.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    words = own.agg(F.coalesce(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit(" "))) + 1), F.lit(0))).first()[0]
-    if words > small:
+
+    @F.pandas_udf("long")
+    def n_words(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
+
+    if own.agg(F.coalesce(F.sum(n_words("text")), F.lit(0))).first()[0] > small:
         return _joined(docs, own, id_col, text_col, threshold, size)
     docs = small_batches(docs)
     known = Items([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], threshold, size)
