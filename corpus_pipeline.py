@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, language, line_dedup, sentencepiece, simhash
+from tickloom.llm import decontaminate, language, line_dedup, sentencepiece, shingles
 from tickloom.llm.common import held_out, materialise, table
 
 
-#: Bits in which prints of near-duplicates may differ.
+#: Bits in which prints of near-duplicates might differ in round 1; the stage doesn't use it any more.
 NEAR = 6
 
 
@@ -28,12 +28,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id.
-
-    Within 6 of 64 bits lie about four in five of the pairs that share 0.8 or more of their five-word shingles, and hardly
-    a pair that shares less than half; 3 bits would find two in five.
-    """
-    return simhash.one_of_each(docs, size=3, distance=NEAR)
+    """One document of each group of near-duplicates, that of the smallest id: documents that share 0.8 or more of their
+    five-word shingles, and chains of such."""
+    return shingles.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import random
+import re
 import struct
 import zipfile
 
@@ -158,3 +160,32 @@ def test_pipeline_by_hand(spark, tables):
         else:
             assert all(r["round_trip"] and r["n_pieces"] == len(r["pieces"]) for r in now.collect())
     assert sizes == sorted(sizes, reverse=True)
+
+
+def test_near_dedup_keeps_the_rule_of_four_fifths(spark, tables):
+    def own(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    rng = random.Random(13)
+    given = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]
+    for k in range(12):  # copies on both sides of 0.8
+        copy = [*base, *[f"x{i}" for i in range(30)]] if k == 11 else [f"y{i}" if k and i % 60 < k and i % 2 else w for i, w in enumerate(base)]
+        given.append((70000 + k, " ".join(copy)))
+    given += [(80001, None), (80002, " "), (80003, "Ab c"), (80004, "aB C"), (80005, base[0])]
+    sets = {i: own(t) for i, t in given}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, a), (j, b) in itertools.combinations(sets.items(), 2):
+        if not a | b or len(a & b) >= 0.8 * len(a | b):
+            low, high = sorted((find(i), find(j)))
+            root[high] = low
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    found = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, tables).collect()]
+    assert sorted(found) == sorted({find(i) for i in sets})
