@@ -14,8 +14,11 @@ NEAR = 6
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which the network finds a language; those without text or letters go."""
+    """Documents in which the network finds a language; those without text or letters go, and only those where there was no
+    language to learn."""
     net = language.train(docs, F.col("lang"), ~held_out(F.col("doc_id")))
+    if not net.classes:
+        return language.with_letters(docs)
     found = language.identify(docs, net, out_col="_language")
     return found.filter(F.col("_language.lang") != language.UNKNOWN).select(*docs.columns)
 

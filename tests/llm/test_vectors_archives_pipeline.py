@@ -189,3 +189,10 @@ def test_near_dedup_keeps_the_rule_of_four_fifths(spark, tables):
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
     found = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, tables).collect()]
     assert sorted(found) == sorted({find(i) for i in sets})
+
+
+def test_no_language_to_learn_drops_no_text(spark, tables):
+    rows = [(1, "Plain words", None, "s", 11), (2, "\u6f22\u5b57", None, "s", 2), (3, "123 !", None, "s", 5), (4, "", None, "s", 0), (5, None, None, "s", 0), (None, "more", None, "s", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.language_id(spark, df, tables)
+    assert found.columns == df.columns and {r["doc_id"] for r in found.collect()} == {1, 2, None}

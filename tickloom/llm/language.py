@@ -161,3 +161,13 @@ def identify(docs: DataFrame, net: ByteConvNet, text_col: str = "text", out_col:
         return pd.DataFrame(net.predict(list(texts)), columns=["lang", "score"]).astype({"score": "float64"})
 
     return small_batches(docs).withColumn(out_col, predict(F.col(f"`{text_col}`")))
+
+
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter: what ``identify`` doesn't call unknown, whether or not anything was learned."""
+
+    @F.pandas_udf("boolean")
+    def lettered(texts: pd.Series) -> pd.Series:
+        return pd.Series([isinstance(t, str) and bool(_LETTER.search(t)) for t in texts], dtype=bool)
+
+    return small_batches(docs).filter(lettered(F.col(f"`{text_col}`")))
