@@ -1,13 +1,17 @@
 """Toxicity scores from a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text's features are the hashed n-grams (UTF-8 bytes of the lower-cased text) that it holds, and those that it holds at
-least twice and three times. The fit counts in how many toxic and other documents each feature stands, takes the log ratio of the smoothed shares as its scale, and
-trains a logistic classifier on the scaled features. All of this uses a bounded sample of labelled documents; scores are
-for whole texts.
+least twice and three times. The fit takes the log ratio of the smoothed shares of toxic and other documents with a
+feature as its scale, and trains a logistic classifier on the scaled features. All of this uses a bounded sample of
+labelled documents; scores are for whole texts.
+
+Features are hashed and counted in Spark. Only those that some fit can use (``min_docs``, ``min_ratio``) reach the driver,
+as integers: its memory doesn't depend on the length of the texts but for the features that tell the classes apart.
 
 Defined cases: null and empty texts have no features and get the score of the intercept; with only one class to learn
-from, every text gets that class's share; rows with a null id are scored but not learned from; repeated rows get equal
-scores; extra columns are carried through.
+from, every text gets that class's share; rows with a null id are scored but not learned from; of several texts under
+one id the least is learned from; repeated rows get equal scores; extra columns are carried through, one named like the
+output is replaced.
 """
 
 from __future__ import annotations
@@ -17,8 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
+from .common import discard, materialise, small_batches
 
 BITS = 22
 SIZES = (4, 6, 8)
@@ -62,39 +65,75 @@ class NaiveBayesLinear:
     def __init__(self, weights: np.ndarray, intercept: float) -> None:
         self.weights, self.intercept = weights, intercept
 
+    def __getstate__(self) -> tuple:
+        """Few features have a weight: they travel to the tasks, not the whole table."""
+        used = np.flatnonzero(self.weights).astype(np.int32)
+        return used, self.weights[used], self.intercept
+
+    def __setstate__(self, state: tuple) -> None:
+        used, weights, self.intercept = state
+        self.weights = np.zeros(1 << BITS, np.float32)
+        self.weights[used] = weights
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         hasher = Hasher()
         return _sigmoid(np.array([self.weights[hasher(t if isinstance(t, str) else None)].sum(dtype=np.float64) for t in texts], np.float64) + self.intercept)
 
 
-def _solve(rows: list[np.ndarray], y: np.ndarray, min_docs: int, min_ratio: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept for classes of equal weight; features in few documents or with an even ratio get no weight."""
-    counts = np.zeros((2, 1 << BITS), np.float32)
-    for row, label in zip(rows, y.astype(int), strict=True):
-        counts[label, row] += 1
+class Rows:
+    """Features of documents one after another: those of document i are ``col[start[i] : start[i + 1]]``."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.start = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        self.col = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def blocks(self, most: int = 1 << 19):
+        """Ranges of documents that hold about ``most`` features, with those and the document of each."""
+        low = 0
+        while low < len(self):
+            high = max(low + 1, int(np.searchsorted(self.start, self.start[low] + most, "right")) - 1)
+            yield low, high, self.col[self.start[low] : self.start[high]], np.repeat(np.arange(high - low, dtype=np.int32), np.diff(self.start[low : high + 1]))
+            low = high
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum of ``values`` over the features of each document."""
+        out = np.zeros(len(self))
+        for low, high, col, row in self.blocks():
+            out[low:high] = np.bincount(row, values[col], high - low)
+        return out
+
+    def spread(self, of_rows: np.ndarray, n: int) -> np.ndarray:
+        """For each of n features the sum of ``of_rows`` over the documents that hold it."""
+        out = np.zeros(n)
+        for low, high, col, row in self.blocks():
+            out += np.bincount(col, of_rows[low:high][row], n)
+        return out
+
+
+def _solve(rows: Rows, n: int, y: np.ndarray, inside: np.ndarray, min_docs: int, min_ratio: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights of the n features and the intercept, learned from the documents ``inside``, for classes of equal weight;
+    features in few documents or with an even ratio get no weight."""
+    inside = inside.astype(np.float64)
+    toxic, other = rows.spread(inside * y, n), rows.spread(inside * (1 - y), n)
+    n_toxic, n_other = (inside * y).sum(), (inside * (1 - y)).sum()
     # Shares of documents with the feature, so that an even feature has ratio 0.
-    ratio = np.log((counts[1] + 1) / (y.sum() + 2)) - np.log((counts[0] + 1) / ((1 - y).sum() + 2))
-    used = np.flatnonzero((counts.sum(0) >= min_docs) & (np.abs(ratio) >= min_ratio))
-    number = np.full(1 << BITS, -1, np.int32)
-    number[used] = np.arange(len(used))
-    kept = [n[n >= 0] for n in (number[row] for row in rows)]
-    col, row = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-    scale = ratio[used].astype(np.float64)
-    scale /= max(1.0, np.sqrt(np.mean([float((scale[k] ** 2).sum()) for k in kept])))
-    value = scale[col]
-    w, b, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    cost = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((other + 1) / (n_other + 2))
+    scale = np.where((toxic + other >= min_docs) & (np.abs(ratio) >= min_ratio), ratio, 0.0)
+    size = n_toxic + n_other
+    scale /= max(1.0, np.sqrt((rows.sums(scale * scale) * inside).sum() / size))
+    w, b, m, v = np.zeros(n), 0.0, np.zeros(n + 1), np.zeros(n + 1)
+    cost = inside * np.where(y == 1, size / (2 * n_toxic), size / (2 * n_other)) / size
     for step in range(1, steps + 1):
-        p = _sigmoid(np.bincount(row, value * w[col], len(y)) + b)
-        error = cost * (p - y) / len(y)
-        grad = np.append(np.bincount(col, value * error[row], len(used)) + penalty * w / len(y), error.sum())
+        error = cost * (_sigmoid(rows.sums(scale * w) + b) - y)
+        grad = np.append(scale * rows.spread(error, n) + penalty * w / size, error.sum())
         m += 0.1 * (grad - m)
         v += 0.01 * (grad * grad - v)
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w * scale
-    return weights, float(b)
+    return w * scale, float(b)
 
 
 def _calibrate(margin: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
@@ -115,44 +154,84 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, share: float | None = None, min_docs: int = 5, min_ratio: float = 1.5, penalty: float = 3e-3, steps: int = 200, folds: int = 3) -> NaiveBayesLinear:
-    """``share``: of label 1 among all rows, where the sample has another. Scores are calibrated on folds left out."""
+def fit(codes: np.ndarray, rows: Rows, labels: np.ndarray, part: np.ndarray, share: float, min_docs: int = 5, min_ratio: float = 1.5, penalty: float = 3e-3, steps: int = 200) -> NaiveBayesLinear:
+    """``rows`` hold places in ``codes``, the features that may be used; ``part``: the fold of each document, in which its
+    margin is measured for the calibration; ``share``: of label 1 among all rows."""
     y = np.asarray(labels, np.float64)
-    share = min(max(float(y.mean()) if share is None and len(y) else (share or 0.0), 1e-6), 1 - 1e-6)
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    dense = np.zeros(1 << BITS, np.float32)
     if not len(y) or y.min() == y.max():
-        return NaiveBayesLinear(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    hasher = Hasher()
-    given = [t if isinstance(t, str) else None for t in texts]
-    found = np.zeros(1 << BITS, np.int32)
-    for t in given:
-        found[hasher(t)] += 1
-    rows = [own[found[own] >= min_docs] for own in map(hasher, given)]  # rare features could get no weight in any fold
-    part = np.zeros(len(y), int)
-    for k in (0, 1):  # both classes in every fold
-        own = np.flatnonzero(y == k)
-        part[own] = np.arange(len(own)) % folds
+        return NaiveBayesLinear(dense, float(np.log(share / (1 - share))))
     options = (min_docs, min_ratio, penalty, steps)
     margin = np.zeros(len(y))
-    for k in range(folds):
-        inside, outside = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        if 0 < y[inside].sum() < len(inside):
-            weights, b = _solve([rows[i] for i in inside], y[inside], *options)
-            margin[outside] = [float(weights[rows[i]].sum(dtype=np.float64)) + b for i in outside]
-    weights, b = _solve(rows, y, *options)
+    for k in np.unique(part):
+        inside = part != k
+        if 0 < y[inside].sum() < inside.sum():
+            weights, b = _solve(rows, len(codes), y, inside, *options)
+            margin[~inside] = rows.sums(weights)[~inside] + b
+    weights, b = _solve(rows, len(codes), y, np.ones(len(y), bool), *options)
     slope, offset = _calibrate(margin, y, share)
-    return NaiveBayesLinear(weights * np.float32(slope), slope * b + offset)
+    dense[codes] = weights * slope
+    return NaiveBayesLinear(dense, slope * b + offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000) -> NaiveBayesLinear:
+def _features(sample: DataFrame, keep: np.ndarray | None = None) -> DataFrame:
+    """``sample`` with ``features``: the hashed features of ``text``, or with ``keep`` (a bit for each code that is wanted)
+    the places of those among all wanted codes, packed as 32-bit integers."""
+
+    @F.pandas_udf("array<int>")
+    def every(texts: pd.Series) -> pd.Series:
+        hasher = Hasher()
+        return pd.Series([hasher(t).astype(np.int32) for t in texts])
+
+    @F.pandas_udf("binary")
+    def wanted(texts: pd.Series) -> pd.Series:
+        hasher, bits = Hasher(), np.unpackbits(keep).astype(bool)
+        place = np.cumsum(bits, dtype=np.int32) - 1
+        return pd.Series([place[f[bits[f]]].tobytes() for f in map(hasher, texts)])
+
+    return sample.withColumn("features", (every if keep is None else wanted)("text"))
+
+
+def _useful(sample: DataFrame, folds: int, min_docs: int, min_ratio: float) -> np.ndarray:
+    """The codes that pass ``min_docs`` and ``min_ratio`` in the whole sample or without one of the folds."""
+    sizes = {(r["mark"], r["part"]): r["n"] for r in sample.groupBy("mark", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = [(k, p) for k in (0, 1) for p in range(folds)]
+    held = _features(sample).select("mark", "part", F.explode("features").alias("code"))
+    counts = held.groupBy("code").agg(*[F.count_if((F.col("mark") == k) & (F.col("part") == p)).alias(f"n{k}_{p}") for k, p in each])
+    passes = F.lit(False)
+    for left_out in (None, *range(folds)):
+        used = [p for p in range(folds) if p != left_out]
+        docs = [sum((F.col(f"n{k}_{p}") for p in used), F.lit(0)) for k in (0, 1)]
+        of = [sum(sizes.get((k, p), 0) for p in used) for k in (0, 1)]
+        ratio = F.ln((docs[1] + 1) / (of[1] + 2)) - F.ln((docs[0] + 1) / (of[0] + 2))
+        passes = passes | ((docs[0] + docs[1] >= min_docs) & (F.abs(ratio) >= min_ratio - 1e-9))
+    words = counts.filter(passes).groupBy((F.col("code") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, code % 64)")).alias("bits")).collect()
+    keep = np.zeros((1 << BITS) // 64, np.int64)  # a bit for each code
+    for r in words:
+        keep[r["word"]] = r["bits"]
+    return np.flatnonzero(np.unpackbits(keep.view(np.uint8), bitorder="little"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, folds: int = 3, min_docs: int = 5, min_ratio: float = 1.5) -> NaiveBayesLinear:
     """Fit on at most ``per_class`` labelled documents of each class; ``labels`` holds the rows that may be learned from."""
-    marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_doc")).agg(F.max(label_col).cast("int").alias("_mark"))
-    share = marks.agg(F.avg("_mark")).first()[0]
+    marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_doc")).agg(F.max(label_col).cast("int").alias("mark"))
+    share = marks.agg(F.avg("mark")).first()[0] or 0.0
     order = marks.filter("_doc IS NOT NULL")
-    chosen = [order.filter(F.col("_mark") == k).orderBy(F.xxhash64("_doc"), "_doc").limit(per_class) for k in (0, 1)]
+    chosen = [order.filter(F.col("mark") == k).orderBy(F.xxhash64("_doc"), "_doc").limit(per_class) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # 2 * per_class rows at most
-    own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    sample = own.join(chosen, "_doc").dropDuplicates(["_doc"]).toPandas().sort_values("_doc")
-    return fit(list(sample["text"]), sample["_mark"].to_numpy(), share)
+    own = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = own.join(chosen, "_doc").groupBy("_doc", "mark").agg(F.min("text").alias("text"))
+    sample = sample.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "_doc"), F.lit(folds)).cast("int"))
+    sample = materialise(sample, "toxicity-sample")
+    codes = _useful(small_batches(sample), folds, min_docs, min_ratio)
+    keep = np.zeros(1 << BITS, bool)
+    keep[codes] = True
+    # 2 * per_class rows, of features that tell the classes apart.
+    found = _features(sample, np.packbits(keep)).select("_doc", "mark", "part", "features").orderBy("_doc").toPandas()
+    discard(sample)
+    rows = Rows([np.frombuffer(f, np.int32) for f in found["features"]])
+    return fit(codes, rows, found["mark"].to_numpy(), found["part"].to_numpy(), share, min_docs, min_ratio)
 
 
 def score(docs: DataFrame, model: NaiveBayesLinear, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
@@ -163,5 +242,3 @@ def score(docs: DataFrame, model: NaiveBayesLinear, text_col: str = "text", out_
         return pd.Series(model.scores(list(texts)))
 
     return small_batches(docs).withColumn(out_col, scores(F.col(f"`{text_col}`")))
-
-
