@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.helpers import by_sql, rows_of
-from tickloom.llm import decontaminate, language, licenses, line_dedup, lm_score, queries, sentencepiece, simhash, toxicity
+from tickloom.llm import common, decontaminate, language, licenses, line_dedup, lm_score, queries, sentencepiece, simhash, toxicity
 from tickloom.llm.common import held_out
 
 TEXTS = [
@@ -38,7 +39,7 @@ def empty(spark):
 
 def clashing(df):
     """Columns under the names that operators use inside."""
-    return df.withColumns({c: F.lit(1) for c in ("pos", "line", "h1", "id", "fp", "chunk", "word", "gram", "table", "node", "_id", "_text")})
+    return df.withColumns({c: F.lit(1) for c in ("pos", "line", "h1", "id", "fp", "chunk", "word", "gram", "table", "node", "_id", "_text", "_ld_drop", "_ld_all", "_ld_id", "_all", "_drop", "_kept", "_sh_id", "_sh_none", "_row", "_dc_part", "_part", "_label", "place")})
 
 
 # --- line dedup
@@ -79,6 +80,21 @@ def test_lines_of_odd_rows(spark):
         line_dedup.keep_bitmaps(df, keep="some")
 
 
+def test_lines_of_a_repeated_id(spark):
+    """A document is an id with a text: twelve texts under one id are twelve documents, twelve equal rows are one."""
+    df = spark.createDataFrame([(1, f"same\nown {i}") for i in range(12)] + [(2, "again\nx")] * 12, "doc_id long, text string")
+    found = [r["text"] for r in line_dedup.dedup_lines(df).orderBy("doc_id", "text").collect()]
+    assert found == sorted(f"own {i}" for i in range(12)) + ["again\nx"] * 12
+
+
+@pytest.mark.parametrize("light", [0, 1 << 20])
+def test_lines_with_and_without_broadcast(spark, monkeypatch, light):
+    monkeypatch.setattr(common, "LIGHT", light)
+    texts = [None, "", *[f"Common \n{i % 7}\n\nunique {i}" for i in range(60)]]
+    found = line_dedup.dedup_lines(docs(spark, texts, extra=False), keep="first")
+    assert [r["text"] for r in found.orderBy("doc_id").collect()] == lines_by_hand(texts, 10, "first")
+
+
 def test_bitmaps_of_a_long_document(spark):
     text = "\n".join("again" if i % 3 == 0 else f"line {i}" for i in range(2000))
     df = docs(spark, [text, "again", "again\nb"], extra=False)
@@ -302,7 +318,7 @@ def test_languages_of_odd_rows(spark):
     net = language.train(df, F.col("lang"), ~held_out(F.col("doc_id")))
     found = language.identify(df, net).collect()
     for r in found:
-        none = not r["text"] or not re.search(r"[^\W\d_]", r["text"])
+        none = not any(unicodedata.category(c).startswith("L") for c in r["text"] or "")
         assert (r["language"]["lang"] == "und") == none and 0 <= r["language"]["score"] <= 1
     assert language.identify(empty(spark), net).count() == 0
     assert {r["language"]["lang"] for r in language.identify(df, language.train(empty(spark), F.col("lang"), F.lit(True))).collect()} == {"und"}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,3 +88,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     if df.sparkSession.conf.get(name, "10000") == "10000":
         df.sparkSession.conf.set(name, str(BATCH))
     return df
+
+
+#: Bytes of a table that may be sent to every task.
+LIGHT = 16 << 20
+
+
+def if_small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """``df``, a table that is cheap to read, for one side of a join: broadcast if it is measured small, else shuffled."""
+    size = df.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= LIGHT else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spread
+from .common import discard, materialise, spread
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,6 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(now, "links")
     before, state = None, _state(now)
     while state != before:
-        now = materialise(_stars(_stars(now, True), False), "links")
+        last, now = now, materialise(_stars(_stars(now, True), False), "links")
+        discard(last)
         before, state = state, _state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,8 +2,7 @@
 
 Distinct fingerprints are linked when at most ``distance`` bits differ. Candidate groups come from an exact scheme: of
 ``distance + 2`` bit blocks two at least are equal in any linked pair, so each fingerprint joins one group for each
-choice of two blocks. Larger distances make shorter blocks and so larger groups: they suit smaller corpora. Within a group the table of Hamming distances to the pivots discards the pairs whose largest
-coordinate difference exceeds ``distance`` (the triangle inequality: no link is lost), and only the survivors are
+choice of two blocks. Within a group the table of Hamming distances to the pivots discards the pairs whose largest coordinate difference exceeds ``distance`` (the triangle inequality: no link is lost), and only the survivors are
 compared bit by bit. Large groups are dealt out as tiles, so that no task ever holds more than two tiles, and every tile
 pair returns a spanning forest of its links rather than the links.
 
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialise, small_batches, spread
+from .common import ASCII_LOWER, free_names, materialise, named, small_batches, spread
 from .components import components
 
 BITS = 64
@@ -152,13 +151,29 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _whole_units(batches):
-    """Frames that hold whole runs of equal ``t, key, i, j``; a run may span batches."""
+def pivot_table(prints: np.ndarray) -> np.ndarray:
+    """Hamming distances of each print (a row) to each pivot."""
+    return np.bitwise_count(prints[:, None] ^ np.array(pivots(), np.int64).view(np.uint64)).astype(np.int16)
+
+
+def near_pairs(prints: np.ndarray, table: np.ndarray, side: np.ndarray, bounds: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs within ``distance`` in each unit (the rows between two bounds)."""
+    found = [_small_units(prints, table, bounds, distance)]
+    for s, e in itertools.pairwise(bounds.tolist()):
+        if e - s > SMALL_UNIT:
+            i, j = _links(prints[s:e], table[s:e], side[s:e], distance)
+            found.append((i + s, j + s))
+    i, j = map(np.concatenate, zip(*found, strict=True))
+    return i, j
+
+
+def whole_units(batches, names: tuple[str, ...]):
+    """Frames that hold whole runs of equal values of ``names`` (integers), and the bounds of the runs; a run may span batches."""
     rest = None
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        names = pdf[["t", "key", "i", "j"]].to_numpy(np.int64)
-        cuts = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+        values = pdf[list(names)].to_numpy(np.int64)
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
         last = int(cuts[-1]) if len(cuts) else 0
         if last:
             yield pdf.iloc[:last], [0, *cuts.tolist()]
@@ -167,17 +182,27 @@ def _whole_units(batches):
         yield rest, [0, len(rest)]
 
 
+def dealt(entries: DataFrame, by: tuple[str, ...], payload: tuple[str, ...], tile: int) -> DataFrame:
+    """The groups ``by`` of two ``node`` and more, as units ``*by, i, j`` that stand together and in order.
+
+    A group of more than ``tile`` nodes is cut into tiles by a hash; a unit holds one tile (i = j) or two, told apart by
+    ``side``, and every pair of nodes meets in one unit at least.
+    """
+    sizes = entries.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    shared = entries.join(spread(sizes), list(by))
+    shared = shared.withColumn("tiles", F.ceil(F.col("_n") / tile)).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    other = shared.select(*by, "node", *payload, "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("with"))
+    unit = [F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j")]
+    units = other.select(*by, *unit, "node", *payload, (F.col("tile") > F.col("with")).alias("side"))
+    return units.repartition(*by, "i", "j").sortWithinPartitions(*by, "i", "j")
+
+
 def _edges_of_units(distance: int):
     def run(batches):
-        for pdf, bounds in _whole_units(batches):
-            prints, side = pdf["fp"].to_numpy().view(np.uint64), pdf["side"].to_numpy()
+        for pdf, bounds in whole_units(batches, ("t", "key", "i", "j")):
+            prints = pdf["node"].to_numpy().view(np.uint64)
             table = np.frombuffer(b"".join(pdf["near"]), np.uint8).reshape(len(pdf), -1).astype(np.int16)
-            found = [_small_units(prints, table, np.array(bounds), distance)]
-            for s, e in itertools.pairwise(bounds):
-                if e - s > SMALL_UNIT:
-                    i, j = _links(prints[s:e], table[s:e], side[s:e], distance)
-                    found.append((i + s, j + s))
-            root = forest(len(pdf), *map(np.concatenate, zip(*found)))
+            root = forest(len(pdf), *near_pairs(prints, table, pdf["side"].to_numpy(), np.array(bounds), distance))
             moved = np.flatnonzero(root != np.arange(len(pdf)))
             if len(moved):
                 yield pd.DataFrame({"a": prints[moved].view(np.int64), "b": prints[root[moved]].view(np.int64)})
@@ -188,16 +213,8 @@ def _edges_of_units(distance: int):
 def linked_fingerprints(prints: DataFrame, distance: int = 3) -> DataFrame:
     """Edges ``a, b`` whose components are those of all pairs of the distinct longs ``fp`` within ``distance`` bits."""
     table = F.concat(*[F.unhex(F.lpad(F.hex(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)))), 2, "0")) for p in pivots()])
-    entries = prints.select("fp", table.alias("near"), F.explode(_groups(F.col("fp"), distance)).alias("g")).select("fp", "near", "g.t", "g.key")
-    sizes = entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = entries.join(spread(sizes), ["t", "key"])
-    tiles = F.ceil(F.col("n") / TILE)
-    shared = shared.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")))
-    other = shared.select("t", "key", "fp", "near", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
-    unit = [F.least("own", "tile").alias("i"), F.greatest("own", "tile").alias("j")]
-    units = other.select("t", "key", *unit, "fp", "near", (F.col("own") > F.col("tile")).alias("side"))
-    placed = units.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
-    return placed.mapInPandas(_edges_of_units(distance), "a long, b long").distinct()
+    entries = prints.select(F.col("fp").alias("node"), table.alias("near"), F.explode(_groups(F.col("fp"), distance)).alias("g")).select("node", "near", "g.t", "g.key")
+    return dealt(entries, ("t", "key"), ("near",), TILE).mapInPandas(_edges_of_units(distance), "a long, b long").distinct()
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -224,7 +241,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stand for their component: the one of smallest id (null ids last)."""
     prints = _prints(docs, id_col, text_col, size)
     row = F.struct(F.col("_id").isNull().alias("none"), F.coalesce("_id", F.lit(0)).alias("id"), F.col("_part").alias("part"))
-    named = materialise(_roots(prints.groupBy("fp").agg(F.min(row).alias("row")), distance), "components")
-    kept = named.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.none").alias("_sh_none"), F.col("row.id").alias("_sh_id"), F.col("row.part").alias("_sh_part"))
-    keys = {"_sh_none": F.col(id_col).isNull(), "_sh_id": F.coalesce(F.col(id_col), F.lit(0)), "_sh_part": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
-    return docs.withColumns(keys).join(kept, list(keys)).dropDuplicates(list(keys)).select(*[f"`{c}`" for c in docs.columns])
+    named_ = materialise(_roots(prints.groupBy("fp").agg(F.min(row).alias("row")), distance), "components")
+    (key,) = free_names(docs, "_row")
+    kept = named_.groupBy("root").agg(F.min("row").alias(key)).select(key)
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("part"))
+    return docs.withColumn(key, own).join(kept, key, "left_semi").dropDuplicates([key]).select(*named(docs))
