@@ -1,23 +1,28 @@
 """Line deduplication on built-in functions only.
 
-Lines are hashed to 128 bits, range-partitioned by (hash, document) so that a very common line spreads over many
-partitions, and reduced to one row for each line and document. Counts per line are pre-aggregated before they are
-shuffled. The result holds no text: each document gets a sparse bitmap of the lines to drop (all other bits: keep).
+Lines are hashed to 128 bits and dealt to partitions that are ranges of the hash times slices of the documents: the bounds
+are known beforehand, as hashes are uniform, and a very common line spreads over all slices. Partitions are sorted by
+(hash, document, position), and a window streams over them to mark the first occurrence of a line in each document. Counts
+are added up within the partitions before they are shuffled. The result holds no text: each document that loses lines gets
+a sparse bitmap of them (all other bits: keep), and documents without one are left where they are if the bitmaps are few.
 
 Defined cases: a document is a distinct (id, text) pair, so repeated rows are one document and get equal bitmaps; a null
 id is an id of its own; null and empty texts have one empty line; lines whose key is shorter than ``min_chars`` code
-points always stay; an empty table gives an empty result; extra columns are carried through unchanged.
+points always stay; an empty table gives an empty result; extra columns are carried through unchanged, whatever their
+names, but for those of the names asked for as counts, which are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, spread
+from .common import ascii_lower, free_names, if_small, materialise, named, spread
 
 #: What is stripped at both ends of a line: the space and U+0009 to U+000D.
 STRIPPED = " \t\n\x0b\x0c\r"
+#: Slices of the documents over which the occurrences of a line are dealt.
+SLICES = 16
 
 
 def _text(name: str) -> Column:
@@ -31,8 +36,8 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
     """One row for each document that loses lines: ``_ld_id, _ld_text`` (its identity) and ``_ld_drop``.
 
-    ``_ld_drop`` maps a word number to 64 bits: line i is dropped if bit i % 64 of word i // 64 is set; absent words keep
-    all lines. ``keep='none'`` drops every line found in at least ``min_docs`` documents; ``keep='first'`` spares its
+    ``_ld_drop`` lists word numbers with 64 bits each: line i is dropped if bit i % 64 of word i // 64 is set; absent words
+    keep all lines. ``keep='none'`` drops every line found in at least ``min_docs`` documents; ``keep='first'`` spares its
     first occurrence, by document and then position.
     """
     if keep not in ("none", "first"):
@@ -44,44 +49,45 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .filter(F.char_length("line") >= min_chars)
         .select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "_ld_id", "_ld_text", "pos")
     )
-    placed = (
-        lines.repartitionByRange("h1", "h2", "_ld_id", "_ld_text")
-        .sortWithinPartitions("h1", "h2", "_ld_id", "_ld_text", "pos")
-        .groupBy("h1", "h2", "_ld_id", "_ld_text")
-        .agg(F.min("pos").alias("first"), F.collect_list("pos").alias("places"))
-    )
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = min(SLICES, partitions)
+    ranges = partitions // slices
+    place = F.shiftright(F.shiftrightunsigned("h1", 33) * ranges, 31) * slices + F.pmod(F.xxhash64("_ld_id", "_ld_text"), F.lit(slices))
+    dealt = lines.withColumn("place", place.cast("int")).repartitionById(ranges * slices, "place")
+    in_document = Window.partitionBy("place", "h1", "h2", "_ld_id", "_ld_text").orderBy("pos")
+    placed = dealt.withColumn("first", F.row_number().over(in_document) == 1).drop("place")
     placed = materialise(placed, "line-places")
-    common = (
-        placed.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_ld_id", "_ld_text", "first")).alias("origin"))
-        .filter(F.col("n") >= min_docs)
-    )
-    hit = placed.join(spread(common), ["h1", "h2"]).select("_ld_id", "_ld_text", "origin", F.explode("places").alias("pos"))
+    origin = [F.min(F.struct("_ld_id", "_ld_text", "pos")).alias("origin")] if keep == "first" else []
+    common = placed.filter("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *origin).filter(F.col("n") >= min_docs).drop("n")
+    common = if_small(materialise(spread(common), "common-lines"), 56)
+    hit = placed.join(common, ["h1", "h2"])
     if keep == "first":
-        hit = hit.filter(~F.struct("_ld_id", "_ld_text", "pos").eqNullSafe(F.struct("origin._ld_id", "origin._ld_text", "origin.first")))
-    words = hit.groupBy("_ld_id", "_ld_text", (F.col("pos") / 64).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")
-    )
-    return words.groupBy("_ld_id", "_ld_text").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "bits")))).alias("_ld_drop"))
-
-
-def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their bitmaps applied: ``text_col`` holds the lines kept, and ``_ld_lines``, ``_ld_dropped`` count."""
-    own, marks = docs.alias("d"), bitmaps.alias("b")
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col("b._ld_id")) & (F.xxhash64(F.coalesce(F.col(f"d.{text_col}"), F.lit(""))) == F.col("b._ld_text"))
-    lines = F.split(F.coalesce(F.col(f"d.{text_col}"), F.lit("")), "\n", -1)
-    joined = own.join(marks, same, "left").select("d.*", lines.alias("_ld_all"), F.col("b._ld_drop").alias("_ld_drop"))
-    dense = F.transform(F.sequence(F.lit(0), F.expr("int((size(_ld_all) - 1) / 64)")), lambda w: F.coalesce(F.col("_ld_drop")[w], F.lit(0).cast("bigint")))
-    joined = joined.withColumn("_ld_words", F.when(F.col("_ld_drop").isNotNull(), dense))
-    kept = F.when(F.col("_ld_words").isNull(), F.col("_ld_all")).otherwise(
-        F.expr("filter(_ld_all, (line, i) -> (shiftright(element_at(_ld_words, int(i / 64) + 1), i % 64) & 1) = 0)")
-    )
-    joined = joined.withColumn("_ld_kept", kept)
-    rest = [F.col(f"`{c}`") if c != text_col else F.array_join("_ld_kept", "\n").alias(c) for c in docs.columns]
-    return joined.select(*rest, F.size("_ld_all").cast("long").alias("_ld_lines"), (F.size("_ld_all") - F.size("_ld_kept")).cast("long").alias("_ld_dropped"))
+        hit = hit.filter(~F.struct("_ld_id", "_ld_text", "pos").eqNullSafe(F.col("origin")))
+    words = hit.groupBy("_ld_id", "_ld_text", (F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    bitmaps = words.groupBy("_ld_id", "_ld_text").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("_ld_drop"))
+    return materialise(bitmaps, "bitmaps")
+
+
+def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
+    """The documents with their bitmaps applied: ``text_col`` holds the lines kept, ``lines_col`` and ``dropped_col`` count."""
+    every, drop, kept = free_names(docs, "_all", "_drop", "_kept")
+    marks = if_small(bitmaps, F.lit(32) + F.size("_ld_drop") * 16)
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("b._ld_id")) & (F.xxhash64(_text(f"d.{text_col}")) == F.col("b._ld_text"))
+    joined = docs.alias("d").join(marks.alias("b"), same, "left").select("d.*", F.col("b._ld_drop").alias(drop)).withColumn(every, F.split(_text(text_col), "\n", -1))
+    # The words between two that are given hold zeros.
+    gap = lambda x, i: x["word"] - F.when(i > 0, F.get(drop, i - 1)["word"]).otherwise(-1) - 1
+    dense = F.flatten(F.transform(drop, lambda x, i: F.concat(F.array_repeat(F.lit(0).cast("long"), gap(x, i)), F.array(x["bits"]))))
+    joined = joined.withColumn(drop, dense)
+    stays = F.expr(f"filter(`{every}`, (line, i) -> (shiftright(coalesce(get(`{drop}`, int(i / 64)), 0L), i % 64) & 1) = 0)")
+    joined = joined.withColumn(kept, F.when(F.col(drop).isNotNull(), stays))
+    counts = {lines_col: F.size(every).cast("long"), dropped_col: (F.size(every) - F.coalesce(F.size(kept), F.size(every))).cast("long")}
+    text = F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(_text(text_col))
+    rest = [text.alias(c) if c == text_col else x for c, x in zip(docs.columns, named(docs), strict=True) if c not in counts]
+    return joined.select(*rest, *[x.alias(c) for c, x in counts.items()])
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``keep_bitmaps`` and ``drop_lines`` in one: the columns of ``docs``, with the lines left."""
     names = {k: options[k] for k in ("id_col", "text_col") if k in options}
-    return drop_lines(docs, keep_bitmaps(docs, **options), **names).select(*[f"`{c}`" for c in docs.columns])
+    counts = free_names(docs, "_lines", "_dropped")
+    return drop_lines(docs, keep_bitmaps(docs, **options), **names, lines_col=counts[0], dropped_col=counts[1]).select(*named(docs))

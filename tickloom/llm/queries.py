@@ -18,7 +18,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs, min_docs=10, min_chars=1))
-    return kept.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +81,13 @@ QUERIES = {
 
 _LINES = """
 lines AS (
-  SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+  SELECT place, doc_id, same, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
+  FROM (SELECT row_number() OVER () AS place, doc_id, concat(doc_id, '|', md5(coalesce(text, ''))) AS same, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
 ), keyed AS (
-  SELECT doc_id, pos, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+  SELECT place, doc_id, same, pos, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
   FROM lines
 ), common AS (
-  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT same) >= 10
 )"""
 
 _GRAMS = """
@@ -137,5 +137,5 @@ WITH {_LINES.strip()}
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (common.key IS NOT NULL) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (common.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common ON keyed.key = common.key
-GROUP BY doc_id""",
+GROUP BY place, doc_id""",
 }
