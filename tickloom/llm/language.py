@@ -11,19 +11,21 @@ carried through.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_names, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the general category L is in the text."""
+    return isinstance(text, str) and any(map(str.isalpha, text))
 
 
 def window_bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +118,7 @@ class ByteConvNet:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
         for text in texts:
-            if not self.classes or not isinstance(text, str) or not _LETTER.search(text):
+            if not self.classes or not has_letter(text):
                 out.append((UNKNOWN, 0.0))
                 continue
             windows, held = window_bytes(text)
@@ -127,30 +129,51 @@ class ByteConvNet:
         return out
 
 
-def sample_labelled(docs: DataFrame, label: Column, learnable: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """Up to ``per_class`` documents (``text, label``) of each class, by a hash of the id; texts are read for those only."""
+def sample_labelled(docs: DataFrame, label: Column, learnable: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_id, _label, _text`` of up to ``per_class`` documents of each class, by a hash of the id; of several texts under one
+    id the least.
+
+    The classes are counted first, and only ids whose hash lies in the share that must hold the sample go on to be ordered:
+    so no class, however frequent, is gathered in one task.
+    """
     known = docs.filter(learnable).select(F.col(id_col).alias("_id"), label.alias("_label")).filter("_id IS NOT NULL AND _label IS NOT NULL").distinct()
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    chosen = known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class).select("_id", "_label")
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    sizes = known.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
+    draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) * F.col("_n") / float(1 << 30)
+    # Twice the sample and a hundred: fewer than ``per_class`` of them come up with a chance below 1e-12.
+    drawn = known.join(sizes, "_label").filter(draw < 2 * per_class + 100)
+    order = Window.partitionBy("_label").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id")
+    chosen = drawn.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_class).select("_id", "_label")
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = own.join(F.broadcast(chosen), "_id")  # per_class rows for each class at most
-    return found.select("text", F.col("_label").alias("label"), "_id").dropDuplicates(["_id", "label"]).toPandas().sort_values(["_id", "label"])
+    return found.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
 
 def train(docs: DataFrame, lang: Column, learnable: Column, id_col: str = "doc_id", text_col: str = "text", per_language: int = 500, windows_each: int = 4) -> ByteConvNet:
-    """Fit on at most ``per_language`` documents of each language, ``windows_each`` windows drawn from anywhere in each."""
+    """Fit on at most ``per_language`` documents of each language, ``windows_each`` windows drawn from anywhere in each.
+
+    The windows are cut in tasks: the driver gets these alone, however long the texts are.
+    """
     sample = sample_labelled(docs, lang, learnable, per_language, id_col, text_col)
-    classes = sorted(sample["label"].unique())
-    net, rng = ByteConvNet(classes), np.random.default_rng(0)
-    x, y = [], []
-    for text, label in zip(sample["text"], sample["label"], strict=True):
-        if isinstance(text, str) and _LETTER.search(text):
-            windows, _ = window_bytes(text)
-            x += [windows[i].copy() for i in sorted(rng.choice(len(windows), min(windows_each, len(windows)), replace=False))]
-            y += [classes.index(label)] * min(windows_each, len(windows))
-    if not x:
+
+    @F.pandas_udf("binary")
+    def cut(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            if has_letter(text):
+                windows, _ = window_bytes(text)
+                chosen = np.random.default_rng(len(windows)).choice(len(windows), min(windows_each, len(windows)), replace=False)
+                out.append(windows[np.sort(chosen)].tobytes())
+            else:
+                out.append(b"")
+        return pd.Series(out)
+
+    rows = small_batches(sample).select("_id", "_label", cut("_text").alias("windows")).orderBy("_id", "_label").toPandas()
+    classes = sorted(rows["_label"].unique())
+    x = [np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for w in rows["windows"]]
+    y = [classes.index(label) for label, w in zip(rows["_label"], x, strict=True) for _ in range(len(w))]
+    if not y:
         return ByteConvNet([])
-    return net.fit(np.stack(x), np.array(y))
+    return ByteConvNet(classes).fit(np.concatenate(x), np.array(y))
 
 
 def identify(docs: DataFrame, net: ByteConvNet, text_col: str = "text", out_col: str = "language") -> DataFrame:
@@ -168,6 +191,6 @@ def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("boolean")
     def lettered(texts: pd.Series) -> pd.Series:
-        return pd.Series([isinstance(t, str) and bool(_LETTER.search(t)) for t in texts], dtype=bool)
+        return pd.Series([has_letter(t) for t in texts], dtype=bool)
 
     return small_batches(docs).filter(lettered(F.col(f"`{text_col}`")))
