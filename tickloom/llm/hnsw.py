@@ -1,14 +1,17 @@
 """Approximate nearest neighbours: one navigable small-world graph for each shard, shard results merged.
 
-Distinct vectors are hashed to shards of about ``shard_rows``. A task builds the layered graph of its shard as flat
-arrays (for each layer, a row of neighbour numbers for each node) and stores it as one row. Every block of queries is
-sent to every shard, searched there in a batch, and the shards' nearest are merged. Scores are exact cosines in double
-precision of the original vectors.
+Distinct vectors are hashed to shards of about ``shard_bytes``. A task builds the layered graph of its shard as flat
+arrays (for each layer, a row of neighbour numbers for each node) and stores it as one row. Nodes enter a layer in batches:
+each is linked to near nodes before it that aren't nearer to one another, and those take it up in the same way. As shards
+are bounded, the near nodes come from products of a batch with the nodes before it. Every block of queries is sent to
+every shard, searched there by the graph, and the shards' nearest are merged. Scores are exact cosines in double precision
+of the original vectors.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither as candidates nor
 as queries, nor do rows with a null id; vectors of another length than the query aren't compared with it; of equal
 vectors the smallest ids count (as many as can be in a result); ties go to the smaller id; a repeated row is one
-candidate; fewer candidates than ``k`` give fewer rows; an empty table gives an empty result.
+candidate and one query; rows of one id with several vectors are queries of their own, each with ranks from 1, and no row
+of the query's id is in its result; fewer candidates than ``k`` give fewer rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,84 +25,82 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-M, EF_BUILD, EF_SEARCH = 16, 64, 96
-SHARD_ROWS = 4096
-QUERY_BLOCK = 2048
+M, NEAR, EF_SEARCH = 16, 48, 128
+#: Bytes of the vectors of a shard (in double precision), and queries of a block.
+SHARD_BYTES = 64 << 20
+QUERY_BLOCK = 8192
 
 
 class Graph:
-    """Layers of flat neighbour arrays over unit vectors; -1 fills up a row."""
+    """Layers of flat neighbour arrays over unit vectors; -1 fills up a row. Layers hold the first nodes, fewer at the top."""
 
     def __init__(self, unit: np.ndarray, layers: list[np.ndarray], nodes: list[np.ndarray], entry: int) -> None:
         self.unit, self.layers, self.nodes, self.entry = unit, layers, nodes, entry
 
     @classmethod
-    def build(cls, unit: np.ndarray, m: int = M, ef: int = EF_BUILD, seed: int = 3) -> Graph:
+    def build(cls, unit: np.ndarray, m: int = M, near: int = NEAR, seed: int = 3) -> Graph:
         n = len(unit)
         level = np.minimum((-np.log(np.random.default_rng(seed).random(n) + 1e-12) / math.log(m)).astype(int), 6)
         order = np.argsort(-level, kind="stable")  # the top layer comes first, so the entry is in place
-        unit, level = unit[order], level[order]
-        layers = [np.full((n if top == 0 else int((level >= top).sum()), 2 * m if top == 0 else m), -1, np.int32) for top in range(int(level.max(initial=0)) + 1)]
-        graph = cls(unit, layers, [], 0)
-        done = 1
-        while done < n:  # batches never exceed a tenth of the graph, and their members see each other
-            stop = min(n, done + max(1, min(256, done // 10)))
-            graph._insert(np.arange(done, stop), level, m, ef)
-            done = stop
-        back = np.empty(n, np.int32)
-        back[:] = order
-        graph.nodes = [back]
+        graph = cls(unit[order], [], [order.astype(np.int32)], 0)
+        for top in range(int(level.max(initial=0)) + 1):
+            graph.layers.append(graph._layer(int((level >= top).sum()), 2 * m if top == 0 else m, m, near))
         return graph
 
-    def _insert(self, new: np.ndarray, level: np.ndarray, m: int, ef: int) -> None:
-        queries = self.unit[new]
-        start = np.zeros((len(new), 1), np.int64)
-        within = queries @ queries.T
-        for layer in range(len(self.layers) - 1, -1, -1):
-            here = level[new] >= layer
-            ids, scores = self._beam(queries, start, layer, ef if here.any() else 1, int(new[0]))
-            if here.any():
-                for r in np.flatnonzero(here):
-                    peers = np.flatnonzero((level[new] >= layer) & (np.arange(len(new)) < r))
-                    found = ids[r] >= 0
-                    cand = np.concatenate([ids[r][found], new[peers]])
-                    near = np.concatenate([scores[r][found], within[r, peers]])
-                    self._link(int(new[r]), cand, near, layer, m)
-            start = ids[:, :1]
+    def _layer(self, count: int, width: int, m: int, near: int) -> np.ndarray:
+        rows = np.full((count, width), -1, np.int32)
+        done = 1
+        while done < count:
+            stop = min(count, done + max(1, min(256, done // 4)))
+            scores = self.unit[done:stop] @ self.unit[:stop].T
+            scores[np.arange(stop) >= np.arange(done, stop)[:, None]] = -np.inf  # only nodes before it
+            if stop > near:
+                found = np.argpartition(-scores, near - 1, axis=1)[:, :near]
+            else:
+                found = np.tile(np.arange(stop), (stop - done, 1))
+            at = np.take_along_axis(scores, found, 1)
+            own = self._choose(np.where(at > -np.inf, found, -1), at, m)
+            rows[done:stop, : own.shape[1]] = own
+            self._take_up(rows, own, done)
+            done = stop
+        return rows
+
+    def _take_up(self, rows: np.ndarray, own: np.ndarray, done: int) -> None:
+        """Give the nodes that new ones are linked to the links back."""
+        r, c = np.nonzero(own >= 0)
+        to, new = own[r, c], r + done
+        score = np.einsum("ij,ij->i", self.unit[to], self.unit[new])
+        order = np.lexsort((-score, to))
+        to, new = to[order], new[order]
+        others, first, count = np.unique(to, return_index=True, return_counts=True)
+        place = np.arange(len(to)) - np.repeat(first, count)
+        most = rows.shape[1]  # no more than these could stay
+        incoming = np.full((len(others), min(most, int(count.max()))), -1, np.int64)
+        held = place < most
+        incoming[np.repeat(np.arange(len(others)), count)[held], place[held]] = new[held]
+        block = max(1, (1 << 22) // ((most + incoming.shape[1]) * self.unit.shape[1]))
+        for i in range(0, len(others), block):
+            node = others[i : i + block]
+            cand = np.concatenate([rows[node], incoming[i : i + block]], 1)
+            at = np.einsum("ijk,ik->ij", self.unit[np.maximum(cand, 0)], self.unit[node])
+            rows[node] = self._choose(cand, np.where(cand >= 0, at, -np.inf), most)
 
     def _choose(self, cand: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
-        """Nearest first, leaving out what lies nearer to one already chosen; filled up with the nearest left out."""
-        order = np.argsort(-near, kind="stable")[: 2 * most + 16]
-        cand, near = cand[order], near[order]
-        mutual = self.unit[cand] @ self.unit[cand].T
-        open_ = np.ones(len(cand), bool)
-        chosen: list[int] = []
-        for i in range(len(cand)):
-            if open_[i]:
-                chosen.append(i)
-                if len(chosen) == most:
-                    break
-                open_[i + 1 :] &= mutual[i, i + 1 :] < near[i + 1 :]
-        if len(chosen) < most:
-            chosen += [i for i in range(len(cand)) if i not in set(chosen)][: most - len(chosen)]
-        return cand[chosen]
-
-    def _link(self, node: int, cand: np.ndarray, near: np.ndarray, layer: int, m: int) -> None:
-        if not len(cand):
-            return
-        rows = self.layers[layer]
-        own = self._choose(cand, near, m)
-        rows[node, : len(own)] = own
-        for other in own:
-            row = rows[other]
-            free = np.flatnonzero(row < 0)
-            if len(free):
-                row[free[0]] = node
-            else:
-                all_ = np.append(row, node)
-                kept = self._choose(all_, self.unit[all_] @ self.unit[other], len(row))
-                row[:] = -1
-                row[: len(kept)] = kept
+        """Of each row of candidates the nearest, leaving out what lies nearer to one already chosen; filled up with the
+        nearest left out. -1 stands for none."""
+        order = np.argsort(-near, 1, kind="stable")
+        cand, near = np.take_along_axis(cand, order, 1), np.take_along_axis(near, order, 1)
+        vectors = self.unit[np.maximum(cand, 0)]
+        mutual = vectors @ vectors.transpose(0, 2, 1)
+        open_, chosen, count = cand >= 0, np.zeros(cand.shape, bool), np.zeros(len(cand), int)
+        for i in range(cand.shape[1]):
+            take = open_[:, i] & (count < most)
+            chosen[:, i] = take
+            count += take
+            open_ &= ~(take[:, None] & (mutual[:, i] >= near))
+        rank = np.where(chosen, 0, np.where(cand >= 0, 1, 2))
+        best = np.argsort(rank, 1, kind="stable")[:, :most]
+        return np.take_along_axis(cand, best, 1).astype(np.int32)
 
     def _beam(self, queries: np.ndarray, start: np.ndarray, layer: int, ef: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``ef`` best nodes (ids, similarities; best first) that a greedy search of each query finds in a layer."""
@@ -138,10 +139,14 @@ class Graph:
 
     def search(self, queries: np.ndarray, k: int, ef: int = EF_SEARCH) -> np.ndarray:
         """Positions (in the order given to ``build``) of up to k nearest, -1 where there are fewer."""
-        start = np.zeros((len(queries), 1), np.int64)
-        for layer in range(len(self.layers) - 1, 0, -1):
-            start = self._beam(queries, start, layer, 1, len(self.unit))[0][:, :1]
-        ids = self._beam(queries, start, 0, max(ef, k), len(self.unit))[0][:, :k]
+        found = []
+        for i in range(0, len(queries), 256):
+            own = queries[i : i + 256]
+            start = np.zeros((len(own), 1), np.int64)
+            for layer in range(len(self.layers) - 1, 0, -1):
+                start = self._beam(own, start, layer, 1, len(self.unit))[0][:, :1]
+            found.append(self._beam(own, start, 0, max(ef, k), len(self.unit))[0][:, :k])
+        ids = np.concatenate(found)
         return np.where(ids >= 0, self.nodes[0][np.maximum(ids, 0)], -1)
 
     def to_bytes(self) -> bytes:
@@ -165,7 +170,13 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
+    """Row by row, in double precision; rows whose squares would leave its range are scaled first."""
+
+    def fit(v: np.ndarray) -> np.ndarray:
+        top = np.abs(v).max(1, keepdims=True)
+        return np.where((top > 1e100) | (top < 1e-100), v / top, v)
+
+    a, b = fit(a), fit(b)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
@@ -193,13 +204,13 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.filter(F.col(id_col).isNotNull() & vec.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(some, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"))
 
 
-def build_index(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row for each shard, materialised. Every distinct vector is in one; its members are its ``k + 1`` smallest ids."""
     own = valid_vectors(rows, id_col, vec_col).distinct()
     least = own.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     distinct = least.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
     distinct = materialise(distinct.withColumn("dims", F.size("vec")), "vectors")
-    shards = max(1, math.ceil(distinct.count() / shard_rows))
+    shards = max(1, math.ceil((distinct.agg(F.sum("dims")).first()[0] or 0) * 8 / shard_bytes))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)) * 65536 + F.col("dims"))
     return materialise(dealt.groupBy("shard").applyInPandas(_build, INDEX), "hnsw")
 
@@ -215,25 +226,25 @@ def _search(k: int, ef: int):
             members = np.split(np.frombuffer(shard["members"], np.int64), np.cumsum(counts)[:-1])
             wanted = _vectors(queries["vec"])
             found = graph.search(_unit(wanted), k + 1, ef)
-            for query_id, q, at in zip(queries["vec_id"], wanted, found, strict=True):
+            for query_id, part, q, at in zip(queries["vec_id"], queries["part"], wanted, found, strict=True):
                 at = at[at >= 0]
                 scores = cosines(np.broadcast_to(q, (len(at), len(q))), vectors[at])
                 pairs = sorted((-s, v) for s, i in zip(scores.tolist(), at.tolist(), strict=True) for v in members[i].tolist() if v != query_id)
-                rows += [(query_id, v, -s) for s, v in pairs[:k]]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                rows += [(query_id, part, v, -s) for s, v in pairs[:k]]
+        return pd.DataFrame(rows, columns=["query_id", "part", "vec_id", "score"]).astype({"query_id": "int64", "part": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
 
 def nearest(queries: DataFrame, index: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", ef: int = EF_SEARCH) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each query, its own id left out."""
-    own = valid_vectors(queries, id_col, vec_col).distinct()
+    own = valid_vectors(queries, id_col, vec_col).distinct().withColumn("part", F.xxhash64("vec"))
     shards = index.select("shard", "dims")
     blocks = max(1, math.ceil(own.count() / QUERY_BLOCK))
-    asked = own.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("dims", F.size("vec"))
-    # Each query goes to every shard: a stated query set against all rows, in blocks.
-    sent = asked.join(shards.withColumnRenamed("shard", "to"), "dims").select("to", "block", "vec_id", "vec")
+    asked = own.withColumn("block", F.pmod(F.xxhash64("vec_id", "part"), F.lit(blocks))).withColumn("dims", F.size("vec"))
+    # Each query goes to every shard: a stated query set against all rows, in blocks. A shard is sent once for each block.
+    sent = asked.join(shards.withColumnRenamed("shard", "to"), "dims").select("to", "block", "vec_id", "part", "vec")
     copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    found = sent.groupBy("to", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(_search(k, ef), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = sent.groupBy("to", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(_search(k, ef), "query_id long, part long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
