@@ -1,14 +1,16 @@
 """WARC records in ZIP-packaged archives: written by Spark tasks, read back in ranges without extraction.
 
-An archive is a ZIP file with the stored members ``archive/data.warc.gz`` (one gzip member for each record) and
-``indexes/index.cdxj`` (a line for each record: its key, and where it lies in the data member). The reader parses the
-end record, its ZIP64 form and the central directory, finds the two members, and reads each record as one range.
+An archive is a ZIP file with stored members below ``archive/`` (one gzip member for each record) and indexes below
+``indexes/`` (CDXJ: a line for each record with its key, its time and, in JSON, the file, the offset and the length). The
+reader parses the end record, its ZIP64 form and the central directory, reads every index that the directory lists
+(stored or deflated, gzipped or not), follows the file names in it, and reads each record as one range of its member.
 
 Defined cases: a null payload is empty; payloads shorter than ``least`` bytes are all responses; of equal longer
 payloads every row with the largest id is a response (repeated rows: each of them), the others revisit it; a null id
 never is the largest unless all are null, and then all are responses; a null url is the empty string, and urls are percent-encoded where
 needed; an empty table
-gives no archive and an empty result. A task that fails and runs again writes archives of new names; only those of the
+gives no archive and an empty result. Of packages made elsewhere all records that an index names are read; those without a
+page id of ours have none. A task that fails and runs again writes archives of new names; only those of the
 attempt that Spark keeps are in the manifest.
 """
 
@@ -28,10 +30,12 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, spread
+from .common import fresh_path, materialise, small_batches, spread
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-DATE = "1970-01-01T00:00:00Z"
+DATE, STAMP = "1970-01-01T00:00:00Z", "19700101000000"
+#: Where members of a package lie, and the endings of indexes (fixed values).
+ARCHIVES, INDEXES, INDEX_ENDS = "archive/", "indexes/", (".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")
 #: Bytes of record data after which a task starts another archive.
 ARCHIVE_BYTES = 16 << 20
 
@@ -41,6 +45,7 @@ END64, LOCATOR64, LOCATOR64_SIZE = b"PK\x06\x06", b"PK\x06\x07", 20
 CENTRAL, CENTRAL_SIZE = b"PK\x01\x02", 46
 LOCAL, LOCAL_SIZE = b"PK\x03\x04", 30
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
+STORED, DEFLATED = 0, 8
 
 
 def encoded(url: str) -> str:
@@ -68,33 +73,34 @@ def record(page_id, url: str, payload: bytes, size: int, digest: str, refers_to)
 
 
 def parse_record(data: bytes) -> dict:
-    """Headers (lower-cased names), HTTP headers and payload of one record."""
-    raw = zlib.decompress(data, 31)
+    """Headers (lower-cased names), HTTP headers and payload of one record, gzipped or plain."""
+    raw = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.decode("utf-8").split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("no WARC record starts here")
-    headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines)}
-    block = rest[: int(headers["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    own = {k.lower(): v for k, _, v in (line.partition(": ") for line in http.decode("utf-8").split("\r\n")[1:])}
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    payload, own = rest[: int(headers["content-length"])], {}
+    if headers.get("content-type", "").startswith("application/http"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
+        own = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in http.decode("utf-8", "replace").split("\r\n")[1:])}
     return {"headers": headers, "http": own, "payload": payload}
 
 
 def _name(urn: str | None) -> int | None:
     body = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(body) if body else None
+    return int(body) if body.lstrip("-").isdigit() else None
 
 
 class ZipPackage:
-    """Random access to the stored members of a ZIP file that can be read in ranges."""
+    """Access to the members of a ZIP file that can be read in ranges: stored ones at any place, deflated ones as a whole."""
 
     def __init__(self, source, size: int) -> None:
         self.source = source
         self.members = {}
         for name, method, length, offset in self._directory(size):
-            if method == 0:
-                self.members[name] = (offset, length)
+            if method in (STORED, DEFLATED):
+                self.members[name] = (offset, length, method)
 
     def _range(self, at: int, size: int) -> bytes:
         self.source.seek(at)
@@ -149,16 +155,32 @@ class ZipPackage:
         return offset + LOCAL_SIZE + sum(struct.unpack("<HH", local[26:30]))
 
     def read(self, name: str) -> bytes:
-        return self._range(self.start(name), self.members[name][1])
+        data = self._range(self.start(name), self.members[name][1])
+        return zlib.decompress(data, -15) if self.members[name][2] == DEFLATED else data
 
     def ranges(self, name: str, places):
-        """The bytes of each (offset, length) within the member."""
-        start, size = self.start(name), self.members[name][1]
+        """The bytes of each (offset, length) within a stored member."""
+        start, (_, size, method) = self.start(name), self.members[name]
+        if method != STORED:
+            raise ValueError("the member isn't stored: it can't be read in ranges")
         for offset, length in places:
             if offset + length > size:
                 raise ValueError("a record lies outside its member")
             yield self._range(start + offset, length)
 
+    def index(self) -> dict[str, list[tuple[int, int]]]:
+        """(offset, length) of every record that the indexes name, by member; records named twice are read once."""
+        places: dict[str, dict[tuple[int, int], None]] = {}
+        for name in sorted(n for n in self.members if n.startswith(INDEXES) and n.endswith(INDEX_ENDS)):
+            data = self.read(name)
+            for line in (zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data).decode("utf-8").split("\n"):
+                if " {" in line:
+                    own = json.loads(line[line.index(" {") + 1 :])
+                    file = own["filename"]
+                    member = file if file in self.members else ARCHIVES + file.rsplit("/", 1)[-1]
+                    places.setdefault(member, {})[int(own["offset"]), int(own["length"])] = None
+        return {member: list(own) for member, own in places.items()}
+
 
 def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> DataFrame:
     """``page_id, url, payload, size, digest, refers_to``: a page refers to the largest id with its payload, if that isn't its own."""
@@ -198,14 +220,15 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             for page_id, url, payload, size, digest, to in zip(ids, pdf["url"], pdf["payload"], pdf["size"], pdf["digest"], refers, strict=True):
                 own_id = None if page_id is pd.NA else int(page_id)
                 packed = record(own_id, url, payload, int(size), digest, None if to is pd.NA else int(to))
-                index.append(f"{encoded(url) or '-'} {DATE} " + json.dumps({"page": own_id, "offset": data.tell(), "length": len(packed)}) + "\n")
+                where = {"url": encoded(url), "digest": f"sha1:{digest}", "length": str(len(packed)), "offset": str(data.tell()), "filename": DATA.removeprefix(ARCHIVES)}
+                index.append(f"{encoded(url) or '-'} {STAMP} {json.dumps(where)}\n")
                 data.write(packed)
                 if data.tell() >= archive_bytes:
                     yield finish()
         if index:
             yield finish()
 
-    return materialise(records.mapInPandas(write, "path string, records long, bytes long"), "warc-manifest")
+    return materialise(small_batches(records).mapInPandas(write, "path string, records long, bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -220,15 +243,16 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 filesystem, name = arrow_fs.FileSystem.from_uri(path)
                 with filesystem.open_input_file(name) as source:
                     package = ZipPackage(source, source.size())
-                    lines = [json.loads(line[line.index(" {") + 1 :]) for line in package.read(INDEX).decode("utf-8").split("\n") if line]
                     rows = []
-                    for data in package.ranges(DATA, [(x["offset"], x["length"]) for x in lines]):
-                        rec = parse_record(data)
-                        head, revisit = rec["headers"], rec["headers"]["warc-type"] == "revisit"
-                        rows.append((_name(head["warc-record-id"]), head.get("warc-target-uri", ""), head["warc-type"], None if revisit else rec["payload"], int(rec["http"]["content-length"]), head["warc-payload-digest"].removeprefix("sha1:"), _name(head.get("warc-refers-to"))))
-                        if len(rows) == 500:
-                            yield _frame(rows)
-                            rows = []
+                    for member, places in package.index().items():
+                        for data in package.ranges(member, places):
+                            rec = parse_record(data)
+                            head, revisit = rec["headers"], rec["headers"]["warc-type"] == "revisit"
+                            size = int(rec["http"].get("content-length", len(rec["payload"])))
+                            rows.append((_name(head.get("warc-record-id")), head.get("warc-target-uri", ""), head["warc-type"], None if revisit else rec["payload"], size, head.get("warc-payload-digest", "").removeprefix("sha1:"), _name(head.get("warc-refers-to"))))
+                            if len(rows) == 500:
+                                yield _frame(rows)
+                                rows = []
                     if rows:
                         yield _frame(rows)
 
