@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, small_batches
+from .common import ASCII_LOWER, free_names, if_small, materialise, named, small_batches
 
 SIZE = 3
 #: Words of items that may be sent to every task.
@@ -195,10 +195,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without a match. A row is known by its id and its text, so a null id is no hindrance."""
     part = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key, own_text = free_names(docs, "_part", "_text")
     # Matches carry the hash of their text in the place of the id, and one text matches alike under any id.
-    own = docs.select(part.alias("_dc_part"), F.col(text_col).alias("_dc_text"))
-    found = contaminated(own, items, "_dc_part", "_dc_text", **options).select("_dc_part").distinct()
-    return docs.withColumn("_dc_part", part).join(found, "_dc_part", "left_anti").drop("_dc_part")
+    own = docs.select(part.alias(key), F.col(text_col).alias(own_text))
+    found = materialise(contaminated(own, items, key, own_text, **options).select(key).distinct(), "contaminated")
+    return docs.withColumn(key, part).join(if_small(found, 16), key, "left_anti").select(*named(docs))
 
 
 def _named(found: DataFrame, id_col: str) -> DataFrame:
