@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, language, line_dedup, sentencepiece, shingles
-from tickloom.llm.common import held_out, materialise, table
-
-
-#: Bits in which prints of near-duplicates might differ in round 1; the stage doesn't use it any more.
-NEAR = 6
+from tickloom.llm.common import free_names, held_out, materialise, named, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,15 +15,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = language.train(docs, F.col("lang"), ~held_out(F.col("doc_id")))
     if not net.classes:
         return language.with_letters(docs)
-    found = language.identify(docs, net, out_col="_language")
-    return found.filter(F.col("_language.lang") != language.UNKNOWN).select(*docs.columns)
+    (found,) = free_names(docs, "_language")
+    return language.identify(docs, net, out_col=found).filter(F.col(f"{found}.lang") != language.UNKNOWN).select(*named(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand in ten documents or more, but for the first time each stands anywhere; a
     document with nothing else goes. So of a group of copies one keeps its text."""
     kept = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, keep="first")
-    return kept.filter(F.length(F.btrim("text", F.lit(line_dedup.STRIPPED))) > 0).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return kept.filter(F.length(F.btrim("text", F.lit(line_dedup.STRIPPED))) > 0).withColumn("n_chars", F.length("text").cast("long")).select(*named(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no copy, edited or not, of a benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), threshold=0.6).select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), threshold=0.6)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
