@@ -119,6 +119,20 @@ def test_verdicts(spark):
     assert [r["verdict"] for r in sweep.verdict(df).collect()] == ["OVERFIT", "OVERFIT", "POOR", "VALIDATED"]
 
 
+def test_validation_tells_trends_from_luck(spark):
+    """Long swings up and down can be followed, a random walk can't."""
+    rng, price, rows = random.Random(4), 100.0, []
+    for i in range(500):
+        before, price = price, price * math.exp(0.02 * (1 if i // 50 % 2 else -1) + rng.gauss(0, 0.004))
+        rows.append((before, max(before, price) * 1.001, min(before, price) * 0.999, price))
+    o, h, low, c = zip(*rows, strict=True)
+    swings = series(spark, open=list(o), high=list(h), low=list(low), close=list(c)).withColumn("symbol", F.lit("swings"))
+    both = swings.unionByName(walk(spark, 500, 2))
+    found = {r["symbol"]: r for r in sweep.full_validation(both, sig.sig_donchian, [{"lookback": 5}, {"lookback": 10}], 300, 50, 40, 40, digits=6).collect()}
+    assert found["swings"]["verdict"] == "VALIDATED" and found["swings"]["is_p_value"] < 0.05
+    assert found["a"]["verdict"] == "OVERFIT" and found["a"]["failed_step"] in ("STEP_2_IS_PERMUTATION", "STEP_4_WF_PERMUTATION")
+
+
 def test_stop_and_target_on_one_bar(spark):
     bars = series(spark, open=[10, 10, 10, 10], high=[10, 10, 12, 10], low=[10, 10, 8, 10], close=[10, 10, 9, 10]).withColumn("direction", F.when(F.col("bar_idx") == 0, "long"))
     entries = tr.initial_levels(tr.candidate_entries(bars), stop_pct=10.0, target_pct=10.0)
@@ -132,6 +146,71 @@ def test_gap_fills_at_the_open(spark):
     assert tr.first_touch_exit(entries, bars, 10, static_stop=True).first()["exit_price"] == 7.0
 
 
+def test_trades_last_until_a_level_trades_or_the_series_ends(spark):
+    n = 900
+    flat = [100.0] * n
+    low = [98.0 if i == 700 else 99.5 for i in range(n)]
+    bars = series(spark, open=flat, high=[100.5] * n, low=low, close=flat).withColumn("direction", F.when(F.col("bar_idx").isin(3, 750), "long"))
+    bars = bars.withColumn("leaves", F.col("bar_idx") == 640)
+    entries = tr.initial_levels(tr.candidate_entries(bars), stop_pct=1.0)
+    found = {r["signal_bar"]: (r["exit_bar"], r["exit_signal"], r["exit_price"]) for r in tr.first_touch_exit(entries, bars, static_stop=True).collect()}
+    assert found == {3: (700, "SL", 99.0), 750: (None, "Open", None)}
+    found = {r["signal_bar"]: (r["exit_bar"], r["exit_signal"]) for r in tr.first_touch_exit(entries, bars, 500, static_stop=True).collect()}
+    assert found == {3: (504, "Time"), 750: (None, "Open")}
+    found = {r["signal_bar"]: (r["exit_bar"], r["exit_signal"]) for r in tr.custom_exit(entries, bars, "leaves").collect()}
+    assert found == {3: (641, "Signal"), 750: (None, "Open")}
+    trail = bars.withColumns({"high": F.when(F.col("bar_idx") == 20, 110.0).otherwise(F.col("high")), "low": F.when(F.col("bar_idx") == 620, 98.9).otherwise(F.lit(99.5))})
+    found = {r["signal_bar"]: (r["exit_bar"], r["exit_signal"]) for r in tr.trailing_exit(entries, trail, 5.0, 10.0).collect()}
+    assert found == {3: (620, "Trail"), 750: (None, "Open")}  # active since bar 20, 99 is reached in a later block
+    found = {r["signal_bar"]: (r["exit_bar"], r["exit_signal"]) for r in tr.close_signal_exit(entries, bars.withColumn("close", F.when(F.col("bar_idx") == 666, 90.0).otherwise(F.col("close"))), stop_pct=5.0).collect()}
+    assert found == {3: (667, "SL"), 750: (None, "Open")}
+
+
+@pytest.mark.parametrize("block", [1, 3, 32])
+def test_blocks_do_not_change_exits(spark, monkeypatch, block):
+    monkeypatch.setattr(tr, "FIRST_BLOCK", block)
+    bars = walk(spark, 120, 3).withColumn("direction", F.when(F.col("bar_idx") % 7 == 0, "long").when(F.col("bar_idx") % 7 == 3, "short"))
+    rows = {r["bar_idx"]: r for r in bars.collect()}
+    for r in tr.trailing_exit(tr.candidate_entries(bars), bars, 1.0, 1.0).collect():
+        long, e = r["direction"] != "short", r["entry_price"]
+        top, bottom, on, left = max(e, rows[r["entry_bar"]]["high"]), min(e, rows[r["entry_bar"]]["low"]), False, (None, "Open")
+        for i in range(r["entry_bar"] + 1, 120):
+            b = rows[i]
+            top, bottom = max(top, b["high"]), min(bottom, b["low"])
+            on = on or (b["high"] >= e * 1.01 if long else b["low"] <= e * (1 - 1.0 / 100.0))
+            if on and (min(b["open"], b["low"]) <= top * (1 - 1.0 / 100.0) if long else max(b["open"], b["high"]) >= bottom * (1 + 1.0 / 100.0)):
+                left = (i, "Trail")
+                break
+        assert (r["exit_bar"], r["exit_signal"]) == left
+
+
+def test_one_position_at_a_time_and_chained_sizes(spark):
+    rows = [(k, i, i + 1, 10.0 + i % 3, (i + 4 if i % 5 else None), 11.0 if i % 5 else None, i % 2 == 0, "short" if i % 3 == 0 else "long") for k in ("a", "b") for i in range(40)]
+    trades = spark.createDataFrame(rows, "symbol string, signal_bar long, entry_bar long, entry_price double, exit_bar long, exit_price double, fills_at_open boolean, direction string")
+    taken = tr.resolve_overlaps(trades.filter("signal_bar % 5 <> 0 OR signal_bar > 20"))
+    got = {k: sorted(r["signal_bar"] for r in taken.collect() if r["symbol"] == k) for k in ("a", "b")}
+    want, free = [], 0
+    for _, i, _, _, out, _, at_open, _ in rows[:40]:
+        if (i % 5 or i > 20) and i >= free:
+            want.append(i)
+            free = 10**9 if out is None else out if at_open else out + 1
+    assert got == {"a": want, "b": want}
+    sized = tr.size_and_pnl(taken, 500.0, 50.0, 1.0).filter("symbol = 'b'").orderBy("trade_id").collect()
+    cash, ids = 500.0, 0
+    by_bar = {r[1]: r for r in rows[40:]}
+    for i in want:
+        _, _, _, price, _, out, _, side = by_bar[i]
+        qty = math.floor(cash * 0.5 / price)
+        if qty > 0:
+            r = sized[ids]
+            ids += 1
+            fees = (qty * price + (qty * out if out else 0.0)) * 0.01
+            pnl = None if out is None else (1 if side == "long" else -1) * (qty * out - qty * price) - fees
+            cash += pnl or 0.0
+            assert (r["trade_id"], r["signal_bar"], r["qty"]) == (ids, i, qty) and math.isclose(r["cash_after"], cash) and (r["pnl"] is None) == (pnl is None)
+    assert ids == len(sized)
+
+
 def test_empty_bars_give_empty_results(spark):
     empty = series(spark, close=[1.0]).limit(0)
     assert ret.metrics_bar(ret.bar_returns(sig.sig_donchian(empty))).count() == 0

@@ -1,17 +1,27 @@
-"""Trades with stops, targets and trailing exits, built from candidate entries by range joins, windows and folds.
+"""Trades with stops, targets and trailing exits, built from candidate entries by range joins and windows.
 
 The steps: ``candidate_entries`` -> ``initial_levels`` -> an exit (``first_touch_exit``, ``trailing_exit``,
 ``close_signal_exit``, ``custom_exit``) -> ``resolve_overlaps`` -> ``size_and_pnl`` -> ``mark_to_market``. A candidate is
-followed for at most ``horizon`` bars; one still open then leaves at that bar's close with reason ``Time``, or has reason
-``Open`` if the series ends first. Bars are joined on blocks of ``horizon`` bars, so a candidate meets two blocks only.
+followed until it leaves or its series ends (reason ``Open``): the first ``FIRST_BLOCK`` bars, then for those still open
+blocks four times as long each, so that the bars read are in proportion to the lives of the trades. ``horizon`` asks for a
+time exit: a trade still open after so many bars leaves at that bar's close with reason ``Time``.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import KEY, OHLC, Key, lag, ordered, so_far
+from ..sources.scratch import materialise
+
+#: Bars of the first block in which candidates are followed, and how much longer each block is than the one before.
+FIRST_BLOCK, GROWTH = 32, 4
 
 #: Names of the exits (fixed values).
 STOP, TRAIL, TARGET, OVERBOUGHT, SIGNAL, TIME, OPEN = "SL", "Trail", "PT", "OB", "Signal", "Time", "Open"
@@ -51,36 +61,63 @@ def initial_levels(entries: DataFrame, sl_atr: float = 0.0, tp_atr: float = 0.0,
     return entries.withColumns({"stop_price": stop, "target_price": target})
 
 
-def entry_paths(entries: DataFrame, bars: DataFrame, horizon: int, columns: Key = (), key: Key = KEY) -> DataFrame:
-    """Each entry with the bars after its own, up to ``horizon``: ``at_bar, at_time, at_open, at_high, at_low, at_close``
-    and ``at_<column>``. An equi join on blocks with the range as its residual."""
-    block = lambda c: F.floor(c / horizon)
-    cut = entries.withColumn("_block", F.explode(F.sequence(block(F.col("entry_bar") + 1), block(F.col("entry_bar") + horizon))))
+def entry_paths(open_: DataFrame, bars: DataFrame, width: int, columns: Key = (), key: Key = KEY) -> DataFrame:
+    """Each entry with the ``width`` bars after bar ``_from``, up to ``_until``: ``at_bar, at_time, at_open, at_high, at_low,
+    at_close`` and ``at_<column>``. An equi join on blocks with the range as its residual: an entry meets two blocks."""
+    block = lambda c: F.floor(c / width)
+    cut = open_.withColumn("_block", F.explode(F.sequence(block(F.col("_from") + 1), block(F.col("_from") + width))))
     names = {"bar_idx": "at_bar", "ts": "at_time", **{c: f"at_{c}" for c in (*OHLC, *columns)}}
     path = bars.select(*key, block(F.col("bar_idx")).alias("_block"), *[F.col(c).alias(n) for c, n in names.items()])
-    return cut.join(path, [*key, "_block"]).filter((F.col("at_bar") > F.col("entry_bar")) & (F.col("at_bar") <= F.col("entry_bar") + horizon)).drop("_block")
+    inside = (F.col("at_bar") > F.col("_from")) & (F.col("at_bar") <= F.least(F.col("_from") + width, "_until"))
+    return cut.join(path, [*key, "_block"]).filter(inside).drop("_block")
+
 
+#: What a rule makes of the paths of a block: the paths, whether a bar ends the trade, at which price, and why.
+Rule = Callable[[DataFrame], tuple[DataFrame, Column, Column, Column]]
 
-def _closed(entries: DataFrame, exits: DataFrame, bars: DataFrame, horizon: int, key: Key) -> DataFrame:
-    """Entries with their exits; what has none leaves at the horizon, or stays open."""
+
+def follow(entries: DataFrame, bars: DataFrame, rule: Rule, columns: Key = (), state: dict[str, Callable] | None = None, horizon: int | None = None, key: Key = KEY) -> DataFrame:
+    """``_exit`` (bar, time, price, reason) of each entry that ``rule`` ends on one of its later bars.
+
+    ``state`` names columns of the entries that the rule carries from bar to bar, with the aggregate that gives their value
+    at the end of a block.
+    """
+    by, state = [*key, "entry_bar", "signal_bar"], state or {}
+    bars = materialise(bars.select(*key, "bar_idx", "ts", *OHLC, *columns), "path-bars")
+    end = bars.groupBy(*key).agg(F.max("bar_idx").alias("_end"))
+    until = F.col("_end") if horizon is None else F.least(F.col("_end"), F.col("entry_bar") + horizon)
+    open_ = entries.join(end, list(key)).withColumns({"_until": until, "_from": F.col("entry_bar")}).drop("_end")
+    row = F.struct(F.col("at_bar").alias("bar"), F.col("at_time").alias("time"), F.col("_price").alias("price"), F.col("_reason").alias("reason"), F.lit(False).alias("at_open"))
+    found, width = [], FIRST_BLOCK
+    while True:
+        open_ = materialise(open_.filter("_from < _until"), "open-trades")
+        if open_.isEmpty() and found:
+            return reduce(DataFrame.unionByName, found)
+        paths, hit, price, reason = rule(entry_paths(open_, bars, width, columns, key))
+        paths = paths.withColumns({"_price": price, "_reason": reason, "_at": F.when(hit, F.col("at_bar"))})
+        block = materialise(paths.groupBy(*by).agg(F.min_by(row, "_at").alias("_exit"), *[how(c).alias(f"_now{c}") for c, how in state.items()]), "exits")
+        found.append(block.filter("_exit IS NOT NULL").select(*by, "_exit"))
+        open_ = open_.join(block, by, "left").filter("_exit IS NULL").withColumns({"_from": F.col("_from") + width, **{c: F.coalesce(F.col(f"_now{c}"), F.col(c)) for c in state}}).select(*open_.columns)
+        width *= GROWTH
+
+
+def _closed(entries: DataFrame, exits: DataFrame, bars: DataFrame, horizon: int | None, key: Key) -> DataFrame:
+    """Entries with their exits; what has none leaves at the horizon if there is one, or stays open."""
     by = [*key, "entry_bar", "signal_bar"]
-    last = bars.select(*key, F.col("bar_idx").alias("_bar"), F.col("ts").alias("_time"), F.col("close").alias("_close"))
-    joined = entries.join(exits, by, "left").withColumn("_bar", F.col("entry_bar") + horizon).join(last, [*key, "_bar"], "left")
-    hit, ran = F.col("_exit").isNotNull(), F.col("_close").isNotNull()
+    joined, hit = entries.join(exits, by, "left"), F.col("_exit").isNotNull()
+    ran, late = F.lit(False), {c: F.lit(None) for c in ("_bar", "_time", "_close")}
+    if horizon is not None:
+        last = bars.select(*key, F.col("bar_idx").alias("_bar"), F.col("ts").alias("_time"), F.col("close").alias("_close"))
+        joined = joined.withColumn("_bar", F.col("entry_bar") + horizon).join(last, [*key, "_bar"], "left")
+        ran, late = F.col("_close").isNotNull(), {c: F.col(c) for c in late}
     return joined.withColumns({
-        "exit_bar": F.when(hit, F.col("_exit.bar")).when(ran, F.col("_bar")), "exit_time": F.when(hit, F.col("_exit.time")).when(ran, F.col("_time")),
-        "exit_price": F.when(hit, F.col("_exit.price")).when(ran, F.col("_close")),
+        "exit_bar": F.when(hit, F.col("_exit.bar")).when(ran, late["_bar"]), "exit_time": F.when(hit, F.col("_exit.time")).when(ran, late["_time"]),
+        "exit_price": F.when(hit, F.col("_exit.price")).when(ran, late["_close"]),
         "exit_signal": F.when(hit, F.col("_exit.reason")).when(ran, F.lit(TIME)).otherwise(F.lit(OPEN)),
         "fills_at_open": F.coalesce(F.col("_exit.at_open"), F.lit(False)),
     }).drop("_exit", "_bar", "_time", "_close")
 
 
-def _first(paths: DataFrame, hit: Column, price: Column, reason: Column, key: Key) -> DataFrame:
-    """The earliest bar of each entry that is hit."""
-    row = F.struct(F.col("at_bar").alias("bar"), F.col("at_time").alias("time"), price.alias("price"), reason.alias("reason"), F.lit(False).alias("at_open"))
-    return paths.filter(hit).groupBy(*key, "entry_bar", "signal_bar").agg(F.min_by(row, "at_bar").alias("_exit"))
-
-
 def _touch(stop: Column, target: Column, key: Key) -> tuple[Column, Column, Column]:
     """Whether stop or target trades on a bar, at which price, and why; gaps fill at the open. Both: the bar's colour decides."""
     long = F.col("direction") != "short"
@@ -93,14 +130,13 @@ def _touch(stop: Column, target: Column, key: Key) -> tuple[Column, Column, Colu
     return stopped | reached, F.when(takes_stop, stop_fill).otherwise(target_fill), F.when(takes_stop, F.lit(STOP)).otherwise(F.lit(TARGET))
 
 
-def first_touch_exit(entries: DataFrame, bars: DataFrame, horizon: int = 500, sl_atr: float = 0.0, tp_atr: float = 0.0, atr: str = "atr", static_stop: bool = False, key: Key = KEY) -> DataFrame:
+def first_touch_exit(entries: DataFrame, bars: DataFrame, horizon: int | None = None, sl_atr: float = 0.0, tp_atr: float = 0.0, atr: str = "atr", static_stop: bool = False, key: Key = KEY) -> DataFrame:
     """Exit on the first later bar where a level trades.
 
     With ``sl_atr`` the levels follow each bar's own ATR (a missing one leaves the initial levels). A percentage stop is
     watched only with ``static_stop``.
     """
     dynamic = sl_atr > 0
-    paths = entry_paths(entries, bars, horizon, (atr,) if dynamic else (), key)
     stop, target = F.col("stop_price"), F.col("target_price")
     if dynamic:
         now = F.col(f"at_{atr}")
@@ -108,82 +144,124 @@ def first_touch_exit(entries: DataFrame, bars: DataFrame, horizon: int = 500, sl
         target = F.when(now > 0, F.col("entry_price") + _side() * now * tp_atr).otherwise(target) if tp_atr > 0 else target
     elif not static_stop:
         stop = F.lit(None).cast("double")
-    paths = paths.withColumns({"_stop": stop, "_target": target})
-    hit, price, reason = _touch(F.col("_stop"), F.col("_target"), key)
-    return _closed(entries, _first(paths, hit, price, reason, key), bars, horizon, key)
+
+    def rule(paths: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+        return paths.withColumns({"_stop": stop, "_target": target}), *_touch(F.col("_stop"), F.col("_target"), key)
+
+    return _closed(entries, follow(entries, bars, rule, (atr,) if dynamic else (), horizon=horizon, key=key), bars, horizon, key)
+
+
+def _entry_bar(entries: DataFrame, bars: DataFrame, key: Key, **columns: str) -> DataFrame:
+    """Entries with columns of the bar on which they fill."""
+    first = bars.select(*key, F.col("bar_idx").alias("entry_bar"), *[F.col(c).alias(n) for n, c in columns.items()])
+    return entries.join(first, [*key, "entry_bar"])
 
 
-def trailing_exit(entries: DataFrame, bars: DataFrame, activation_pct: float, trailing_pct: float, horizon: int = 500, key: Key = KEY) -> DataFrame:
+def trailing_exit(entries: DataFrame, bars: DataFrame, activation_pct: float, trailing_pct: float, horizon: int | None = None, key: Key = KEY) -> DataFrame:
     """Intrabar trailing stop: active once the price has moved by ``activation_pct``, then ``trailing_pct`` behind the best
     price since entry (the entry bar's included); it never loosens."""
-    first = bars.select(*key, F.col("bar_idx").alias("entry_bar"), F.col("high").alias("_high0"), F.col("low").alias("_low0"))
-    paths = entry_paths(entries.join(first, [*key, "entry_bar"]), bars, horizon, (), key)
     w = Window.partitionBy(*key, "entry_bar", "signal_bar").orderBy("at_bar").rowsBetween(Window.unboundedPreceding, 0)
     long = F.col("direction") != "short"
     level = F.col("entry_price") * (1 + _side() * activation_pct / 100.0)
-    paths = paths.withColumns({"_top": F.greatest(F.max("at_high").over(w), "_high0", "entry_price"), "_bottom": F.least(F.min("at_low").over(w), "_low0", "entry_price"),
-        "_on": F.max(F.when(long, F.col("at_high") >= level).otherwise(F.col("at_low") <= level)).over(w)})
-    trail = F.when(F.col("_on"), F.when(long, F.col("_top") * (1 - trailing_pct / 100.0)).otherwise(F.col("_bottom") * (1 + trailing_pct / 100.0)))
-    paths = paths.withColumn("_trail", trail)
-    o, t = F.col("at_open"), F.col("_trail")
-    hit = F.coalesce(F.when(long, F.least(o, F.col("at_low")) <= t).otherwise(F.greatest(o, F.col("at_high")) >= t), F.lit(False))
-    price = F.when(long, F.least(o, t)).otherwise(F.greatest(o, t))
-    return _closed(entries, _first(paths, hit, price, F.lit(TRAIL), key), bars, horizon, key)
+    started = _entry_bar(entries, bars, key, _high0="high", _low0="low")
+    started = started.withColumns({"_top": F.greatest("_high0", "entry_price"), "_bottom": F.least("_low0", "entry_price"), "_on": F.lit(False)}).drop("_high0", "_low0")
 
+    def rule(paths: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+        on = F.max(F.when(long, F.col("at_high") >= level).otherwise(F.col("at_low") <= level)).over(w)
+        paths = paths.withColumns({"_top": F.greatest(F.max("at_high").over(w), "_top"), "_bottom": F.least(F.min("at_low").over(w), "_bottom"), "_on": F.col("_on") | F.coalesce(on, F.lit(False))})
+        trail = F.when(F.col("_on"), F.when(long, F.col("_top") * (1 - trailing_pct / 100.0)).otherwise(F.col("_bottom") * (1 + trailing_pct / 100.0)))
+        paths = paths.withColumn("_trail", trail)
+        o, t = F.col("at_open"), F.col("_trail")
+        hit = F.coalesce(F.when(long, F.least(o, F.col("at_low")) <= t).otherwise(F.greatest(o, F.col("at_high")) >= t), F.lit(False))
+        return paths, hit, F.when(long, F.least(o, t)).otherwise(F.greatest(o, t)), F.lit(TRAIL)
 
-def _next_open(entries: DataFrame, paths: DataFrame, reason: Column, bars: DataFrame, horizon: int, key: Key) -> DataFrame:
+    state = {"_top": F.max, "_bottom": F.min, "_on": F.max}
+    return _closed(entries, follow(started, bars, rule, state=state, horizon=horizon, key=key), bars, horizon, key)
+
+
+def _next_open(entries: DataFrame, fired: DataFrame, bars: DataFrame, horizon: int | None, key: Key) -> DataFrame:
     """The first bar with a reason queues an exit at the open of the bar after it; without one the trade stays open."""
     by = [*key, "entry_bar", "signal_bar"]
-    row = F.struct(F.col("at_bar").alias("bar"), F.col("_reason").alias("reason"))
-    fired = paths.withColumn("_reason", reason).filter(F.col("_reason").isNotNull()).groupBy(*by).agg(F.min_by(row, "at_bar").alias("_f"))
     fill = bars.select(*key, F.col("bar_idx").alias("_bar"), F.col("ts").alias("_time"), F.col("open").alias("_open"))
-    queued = fired.withColumn("_bar", F.col("_f.bar") + 1).join(fill, [*key, "_bar"], "left")
+    queued = fired.select(*by, F.col("_exit").alias("_f")).withColumn("_bar", F.col("_f.bar") + 1).join(fill, [*key, "_bar"], "left")
     made = F.struct(F.when(F.col("_open").isNotNull(), F.col("_bar")).alias("bar"), F.col("_time").alias("time"), F.col("_open").alias("price"), F.when(F.col("_open").isNotNull(), F.col("_f.reason")).otherwise(F.lit(OPEN)).alias("reason"), F.lit(True).alias("at_open"))
     return _closed(entries, queued.select(*by, made.alias("_exit")), bars, horizon, key)
 
 
-def close_signal_exit(entries: DataFrame, bars: DataFrame, stop_pct: float = 0.0, activation_pct: float = 0.0, trailing_pct: float = 0.0, osc: str | None = None, ob_level: float = 100.0, horizon: int = 500, key: Key = KEY) -> DataFrame:
+def close_signal_exit(entries: DataFrame, bars: DataFrame, stop_pct: float = 0.0, activation_pct: float = 0.0, trailing_pct: float = 0.0, osc: str | None = None, ob_level: float = 100.0, horizon: int | None = None, key: Key = KEY) -> DataFrame:
     """Exits judged at the close and filled at the next open: stop, then trailing stop behind the highest close (both for
     longs only), then the oscillator falling through its overbought level."""
     source = bars.withColumn("_osc_before", lag(osc, 1, key)) if osc else bars
-    paths = entry_paths(entries, source, horizon, (osc, "_osc_before") if osc else (), key)
     long, c, p = F.col("direction") != "short", F.col("at_close"), F.col("entry_price")
-    reasons = []
-    if stop_pct > 0:
-        reasons.append(F.when(long & (c <= p * (1 - stop_pct / 100.0)), F.lit(STOP)))
+    w = Window.partitionBy(*key, "entry_bar", "signal_bar").orderBy("at_bar").rowsBetween(Window.unboundedPreceding, 0)
+    started, state = entries, {}
     if trailing_pct > 0:
-        first = bars.select(*key, F.col("bar_idx").alias("entry_bar"), F.col("close").alias("_close0"))
-        w = Window.partitionBy(*key, "entry_bar", "signal_bar").orderBy("at_bar").rowsBetween(Window.unboundedPreceding, 0)
-        paths = paths.join(first, [*key, "entry_bar"])
-        paths = paths.withColumns({"_best": F.greatest(F.max("at_close").over(w), "_close0", "entry_price"), "_on": F.max((c - p) / p * 100 >= activation_pct).over(w)})
-        reasons.append(F.when(long & F.col("_on") & (c <= F.col("_best") * (1 - trailing_pct / 100.0)), F.lit(TRAIL)))
-    if osc:
-        reasons.append(F.when((F.col("at__osc_before") >= ob_level) & (F.col(f"at_{osc}") < ob_level), F.lit(OVERBOUGHT)))
-    return _next_open(entries, paths, F.coalesce(*reasons, F.lit(None).cast("string")), bars, horizon, key)
+        started = _entry_bar(entries, bars, key, _close0="close").withColumns({"_best": F.greatest("_close0", "entry_price"), "_on": F.lit(False)}).drop("_close0")
+        state = {"_best": F.max, "_on": F.max}
+
+    def rule(paths: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+        reasons = []
+        if stop_pct > 0:
+            reasons.append(F.when(long & (c <= p * (1 - stop_pct / 100.0)), F.lit(STOP)))
+        if trailing_pct > 0:
+            on = F.max((c - p) / p * 100 >= activation_pct).over(w)
+            paths = paths.withColumns({"_best": F.greatest(F.max("at_close").over(w), "_best"), "_on": F.col("_on") | F.coalesce(on, F.lit(False))})
+            reasons.append(F.when(long & F.col("_on") & (c <= F.col("_best") * (1 - trailing_pct / 100.0)), F.lit(TRAIL)))
+        if osc:
+            reasons.append(F.when((F.col("at__osc_before") >= ob_level) & (F.col(f"at_{osc}") < ob_level), F.lit(OVERBOUGHT)))
+        paths = paths.withColumn("_why", F.coalesce(*reasons, F.lit(None).cast("string")))
+        return paths, F.col("_why").isNotNull(), c, F.col("_why")
+
+    return _next_open(entries, follow(started, source, rule, (osc, "_osc_before") if osc else (), state, horizon, key), bars, horizon, key)
+
+
+def custom_exit(entries: DataFrame, bars: DataFrame, condition: str, horizon: int | None = None, key: Key = KEY) -> DataFrame:
+    """Exit at the open after the first bar on which the Boolean column ``condition`` holds."""
 
+    def rule(paths: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+        return paths, F.coalesce(F.col(f"at_{condition}"), F.lit(False)), F.col("at_close"), F.lit(SIGNAL)
+
+    return _next_open(entries, follow(entries, bars, rule, (condition,), horizon=horizon, key=key), bars, horizon, key)
 
-def custom_exit(entries: DataFrame, bars: DataFrame, condition: str, horizon: int = 500, key: Key = KEY) -> DataFrame:
-    """Exit at the open after the first bar on which the Boolean column ``condition`` holds."""
-    paths = entry_paths(entries, bars, horizon, (condition,), key)
-    return _next_open(entries, paths, F.when(F.col(f"at_{condition}"), F.lit(SIGNAL)), bars, horizon, key)
+
+def _streamed(rows: DataFrame, by: list[str], order: list[str], step: Callable, start: float, out: str, key: Key) -> DataFrame:
+    """Run ``step`` over the rows of each series in order, batch by batch: only the state of one series is held."""
+    named = rows.withColumn("_series", F.xxhash64(*key))
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in rows.select(*by).dtypes], out])
+
+    def run(batches):
+        series, state = None, start
+        for pdf in batches:
+            made, places = [], []
+            columns = [pdf[c].tolist() for c in ("_series", *order)]
+            for i, (own, *values) in enumerate(zip(*columns, strict=True)):
+                if own != series:
+                    series, state = own, start
+                state, result = step(state, *values)
+                if result is not None:
+                    places.append(i)
+                    made.append(result)
+            if made:
+                extra = pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")], index=pdf.index[places])
+                yield pd.concat([pdf.loc[pdf.index[places], by], extra], axis=1)
+
+    return named.repartition(*key).sortWithinPartitions(*key, *order).select("_series", *dict.fromkeys([*by, *order])).mapInPandas(run, schema)
 
 
 def resolve_overlaps(trades: DataFrame, key: Key = KEY) -> DataFrame:
     """One position at a time: drop candidates whose signal falls into a trade that was taken.
 
-    After an exit within a bar the next signal may come one bar later, after an exit at an open on that bar. A fold over
-    the candidates of a series in order, in the JVM.
+    After an exit within a bar the next signal may come one bar later, after an exit at an open on that bar. The sorted
+    candidates stream by with the bar from which a signal counts again; two numbers of each are read.
     """
     free = F.when(F.col("exit_bar").isNull(), F.lit(2**62)).when(F.col("fills_at_open"), F.col("exit_bar")).otherwise(F.col("exit_bar") + 1)
-    rows = trades.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("signal_bar", free.cast("long").alias("free")))).alias("_all"))
-    start = F.struct(F.lit(-1).cast("long").alias("free"), F.array().cast("array<bigint>").alias("taken"))
+    rows = trades.select(*key, "signal_bar", free.cast("long").alias("_free"))
 
-    def step(state: Column, row: Column) -> Column:
-        takes = row["signal_bar"] >= state["free"]
-        return F.when(takes, F.struct(row["free"].alias("free"), F.concat(state["taken"], F.array(row["signal_bar"])).alias("taken"))).otherwise(state)
+    def step(state: float, signal: int, free: int) -> tuple[float, tuple | None]:
+        return (free, (True,)) if signal >= state else (state, None)
 
-    taken = rows.select(*key, F.explode(F.aggregate("_all", start, step)["taken"]).alias("signal_bar"))
-    return trades.join(taken, [*key, "signal_bar"])
+    taken = _streamed(rows, [*key, "signal_bar"], ["signal_bar", "_free"], step, -1, "_taken boolean", key)
+    return trades.join(taken.drop("_taken"), [*key, "signal_bar"])
 
 
 def excursions(trades: DataFrame, bars: DataFrame, key: Key = KEY) -> DataFrame:
@@ -206,28 +284,28 @@ def size_and_pnl(trades: DataFrame, capital: float = 10_000.0, size_pct: float =
     """Whole units for a share of the equity, which chains from trade to trade; commission on both sides.
 
     Trades too small for one unit are left out; ids are dense. An open trade has a size but no P&L. Cash moves by the net
-    P&L for both directions.
+    P&L for both directions. The sorted prices stream by with the cash; the results are joined to the trades.
     """
-    columns = [c for c in trades.columns if c not in key]
-    rows = trades.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("entry_bar", F.struct(*columns).alias("t")))).alias("_all"))
-    done = "struct<t:struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in trades.select(*columns).schema) + ">,qty:bigint,entry_value:double,commission:double,pnl:double,cash:double>"
-    start = F.struct(F.lit(float(capital)).alias("cash"), F.array().cast(f"array<{done}>").alias("rows"))
     rate = commission_pct / 100.0
-
-    def step(state: Column, row: Column) -> Column:
-        t = row["t"]
-        qty = F.floor(state["cash"] * (size_pct / 100.0) / t["entry_price"])
-        value, out = qty * t["entry_price"], qty * t["exit_price"]
-        gross = F.when(t["direction"] == "short", value - out).otherwise(out - value)
-        fees = (value + F.coalesce(out, F.lit(0.0))) * rate
-        pnl = gross - fees
-        cash = state["cash"] + F.coalesce(pnl, F.lit(0.0))
-        made = F.struct(t.alias("t"), qty.cast("long").alias("qty"), value.alias("entry_value"), fees.alias("commission"), pnl.alias("pnl"), cash.alias("cash")).cast(done)
-        return F.when(qty > 0, F.struct(cash.alias("cash"), F.concat(state["rows"], F.array(made)).alias("rows"))).otherwise(state)
-
-    folded = rows.select(*key, F.posexplode(F.aggregate("_all", start, step)["rows"]).alias("_i", "_r"))
-    found = folded.select(*key, (F.col("_i") + 1).cast("long").alias("trade_id"), "_r.t.*", "_r.qty", "_r.entry_value", "_r.commission", "_r.pnl", F.col("_r.cash").alias("cash_after"))
-    return found.withColumn("pnl_pct", F.try_divide("pnl", "entry_value") * 100.0)
+    short = F.coalesce(F.col("direction") == "short", F.lit(False))
+    rows = trades.select(*key, "entry_bar", "signal_bar", F.col("entry_price").alias("_in"), F.coalesce("exit_price", F.lit(float("nan"))).alias("_out"), short.alias("_short"))
+
+    def step(state: tuple, _entry: int, _signal: int, price: float, out: float, short: bool) -> tuple[tuple, tuple | None]:
+        cash, count = state
+        qty = math.floor(cash * (size_pct / 100.0) / price) if price > 0 else 0
+        if qty <= 0:
+            return state, None
+        value, left = qty * price, qty * out
+        open_ = out != out
+        fees = (value + (0.0 if open_ else left)) * rate
+        pnl = None if open_ else (value - left if short else left - value) - fees
+        cash += pnl or 0.0
+        return (cash, count + 1), (count + 1, qty, value, fees, pnl, cash)
+
+    out = "trade_id bigint, qty bigint, entry_value double, commission double, pnl double, cash_after double"
+    by = [*key, "entry_bar", "signal_bar"]
+    sized = _streamed(rows, by, ["entry_bar", "signal_bar", "_in", "_out", "_short"], step, (float(capital), 0), out, key)
+    return trades.join(sized, by).withColumn("pnl_pct", F.try_divide("pnl", "entry_value") * 100.0)
 
 
 def mark_to_market(trades: DataFrame, bars: DataFrame, capital: float = 10_000.0, commission_pct: float = 0.0, key: Key = KEY) -> DataFrame:

@@ -38,7 +38,7 @@ def signal_contract_check(bars: DataFrame, signals: DataFrame, signal: str = "si
     return joined.withColumn("valid", (F.col("n_bars") == F.col("n_signals")) & (F.col("n_missing") == 0) & (F.col("n_other") == 0))
 
 
-def custom_entry_exit(bars: DataFrame, entry: Column, leave: Column, horizon: int = 500, key: Key = KEY) -> DataFrame:
+def custom_entry_exit(bars: DataFrame, entry: Column, leave: Column, horizon: int | None = None, key: Key = KEY) -> DataFrame:
     """Long trades between bars where ``entry`` and ``leave`` hold, each filled at the next open."""
     marked = bars.withColumns({"direction": F.when(F.coalesce(entry, F.lit(False)), F.lit("long")), "_leave": F.coalesce(leave, F.lit(False))})
     return custom_exit(candidate_entries(marked, key=key), marked, "_leave", horizon, key)

@@ -26,17 +26,23 @@ en AS (SELECT * FROM (SELECT symbol, bar_idx AS signal_bar, direction, atr AS en
 ex AS (SELECT *, CASE WHEN direction = 'short' THEN -1.0 ELSE 1.0 END AS side FROM en)"""
 
 
-def path(levels: str, extra: str = "") -> str:
-    """CTEs up to ``pt``: entries with levels, and each later bar up to the horizon."""
+def path(levels: str, extra: str = "", horizon: int | None = None) -> str:
+    """CTEs up to ``pt``: entries with levels, and each later bar, up to a horizon if there is one."""
+    until = f" AND b.bar_idx <= e.entry_bar + {horizon}" if horizon else ""
     return f"""lv AS (SELECT *, {levels} FROM ex), pt AS (SELECT e.*, b.bar_idx AS at_bar, b.ts AS at_time, b.open AS o, b.high AS h, b.low AS l, b.close AS c, b.atr AS at_atr{extra}
-  FROM lv e JOIN sy b ON b.symbol = e.symbol AND b.bar_idx > e.entry_bar AND b.bar_idx <= e.entry_bar + {H})"""
+  FROM lv e JOIN sy b ON b.symbol = e.symbol AND b.bar_idx > e.entry_bar{until})"""
 
 
 FIRST = "SELECT symbol, signal_bar, first(at_bar ORDER BY at_bar) AS xbar, first(at_time ORDER BY at_bar) AS xtime, first(price ORDER BY at_bar) AS xprice, first(reason ORDER BY at_bar) AS xreason, {0} AS at_open FROM hit GROUP BY symbol, signal_bar"
 
-CLOSED = f"""cl AS (SELECT e.*, CASE WHEN x.signal_bar IS NOT NULL THEN x.xbar ELSE z.bar_idx END AS exit_bar, CASE WHEN x.signal_bar IS NOT NULL THEN x.xtime ELSE z.ts END AS exit_time,
+def closed(horizon: int | None = None) -> str:
+    late = f"e.entry_bar + {horizon}" if horizon else "NULL"
+    return f"""cl AS (SELECT e.*, CASE WHEN x.signal_bar IS NOT NULL THEN x.xbar ELSE z.bar_idx END AS exit_bar, CASE WHEN x.signal_bar IS NOT NULL THEN x.xtime ELSE z.ts END AS exit_time,
   CASE WHEN x.signal_bar IS NOT NULL THEN x.xprice ELSE z.close END AS exit_price, CASE WHEN x.signal_bar IS NOT NULL THEN x.xreason WHEN z.bar_idx IS NOT NULL THEN 'Time' ELSE 'Open' END AS exit_signal, coalesce(x.at_open, false) AS fills_at_open
-  FROM lv e LEFT JOIN fx x ON x.symbol = e.symbol AND x.signal_bar = e.signal_bar LEFT JOIN sy z ON z.symbol = e.symbol AND z.bar_idx = e.entry_bar + {H})"""
+  FROM lv e LEFT JOIN fx x ON x.symbol = e.symbol AND x.signal_bar = e.signal_bar LEFT JOIN sy z ON z.symbol = e.symbol AND z.bar_idx = {late})"""
+
+
+CLOSED = closed()
 
 SHOWN = f"symbol, signal_bar, direction, entry_bar, {TS.format('entry_time')} AS entry_time, round(entry_price, 6) AS entry_price, exit_bar, {TS.format('exit_time')} AS exit_time, round(exit_price, 6) AS exit_price, exit_signal"
 
@@ -66,12 +72,12 @@ def initial_levels(spark, sf):
     return tr.initial_levels(entries, sl_atr=0.8, tp_atr=1.0).select("symbol", "signal_bar", *r6("stop_price", "target_price"))
 
 
-def touched(stop: str, target: str) -> str:
+def touched(stop: str, target: str, horizon: int | None = None) -> str:
     return f"""tl AS (SELECT *, {stop} AS sp, {target} AS tp FROM pt),
 tt AS (SELECT *, coalesce(CASE WHEN side > 0 THEN least(o, l) <= sp ELSE greatest(o, h) >= sp END, false) AS st, coalesce(CASE WHEN side > 0 THEN greatest(o, h) >= tp ELSE least(o, l) <= tp END, false) AS ta FROM tl),
 tk AS (SELECT *, st AND (NOT ta OR c < o) AS stops FROM tt WHERE st OR ta),
 hit AS (SELECT *, CASE WHEN stops THEN CASE WHEN side > 0 THEN least(o, sp) ELSE greatest(o, sp) END ELSE CASE WHEN side > 0 THEN greatest(o, tp) ELSE least(o, tp) END END AS price, CASE WHEN stops THEN 'SL' ELSE 'PT' END AS reason FROM tk),
-fx AS ({FIRST.format('false')}), {CLOSED}"""
+fx AS ({FIRST.format('false')}), {closed(horizon)}"""
 
 
 DYNAMIC = (BARS, SETUP, path(ATR_LEVELS), touched("CASE WHEN at_atr > 0 THEN entry_price - side * at_atr * 0.8 ELSE stop_price END", "CASE WHEN at_atr > 0 THEN entry_price + side * at_atr * 1.0 ELSE target_price END"))
@@ -80,12 +86,12 @@ STATIC = (BARS, SETUP, path(PCT_LEVELS), touched("stop_price", "target_price"))
 
 def dynamic(spark, sf):
     own = setup(spark, sf)
-    return own, tr.first_touch_exit(tr.initial_levels(tr.candidate_entries(own, atr="atr"), sl_atr=0.8, tp_atr=1.0), own, H, 0.8, 1.0)
+    return own, tr.first_touch_exit(tr.initial_levels(tr.candidate_entries(own, atr="atr"), sl_atr=0.8, tp_atr=1.0), own, None, 0.8, 1.0)
 
 
 def static(spark, sf):
     own = setup(spark, sf)
-    return own, tr.first_touch_exit(tr.initial_levels(tr.candidate_entries(own), stop_pct=40.0, target_pct=60.0), own, H, static_stop=True)
+    return own, tr.first_touch_exit(tr.initial_levels(tr.candidate_entries(own), stop_pct=40.0, target_pct=60.0), own, static_stop=True)
 
 
 @query(with_(*DYNAMIC) + f"SELECT {SHOWN} FROM cl")
@@ -98,6 +104,13 @@ def first_touch_exit_pct(spark, sf):
     return shown(static(spark, sf)[1])
 
 
+@query(with_(BARS, SETUP, path(PCT_LEVELS, horizon=H), touched("stop_price", "target_price", H)) + f"SELECT {SHOWN} FROM cl")
+def time_exit(spark, sf):
+    """The same with a time exit after 40 bars."""
+    own = setup(spark, sf)
+    return shown(tr.first_touch_exit(tr.initial_levels(tr.candidate_entries(own), stop_pct=40.0, target_pct=60.0), own, H, static_stop=True))
+
+
 RUN = "OVER (PARTITION BY symbol, signal_bar ORDER BY at_bar ROWS UNBOUNDED PRECEDING)"
 
 
@@ -108,7 +121,7 @@ RUN = "OVER (PARTITION BY symbol, signal_bar ORDER BY at_bar ROWS UNBOUNDED PREC
     f"fx AS ({FIRST.format('false')})", CLOSED) + f"SELECT {SHOWN} FROM cl")
 def trailing_exit(spark, sf):
     own = setup(spark, sf)
-    return shown(tr.trailing_exit(tr.candidate_entries(own), own, 10.0, 5.0, H))
+    return shown(tr.trailing_exit(tr.candidate_entries(own), own, 10.0, 5.0))
 
 
 NEXT_OPEN = """q AS (SELECT h.symbol, h.signal_bar, h.at_bar + 1 AS qbar, h.reason FROM (SELECT symbol, signal_bar, min(at_bar) AS at_bar, first(reason ORDER BY at_bar) AS reason FROM hit GROUP BY symbol, signal_bar) h),
@@ -122,13 +135,13 @@ fx AS (SELECT q.symbol, q.signal_bar, b.bar_idx AS xbar, b.ts AS xtime, b.open A
     "hit AS (SELECT * FROM th WHERE reason IS NOT NULL)", NEXT_OPEN, CLOSED) + f"SELECT {SHOWN} FROM cl")
 def close_signal_exit(spark, sf):
     own = setup(spark, sf)
-    return shown(tr.close_signal_exit(tr.candidate_entries(own), own, 50.0, 20.0, 30.0, "f", 60.0, H))
+    return shown(tr.close_signal_exit(tr.candidate_entries(own), own, 50.0, 20.0, 30.0, "f", 60.0))
 
 
 @query(with_(BARS, SETUP, path("1 AS one"), "hit AS (SELECT *, 'Signal' AS reason FROM pt WHERE c > 2 * o)", NEXT_OPEN, CLOSED) + f"SELECT {SHOWN} FROM cl")
 def custom_exit(spark, sf):
     own = setup(spark, sf).withColumn("leaves", F.col("close") > 2 * F.col("open"))
-    return shown(tr.custom_exit(tr.candidate_entries(own), own, "leaves", H))
+    return shown(tr.custom_exit(tr.candidate_entries(own), own, "leaves"))
 
 
 #: A recursive query walks from each trade taken to the first candidate that may follow it.
