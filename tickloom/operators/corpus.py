@@ -45,10 +45,11 @@ def script_inventory(df: DataFrame, path: str = "path", text: str = "text") -> D
     """
     stem = F.regexp_extract(F.col(path).cast("string"), r"([^/]+?)(\.[^./]*)?$", 1)
     declared = F.regexp_extract(F.col(text), NAME, 1)
-    named = df.withColumns({"name": F.coalesce(F.nullif(declared, F.lit("")), stem), "digest": F.sha1(F.col(text))})
+    named = script_priority(df, text).withColumns({"name": F.coalesce(F.nullif(declared, F.lit("")), stem), "digest": F.sha1(F.col(text))})
     same = F.regexp_replace(F.trim(F.lower("name")), r"\s+", " ")
-    first = named.groupBy(same.alias("_same"), "digest").agg(F.min_by(F.struct(F.col(path).alias("path"), "name", F.col(text).alias("text")), F.col(path)).alias("_s"))
-    return script_priority(first.select("_s.path", "_s.name", "digest", F.col("_s.text").alias("text"))).drop("text")
+    slim = named.select(same.alias("_same"), "digest", F.struct(F.col(path).alias("path"), "name", "priority", "description").alias("_s"))  # no text is shuffled
+    first = slim.groupBy("_same", "digest").agg(F.min_by("_s", "_s.path").alias("_s"))
+    return first.select("_s.path", "_s.name", "digest", "_s.priority", "_s.description")
 
 
 def indicator_census(df: DataFrame, text: str = "text", key: tuple[str, ...] = ()) -> DataFrame:

@@ -63,19 +63,21 @@ def parse_mixed_timestamps(spark, sf):
     return src.parse_mixed_timestamps(mixed(spark, sf).drop("ts"), "raw", ("symbol",)).select("symbol", "event_id", stamp())
 
 
-@query("""SELECT event_type AS symbol, 's' AS unit, 111.0 AS score FROM events WHERE event_type = 'click' GROUP BY event_type UNION ALL SELECT 'ms-' || event_type, 'ms', 111.0 FROM events GROUP BY event_type
-UNION ALL SELECT 'none', NULL, NULL FROM events WHERE false""")
+@query("""SELECT u || '-' || event_type AS symbol, u AS unit, CASE WHEN max(ts) > min(ts) THEN 111.0 ELSE 110.0 END AS score FROM events, (SELECT unnest(['s', 'ms', 'us', 'ns']) AS u) GROUP BY ALL
+UNION ALL SELECT 'none-' || event_type, 's', -1.0 FROM events GROUP BY event_type""")
 def detect_epoch_unit(spark, sf):
+    """All events in each unit, and texts that are no numbers."""
     e = table(spark, sf, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    s = e.filter("event_type = 'click'").select(F.col("event_type").alias("symbol"), F.floor(F.col("us") / 1_000_000).alias("raw"))
-    ms = e.select(F.concat(F.lit("ms-"), "event_type").alias("symbol"), F.floor(F.col("us") / 1000).alias("raw"))
-    return src.detect_epoch_unit(s.union(ms), "raw", ("symbol",)).select("symbol", "unit", F.round("score", 6).alias("score"))
+    forms = {"s": F.floor(F.col("us") / 1_000_000), "ms": F.floor(F.col("us") / 1000), "us": F.col("us"), "ns": F.col("us") * 1000}
+    rows = F.array(*[F.struct(F.concat(F.lit(f"{u}-"), "event_type").alias("symbol"), x.cast("string").alias("raw")) for u, x in forms.items()], F.struct(F.concat(F.lit("none-"), "event_type").alias("symbol"), F.lit("n/a").alias("raw")))
+    return src.detect_epoch_unit(e.select(F.explode(rows).alias("r")).select("r.*"), "raw", ("symbol",)).select("symbol", "unit", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT o_orderkey, strftime(CASE o_orderkey % 4 WHEN 0 THEN date_trunc('second', o_orderdate) WHEN 1 THEN date_trunc('day', o_orderdate) WHEN 2 THEN date_trunc('minute', o_orderdate)
-  ELSE CASE WHEN day(o_orderdate) > 12 THEN date_trunc('day', o_orderdate) END END, '%Y-%m-%d %H:%M:%S') AS ts FROM orders WHERE o_orderkey % 4 < 3 OR day(o_orderdate) > 12""")
+  ELSE CASE WHEN day(o_orderdate) > 12 THEN date_trunc('day', o_orderdate) ELSE make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate))::TIMESTAMP END END, '%Y-%m-%d %H:%M:%S') AS ts FROM orders""")
 def parse_trade_datetime(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate").filter((F.col("o_orderkey") % 4 < 3) | (F.dayofmonth("o_orderdate") > 12))
+    """Every order's date in one of four forms; a day up to 12 that stands first is read as the month."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     forms = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy HH:mm", "dd/MM/yyyy"]
     text = F.coalesce(*[F.when(F.col("o_orderkey") % 4 == i, F.date_format("o_orderdate", f)) for i, f in enumerate(forms)])
     return orders.select("o_orderkey", F.date_format(src.parse_trade_datetime(text), "yyyy-MM-dd HH:mm:ss").alias("ts"))
@@ -134,12 +136,12 @@ def write_equity(spark, sf):
     return back.select("symbol", stamp("time"), *r6("equity"))
 
 
-@query(with_(*DONCHIAN, trades_sql()) + """SELECT line, count(*) AS n FROM (SELECT unnest(['Total Trades: ' || count(*), 'Winning Trades: ' || count(*) FILTER (pnl_pct > 0), 'Losing Trades: ' || count(*) FILTER (pnl_pct <= 0)]) AS line FROM trades GROUP BY symbol) GROUP BY line""")
+@query(with_(*DONCHIAN, trades_sql()) + """SELECT line, count(*) AS n FROM (SELECT unnest(list_filter(['trades', 'profit', '  ' || count(*) || ' trades', '  ' || count(*) FILTER (pnl_pct > 0) || ' won', '  ' || count(*) FILTER (pnl_pct <= 0) || ' lost'], lambda x: x IS NOT NULL)) AS line FROM trades GROUP BY symbol) GROUP BY line""")
 def write_report(spark, sf):
     path = fresh_path(spark, "report")
     stats = ret.trade_stats(ret.trades_from_signals(sig.sig_donchian(bars(spark, sf))), "pnl_pct")
     sinks.write_report(sinks.report_lines(stats), path)
-    lines = spark.read.text(path).withColumnRenamed("value", "line").filter(F.col("line").rlike("^(Total|Winning|Losing) Trades: "))
+    lines = spark.read.text(path).withColumnRenamed("value", "line").filter(F.col("line").rlike(r"^(trades|profit|risk|  \d+ (trades|won|lost))$"))
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -59,10 +59,10 @@ def compare_trades(spark, sf):
 
 SUMMARY = """sm AS (SELECT a.symbol, a.n AS n_ours, b.n AS n_theirs, a.p AS our_total_pnl, b.p AS their_total_pnl, ok, bad, first_bad FROM (SELECT symbol, count(*) AS n, sum(pnl) AS p FROM ours GROUP BY symbol) a
   JOIN (SELECT symbol, count(*) AS n, sum(pnl) AS p FROM theirs GROUP BY symbol) b ON b.symbol = a.symbol
-  JOIN (SELECT symbol, count(*) FILTER (len(diffs) = 0) AS ok, count(*) FILTER (len(diffs) > 0) AS bad, arg_min('Trade ' || (trade_idx + 1) || ' mismatch: ' || array_to_string(diffs, ', '), trade_idx) FILTER (len(diffs) > 0) AS first_bad FROM cp GROUP BY symbol) c ON c.symbol = a.symbol)"""
+  JOIN (SELECT symbol, count(*) FILTER (len(diffs) = 0) AS ok, count(*) FILTER (len(diffs) > 0) AS bad, arg_min('number ' || (trade_idx + 1) || ' differs in ' || array_to_string(diffs, ', '), trade_idx) FILTER (len(diffs) > 0) AS first_bad FROM cp GROUP BY symbol) c ON c.symbol = a.symbol)"""
 
 
-@query(with_(*LISTS, SUMMARY) + """SELECT symbol, abs(n_ours - n_theirs) <= 1 AND bad = 0 AS passed, CASE WHEN abs(n_ours - n_theirs) > 1 THEN 'Trade count mismatch: Ours=' || n_ours || ', Theirs=' || n_theirs WHEN bad = 0 THEN 'All ' || ok || ' trades matched successfully.' ELSE first_bad END AS message,
+@query(with_(*LISTS, SUMMARY) + """SELECT symbol, abs(n_ours - n_theirs) <= 1 AND bad = 0 AS passed, CASE WHEN abs(n_ours - n_theirs) > 1 THEN n_ours || ' own trades against ' || n_theirs || ' external ones' WHEN bad = 0 THEN ok || ' trades agree' ELSE first_bad END AS message,
   CASE WHEN abs(n_ours - n_theirs) > 1 THEN 0 ELSE ok + bad END AS compared, CASE WHEN abs(n_ours - n_theirs) > 1 THEN 0 ELSE ok END AS matched, CASE WHEN abs(n_ours - n_theirs) > 1 THEN 0 ELSE bad END AS mismatched,
   round(our_total_pnl, 6) AS our_total_pnl, round(their_total_pnl, 6) AS their_total_pnl, round(our_total_pnl - their_total_pnl, 6) + 0.0 AS pnl_difference, round(coalesce(abs(our_total_pnl - their_total_pnl) / nullif(abs(their_total_pnl), 0) * 100, 0), 6) AS pnl_difference_pct FROM sm""")
 def reconcile_summary(spark, sf):
@@ -70,11 +70,11 @@ def reconcile_summary(spark, sf):
     return found.select("symbol", "passed", "message", "compared", "matched", "mismatched", *r6("our_total_pnl", "their_total_pnl", "pnl_difference", "pnl_difference_pct"))
 
 
-@query(with_(*LISTS, "ln AS (SELECT symbol, string_agg('  - Trade #' || (trade_idx + 1) || ': ' || array_to_string(diffs, ', '), chr(10) ORDER BY trade_idx) AS bad_lines, count(*) AS n FROM cp WHERE len(diffs) > 0 GROUP BY symbol)") + "SELECT symbol, bad_lines, n AS n_lines FROM ln")
+@query(with_(*LISTS, "ln AS (SELECT symbol, string_agg('  number ' || (trade_idx + 1) || ' differs in ' || array_to_string(diffs, ', '), chr(10) ORDER BY trade_idx) AS bad_lines, count(*) AS n FROM cp WHERE len(diffs) > 0 GROUP BY symbol)") + "SELECT symbol, bad_lines, n AS n_lines FROM ln")
 def reconcile_report(spark, sf):
     ours, theirs, found = compared(spark, sf)
     reports = reconcile.reconcile_report(reconcile.reconcile_summary(ours, theirs, found), found)
-    lines = F.filter(F.split("report", "\n"), lambda x: x.startswith("  - "))
+    lines = F.filter(F.split("report", "\n"), lambda x: x.startswith("  number "))
     return reports.select("symbol", F.array_join(lines, "\n").alias("bad_lines"), F.size(lines).cast("long").alias("n_lines"))
 
 
@@ -99,14 +99,14 @@ def session_coverage(spark, sf):
 
 
 #: Scripts made of the documents: a declaration, some calls, then the text itself.
-SCRIPTS = """scripts AS (SELECT doc_id, 'file-' || doc_id || '.txt' AS path, CASE WHEN doc_id % 3 = 0 THEN 'strategy("' || source || '  ' || lang || '")' ELSE '' END || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'x = ta.rsi(close, ' || (doc_id % 5) || ') and ta.ema(close, 9)' ELSE 'crossover(a, b) strategy.exit' END || chr(10) || left(text, 40) AS text FROM documents)"""
+SCRIPTS = """scripts AS (SELECT doc_id, 'file-' || doc_id || '.txt' AS path, CASE WHEN doc_id % 3 = 0 THEN 'strategy("' || source || '  ' || lang || '")' ELSE '' END || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'x = ta.rsi(close, ' || (doc_id % 5) || ') and ta.ema(close, 9)' ELSE 'crossover(a, b) strategy.exit' END || chr(10) || text AS text FROM documents)"""
 
 
 def scripts(spark, sf):
     i = F.col("doc_id")
     head = F.when(i % 3 == 0, F.concat(F.lit('strategy("'), "source", F.lit("  "), "lang", F.lit('")'))).otherwise(F.lit(""))
     body = F.when(i % 2 == 0, F.concat(F.lit("x = ta.rsi(close, "), (i % 5).cast("string"), F.lit(") and ta.ema(close, 9)"))).otherwise(F.lit("crossover(a, b) strategy.exit"))
-    text = F.concat(head, F.lit("\n"), body, F.lit("\n"), F.left("text", F.lit(40)))
+    text = F.concat(head, F.lit("\n"), body, F.lit("\n"), "text")
     return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("file-"), i.cast("string"), F.lit(".txt")).alias("path"), text.alias("text"))
 
 
@@ -159,12 +159,11 @@ def signal_contract_check(spark, sf):
 
 @query(with_(BARS, "mk AS (SELECT symbol, bar_idx AS signal_bar, bar_idx + 1 AS entry_bar FROM bars WHERE close > 2 * open)", f"nx AS (SELECT symbol, bar_idx, open FROM bars)",
     """lv AS (SELECT m.*, n.open AS entry_price FROM mk m JOIN nx n ON n.symbol = m.symbol AND n.bar_idx = m.entry_bar),
-fr AS (SELECT l.symbol, l.signal_bar, min(b.bar_idx) + 1 AS qbar FROM lv l JOIN bars b ON b.symbol = l.symbol AND b.bar_idx > l.entry_bar AND b.bar_idx <= l.entry_bar + 30 AND b.close < 0.5 * b.open GROUP BY ALL)""")
-    + """SELECT l.symbol, l.signal_bar, l.entry_bar, round(l.entry_price, 6) AS entry_price, CASE WHEN f.qbar IS NOT NULL THEN q.bar_idx ELSE z.bar_idx END AS exit_bar, round(CASE WHEN f.qbar IS NOT NULL THEN q.open ELSE z.close END, 6) AS exit_price,
-  CASE WHEN f.qbar IS NOT NULL THEN CASE WHEN q.open IS NULL THEN 'Open' ELSE 'Signal' END WHEN z.bar_idx IS NOT NULL THEN 'Time' ELSE 'Open' END AS exit_signal
-FROM lv l LEFT JOIN fr f ON f.symbol = l.symbol AND f.signal_bar = l.signal_bar LEFT JOIN bars q ON q.symbol = l.symbol AND q.bar_idx = f.qbar LEFT JOIN bars z ON z.symbol = l.symbol AND z.bar_idx = l.entry_bar + 30""")
+fr AS (SELECT l.symbol, l.signal_bar, min(b.bar_idx) + 1 AS qbar FROM lv l JOIN bars b ON b.symbol = l.symbol AND b.bar_idx > l.entry_bar AND b.close < 0.5 * b.open GROUP BY ALL)""")
+    + """SELECT l.symbol, l.signal_bar, l.entry_bar, round(l.entry_price, 6) AS entry_price, q.bar_idx AS exit_bar, round(q.open, 6) AS exit_price, CASE WHEN q.open IS NULL THEN 'Open' ELSE 'Signal' END AS exit_signal
+FROM lv l LEFT JOIN fr f ON f.symbol = l.symbol AND f.signal_bar = l.signal_bar LEFT JOIN bars q ON q.symbol = l.symbol AND q.bar_idx = f.qbar""")
 def custom_entry_exit(spark, sf):
-    found = plugins.custom_entry_exit(bars(spark, sf), F.col("close") > 2 * F.col("open"), F.col("close") < 0.5 * F.col("open"), 30)
+    found = plugins.custom_entry_exit(bars(spark, sf), F.col("close") > 2 * F.col("open"), F.col("close") < 0.5 * F.col("open"))
     return found.select("symbol", "signal_bar", "entry_bar", *r6("entry_price"), "exit_bar", *r6("exit_price"), "exit_signal")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Columns of an exported trade (fixed values).
@@ -27,25 +27,24 @@ def write_equity(curve: DataFrame, path: str, time: str = "ts", equity: str = "e
     curve.select(*keep, F.col(time).alias("time"), F.col(equity).alias("equity")).write.mode("overwrite").csv(path, header=True)
 
 
-def _money(c: str) -> Column:
-    return F.concat(F.lit("$"), F.format_number(F.col(c), 2))
+#: Sections of a report: for each its heading and, by column, the figures and their forms.
+REPORT = {
+    "trades": {"total_trades": "%d trades", "winning_trades": "%d won", "losing_trades": "%d lost", "win_rate": "%.2f %% won"},
+    "profit": {"total_pnl": "%,.2f in all", "avg_pnl": "%,.2f a trade", "avg_winner": "%,.2f a trade won", "avg_loser": "%,.2f a trade lost", "profit_factor": "%.2f gained for each unit lost"},
+    "risk": {"max_drawdown": "%,.2f deepest fall", "max_drawdown_pct": "%.2f %% deepest fall", "sharpe_ratio": "%.2f Sharpe", "sortino_ratio": "%.2f Sortino", "calmar_ratio": "%.2f Calmar"},
+}
 
 
 def report_lines(stats: DataFrame, key: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """A text of statistics, profit and loss, and risk for each row; risk lines only where their columns are."""
-    rule, thin = F.lit("=" * 60), F.lit("-" * 40)
-    two = lambda c, unit="": F.concat(F.format_string("%.2f", F.col(c)), F.lit(unit))
-    line = lambda label, value: F.concat(F.lit(f"{label}: "), F.coalesce(value.cast("string"), F.lit("n/a")))
-    parts = [
-        rule, F.lit("STEP 1: BACKTEST PERFORMANCE REPORT"), rule, F.lit(""), F.lit("TRADE STATISTICS"), thin,
-        line("Total Trades", F.col("total_trades")), line("Winning Trades", F.col("winning_trades")), line("Losing Trades", F.col("losing_trades")), line("Win Rate", two("win_rate", "%")), F.lit(""),
-        F.lit("PROFIT & LOSS"), thin, line("Total P&L", _money("total_pnl")), line("Average P&L", _money("avg_pnl")), line("Average Winner", _money("avg_winner")),
-        line("Average Loser", _money("avg_loser")), line("Profit Factor", two("profit_factor")), F.lit(""),
-    ]
-    if "max_drawdown" in stats.columns:
-        risk = [line("Max Drawdown", _money("max_drawdown")), line("Max Drawdown %", two("max_drawdown_pct", "%"))]
-        parts += [F.lit("RISK METRICS"), thin, *risk, *[line(name, two(c)) for name, c in (("Sharpe Ratio", "sharpe_ratio"), ("Sortino Ratio", "sortino_ratio"), ("Calmar Ratio", "calmar_ratio"))], F.lit("")]
-    return stats.select(*key, F.concat_ws("\n", *parts, rule).alias("report"))
+    """The figures of each row as text, a line each below the heading of its section; what the frame lacks or is missing in
+    a row is left out, and a section without figures too."""
+    sections = []
+    for heading, figures in REPORT.items():
+        lines = [F.when(F.col(c).isNotNull(), F.format_string(f"  {form}", F.col(c))) for c, form in figures.items() if c in stats.columns]
+        if lines:
+            text = F.nullif(F.concat_ws("\n", *lines), F.lit(""))
+            sections.append(F.concat(F.lit(f"{heading}\n"), text))
+    return stats.select(*key, F.concat_ws("\n", *sections).alias("report"))
 
 
 def write_report(reports: DataFrame, path: str) -> None:
