@@ -31,6 +31,22 @@ def test_adjusted_close_and_missing_volume(spark, tmp_path):
     assert row["close"] == 2.0 and row["volume"] == 0.0
 
 
+def test_the_delimiter_is_sought_in_2048_characters(spark, tmp_path):
+    """Short lines: more than fifty of them count."""
+    text = "o;h;l;c\n" + "1,5\n" * 4 + "1;2;0;1\n" * 300
+    assert src.sniff_delimiter(spark, write(tmp_path, text)) == ";"
+    assert src.sniff_delimiter(spark, write(tmp_path, "a,b\n" + ",\n" * 60 + ";;;;;\n" * 200, "b.csv")) == ";"
+    assert src.sniff_delimiter(spark, write(tmp_path, "", "c.csv")) == ","
+    strict = src.read_bars_strict(spark, write(tmp_path, "date;open;high;low;close\n2024-01-01;1;2;0.5;1.5\n", "d.csv"))
+    assert strict.first()["close"] == 1.5
+
+
+def test_rows_without_a_time_are_numbered(spark):
+    df = spark.range(0, 1000, 1, 7).select(*[F.col("id").cast("double").alias(c) for c in ("open", "high", "low", "close")])
+    assert [(r["ts"], r["close"]) for r in src.resolve_columns(df).orderBy("ts").collect()] == [(i, float(i)) for i in range(1000)]
+    assert src.resolve_columns(df.limit(0)).count() == 0
+
+
 def test_missing_prices_are_named(spark, tmp_path):
     with pytest.raises(ValueError, match="Missing"):
         src.read_bars_csv(spark, write(tmp_path, "foo,bar\n1,2\n"))
@@ -87,7 +103,7 @@ def test_stop_against_target(spark):
 def test_equal_trades_pass(spark):
     ours, theirs, found = pair(spark, 95.005, "stop", -5.05)
     row = reconcile.reconcile_summary(ours, theirs, found).first()
-    assert row["passed"] and row["message"] == "All 1 trades matched successfully."
+    assert row["passed"] and row["message"] == "1 trades agree"
     assert reconcile.mismatch_breakdown(found).count() == 0
 
 

@@ -54,27 +54,50 @@ def _found(columns: list[str], aliases: dict[str, list[str]]) -> dict[str, str]:
     return {std: by_name[first] for std, names in aliases.items() if (first := next((n for n in names if n in by_name), None))}
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows with ``_row``: 0, 1, 2 and so on by partition and place in it."""
+    placed = df.withColumn("_row", F.monotonically_increasing_id())
+    part = lambda c: F.shiftright(c, 33)
+    sizes = placed.groupBy(part("_row").alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()  # a row for each partition
+    before, starts = 0, []
+    for r in sorted(sizes):
+        starts.append(F.struct(F.lit(r["_part"]).alias("p"), F.lit(before).cast("long").alias("s")))
+        before += r["_n"]
+    if not starts:
+        return placed
+    first = F.try_element_at(F.map_from_entries(F.array(*starts)), part("_row"))
+    return placed.withColumn("_row", first + F.col("_row").bitwiseAND((1 << 33) - 1))
+
+
 def resolve_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns under their canonical names and types; bad cells become NULL, a missing volume 0. Without a time column the
-    rows are numbered as they are read, which follows the file only if there is one."""
+    rows are numbered from 0 in the order in which they are read: partitions are counted first, so nothing is gathered."""
     found = _found(df.columns, ALIASES)
     missing = [c for c in OHLC if c not in found]
     if missing:
-        raise ValueError(f"Cannot find OHLC columns. Missing: {missing}. Available: {df.columns}")
+        raise ValueError(f"Missing prices: no heading stands for {missing} among {df.columns}")
     number = lambda c: F.expr(f"try_cast(`{c}` AS double)")
     kinds = dict(df.dtypes)
     if "ts" in found:
         ts = F.col(f"`{found['ts']}`") if kinds[found["ts"]].startswith("timestamp") else F.expr(f"try_cast(`{found['ts']}` AS timestamp)")
     else:
-        ts = F.monotonically_increasing_id()
+        df = _numbered(df)
+        ts = F.col("_row")
     volume = number(found["volume"]) if "volume" in found else F.lit(0.0)
     return df.select(*keep, ts.alias("ts"), *[number(found[c]).alias(c) for c in OHLC], volume.alias("volume"))
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """Tab or semicolon if the first 2048 characters have more of it than of commas, else the comma."""
-    head = spark.read.text(path).limit(50).agg(F.concat_ws("\n", F.collect_list("value")).alias("t")).first()["t"][:2048]
-    tabs, semis, commas = (head.count(c) for c in "\t;,")
+    """Tab or semicolon if the first 2048 characters have more of it than of commas, else the comma. Lines are taken from
+    the first file until they make up as many, however short they are."""
+    head, count = "", 64
+    while True:
+        lines = [r["value"] for r in spark.read.text(path).limit(count).collect()]  # 2048 lines at most
+        head = "\n".join(lines)
+        if len(head) >= 2048 or len(lines) < count:
+            break
+        count *= 2
+    tabs, semis, commas = (head[:2048].count(c) for c in "\t;,")
     return "\t" if tabs > commas else ";" if semis > commas else ","
 
 
@@ -84,10 +107,10 @@ def read_bars_csv(spark: SparkSession, path: str, sep: str | None = None, keep:
     return resolve_columns(raw, keep).dropna(subset=list(OHLC))
 
 
-def read_bars_strict(spark: SparkSession, path: str, time_column: str | None = None, unlabelled: bool = False, rth_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def read_bars_strict(spark: SparkSession, path: str, time_column: str | None = None, unlabelled: bool = False, rth_only: bool = False, keep: tuple[str, ...] = (), sep: str | None = None) -> DataFrame:
     """As above, but the time column must be there: ``time_column``, one of the usual headings, or with ``unlabelled`` the
     first column. ``rth_only`` keeps regular (local) hours."""
-    raw = spark.read.csv(path, header=True)
+    raw = spark.read.csv(path, header=True, sep=sep or sniff_delimiter(spark, path))
     name = time_column or _found(raw.columns, {"ts": ["time", "date", "datetime", "timestamp"]}).get("ts") or (raw.columns[0] if unlabelled else None)
     if name is None or name not in raw.columns:
         raise ValueError(f"No time column found in {raw.columns}")
