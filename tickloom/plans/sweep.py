@@ -26,12 +26,12 @@ def param_sets(grid: Mapping[str, Iterable] | Params, allowed: Callable[[Mapping
     if isinstance(grid, Mapping):
         values = [list(v) for v in grid.values()]
         if not all(values):
-            raise ValueError("param_grid values cannot be empty")
+            raise ValueError("each parameter needs a value at least")
         found = [dict(zip(grid, combo, strict=True)) for combo in itertools.product(*values)]
     else:
         found = [dict(p) for p in grid]
         if not found:
-            raise ValueError("param_grid list cannot be empty")
+            raise ValueError("there must be a set of parameters at least")
     return [p for p in found if allowed is None or allowed(p)]
 
 
@@ -41,7 +41,7 @@ def expand_grid(values: Mapping[str, DataFrame]) -> DataFrame:
     for name, frame in values.items():
         own = frame.select(F.col(frame.columns[0]).alias(name)).distinct()
         listed = own.agg(F.sort_array(F.collect_set(name)).alias("_all")).select(F.posexplode("_all").alias(f"_{name}", name), F.size("_all").alias(f"_n_{name}"))
-        out = listed if out is None else out.crossJoin(listed)
+        out = listed if out is None else out.crossJoin(listed)  # the product is the result; each side is a list of values
         total = total * F.col(f"_n_{name}") + F.col(f"_{name}")
     return out.select(total.cast("long").alias("param_id"), *values)
 
@@ -94,7 +94,7 @@ def permute_bars(bars: DataFrame, n_perms: int, seed: int = 7, start_index: int
     positive = F.lit(True)
     for c in OHLC:
         positive = positive & (F.col(c) > 0) & (F.col(c) < float("inf"))
-    checked = bars.withColumn("open", F.when(F.coalesce(positive, F.lit(False)), F.col("open")).otherwise(F.raise_error(F.lit("OHLC values must be finite and strictly positive"))))
+    checked = bars.withColumn("open", F.when(F.coalesce(positive, F.lit(False)), F.col("open")).otherwise(F.raise_error(F.lit("prices must be strictly positive and finite"))))
     logs = {f"_{c}": F.ln(c) for c in OHLC}
     before = F.lag("_close").over(ordered(key))
     own = checked.withColumns(logs).withColumn("_gap", F.col("_open") - before).withColumn("_n", F.count(F.lit(1)).over(whole(key)))
@@ -143,7 +143,7 @@ def p_value(scored: DataFrame, score: str = "score", key: Key = KEY, alpha: floa
 def is_perm_test(bars: DataFrame, strategy: Strategy, params: Params, n_perms: int, seed: int = 7, metric: str = "profit_factor", key: Key = KEY, digits: int | None = None) -> DataFrame:
     """In-sample permutation test: optimise the series and each permutation of it; ``param_id`` is the series' best."""
     if n_perms <= 0:
-        raise ValueError("n_perms must be > 0")
+        raise ValueError("there must be a permutation at least")
     by = [*key, "perm_id"]
     found = grid_search(permute_bars(bars, n_perms, seed, include_real=True, key=key), strategy, params, metric, by, digits)
     chosen = F.max(F.when(F.col("perm_id") == 0, F.col("param_id"))).alias("param_id")
@@ -190,7 +190,7 @@ def walk_forward(bars: DataFrame, strategy: Strategy, params: Params, train: int
 def wf_perm_test(bars: DataFrame, strategy: Strategy, params: Params, n_perms: int, train: int, step: int = 30, seed: int = 9, metric: str = "profit_factor", key: Key = KEY, digits: int | None = None) -> DataFrame:
     """Permute the bars after the first training window and walk forward again; scores are out-of-sample profit factors."""
     if n_perms <= 0:
-        raise ValueError("n_perms must be > 0")
+        raise ValueError("there must be a permutation at least")
     by = [*key, "perm_id"]
     every = permute_bars(bars, n_perms, seed, train, include_real=True, key=key)
     found = metrics_bar(walk_forward(every, strategy, params, train, step, metric, by, digits), key=by)

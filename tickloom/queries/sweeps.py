@@ -14,7 +14,9 @@ from .signals_returns import RATIOS, donchian, metrics_sql, returns_sql, shown_m
 
 LOOKBACKS = (10, 20, 30)
 PARAMS = [{"lookback": n} for n in LOOKBACKS]
-TRAIN, STEP, PERMS, DIGITS = 300, 100, 4, 6
+TRAIN, STEP, DIGITS = 300, 100, 6
+#: Permutations to look at one by one, and those of the tests: the operators' own numbers.
+PERMS, IS_PERMS, WF_PERMS = 4, 1000, 200
 LABEL = "CASE param_id WHEN 0 THEN 'lookback=10' WHEN 1 THEN 'lookback=20' ELSE 'lookback=30' END"
 
 
@@ -61,13 +63,20 @@ def grid_search(spark, sf):
     return found.select("symbol", "param_id", shown("score"), "params")
 
 
-def permuted(start: int, seed: int, real: bool = False) -> str:
+def scoped(tag: str, *ctes: str) -> str:
+    """The CTEs under names of their own, so that two studies fit into one statement."""
+    text = ", ".join(ctes)
+    names = set(re.findall(r"(\w+) AS \((?=SELECT|WITH|\s*SELECT)", text))
+    return re.sub(rf"(?<![.'\w])({'|'.join(sorted(names, key=len, reverse=True))})(?=\W|$)", rf"\1{tag}", text)
+
+
+def permuted(start: int, seed: int, real: bool = False, source: str = "bars", perms: int = PERMS) -> str:
     """CTEs up to ``pb``: permutations of ``bars`` (0: the bars), as series ``symbol``."""
     tail = f"bar_idx >= {start}"
-    first = f"SELECT symbol || '@0' AS symbol, symbol AS grp, 0 AS perm_id, bar_idx, ts, open, high, low, close FROM bars UNION ALL " if real else ""
-    head = f" UNION ALL SELECT b.symbol || '@' || perm_id, b.symbol, perm_id, bar_idx, ts, open, high, low, close FROM bars b, perms WHERE bar_idx < {start}" if start else ""
-    return f"""perms AS (SELECT unnest(range(1, {PERMS + 1})) AS perm_id),
-lg AS (SELECT *, ln(open) AS lo, ln(high) - ln(open) AS rh, ln(low) - ln(open) AS rl, ln(close) - ln(open) AS rc, ln(open) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY bar_idx) AS gap, max(bar_idx) OVER (PARTITION BY symbol) AS z FROM bars),
+    first = f"SELECT symbol || '@0' AS symbol, symbol AS grp, 0 AS perm_id, bar_idx, ts, open, high, low, close FROM {source} UNION ALL " if real else ""
+    head = f" UNION ALL SELECT b.symbol || '@' || perm_id, b.symbol, perm_id, bar_idx, ts, open, high, low, close FROM {source} b, perms WHERE bar_idx < {start}" if start else ""
+    return f"""perms AS (SELECT unnest(range(1, {perms + 1})) AS perm_id),
+lg AS (SELECT *, ln(open) AS lo, ln(high) - ln(open) AS rh, ln(low) - ln(open) AS rl, ln(close) - ln(open) AS rc, ln(open) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY bar_idx) AS gap, max(bar_idx) OVER (PARTITION BY symbol) AS z FROM {source}),
 sh AS (SELECT symbol, perm_id, rh, rl, rc, row_number() OVER (PARTITION BY symbol, perm_id ORDER BY md5(concat_ws('|', {seed}, perm_id, 'bar', bar_idx))) - 1 AS pos FROM lg, perms WHERE {tail}),
 gp AS (SELECT symbol, perm_id, gap, row_number() OVER (PARTITION BY symbol, perm_id ORDER BY md5(concat_ws('|', {seed}, perm_id, 'gap', bar_idx))) AS pos FROM lg, perms WHERE bar_idx > {start}),
 jn AS (SELECT s.symbol, s.perm_id, s.pos, s.rh, s.rl, s.rc, gp.gap, lg.ts, lg.bar_idx, lg.z, lg.lo, lg.open AS real_open, lg.close AS real_close FROM sh s LEFT JOIN gp ON gp.symbol = s.symbol AND gp.perm_id = s.perm_id AND gp.pos = s.pos JOIN lg ON lg.symbol = s.symbol AND lg.bar_idx = s.pos + {start}),
@@ -97,7 +106,12 @@ def tested(scores_cte: str) -> str:
 FROM {scores_cte} s JOIN {scores_cte} r ON r.grp = s.grp AND r.perm_id = 0 GROUP BY s.grp"""
 
 
-IS_TEST = (permuted(0, 7, True), searched("pb", "i"), "ib AS (SELECT pb.grp, pb.perm_id, any_value(i_best.score) AS score, any_value(i_best.param_id) AS param_id FROM i_best JOIN pb ON pb.symbol = i_best.grp GROUP BY pb.grp, pb.perm_id)")
+def is_test(source: str = "bars") -> tuple[str, ...]:
+    best = "ib AS (SELECT pb.grp, pb.perm_id, any_value(i_best.score) AS score, any_value(i_best.param_id) AS param_id FROM i_best JOIN (SELECT DISTINCT symbol, grp, perm_id FROM pb) pb ON pb.symbol = i_best.grp GROUP BY pb.grp, pb.perm_id)"
+    return permuted(0, 7, True, source, IS_PERMS), searched("pb", "i"), best
+
+
+IS_TEST = is_test()
 
 
 def is_test_rows(df):
@@ -106,7 +120,7 @@ def is_test_rows(df):
 
 @query(with_(BARS, *IS_TEST) + tested("ib"))
 def is_perm_test(spark, sf):
-    return is_test_rows(sweep.is_perm_test(bars(spark, sf), sig.sig_donchian, PARAMS, PERMS, digits=DIGITS))
+    return is_test_rows(sweep.is_perm_test(bars(spark, sf), sig.sig_donchian, PARAMS, IS_PERMS, digits=DIGITS))
 
 
 def folds(source: str = "bars") -> str:
@@ -135,12 +149,12 @@ def walk_forward(spark, sf):
     return found.select("symbol", "bar_idx", "signal", *r6("bar_return", "strategy_return"))
 
 
-WF_TEST = (permuted(TRAIN, 9, True), walked("pb"), f"wf AS ({factor(f'(SELECT * FROM rsw WHERE bar_idx >= {TRAIN})', 'symbol')})", "wg AS (SELECT split_part(symbol, '@', 1) AS grp, split_part(symbol, '@', 2)::INTEGER AS perm_id, score FROM wf)")
+WF_TEST = (permuted(TRAIN, 9, True, perms=WF_PERMS), walked("pb"), f"wf AS ({factor(f'(SELECT * FROM rsw WHERE bar_idx >= {TRAIN})', 'symbol')})", "wg AS (SELECT split_part(symbol, '@', 1) AS grp, split_part(symbol, '@', 2)::INTEGER AS perm_id, score FROM wf)")
 
 
 @query(with_(BARS, *WF_TEST) + tested("wg"))
 def wf_perm_test(spark, sf):
-    return is_test_rows(sweep.wf_perm_test(bars(spark, sf), sig.sig_donchian, PARAMS, PERMS, TRAIN, STEP, digits=DIGITS))
+    return is_test_rows(sweep.wf_perm_test(bars(spark, sf), sig.sig_donchian, PARAMS, WF_PERMS, TRAIN, STEP, digits=DIGITS))
 
 
 VERDICT = """CASE WHEN is_p_value >= 0.05 OR wf_p_value >= 0.05 THEN 'OVERFIT' WHEN oos_profit_factor < 1.1 THEN 'POOR' ELSE 'VALIDATED' END AS verdict,
@@ -155,9 +169,17 @@ def verdict(spark, sf):
     return sweep.verdict(part).select("p_partkey", "verdict", "failed_step", "failed_p_value")
 
 
-@query()
+#: The in-sample test on the training bars and the walk-forward test on all, side by side.
+FULL = (
+    BARS, f"tb AS (SELECT * FROM bars WHERE bar_idx < {TRAIN})", scoped("_one", *is_test("tb")), scoped("_two", *WF_TEST), f"it AS ({tested('ib_one')})", f"wt AS ({tested('wg_two')})",
+    "bp AS (SELECT grp AS symbol, param_id FROM ib_one WHERE perm_id = 0)",
+    "vs AS (SELECT it.symbol, bp.param_id, it.real_score AS is_profit_factor, it.p_value AS is_p_value, wt.real_score AS oos_profit_factor, wt.p_value AS wf_p_value FROM it JOIN wt ON wt.symbol = it.symbol JOIN bp ON bp.symbol = it.symbol)",
+)
+
+
+@query(with_(*FULL) + f"SELECT symbol, param_id, {LABEL} AS params, is_profit_factor, is_p_value, oos_profit_factor, wf_p_value, {VERDICT} FROM vs")
 def full_validation(spark, sf):
-    found = sweep.full_validation(bars(spark, sf), sig.sig_donchian, PARAMS, TRAIN, STEP, PERMS, PERMS, digits=DIGITS)
+    found = sweep.full_validation(bars(spark, sf), sig.sig_donchian, PARAMS, TRAIN, STEP, IS_PERMS, WF_PERMS, digits=DIGITS)
     return found.select("symbol", "param_id", "params", shown("is_profit_factor"), *r6("is_p_value"), shown("oos_profit_factor"), *r6("wf_p_value"), "verdict", "failed_step", *r6("failed_p_value"))
 
 
