@@ -6,7 +6,7 @@ item stand together as such an alignment must hold is aligned there with the who
 that reaches the threshold is lost. The score as a share of the item's own tells verbatim, edited and paraphrased copies.
 
 The seeds of the items reach the tasks as a lookup table while they are few (``small`` is checked against their
-words); beyond that the documents' n-grams are joined to them by a shuffle, and texts are read for the hits only.
+words, and their bytes too); beyond that the documents' n-grams are joined to them by a shuffle, and texts are read for the hits only.
 
 Defined cases: null and empty texts match nothing; items of few words have seeds of one word; items without words
 match nothing; repeated rows give their matches once; a repeated item id with
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, free_names, if_small, materialise, named, small_batches
 
 SIZE = 3
-#: Words of items that may be sent to every task.
-SMALL = 2_000_000
+#: Words of items that may be sent to every task (about 150 MB as a table of seeds there), and bytes a word.
+SMALL, WORD_BYTES = 500_000, 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -167,12 +167,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     def n_words(texts: pd.Series) -> pd.Series:
         return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
 
-    if own.agg(F.coalesce(F.sum(n_words("text")), F.lit(0))).first()[0] > small:
+    words, used = own.agg(F.coalesce(F.sum(n_words("text")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if words > small or used > small * WORD_BYTES:
         return _joined(docs, own, id_col, text_col, threshold, size)
     docs = small_batches(docs)
-    known = Items([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], threshold, size)
+    sent = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()])
 
     def align(batches):
+        known = Items(sent.value, threshold, size)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["id"].astype("Int64"), pdf["text"], strict=True):
