@@ -175,6 +175,15 @@ def test_backoff_by_hand(spark, order):
     assert lm_score.backoff_scores(empty(spark)).count() == 0
 
 
+def test_backoff_of_long_and_equal_rows(spark):
+    texts = ["same words here"] * 50 + ["again " * 40_000 + "end", None]
+    found = lm_score.backoff_scores(docs(spark, texts, extra=False), chunk_bytes=2000).orderBy("doc_id").collect()
+    for row, (n, s) in zip(found, scores_by_hand(texts, 3, 0.4), strict=True):
+        assert row["n_words"] == n and math.isclose(row["log_sum"], s, rel_tol=1e-9, abs_tol=1e-9)
+    repeated = docs(spark, texts[:1], extra=False)
+    assert lm_score.backoff_scores(repeated.union(repeated)).distinct().count() == 1
+
+
 def test_packing():
     for x in ([], [0], [1, 0, 300, 2**40], [0] * 9 + [5]):
         a = np.array(x, np.uint64)
@@ -296,13 +305,11 @@ def test_best_paths_by_hand(model):
             top.append(max([top[i - 1] + model.unknown, *[top[j] + scores[text[j:i]] for j in range(max(0, i - 20), i) if text[j:i] in scores]]))
         return top[-1]
 
-    for text in ["hello", "internationalisation", "don't stop, e.g. now!", "x  y\n z;q", "Größe über alles", "naïve 漢字", "a.b,c:d(e)f"]:
-        ids = model.encode(text).tolist()
-        spelled = sum(1 for _ in filter(lambda i: model.pieces[i][2] == sentencepiece.BYTE, ids))
-        total = sum(model.pieces[i][1] for i in ids if model.pieces[i][2] != sentencepiece.BYTE)
-        plain = [ch for ch in text if ch not in {c for p in scores for c in p}]
-        if spelled == len("".join(plain).encode()):  # every byte piece stands for a character of no piece
-            assert math.isclose(total + model.unknown * len(plain), best("▁" + text.replace(" ", "▁")), rel_tol=1e-6), text
+    for text in ["hello", "internationalisation", "don't stop, e.g. now!", "x  y\n z;q", "Größe über alles", "naïve 漢字 😀", "a.b,c:d(e)f"]:
+        used = [model.pieces[i] for i in model.encode(text).tolist()]
+        spelled = bytes(int(p[3:5], 16) for p, _, kind in used if kind == sentencepiece.BYTE).decode()  # characters of no piece
+        total = sum(s for _, s, kind in used if kind != sentencepiece.BYTE) + model.unknown * len(spelled)
+        assert math.isclose(total, best("▁" + text.replace(" ", "▁")), rel_tol=1e-6), text
 
 
 # --- classifiers
@@ -324,6 +331,33 @@ def test_languages_of_odd_rows(spark):
     assert {r["language"]["lang"] for r in language.identify(df, language.train(empty(spark), F.col("lang"), F.lit(True))).collect()} == {"und"}
 
 
+def test_predictions_by_hand(spark):
+    """The network applied filter by filter to each window of texts, against the batched tables."""
+    texts = ["Der schnelle Hund läuft über die Straße " * 30, "the quick dog runs over the road", "x", "", None]
+    rows = [(i, ("guten tag " if i % 2 else "good day ") * (1 + i % 5), "de" if i % 2 else "en") for i in range(40)]
+    net = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("lang"), F.lit(True), per_language=10)
+    for text, (lang, score) in zip(texts, net.predict(texts), strict=True):
+        if not text:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        raw, stride, logits, held = text.lower().encode(), language.WINDOW - max(language.WIDTHS) + 1, np.zeros(len(net.classes)), 0
+        count = max(1, -(-(len(raw) - max(language.WIDTHS) + 1) // stride))
+        for k in range(count):
+            window = raw[k * stride : k * stride + language.WINDOW].ljust(language.WINDOW, b"\0")
+            tops = [max(sum(w[o, window[at + o]] for o in range(len(w)))[f] for at in range(stride)) for w in net.weights for f in range(net.filters)]
+            size = stride if k < count - 1 else max(1, len(raw) - k * stride)
+            logits += (np.maximum(np.array(tops) + net.bias, 0) @ net.dense + net.offset) * size
+            held += size
+        share = np.exp(logits / held - (logits / held).max())
+        assert lang == net.classes[int(share.argmax())] and math.isclose(score, share.max() / share.sum(), rel_tol=1e-3)
+
+
+def test_a_frequent_class_is_sampled_whole(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") % 1000 == 0, "rare").otherwise("common").alias("lang"))
+    sizes = {r["_label"]: r["count"] for r in language.sample_labelled(df, F.col("lang"), F.lit(True), 50).groupBy("_label").count().collect()}
+    assert sizes == {"rare": 20, "common": 50}
+
+
 def test_windows_cover_every_byte():
     for n in (1, 2, 3, 4, 252, 253, 254, 255, 256, 257, 600, 5000):
         text = "".join(chr(97 + i % 26) for i in range(n))
@@ -354,6 +388,41 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(empty(spark), one).count() == 0
 
 
+def test_toxicity_by_hand(spark):
+    """The fit over hashed blocks against one dense matrix of features, and the scores against sums of weights."""
+    rng = random.Random(9)
+    bad, good = ["vile", "stupid", "hateful"], ["kind", "lovely", "gentle"]
+    texts = [" ".join(rng.choice("the a of road tree house".split()) if rng.random() < 0.7 else rng.choice(bad if i % 3 == 0 else good) for _ in range(12)) for i in range(60)]
+    df = docs(spark, texts, extra=False)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    hasher = toxicity.Hasher()
+    found = [set(hasher(t).tolist()) for t in texts]
+    y = np.array([i % 3 == 0 for i in range(60)])
+    every = sorted(set().union(*found))
+    dense = np.array([[c in f for c in every] for f in found])
+    n1, n0 = dense[y].sum(0), dense[~y].sum(0)
+    ratio = np.log((n1 + 1) / (y.sum() + 2)) - np.log((n0 + 1) / ((~y).sum() + 2))
+    used = (n1 + n0 >= 5) & (np.abs(ratio) >= 1.5)
+    weights = model.weights[np.array(every)]
+    assert used.any() and (weights[~used] == 0).all() and (np.sign(weights[used & (weights != 0)]) == np.sign(ratio[used & (weights != 0)])).mean() > 0.9
+    for r in toxicity.score(df, model).collect():
+        own = 1 / (1 + math.exp(-(sum(float(model.weights[c]) for c in found[r["doc_id"]]) + model.intercept)))
+        assert math.isclose(r["toxicity"], own, rel_tol=1e-6) and (r["toxicity"] >= 0.3) == (r["doc_id"] % 3 == 0)
+
+
+def test_blocks_of_features_do_not_matter():
+    rows = toxicity.Rows([np.array(r, np.int32) for r in ([0, 2], [], [1], [0, 1, 2], [2])])
+    values, of_rows = np.array([1.0, 10.0, 100.0]), np.array([1.0, 2.0, 4.0, 8.0, 16.0])
+    assert rows.sums(values).tolist() == [101, 0, 10, 111, 100] and rows.spread(of_rows, 3).tolist() == [9, 12, 25]
+    whole = toxicity.Rows.blocks
+    toxicity.Rows.blocks = lambda self, most=2: whole(self, most)
+    try:
+        assert rows.sums(values).tolist() == [101, 0, 10, 111, 100] and rows.spread(of_rows, 3).tolist() == [9, 12, 25]
+    finally:
+        toxicity.Rows.blocks = whole
+
+
 def test_distinct_features():
     hasher = toxicity.Hasher()
     found = hasher("abcabcabc")
@@ -442,6 +511,9 @@ def test_words_between_tabs_and_newlines_count(spark, monkeypatch):
     assert not taken
     decontaminate.contaminated(docs(spark), bench, small=5)
     assert taken
+    taken.clear()
+    decontaminate.contaminated(docs(spark), spark.createDataFrame([(1, "x" * 97)], "item_id long, text string"), small=6)
+    assert taken
 
 
 def test_digest_columns(spark, tables):

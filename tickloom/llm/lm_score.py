@@ -10,7 +10,7 @@ order given up. With ``leave_out`` (the default) a document's own occurrences do
 word that no other document holds scores ``alpha`` ** orders / (words elsewhere + 1).
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; a null, empty or blank text has 0 words, sum 0
-and a null mean; repeated rows are documents of their own; null ids and very long texts are ordinary; an empty table
+and a null mean; repeated rows are documents of their own (equal ids with equal texts share a chunk); null ids and very long texts are ordinary; an empty table
 gives an empty result.
 """
 
