@@ -175,42 +175,69 @@ def fit(codes: np.ndarray, rows: Rows, labels: np.ndarray, part: np.ndarray, sha
     return NaiveBayesLinear(dense, slope * b + offset)
 
 
-def _features(sample: DataFrame, keep: np.ndarray | None = None) -> DataFrame:
-    """``sample`` with ``features``: the hashed features of ``text``, or with ``keep`` (a bit for each code that is wanted)
-    the places of those among all wanted codes, packed as 32-bit integers."""
+#: Ranges of codes that are counted apart, and partitions of the sample, whose size is bounded.
+RANGES, SAMPLE_PARTS = 64, 16
 
-    @F.pandas_udf("array<int>")
-    def every(texts: pd.Series) -> pd.Series:
-        hasher = Hasher()
-        return pd.Series([hasher(t).astype(np.int32) for t in texts])
+
+def _counted(folds: int):
+    """Counts of documents by code for each class and fold, a row for each range of codes: codes that occur (as 16-bit
+    offsets) and their counts."""
+
+    def run(batches):
+        hasher, counts = Hasher(), np.zeros((2 * folds, 1 << BITS), np.uint16)
+        for pdf in batches:
+            for text, mark, part in zip(pdf["text"], pdf["mark"], pdf["part"], strict=True):
+                counts[mark * folds + part, hasher(text)] += 1
+        for k, own in enumerate(np.split(counts, RANGES, axis=1)):
+            found = np.flatnonzero(own.any(0))
+            yield pd.DataFrame({"k": [k], "codes": [found.astype(np.uint16).tobytes()], "counts": [own[:, found].tobytes()]})
+
+    return run
+
+
+def _passing(sizes: np.ndarray, min_docs: int, min_ratio: float):
+    """Of each range a bit for every code that passes in the whole sample or without one of the folds."""
+    folds = sizes.shape[1]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((2, folds, (1 << BITS) // RANGES))
+        for codes, counts in zip(pdf["codes"], pdf["counts"], strict=True):
+            at = np.frombuffer(codes, np.uint16)
+            total[:, :, at] += np.frombuffer(counts, np.uint16).reshape(2, folds, len(at))
+        keep = np.zeros(total.shape[2], bool)
+        for used in [np.ones(folds, bool), *(np.arange(folds) != k for k in range(folds))]:
+            docs, of = total[:, used].sum(1), sizes[:, used].sum(1)
+            ratio = np.log((docs[1] + 1) / (of[1] + 2)) - np.log((docs[0] + 1) / (of[0] + 2))
+            keep |= (docs.sum(0) >= min_docs) & (np.abs(ratio) >= min_ratio - 1e-9)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "keep": [np.packbits(keep).tobytes()]})
+
+    return run
+
+
+def _useful(sample: DataFrame, folds: int, min_docs: int, min_ratio: float) -> np.ndarray:
+    """A bit for each code that some fit can use."""
+    sizes = np.zeros((2, folds))
+    for r in sample.groupBy("mark", "part").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["mark"], r["part"]] = r["n"]
+    counts = sample.select("text", "mark", "part").mapInPandas(_counted(folds), "k int, codes binary, counts binary")
+    found = counts.groupBy("k").applyInPandas(_passing(sizes, min_docs, min_ratio), "k int, keep binary").collect()
+    keep = np.zeros((RANGES, (1 << BITS) // RANGES // 8), np.uint8)
+    for r in found:
+        keep[r["k"]] = np.frombuffer(r["keep"], np.uint8)
+    return keep.ravel()
+
+
+def _features(sample: DataFrame, keep: np.ndarray) -> DataFrame:
+    """``sample`` with ``features``: the features of ``text`` by their places among all wanted codes (a bit for each code),
+    packed as 32-bit integers."""
 
     @F.pandas_udf("binary")
-    def wanted(texts: pd.Series) -> pd.Series:
+    def of(texts: pd.Series) -> pd.Series:
         hasher, bits = Hasher(), np.unpackbits(keep).astype(bool)
         place = np.cumsum(bits, dtype=np.int32) - 1
         return pd.Series([place[f[bits[f]]].tobytes() for f in map(hasher, texts)])
 
-    return sample.withColumn("features", (every if keep is None else wanted)("text"))
-
-
-def _useful(sample: DataFrame, folds: int, min_docs: int, min_ratio: float) -> np.ndarray:
-    """The codes that pass ``min_docs`` and ``min_ratio`` in the whole sample or without one of the folds."""
-    sizes = {(r["mark"], r["part"]): r["n"] for r in sample.groupBy("mark", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    each = [(k, p) for k in (0, 1) for p in range(folds)]
-    held = _features(sample).select("mark", "part", F.explode("features").alias("code"))
-    counts = held.groupBy("code").agg(*[F.count_if((F.col("mark") == k) & (F.col("part") == p)).alias(f"n{k}_{p}") for k, p in each])
-    passes = F.lit(False)
-    for left_out in (None, *range(folds)):
-        used = [p for p in range(folds) if p != left_out]
-        docs = [sum((F.col(f"n{k}_{p}") for p in used), F.lit(0)) for k in (0, 1)]
-        of = [sum(sizes.get((k, p), 0) for p in used) for k in (0, 1)]
-        ratio = F.ln((docs[1] + 1) / (of[1] + 2)) - F.ln((docs[0] + 1) / (of[0] + 2))
-        passes = passes | ((docs[0] + docs[1] >= min_docs) & (F.abs(ratio) >= min_ratio - 1e-9))
-    words = counts.filter(passes).groupBy((F.col("code") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, code % 64)")).alias("bits")).collect()
-    keep = np.zeros((1 << BITS) // 64, np.int64)  # a bit for each code
-    for r in words:
-        keep[r["word"]] = r["bits"]
-    return np.flatnonzero(np.unpackbits(keep.view(np.uint8), bitorder="little"))
+    return sample.withColumn("features", of("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, folds: int = 3, min_docs: int = 5, min_ratio: float = 1.5) -> NaiveBayesLinear:
@@ -223,15 +250,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = own.join(chosen, "_doc").groupBy("_doc", "mark").agg(F.min("text").alias("text"))
     sample = sample.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "_doc"), F.lit(folds)).cast("int"))
-    sample = materialise(sample, "toxicity-sample")
-    codes = _useful(small_batches(sample), folds, min_docs, min_ratio)
-    keep = np.zeros(1 << BITS, bool)
-    keep[codes] = True
+    sample = materialise(sample.repartition(SAMPLE_PARTS, "_doc"), "toxicity-sample")
+    keep = _useful(small_batches(sample), folds, min_docs, min_ratio)
     # 2 * per_class rows, of features that tell the classes apart.
-    found = _features(sample, np.packbits(keep)).select("_doc", "mark", "part", "features").orderBy("_doc").toPandas()
+    found = _features(sample, keep).select("_doc", "mark", "part", "features").orderBy("_doc").toPandas()
     discard(sample)
     rows = Rows([np.frombuffer(f, np.int32) for f in found["features"]])
-    return fit(codes, rows, found["mark"].to_numpy(), found["part"].to_numpy(), share, min_docs, min_ratio)
+    return fit(np.flatnonzero(np.unpackbits(keep)), rows, found["mark"].to_numpy(), found["part"].to_numpy(), share, min_docs, min_ratio)
 
 
 def score(docs: DataFrame, model: NaiveBayesLinear, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
