@@ -1,4 +1,10 @@
-"""A corpus cleaning pipeline out of the text operators: each stage reads the table that the stage before it wrote."""
+"""A corpus cleaning pipeline out of the text operators: each stage reads the table that the stage before it wrote.
+
+Defined cases: a null text is the empty text and goes with the first stage, as does a text without a letter; null ids are
+ordinary (of near-duplicates they go before others), null languages are not learned from; repeated rows are one text to
+the near-duplicate stage, which keeps one of them; an empty table stays empty; extra columns are carried through all
+stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
