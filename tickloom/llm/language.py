@@ -64,18 +64,29 @@ class ByteConvNet:
         second = np.concatenate([w[2][b] + (w[3][a] if len(w) > 3 else 0) for w in wide], 1)
         self.tables = (np.ascontiguousarray(first, np.float32), np.ascontiguousarray(second, np.float32))
 
-    def features(self, windows: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    def places(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features and where each filter is largest, straight from the filters: for training, where tables wouldn't last."""
+        span, values = WINDOW - max(WIDTHS) + 1, []
+        for w in self.weights:
+            x = w[0].take(windows[:, :span], axis=0)
+            for o in range(1, len(w)):
+                x += w[o].take(windows[:, o : o + span], axis=0)
+            values.append(x)
+        x = np.concatenate(values, 2)
+        at = x.argmax(1)
+        return np.maximum(np.take_along_axis(x, at[:, None], 1)[:, 0] + self.bias, 0), at
+
+    def features(self, windows: np.ndarray) -> np.ndarray:
         pairs = windows[:, :-1].astype(np.uint16) | (windows[:, 1:].astype(np.uint16) << 8)
         first, second = self.tables
         narrow = self.filters * sum(w <= 2 for w in WIDTHS)
         span = WINDOW - max(WIDTHS) + 1
         x = first.take(pairs[:, :span], axis=0)
         x[:, :, narrow:] += second.take(pairs[:, 2 : 2 + span], axis=0)
-        at = x.argmax(1) if places else None
-        return np.maximum(x.max(1) + self.bias, 0), at
+        return np.maximum(x.max(1) + self.bias, 0)
 
     def logits(self, windows: np.ndarray) -> np.ndarray:
-        out = [self.features(windows[i : i + 64])[0] @ self.dense + self.offset for i in range(0, len(windows), 64)]
+        out = [self.features(windows[i : i + 64]) @ self.dense + self.offset for i in range(0, len(windows), 64)]
         return np.concatenate(out)
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 2) -> ByteConvNet:
@@ -88,8 +99,7 @@ class ByteConvNet:
             for i in range(0, len(order), batch):
                 chosen = order[i : i + batch]
                 x, y = windows[chosen], labels[chosen]
-                self.compile()
-                h, at = self.features(x, places=True)
+                h, at = self.places(x)
                 z = h @ self.dense + self.offset
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
