@@ -136,6 +136,45 @@ def test_edited_license_text_is_a_span():
     assert "mit" in got[5].split(",") and got[7][0][1] == 2
 
 
+@pytest.mark.parametrize("text,label", [
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+    ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
+    ("Licensed under CC BY 4.0.", "cc-by"),
+    ("It is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("It is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "cc-by-nc-nd"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
+])
+def test_licenses_that_differ_in_a_word_are_told_apart(text, label):
+    got = licenses.Scanner().scan(text)
+    assert got[5] == label and got[6] == 1.0
+
+
+def test_each_template_has_its_own_label():
+    scanner = licenses.Scanner()
+    for label, passages in licenses.TEMPLATES.items():
+        for passage in passages:
+            labels = scanner.scan(f"before {passage} after")[5].split(",")
+            base = {b for p, b in licenses.BASE_PHRASES.items() if p in passage}
+            assert label in labels and set(labels) <= {label} | base, passage
+
+
+def test_stronger_spans_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        spans = []
+        for _ in range(rng.randrange(9)):
+            first = rng.randrange(12)
+            spans.append((rng.choice("abc"), first, first + rng.randrange(8), rng.choice([0.5, 0.7, 1.0]), rng.randrange(3, 6)))
+        spans.sort(key=lambda s: (s[1], s[2], s[0]))
+        own = [set(range(s[1], s[2] + 1)) for s in spans]
+        kept = [
+            s for i, s in enumerate(spans)
+            if not any(t[0] != s[0] and 2 * len(own[i] & own[k]) > len(own[i]) and t[3] >= s[3] and t[4] >= s[4] and (t[3] > s[3] or t[4] > s[4]) for k, t in enumerate(spans))
+        ]
+        assert licenses.strongest(spans) == kept
+
+
 # --- language models
 
 

@@ -2,7 +2,8 @@
 
 The automaton is built once from the templates (a fixed, small list) and shipped with the task. Every document is
 streamed through it word by word, which gives the matching statistics: the length of the longest template passage that
-ends at each word. Maximal matches of a minimum length are chained, in template order, into covered spans.
+ends at each word. Maximal matches of a minimum length are chained, in template order, into covered spans. Of spans over
+the same words the one with the better covered template stands: names of licenses often hold those of others.
 
 Defined cases: a null text is the empty text (no words, no labels, score 0); repeated rows, null ids and extra columns
 pass through; any length of text takes memory for its words only.
@@ -36,19 +37,54 @@ TEMPLATES = {
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "you should have received a copy of the gnu general public license along with this program",
     ],
-    "lgpl": ["licensed under the gnu lesser general public license version 2 1"],
-    "agpl": ["licensed under the gnu affero general public license version 3"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "lgpl": [
+        "licensed under the gnu lesser general public license version 2 1",
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        "you should have received a copy of the gnu lesser general public license along with this library",
+    ],
+    "agpl": [
+        "licensed under the gnu affero general public license version 3",
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+        "you should have received a copy of the gnu affero general public license along with this program",
+    ],
+    "mpl": [
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    ],
+    "epl": ["this program and the accompanying materials are made available under the terms of the eclipse public license"],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties",
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    ],
+    "boost": [
+        "distributed under the boost software license version 1 0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
     ],
+    "ofl": ["this font software is licensed under the sil open font license version 1 1"],
+    "wtfpl": ["do what the fuck you want to public license"],
     "cc-by": ["licensed under cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 international license"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
+    "cc-by-nd": ["licensed under cc by nd 4 0", "licensed under a creative commons attribution noderivatives 4 0 international license"],
+    "cc-by-nc-sa": ["licensed under cc by nc sa 4 0", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license"],
+    "cc-by-nc-nd": ["licensed under cc by nc nd 4 0", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"],
     "cc0": ["to the extent possible under law the author has waived all copyright and related rights"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary",
+    ],
     "proprietary": ["all rights reserved"],
 }
 
@@ -193,9 +229,28 @@ class Scanner:
                 if start - chain[1] <= self.gap and overlap < n and start + n > chain[1] and at + n > chain[2]:
                     chain = [chain[0], start + n, at + n, chain[3] + n - overlap]
                     continue
-                out.append((label, chain[0], chain[1] - 1, min(1.0, chain[3] / len(template))))
+                out.append((label, chain[0], chain[1] - 1, min(1.0, chain[3] / len(template)), chain[3]))
                 chain = [start, start + n, at + n, n]
-        return sorted(out, key=lambda s: (s[1], s[2], s[0]))
+        return [s[:4] for s in strongest(sorted(out, key=lambda s: (s[1], s[2], s[0])))]
+
+
+def strongest(spans: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float, int]]:
+    """The spans (sorted by first word) that no other label's span on most of their words beats: one with no smaller share
+    of its template and no fewer words of it, and more of either. So a license isn't taken for one that differs in a word."""
+
+    def beats(a: tuple, b: tuple) -> bool:
+        shared = min(a[2], b[2]) - max(a[1], b[1]) + 1
+        return a[0] != b[0] and 2 * shared > b[2] - b[1] + 1 and a[3:] != b[3:] and a[3] >= b[3] and a[4] >= b[4]
+
+    beaten: set[int] = set()
+    open_: list[int] = []
+    for i, own in enumerate(spans):
+        open_ = [k for k in open_ if spans[k][2] >= own[1]]
+        beaten.update(k for k in open_ if beats(own, spans[k]))
+        if any(beats(spans[k], own) for k in open_):
+            beaten.add(i)
+        open_.append(i)
+    return [s for i, s in enumerate(spans) if i not in beaten]
 
 
 RESULT = T.StructType([
