@@ -51,8 +51,10 @@ def test_several_shards_and_ties(spark):
     got = {q: [r["vec_id"] for r in found.filter(F.col("query_id") == q).orderBy("rank").collect()] for q in (300, 339, 400, 401, 402, 403, 404, 405)}
     assert got[300] == [301, 302, 303, 304, 305] and got[339] == [300, 301, 302, 303, 304]
     assert not any(got[q] for q in (400, 401, 402, 403, 404, 405))
+    both = lambda asked: sorted(map(tuple, hnsw.nearest(df.filter("vec_id % 3 = 0"), index, query_bytes=asked).collect()))
+    assert both(48 * 16) == both(1 << 20)  # seven blocks of queries, or one
     none = df.limit(0)
-    assert hnsw.nearest(df, hnsw.build_index(none)).count() == 0 and hnsw.nearest(none, index).count() == 0
+    assert hnsw.nearest(df,hnsw.build_index(none)).count() == 0 and hnsw.nearest(none, index).count() == 0
 
 
 @pytest.mark.parametrize("dims", [32, 96])

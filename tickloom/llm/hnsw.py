@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 M, NEAR, EF_SEARCH = 16, 48, 128
-#: Bytes of the vectors of a shard (in double precision), and queries of a block.
-SHARD_BYTES = 64 << 20
-QUERY_BLOCK = 8192
+#: Bytes of the vectors (in double precision) of a shard and of a block of queries: as a shard is sent for each block and
+#: a query for each shard, blocks as large as shards move the least.
+SHARD_BYTES = QUERY_BYTES = 64 << 20
 
 
 class Graph:
@@ -236,11 +236,11 @@ def _search(k: int, ef: int):
     return run
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", ef: int = EF_SEARCH) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", ef: int = EF_SEARCH, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each query, its own id left out."""
     own = valid_vectors(queries, id_col, vec_col).distinct().withColumn("part", F.xxhash64("vec"))
     shards = index.select("shard", "dims")
-    blocks = max(1, math.ceil(own.count() / QUERY_BLOCK))
+    blocks = max(1, math.ceil((own.agg(F.sum(F.size("vec"))).first()[0] or 0) * 8 / query_bytes))
     asked = own.withColumn("block", F.pmod(F.xxhash64("vec_id", "part"), F.lit(blocks))).withColumn("dims", F.size("vec"))
     # Each query goes to every shard: a stated query set against all rows, in blocks. A shard is sent once for each block.
     sent = asked.join(shards.withColumnRenamed("shard", "to"), "dims").select("to", "block", "vec_id", "part", "vec")
