@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hnsw, language, licenses, line_dedup, lm_score, sentencepiece, simhash, toxicity, warc
+from . import conversations, decontaminate, hnsw, language, licenses, line_dedup, lm_score, packing, sentencepiece, simhash, toxicity, warc
 from .common import held_out, table
 
 
@@ -71,11 +71,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_nearest_vectors, op2_license_scan, op3_lm_score, op4_line_dedup, op5_language_id, op6_toxicity, op7_sentencepiece, op8_warc_packages,
-        op9_decontamination, op10_simhash,
+        op9_decontamination, op10_simhash, op11_packing, op12_conversation_repair,
     )
 }
 
@@ -118,7 +126,80 @@ scored AS (
   LEFT JOIN rest1 c1b ON c1b.doc_id = s.doc_id AND c1b.w3 = s.w2
 )"""
 
+# CRC-32 by its table, which follows from the polynomial; bytes by way of hexadecimal digits.
+_CRC = """
+crc_table AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY b) AS entries FROM range(256) r(b)
+)"""
+
+
+def _crc32(text: str) -> str:
+    byte = f"list_transform(range(strlen({text})), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {byte}), lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])))"
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "''") -> str:
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}} END"
+
+
+def _least(*choices: str) -> str:
+    return f"list_sort([{', '.join(choices)}], 'ASC', 'NULLS LAST')[1]"
+
+
+def _settled(source: str) -> str:
+    """Cheapest ways to each state (n, s, u, a), insertions included."""
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    u = _least("u", _edit("n", "3", "I", user), _edit("s", "3", "I", user), _edit("a", "3", "I", user))
+    return f"SELECT * REPLACE ({_least('a', _edit('u', '3', 'I', assistant))} AS a) FROM (SELECT * REPLACE ({u} AS u) FROM ({source}))"
+
+
+def _row(state: str, before: tuple[str, ...], name: str) -> str:
+    line, choices = "chr(10) || role || ':' || text", [_edit(state, "4", "D")]
+    for b in before:
+        choices.append(f"CASE WHEN stays AND initial = '{state}' THEN {_edit(b, 'extra', 'K', line)} END")
+        if name:
+            choices.append(f"CASE WHEN stays THEN {_edit(b, '3 + extra', 'R', f"chr(10) || '{name}:' || text")} END")
+    return f"{_least(*choices)} AS {state}"
+
+
+_REPAIR = f"""
+WITH RECURSIVE {_CRC.strip()}, given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM given WHERE kind <> 0
+), placed AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen
+  FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN seen = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), steps AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS n, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS u, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS a
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {_row("n", (), "")}, {_row("s", ("n",), "")}, {_row("u", ("n", "s", "a"), "user")}, {_row("a", ("u",), "assistant")}
+  FROM (
+    SELECT p.conv_id, j.i, n, s, u, a, j.role, j.text, j.initial, j.fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN j.fault = 'truncated' THEN 3 ELSE 0 END AS extra
+    FROM ({_settled("SELECT * FROM steps")}) p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i + 1
+  )
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.c AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM (SELECT conv_id, i, {_least("n", "a")} AS best FROM ({_settled("SELECT * FROM steps")})) e
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+WHERE e.i = coalesce(c.n, 0)"""
+
 SQL = {
+    "op12_conversation_repair": _REPAIR,
     "op3_lm_score": f"""
 WITH {_GRAMS.strip()}
 SELECT t.doc_id, len(t.ws) AS n_words, round(coalesce(x.total, 0), 4) AS log_sum, round(x.total / len(t.ws), 6) AS log_mean
