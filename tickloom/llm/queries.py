@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, hnsw, language, licenses, line_dedup, lm_score, packing, sentencepiece, simhash, toxicity, warc
+from . import collocations, conversations, decontaminate, hnsw, language, licenses, line_dedup, lm_score, packing, sentencepiece, simhash, toxicity, warc
 from .common import held_out, table
 
 
@@ -79,11 +79,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_nearest_vectors, op2_license_scan, op3_lm_score, op4_line_dedup, op5_language_id, op6_toxicity, op7_sentencepiece, op8_warc_packages,
-        op9_decontamination, op10_simhash, op11_packing, op12_conversation_repair,
+        op9_decontamination, op10_simhash, op11_packing, op12_conversation_repair, op13_collocations,
     )
 }
 
@@ -197,8 +201,41 @@ SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT conv_id, i, {_least("n", "a")} AS best FROM ({_settled("SELECT * FROM steps")})) e
 LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 WHERE e.i = coalesce(c.n, 0)"""
+_PHRASES = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS ws FROM pieces
+), spots AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded
+), grams AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM spots, range(1, 5) r(m) WHERE i + m - 1 <= len(ws)
+), counts AS (
+  SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, count(*) AS n FROM spots GROUP BY lang
+), candidates AS (
+  SELECT *, string_split(phrase, ' ') AS ws FROM counts WHERE m > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, h.a AS l, t.a AS r, (2000000::HUGEINT * c.a // (h.a + t.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+  JOIN counts h ON h.lang = c.lang AND h.phrase = array_to_string(c.ws[1:k], ' ')
+  JOIN counts t ON t.lang = c.lang AND t.phrase = array_to_string(c.ws[k + 1:c.m], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, array_to_string(ws[s:s + z - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - z + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS z FROM candidates))
+  GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, n, b.score
+FROM best b JOIN totals USING (lang) LEFT JOIN longer ON longer.lang = b.lang AND longer.phrase = b.phrase
+WHERE longer IS NULL OR 100 * longer < 80 * b.a
+QUALIFY rank <= 2000"""
 
 SQL = {
+    "op13_collocations": _PHRASES,
     "op12_conversation_repair": _REPAIR,
     "op3_lm_score": f"""
 WITH {_GRAMS.strip()}
