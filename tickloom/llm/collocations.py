@@ -35,7 +35,9 @@ LONGEST, SUPPORT, COVERED, TOP = 4, 30, 80, 2000
 #: Shards of the mining.
 SHARDS = 8
 #: Words of a chunk.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Phrases that are handed on, or looked up in a filter, at once.
+AT_ONCE = 1 << 16
 #: Bits of the filters of frequent phrases.
 BITS = 1 << 26
 #: Parts in which the best phrases of a language are first looked for.
@@ -64,6 +66,7 @@ def _batch(ddl: str, types: list[pa.DataType], columns: list) -> pa.RecordBatch:
 def _chunks(shards: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no = TaskContext.get().partitionId(), 0
+        shard = xxhash.xxh64_intdigest(str(part)) % shards  # one for all chunks of a task: what they share is added up there
         open_chunks: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
         held = 0
 
@@ -74,7 +77,7 @@ def _chunks(shards: int, size: int):
             counts = np.bincount(ids, minlength=len(numbers))
             words = [w.decode() for w in numbers]
             n = int(counts.sum() - counts[0])
-            row = [[lang], [part], [no], [xxhash.xxh64_intdigest(f"{part}:{no}") % shards], [n], [words[1:]], [counts[1:].tolist()], [ids.astype("<i4").tobytes()]]
+            row = [[lang], [part], [no], [shard], [n], [words[1:]], [counts[1:].tolist()], [ids.astype("<i4").tobytes()]]
             no, held = no + 1, held - len(ids)
             return _batch(_CHUNKS, _CHUNK_TYPES, row)
 
@@ -111,7 +114,12 @@ def bit_filter(phrases: DataFrame, key: Column, bits: int) -> np.ndarray:
     return out
 
 
-def _passes(bits: np.ndarray, key: str, phrases: list[str]) -> np.ndarray:
+def _passes(bits: np.ndarray, key: str, phrases: pa.Array) -> np.ndarray:
+    parts = [_passes_some(bits, key, phrases.slice(s, AT_ONCE).to_pylist()) for s in range(0, len(phrases), AT_ONCE)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
+def _passes_some(bits: np.ndarray, key: str, phrases: list[str]) -> np.ndarray:
     head = xxhash.xxh64(key.encode(), seed=42)
 
     def digest(phrase: str) -> int:
@@ -138,7 +146,7 @@ def _level(ids: np.ndarray, shorter: np.ndarray, texts: pa.Array, words: pa.Arra
     after = np.full(len(shorter), -1, np.int64)
     after[:-1] = shorter[1:]
     last = np.zeros(len(ids), np.int64)
-    last[: len(ids) - n + 1] = ids[n - 1 :]
+    last[: max(0, len(ids) - n + 1)] = ids[n - 1 :]
     spots = np.flatnonzero((shorter >= 0) & (after >= 0))
     keys, which, counts = np.unique(shorter[spots] << 32 | last[spots], return_inverse=True, return_counts=True)
     out = np.full(len(ids), -1, np.int64)
@@ -146,6 +154,12 @@ def _level(ids: np.ndarray, shorter: np.ndarray, texts: pa.Array, words: pa.Arra
     return out, counts, pc.binary_join_element_wise(texts.take(pa.array(keys >> 32)), words.take(pa.array(keys & 0xFFFFFFFF)), " ")
 
 
+def _found(lang: str, shard: int, texts: pa.Array, n: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for s in range(0, len(texts), AT_ONCE):
+        some = texts.slice(s, AT_ONCE)
+        yield _batch(_FOUND, _FOUND_TYPES, [[lang] * len(some), [shard] * len(some), some, [n] * len(some), counts[s : s + AT_ONCE].tolist()])
+
+
 def _counting(bits: dict[int, object], level: int | None, longest: int):
     """Counts in chunks. With ``level``: of phrases of so many words whose parts are frequent in the chunk's shard. Without: of
     all phrases of two words or more that pass the last filter, which is one of the whole corpus."""
@@ -160,17 +174,18 @@ def _counting(bits: dict[int, object], level: int | None, longest: int):
                 texts, places = words, np.where(ids > 0, ids, -1)
                 for n in range(1, (level or longest + 1)):
                     # Phrases of n words: keep those that pass, then go on to n + 1.
+                    ok = np.ones(len(texts), bool)
                     if n > 1:
                         places, counts, texts = _level(ids, places, texts, words, n)
-                        if not level and len(texts):
-                            ok = _passes(bits[0].value, key, texts.to_pylist())
-                            chosen = texts.filter(pa.array(ok))
-                            yield _batch(_FOUND, _FOUND_TYPES, [[lang] * len(chosen), [shard] * len(chosen), chosen, [n] * len(chosen), counts[ok].tolist()])
-                    ok = _passes(bits[n].value, key, texts.to_pylist()) if level else ok if n > 1 and len(texts) else np.ones(len(texts), bool)
-                    places = np.where((places >= 0) & ok[np.maximum(places, 0)], places, -1) if len(ok) else places
+                    if level:
+                        ok = _passes(bits[n].value, key, texts)
+                    elif n > 1:
+                        ok = _passes(bits[0].value, key, texts)
+                        yield from _found(lang, shard, texts.filter(pa.array(ok)), n, counts[ok])
+                    places[places >= 0] = np.where(ok[places[places >= 0]], places[places >= 0], -1)
                 if level:
                     __, counts, texts = _level(ids, places, texts, words, level)
-                    yield _batch(_FOUND, _FOUND_TYPES, [[lang] * len(texts), [shard] * len(texts), texts, [level] * len(texts), counts.tolist()])
+                    yield from _found(lang, shard, texts, level, counts)
 
     return run
 
