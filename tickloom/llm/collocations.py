@@ -35,9 +35,9 @@ LONGEST, SUPPORT, COVERED, TOP = 4, 30, 80, 2000
 #: Shards of the mining.
 SHARDS = 8
 #: Words of a chunk.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Phrases that are handed on, or looked up in a filter, at once.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 15
 #: Bits of the filters of frequent phrases.
 BITS = 1 << 26
 #: Parts in which the best phrases of a language are first looked for.
