@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import prep, reconcile
 from tickloom.sources import bars as src
+from tickloom.sources.layouts import layouts
 
 OURS = "symbol string, entry_time timestamp, exit_time timestamp, entry_price double, exit_price double, exit_signal string, pnl double, entry_bar long"
 THEIRS = OURS.replace(", entry_bar long", "")
@@ -34,9 +35,10 @@ def test_adjusted_close_and_missing_volume(spark, tmp_path):
 def test_the_delimiter_is_sought_in_2048_characters(spark, tmp_path):
     """Short lines: more than fifty of them count."""
     text = "o;h;l;c\n" + "1,5\n" * 4 + "1;2;0;1\n" * 300
-    assert src.sniff_delimiter(spark, write(tmp_path, text)) == ";"
-    assert src.sniff_delimiter(spark, write(tmp_path, "a,b\n" + ",\n" * 60 + ";;;;;\n" * 200, "b.csv")) == ";"
-    assert src.sniff_delimiter(spark, write(tmp_path, "", "c.csv")) == ","
+    seps = lambda *args: [x.sep for x in layouts(spark, write(tmp_path, *args))]
+    assert seps(text) == [";"]
+    assert seps("a,b\n" + ",\n" * 60 + ";;;;;\n" * 200, "b.csv") == [";"]
+    assert seps("", "c.csv") == []
     strict = src.read_bars_strict(spark, write(tmp_path, "date;open;high;low;close\n2024-01-01;1;2;0.5;1.5\n", "d.csv"))
     assert strict.first()["close"] == 1.5
 
@@ -47,6 +49,40 @@ def test_rows_without_a_time_are_numbered(spark):
     assert src.resolve_columns(df.limit(0)).count() == 0
 
 
+def test_each_file_is_read_by_its_own_heading(spark, tmp_path):
+    """Swapped columns, other delimiters, other names, no volume, a quoted heading, an empty file, names with odd signs."""
+    write(tmp_path, "Date,Open,High,Low,Close,Volume\n2024-01-01,1,2,0.5,1.5,10\n", "a.csv")
+    write(tmp_path, "Date,Close,Open,High,Low\n2024-01-02,1.5,1,2,0.5\n", "b [1] 100%+.csv")
+    write(tmp_path, "L;H;O;C;Time;v\r\n0.5;2;1;1.5;2024-01-03;7\r\n", "c.csv")
+    write(tmp_path, '\n"close_price"\t"open_price"\t"low_price"\t"high_price"\t"timestamp"\n1.5\t1\t0.5\t2\t2024-01-04\n', "d.csv")
+    write(tmp_path, "Date,Close,Open,High,Low\n2024-01-05,1.5,1,2,0.5\n2024-01-06,x,1,2,0.5\n", "e.csv")
+    write(tmp_path, "", "f.csv")
+    rows = src.read_bars_csv(spark, str(tmp_path)).orderBy("ts").collect()
+    assert [r["ts"].day for r in rows] == [1, 2, 3, 4, 5]
+    assert {(r["open"], r["high"], r["low"], r["close"]) for r in rows} == {(1.0, 2.0, 0.5, 1.5)}
+    assert [r["volume"] for r in rows] == [10.0, 0.0, 7.0, 0.0, 0.0]
+    found = layouts(spark, str(tmp_path))
+    assert sorted(len(x.files) for x in found) == [1, 1, 1, 2]
+    strict = src.read_bars_strict(spark, str(tmp_path)).orderBy("ts").collect()
+    assert [r["close"] for r in strict] == [1.5] * 5
+
+
+def test_folders_that_name_columns(spark, tmp_path):
+    for symbol, text in (("A", "Date,Open,High,Low,Close\n2024-01-01,1,2,0.5,1.5\n"), ("B", "Close;Open;High;Low;Date\n1.5;1;2;0.5;2024-01-01\n")):
+        (tmp_path / f"symbol={symbol}").mkdir()
+        write(tmp_path / f"symbol={symbol}", text)
+    rows = src.read_bars_csv(spark, str(tmp_path), keep=("symbol",)).orderBy("symbol").collect()
+    assert [(r["symbol"], r["open"], r["close"]) for r in rows] == [("A", 1.0, 1.5), ("B", 1.0, 1.5)]
+
+
+def test_trade_lists_of_several_headings(spark, tmp_path):
+    write(tmp_path, "Entry Time,Exit Time,Entry Price,Exit Price,Profit\n01/02/2024 10:00,01/02/2024 11:00,1,2,5\n", "a.csv")
+    write(tmp_path, "exit,entry,exit_date,entry_date,type\n2,1,2024-01-03 11:00,2024-01-03 10:00,SL\n", "b.csv")
+    rows = src.read_external_trades(spark, str(tmp_path)).orderBy("entry_time").collect()
+    assert [(r["entry_price"], r["exit_price"], r["pnl"], r["exit_signal"]) for r in rows] == [(1.0, 2.0, 5.0, None), (1.0, 2.0, 0.0, "SL")]
+    assert [r["entry_time"].day for r in rows] == [2, 3]
+
+
 def test_missing_prices_are_named(spark, tmp_path):
     with pytest.raises(ValueError, match="Missing"):
         src.read_bars_csv(spark, write(tmp_path, "foo,bar\n1,2\n"))

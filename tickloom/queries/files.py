@@ -21,11 +21,25 @@ def written(spark, df, sep=",", name="bars"):
     return path
 
 
+def in_layouts(spark, df, row, forms, name="bars"):
+    """Files below one path, ``row`` dealt over the forms: each a delimiter and the columns in the order of its files."""
+    path = fresh_path(spark, name)
+    for i, (sep, columns) in enumerate(forms):
+        df.filter(row % len(forms) == i).select(*[F.col(c).alias(heading) for c, heading in columns]).write.csv(f"{path}/{i}", header=True, sep=sep)
+    return f"{path}/*"
+
+
 @query(with_(BARS) + f"SELECT symbol, {TS}, {OUT} FROM bars WHERE bar_idx % 10 <> 3")
 def read_bars_csv(spark, sf):
-    """Tab-separated, with headings of its own and some prices that are no numbers."""
-    own = bars(spark, sf).select("symbol", F.col("ts").alias("Date"), F.col("open").alias("Open_Price"), F.col("high").alias("H"), F.col("low").alias("LOW"), F.when(F.col("bar_idx") % 10 == 3, F.lit("n/a")).otherwise(F.col("close").cast("string")).alias("Adj Close"), F.col("volume").alias("Vol"))
-    return shown(src.read_bars_csv(spark, written(spark, own, "\t"), keep=("symbol",)))
+    """Four layouts below one path, with delimiters, headings and orders of their own, and some prices that are no numbers."""
+    own = bars(spark, sf).withColumn("close", F.when(F.col("bar_idx") % 10 == 3, F.lit("n/a")).otherwise(F.col("close").cast("string")))
+    forms = [
+        ("\t", [("symbol", "symbol"), ("ts", "Date"), ("open", "Open_Price"), ("high", "H"), ("low", "LOW"), ("close", "Adj Close"), ("volume", "Vol")]),
+        (",", [("ts", "timestamp"), ("close", "close"), ("open", "open"), ("high", "high"), ("low", "low"), ("volume", "volume"), ("symbol", "symbol")]),
+        (";", [("volume", " V "), ("low", "L"), ("high", "High_Price"), ("symbol", "symbol"), ("open", "o"), ("close", "C"), ("ts", "time")]),
+        (",", [("high", "h"), ("low", "l"), ("open", "o"), ("close", "close_price"), ("symbol", "symbol"), ("ts", "datetime"), ("volume", "v")]),
+    ]
+    return shown(src.read_bars_csv(spark, in_layouts(spark, own, F.col("bar_idx"), forms), keep=("symbol",)))
 
 
 @query("SELECT p_partkey, p_retailprice AS open, p_retailprice AS high, p_retailprice AS low, p_retailprice AS close, p_size::DOUBLE AS volume FROM part")
@@ -37,8 +51,11 @@ def resolve_columns(spark, sf):
 
 @query(with_(BARS) + f"SELECT symbol, {TS}, {OUT} FROM bars WHERE hour(ts) * 60 + minute(ts) >= 570 AND hour(ts) * 60 + minute(ts) < 960")
 def read_bars_strict(spark, sf):
-    own = bars(spark, sf).select(F.col("ts").alias("when"), "symbol", *PRICES)
-    return shown(src.read_bars_strict(spark, written(spark, own), unlabelled=True, rth_only=True, keep=("symbol",)))
+    """The first column is the time where no heading says so; three layouts below one path."""
+    plain = [("ts", "when"), ("symbol", "symbol"), *[(c, c) for c in PRICES]]
+    forms = [(",", plain), ("\t", [("symbol", "symbol"), *[(c, c) for c in reversed(PRICES)], ("ts", "Date")]), (";", [("close", "close"), ("ts", "time"), ("open", "open"), ("low", "low"), ("high", "high"), ("symbol", "symbol"), ("volume", "vol")])]
+    path = in_layouts(spark, bars(spark, sf), F.col("bar_idx"), forms)
+    return shown(src.read_bars_strict(spark, path, unlabelled=True, rth_only=True, keep=("symbol",)))
 
 
 @query(with_(BARS) + f"SELECT symbol, {TS}, {OUT} FROM bars")
@@ -87,11 +104,20 @@ EXTERNAL = "symbol, {0} AS entry_time, {1} AS exit_time, round(entry_price, 6) A
 
 
 def external_csv(spark, sf):
-    """Trades as an external list: headings with spaces, times as month/day/year."""
+    """Trades as external lists in three layouts: headings with spaces or without, times as month/day/year or year-month-day."""
     trades = ret.trades_from_signals(sig.sig_donchian(bars(spark, sf)))
-    time = lambda c: F.date_format(c, "MM/dd/yyyy HH:mm:ss")
+    time = lambda c: F.when(F.col("trade_id") % 3 == 1, F.date_format(c, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(c, "MM/dd/yyyy HH:mm:ss"))
     reason = F.when(F.col("trade_id") % 2 == 0, "Take Profit").otherwise("SL")
-    return written(spark, trades.select("symbol", time("entry_time").alias("Entry Time"), time("exit_time").alias("Exit Time"), F.col("entry_price").alias("Entry Price"), F.col("exit_price").alias("Exit Price"), reason.alias("Exit Signal"), F.col("pnl_pct").alias("Net Profit")), name="external")
+    own = trades.withColumns({"entry_time": time("entry_time"), "exit_time": time("exit_time"), "reason": reason})
+    columns = ("symbol", "entry_time", "exit_time", "entry_price", "exit_price", "reason", "pnl_pct")
+    headings = [
+        ("symbol", "Entry Time", "Exit Time", "Entry Price", "Exit Price", "Exit Signal", "Net Profit"),
+        ("symbol", "entry_date", "exit_date", "entry", "exit", "type", "pnl"),
+        ("symbol", "EntryTime", "ExitTime", "EntryPrice", "ExitPrice", "Signal", "P&L"),
+    ]
+    forms = [(",", list(zip(columns, h))) for h in headings]
+    forms[1] = (",", forms[1][1][::-1])
+    return in_layouts(spark, own, F.col("trade_id"), forms, "external")
 
 
 @query(with_(*DONCHIAN, trades_sql()) + "SELECT " + EXTERNAL.format("strftime(entry_ts, '%Y-%m-%d %H:%M:%S')", "strftime(exit_ts, '%Y-%m-%d %H:%M:%S')") + " FROM trades")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core import OHLC
 from ..operators.prep import filter_rth
+from .layouts import read_layouts
 
 #: Headings by canonical name, the first found wins; compared without case and outer spaces (fixed values).
 ALIASES = {
@@ -55,18 +58,14 @@ def _found(columns: list[str], aliases: dict[str, list[str]]) -> dict[str, str]:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Rows with ``_row``: 0, 1, 2 and so on by partition and place in it."""
+    """Rows with ``_row``: 0, 1, 2 and so on by partition and place in it. The sizes of the partitions, a row each, are added
+    up and joined; nothing else is gathered."""
     placed = df.withColumn("_row", F.monotonically_increasing_id())
-    part = lambda c: F.shiftright(c, 33)
-    sizes = placed.groupBy(part("_row").alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()  # a row for each partition
-    before, starts = 0, []
-    for r in sorted(sizes):
-        starts.append(F.struct(F.lit(r["_part"]).alias("p"), F.lit(before).cast("long").alias("s")))
-        before += r["_n"]
-    if not starts:
-        return placed
-    first = F.try_element_at(F.map_from_entries(F.array(*starts)), part("_row"))
-    return placed.withColumn("_row", first + F.col("_row").bitwiseAND((1 << 33) - 1))
+    part = F.shiftright("_row", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    joined = placed.withColumn("_part", part).join(before, "_part")
+    return joined.withColumn("_row", F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_part", "_before")
 
 
 def resolve_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -87,36 +86,29 @@ def resolve_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*keep, ts.alias("ts"), *[number(found[c]).alias(c) for c in OHLC], volume.alias("volume"))
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """Tab or semicolon if the first 2048 characters have more of it than of commas, else the comma. Lines are taken from
-    the first file until they make up as many, however short they are."""
-    head, count = "", 64
-    while True:
-        lines = [r["value"] for r in spark.read.text(path).limit(count).collect()]  # 2048 lines at most
-        head = "\n".join(lines)
-        if len(head) >= 2048 or len(lines) < count:
-            break
-        count *= 2
-    tabs, semis, commas = (head[:2048].count(c) for c in "\t;,")
-    return "\t" if tabs > commas else ";" if semis > commas else ","
+def _together(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
 
+def read_bars_csv(spark: SparkSession, path: str | list[str], sep: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Delimited bars, each file by its own heading and, unless ``sep`` is given, its own delimiter; rows without all four
+    prices are left out. A sort is left to what needs it. Of files without a time column, each layout is numbered by itself."""
+    return _together([resolve_columns(raw, keep) for raw in read_layouts(spark, path, sep)]).dropna(subset=list(OHLC))
 
-def read_bars_csv(spark: SparkSession, path: str, sep: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Delimited bars; rows without all four prices are left out. A sort is left to what needs it."""
-    raw = spark.read.csv(path, header=True, sep=sep or sniff_delimiter(spark, path))
-    return resolve_columns(raw, keep).dropna(subset=list(OHLC))
 
+def read_bars_strict(spark: SparkSession, path: str | list[str], time_column: str | None = None, unlabelled: bool = False, rth_only: bool = False, keep: tuple[str, ...] = (), sep: str | None = None) -> DataFrame:
+    """As above, but each file must have a time column: ``time_column``, one of the usual headings, or with ``unlabelled``
+    its first column. ``rth_only`` keeps regular (local) hours."""
+    bars = _together([_timed(raw, time_column, unlabelled, keep) for raw in read_layouts(spark, path, sep)]).dropna(subset=list(OHLC))
+    return filter_rth(bars, "local") if rth_only else bars
 
-def read_bars_strict(spark: SparkSession, path: str, time_column: str | None = None, unlabelled: bool = False, rth_only: bool = False, keep: tuple[str, ...] = (), sep: str | None = None) -> DataFrame:
-    """As above, but the time column must be there: ``time_column``, one of the usual headings, or with ``unlabelled`` the
-    first column. ``rth_only`` keeps regular (local) hours."""
-    raw = spark.read.csv(path, header=True, sep=sep or sniff_delimiter(spark, path))
+
+def _timed(raw: DataFrame, time_column: str | None, unlabelled: bool, keep: tuple[str, ...]) -> DataFrame:
     name = time_column or _found(raw.columns, {"ts": ["time", "date", "datetime", "timestamp"]}).get("ts") or (raw.columns[0] if unlabelled else None)
     if name is None or name not in raw.columns:
         raise ValueError(f"No time column found in {raw.columns}")
     others = [c for c in raw.columns if c != name and c.lower().strip() not in ALIASES["ts"]]
-    bars = resolve_columns(raw.select(F.col(f"`{name}`").alias("timestamp"), *[f"`{c}`" for c in others]), keep).dropna(subset=list(OHLC))
-    return filter_rth(bars, "local") if rth_only else bars
+    return resolve_columns(raw.select(F.col(f"`{name}`").alias("timestamp"), *[f"`{c}`" for c in others]), keep)
 
 
 def read_bars_parquet(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -178,8 +170,9 @@ def external_trades(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def read_external_trades(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return external_trades(spark.read.csv(path, header=True), keep)
+def read_external_trades(spark: SparkSession, path: str | list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Trade lists, each file by its own heading."""
+    return _together([external_trades(raw, keep) for raw in read_layouts(spark, path, ",")])
 
 
 def canonical_symbol(c: Column) -> Column:
