@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tests.helpers import close_to, series, values
 from tickloom.operators import returns as ret
 from tickloom.operators import signals as sig
+from tickloom.operators import pyramid
 from tickloom.operators import trades as tr
 from tickloom.plans import sweep
 
@@ -166,9 +167,9 @@ def test_trades_last_until_a_level_trades_or_the_series_ends(spark):
     assert found == {3: (667, "SL"), 750: (None, "Open")}
 
 
-@pytest.mark.parametrize("block", [1, 3, 32])
-def test_blocks_do_not_change_exits(spark, monkeypatch, block):
-    monkeypatch.setattr(tr, "FIRST_BLOCK", block)
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_blocks_do_not_change_exits(spark, monkeypatch, bits):
+    monkeypatch.setattr(pyramid, "BITS", bits)
     bars = walk(spark, 120, 3).withColumn("direction", F.when(F.col("bar_idx") % 7 == 0, "long").when(F.col("bar_idx") % 7 == 3, "short"))
     rows = {r["bar_idx"]: r for r in bars.collect()}
     for r in tr.trailing_exit(tr.candidate_entries(bars), bars, 1.0, 1.0).collect():
@@ -184,6 +185,72 @@ def test_blocks_do_not_change_exits(spark, monkeypatch, block):
         assert (r["exit_bar"], r["exit_signal"]) == left
 
 
+def gapped(spark, n, seed):
+    """A walk with an ATR that is missing at times, long bars, ties and missing bars."""
+    rng, price, rows = random.Random(seed), 100.0, []
+    for i in range(n):
+        o, price = price, round(price * math.exp(rng.gauss(0, 0.02)), 1)
+        rows.append(("a" if i % 2 else "b", i // 2, o, max(o, price) + rng.choice([0.0, 0.0, 1.5]), min(o, price) - rng.choice([0.0, 0.0, 1.5]), price, rng.choice([None, 0.0, 0.5, 1.0, 2.0]), rng.choice(["long", "short", None])))
+    rows = [r for r in rows if r[1] % 11 != 5]
+    frame = spark.createDataFrame(rows, "symbol string, bar_idx long, open double, high double, low double, close double, atr double, direction string")
+    return frame.withColumn("ts", F.timestamp_seconds(F.col("bar_idx") * 3600)), rows
+
+
+@pytest.mark.parametrize("bits", [1, 3, 6])
+def test_first_touch_against_a_walk_over_the_bars(spark, monkeypatch, bits):
+    monkeypatch.setattr(pyramid, "BITS", bits)
+    bars, rows = gapped(spark, 400, bits)
+    entries = tr.candidate_entries(bars, atr="atr")
+    for sl, tp in ((0.0, 0.0), (3.0, 4.0), (2.5, 0.0)):
+        levels = tr.initial_levels(entries, sl_atr=sl, tp_atr=tp, stop_pct=3.0, target_pct=4.0)
+        for horizon in (None, 9):
+            for r in tr.first_touch_exit(levels, bars, horizon, sl, tp, static_stop=True).collect():
+                want, side, p = (None, "Open"), -1.0 if r["direction"] == "short" else 1.0, r["entry_price"]
+                later = [x for x in rows if x[0] == r["symbol"] and x[1] > r["entry_bar"] and (horizon is None or x[1] <= r["entry_bar"] + horizon)]
+                for _, i, o, h, low, c, atr, _ in later:
+                    stop, target = r["stop_price"], r["target_price"]
+                    if sl and atr:
+                        stop, target = p - side * atr * sl, p + side * atr * tp if tp else target
+                    near, far = (min(o, low), max(o, h)) if side > 0 else (-max(o, h), -min(o, low))
+                    stopped, reached = stop is not None and near <= side * stop, target is not None and far >= side * target
+                    if stopped or reached:
+                        want = (i, "SL" if stopped and (not reached or c < o) else "PT")
+                        break
+                else:
+                    if horizon and any(x[0] == r["symbol"] and x[1] == r["entry_bar"] + horizon for x in rows):
+                        want = (r["entry_bar"] + horizon, "Time")
+                assert (r["exit_bar"], r["exit_signal"]) == want
+
+
+@pytest.mark.parametrize("bits", [1, 3, 6])
+def test_ranges_against_all_bars(spark, monkeypatch, bits):
+    monkeypatch.setattr(pyramid, "BITS", bits)
+    bars, rows = gapped(spark, 500, 7)
+    spans = spark.createDataFrame([(s, a, b) for s in ("a", "b", "c") for a in range(0, 250, 17) for b in (a - 1, a, a + 1, a + 7, a + 64, 249, 400)], "symbol string, _from long, _until long")
+    for r in pyramid.Pyramid(bars, ("low",), ("high",)).ranges(spans).collect():
+        inside = [x for x in rows if x[0] == r["symbol"] and r["_from"] <= x[1] <= r["_until"]]
+        assert (r["low"], r["high"], r["_bars"]) == (min((x[4] for x in inside), default=None), max((x[3] for x in inside), default=None), len(inside))
+
+
+def test_a_level_that_never_trades_costs_few_nodes(spark, monkeypatch):
+    """A search reads a node a level, however many bars there are."""
+    monkeypatch.setattr(pyramid, "BITS", 3)
+    bars = spark.range(5000).select(F.lit("a").alias("symbol"), F.col("id").alias("bar_idx"), F.lit(1.0).alias("low"))
+    tree = pyramid.Pyramid(bars, ("low",))
+    read = spark.sparkContext.accumulator(0)
+    met = pyramid.Pyramid._met
+
+    def counted(self, *args):
+        out = met(self, *args)
+        read.add(out.filter("parts IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(pyramid.Pyramid, "_met", counted)
+    searches = bars.filter("bar_idx % 100 = 3").select("symbol", F.col("bar_idx").alias("_from"), F.lit(10**9).alias("_until"))
+    assert tree.first(searches, lambda x, m: x["low"] < 0.5).filter("_at IS NOT NULL").count() == 0
+    assert tree.levels == 5 and read.value <= 5 * 50
+
+
 def test_one_position_at_a_time_and_chained_sizes(spark):
     rows = [(k, i, i + 1, 10.0 + i % 3, (i + 4 if i % 5 else None), 11.0 if i % 5 else None, i % 2 == 0, "short" if i % 3 == 0 else "long") for k in ("a", "b") for i in range(40)]
     trades = spark.createDataFrame(rows, "symbol string, signal_bar long, entry_bar long, entry_price double, exit_bar long, exit_price double, fills_at_open boolean, direction string")

@@ -1,10 +1,10 @@
-"""Trades with stops, targets and trailing exits, built from candidate entries by range joins and windows.
+"""Trades with stops, targets and trailing exits, built from candidate entries by searches along the bars and windows.
 
 The steps: ``candidate_entries`` -> ``initial_levels`` -> an exit (``first_touch_exit``, ``trailing_exit``,
 ``close_signal_exit``, ``custom_exit``) -> ``resolve_overlaps`` -> ``size_and_pnl`` -> ``mark_to_market``. A candidate is
-followed until it leaves or its series ends (reason ``Open``): the first ``FIRST_BLOCK`` bars, then for those still open
-blocks four times as long each, so that the bars read are in proportion to the lives of the trades. ``horizon`` asks for a
-time exit: a trade still open after so many bars leaves at that bar's close with reason ``Time``.
+followed until it leaves or its series ends (reason ``Open``). Exits are sought in a pyramid of extremes, so that a trade
+reads a few nodes however long it lasts. ``horizon`` asks for a time exit: a trade still open after so many bars leaves at
+that bar's close with reason ``Time``.
 """
 
 from __future__ import annotations
@@ -19,9 +19,7 @@ from pyspark.sql import functions as F
 
 from ..core import KEY, OHLC, Key, lag, ordered, so_far
 from ..sources.scratch import materialise
-
-#: Bars of the first block in which candidates are followed, and how much longer each block is than the one before.
-FIRST_BLOCK, GROWTH = 32, 4
+from .pyramid import Pyramid, Trail
 
 #: Names of the exits (fixed values).
 STOP, TRAIL, TARGET, OVERBOUGHT, SIGNAL, TIME, OPEN = "SL", "Trail", "PT", "OB", "Signal", "Time", "Open"
@@ -61,61 +59,34 @@ def initial_levels(entries: DataFrame, sl_atr: float = 0.0, tp_atr: float = 0.0,
     return entries.withColumns({"stop_price": stop, "target_price": target})
 
 
-def entry_paths(open_: DataFrame, bars: DataFrame, width: int, columns: Key = (), key: Key = KEY) -> DataFrame:
-    """Each entry with the ``width`` bars after bar ``_from``, up to ``_until``: ``at_bar, at_time, at_open, at_high, at_low,
-    at_close`` and ``at_<column>``. An equi join on blocks with the range as its residual: an entry meets two blocks."""
-    block = lambda c: F.floor(c / width)
-    cut = open_.withColumn("_block", F.explode(F.sequence(block(F.col("_from") + 1), block(F.col("_from") + width))))
-    names = {"bar_idx": "at_bar", "ts": "at_time", **{c: f"at_{c}" for c in (*OHLC, *columns)}}
-    path = bars.select(*key, block(F.col("bar_idx")).alias("_block"), *[F.col(c).alias(n) for c, n in names.items()])
-    inside = (F.col("at_bar") > F.col("_from")) & (F.col("at_bar") <= F.least(F.col("_from") + width, "_until"))
-    return cut.join(path, [*key, "_block"]).filter(inside).drop("_block")
-
+def _searches(entries: DataFrame, bars: DataFrame, horizon: int | None, key: Key) -> DataFrame:
+    """Entries that look for their exits after the entry bar, up to the end of the series or the horizon."""
+    if horizon is None:
+        return entries.withColumns({"_from": F.col("entry_bar"), "_until": F.lit(2**62)})
+    return entries.withColumns({"_from": F.col("entry_bar"), "_until": F.col("entry_bar") + horizon})
 
-#: What a rule makes of the paths of a block: the paths, whether a bar ends the trade, at which price, and why.
-Rule = Callable[[DataFrame], tuple[DataFrame, Column, Column, Column]]
 
+def _at_exit(found: DataFrame, bars: DataFrame, columns: Key, key: Key) -> DataFrame:
+    """Searches with the bar that they found, if any: ``at_time, at_open, at_high, at_low, at_close`` and ``at_<column>``."""
+    names = {"ts": "at_time", **{c: f"at_{c}" for c in (*OHLC, *columns)}}
+    at = bars.select(*key, F.col("bar_idx").alias("_bar"), *[F.col(c).alias(n) for c, n in names.items()])
+    # Those that found none meet no bar; their keys differ, so they don't gather in one place.
+    return found.withColumn("_bar", F.coalesce("_at", -1 - F.abs(F.col("entry_bar")))).join(at, [*key, "_bar"], "left").drop("_bar")
 
-def follow(entries: DataFrame, bars: DataFrame, rule: Rule, columns: Key = (), state: dict[str, Callable] | None = None, horizon: int | None = None, key: Key = KEY) -> DataFrame:
-    """``_exit`` (bar, time, price, reason) of each entry that ``rule`` ends on one of its later bars.
 
-    ``state`` names columns of the entries that the rule carries from bar to bar, with the aggregate that gives their value
-    at the end of a block.
-    """
-    by, state = [*key, "entry_bar", "signal_bar"], state or {}
-    bars = materialise(bars.select(*key, "bar_idx", "ts", *OHLC, *columns), "path-bars")
-    end = bars.groupBy(*key).agg(F.max("bar_idx").alias("_end"))
-    until = F.col("_end") if horizon is None else F.least(F.col("_end"), F.col("entry_bar") + horizon)
-    open_ = entries.join(end, list(key)).withColumns({"_until": until, "_from": F.col("entry_bar")}).drop("_end")
-    row = F.struct(F.col("at_bar").alias("bar"), F.col("at_time").alias("time"), F.col("_price").alias("price"), F.col("_reason").alias("reason"), F.lit(False).alias("at_open"))
-    found, width = [], FIRST_BLOCK
-    while True:
-        open_ = materialise(open_.filter("_from < _until"), "open-trades")
-        if open_.isEmpty() and found:
-            return reduce(DataFrame.unionByName, found)
-        paths, hit, price, reason = rule(entry_paths(open_, bars, width, columns, key))
-        paths = paths.withColumns({"_price": price, "_reason": reason, "_at": F.when(hit, F.col("at_bar"))})
-        block = materialise(paths.groupBy(*by).agg(F.min_by(row, "_at").alias("_exit"), *[how(c).alias(f"_now{c}") for c, how in state.items()]), "exits")
-        found.append(block.filter("_exit IS NOT NULL").select(*by, "_exit"))
-        open_ = open_.join(block, by, "left").filter("_exit IS NULL").withColumns({"_from": F.col("_from") + width, **{c: F.coalesce(F.col(f"_now{c}"), F.col(c)) for c in state}}).select(*open_.columns)
-        width *= GROWTH
-
-
-def _closed(entries: DataFrame, exits: DataFrame, bars: DataFrame, horizon: int | None, key: Key) -> DataFrame:
-    """Entries with their exits; what has none leaves at the horizon if there is one, or stays open."""
-    by = [*key, "entry_bar", "signal_bar"]
-    joined, hit = entries.join(exits, by, "left"), F.col("_exit").isNotNull()
-    ran, late = F.lit(False), {c: F.lit(None) for c in ("_bar", "_time", "_close")}
+def _closed(entries: DataFrame, met: DataFrame, bar: Column, time: Column, price: Column, reason: Column, at_open: bool, bars: DataFrame, horizon: int | None, key: Key) -> DataFrame:
+    """Entries with the exits that they met (``bar`` is NULL for none); such leave at the horizon if there is one, or stay open.
+    A reason without a bar stands for an exit that nothing fills."""
+    hit, ran, late = reason.isNotNull(), F.lit(False), {c: F.lit(None) for c in ("_bar", "_time", "_close")}
     if horizon is not None:
         last = bars.select(*key, F.col("bar_idx").alias("_bar"), F.col("ts").alias("_time"), F.col("close").alias("_close"))
-        joined = joined.withColumn("_bar", F.col("entry_bar") + horizon).join(last, [*key, "_bar"], "left")
+        met = met.withColumn("_bar", F.col("entry_bar") + horizon).join(last, [*key, "_bar"], "left")
         ran, late = F.col("_close").isNotNull(), {c: F.col(c) for c in late}
-    return joined.withColumns({
-        "exit_bar": F.when(hit, F.col("_exit.bar")).when(ran, late["_bar"]), "exit_time": F.when(hit, F.col("_exit.time")).when(ran, late["_time"]),
-        "exit_price": F.when(hit, F.col("_exit.price")).when(ran, late["_close"]),
-        "exit_signal": F.when(hit, F.col("_exit.reason")).when(ran, F.lit(TIME)).otherwise(F.lit(OPEN)),
-        "fills_at_open": F.coalesce(F.col("_exit.at_open"), F.lit(False)),
-    }).drop("_exit", "_bar", "_time", "_close")
+    return met.select(
+        *entries.columns, F.when(hit, bar).when(ran, late["_bar"]).cast("long").alias("exit_bar"), F.when(hit, time).when(ran, late["_time"]).alias("exit_time"),
+        F.when(hit, price).when(ran, late["_close"]).cast("double").alias("exit_price"), F.when(hit, reason).when(ran, F.lit(TIME)).otherwise(F.lit(OPEN)).alias("exit_signal"),
+        (hit & F.lit(at_open)).alias("fills_at_open"),
+    )
 
 
 def _touch(stop: Column, target: Column, key: Key) -> tuple[Column, Column, Column]:
@@ -130,6 +101,10 @@ def _touch(stop: Column, target: Column, key: Key) -> tuple[Column, Column, Colu
     return stopped | reached, F.when(takes_stop, stop_fill).otherwise(target_fill), F.when(takes_stop, F.lit(STOP)).otherwise(F.lit(TARGET))
 
 
+#: Room for rounding between a sum of a bar's own numbers and the level that a trade sees, as a share of both.
+ROUNDING = 1e-12
+
+
 def first_touch_exit(entries: DataFrame, bars: DataFrame, horizon: int | None = None, sl_atr: float = 0.0, tp_atr: float = 0.0, atr: str = "atr", static_stop: bool = False, key: Key = KEY) -> DataFrame:
     """Exit on the first later bar where a level trades.
 
@@ -137,18 +112,61 @@ def first_touch_exit(entries: DataFrame, bars: DataFrame, horizon: int | None =
     watched only with ``static_stop``.
     """
     dynamic = sl_atr > 0
-    stop, target = F.col("stop_price"), F.col("target_price")
+    down, up = F.least("open", "low"), F.greatest("open", "high")
+    sums = {"_down": down, "_up": up}
     if dynamic:
-        now = F.col(f"at_{atr}")
-        stop = F.when(now > 0, F.col("entry_price") - _side() * now * sl_atr).otherwise(stop)
-        target = F.when(now > 0, F.col("entry_price") + _side() * now * tp_atr).otherwise(target) if tp_atr > 0 else target
-    elif not static_stop:
+        # What follows a bar's ATR is sought by sums of its prices and its ATR, the rest by its prices.
+        known = F.col(atr) > 0
+        low = lambda by: F.when(known, _moved(down + F.col(atr) * by, down, F.col(atr) * by, -1))
+        high = lambda by: F.when(known, _moved(up + F.col(atr) * by, up, F.col(atr) * by, 1))
+        sums = {"_down": F.when(~F.coalesce(known, F.lit(False)), down), "_up": F.when(~F.coalesce(known, F.lit(False)), up), "_sl_long": low(sl_atr), "_sl_short": high(-sl_atr)}
+        if tp_atr > 0:
+            sums |= {"_tp_long": high(-tp_atr), "_tp_short": low(tp_atr)}
+        else:
+            sums |= {"_tp_long": up, "_tp_short": down}
+    extra = (atr,) if dynamic else ()
+    bars = materialise(bars.select(*key, "bar_idx", "ts", *OHLC, *extra).withColumns(sums), "path-bars")
+    lows, highs = [c for c in ("_down", "_sl_long", "_tp_short") if c in sums], [c for c in ("_up", "_sl_short", "_tp_long") if c in sums]
+    pyramid = Pyramid(bars, lows, highs, key=key)
+    long, p, stop, target = F.col("direction") != "short", F.col("entry_price"), F.col("stop_price"), F.col("target_price")
+    if not dynamic and not static_stop:
         stop = F.lit(None).cast("double")
+    any_of = lambda *tests: reduce(Column.__or__, [F.coalesce(t, F.lit(False)) for t in tests])
+
+    def hit(x: Column, _: Column) -> Column:
+        longs, shorts = [x["_down"] <= stop, x["_up"] >= target], [x["_up"] >= stop, x["_down"] <= target]
+        if dynamic:
+            below, above = p + F.abs(p) * ROUNDING, p - F.abs(p) * ROUNDING
+            longs, shorts = [*longs, x["_sl_long"] <= below], [*shorts, x["_sl_short"] >= above]
+            to_long, to_short = (above, below) if tp_atr > 0 else (target, target)
+            longs, shorts = [*longs, x["_tp_long"] >= to_long], [*shorts, x["_tp_short"] <= to_short]
+        return F.when(long, any_of(*longs)).otherwise(any_of(*shorts))
+
+    at_stop, at_target = stop, target
+    if dynamic:
+        now = F.col(f"at_{atr}")
+        at_stop = F.when(now > 0, p - _side() * now * sl_atr).otherwise(stop)
+        at_target = F.when(now > 0, p + _side() * now * tp_atr).otherwise(target) if tp_atr > 0 else target
+    touched, price, reason = _touch(F.col("_stop"), F.col("_target"), key)
+    exits = [(F.col("_at"), F.col("at_time"), price, F.when(F.col("_at").isNotNull(), reason))]
+    levels = {"_stop": at_stop, "_target": at_target}
+    open_, done = _searches(entries, bars, horizon, key), []
+    while True:
+        met = _at_exit(pyramid.first(open_, hit), bars, extra, key).withColumns(levels)
+        if not dynamic:
+            return _closed(entries, met, *exits[0], False, bars, horizon, key)
+        # A bar within the room for rounding that doesn't touch after all: look on from there.
+        met = materialise(met, "touched")
+        missed = F.col("_at").isNotNull() & ~touched
+        done.append(met.filter(~missed))
+        open_ = met.filter(missed).withColumn("_from", F.col("_at")).select(*entries.columns, "_from", "_until")
+        if open_.isEmpty():
+            return _closed(entries, reduce(DataFrame.unionByName, done), *exits[0], False, bars, horizon, key)
 
-    def rule(paths: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
-        return paths.withColumns({"_stop": stop, "_target": target}), *_touch(F.col("_stop"), F.col("_target"), key)
 
-    return _closed(entries, follow(entries, bars, rule, (atr,) if dynamic else (), horizon=horizon, key=key), bars, horizon, key)
+def _moved(total: Column, a: Column, b: Column, way: int) -> Column:
+    """A sum moved by the room for rounding, down or up."""
+    return total + F.lit(way * ROUNDING) * (F.abs(a) + F.abs(b))
 
 
 def _entry_bar(entries: DataFrame, bars: DataFrame, key: Key, **columns: str) -> DataFrame:
@@ -160,68 +178,70 @@ def _entry_bar(entries: DataFrame, bars: DataFrame, key: Key, **columns: str) ->
 def trailing_exit(entries: DataFrame, bars: DataFrame, activation_pct: float, trailing_pct: float, horizon: int | None = None, key: Key = KEY) -> DataFrame:
     """Intrabar trailing stop: active once the price has moved by ``activation_pct``, then ``trailing_pct`` behind the best
     price since entry (the entry bar's included); it never loosens."""
-    w = Window.partitionBy(*key, "entry_bar", "signal_bar").orderBy("at_bar").rowsBetween(Window.unboundedPreceding, 0)
     long = F.col("direction") != "short"
     level = F.col("entry_price") * (1 + _side() * activation_pct / 100.0)
-    started = _entry_bar(entries, bars, key, _high0="high", _low0="low")
-    started = started.withColumns({"_top": F.greatest("_high0", "entry_price"), "_bottom": F.least("_low0", "entry_price"), "_on": F.lit(False)}).drop("_high0", "_low0")
+    # Shorts trail the lowest low: with all signs turned, that is the highest.
+    behind, ahead = 1 - trailing_pct / 100.0, 1 + trailing_pct / 100.0
+    sums = {"_down": F.least("open", "low"), "_up": -F.greatest("open", "high"), "_low": -F.col("low")}
+    bars = materialise(bars.select(*key, "bar_idx", "ts", *OHLC).withColumns(sums), "path-bars")
+    pyramid = Pyramid(bars, ("_down", "_up"), ("high", "_low"), {"_long": Trail("_down", "high", behind), "_short": Trail("_up", "_low", ahead)}, key)
+    started = _entry_bar(_searches(entries, bars, horizon, key), bars, key, _high0="high", _low0="low")
+    started = started.withColumn("_top", F.when(long, F.greatest("_high0", "entry_price")).otherwise(-F.least("_low0", "entry_price")))
+    best = lambda m, x: F.greatest(m, F.when(long, x["high"]).otherwise(x["_low"]))
+    active = pyramid.first(started, lambda x, m: F.when(long, x["high"] >= level).otherwise(-x["_low"] <= level), F.col("_top"), best)
+    active = _begun(active, "_top")
 
-    def rule(paths: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
-        on = F.max(F.when(long, F.col("at_high") >= level).otherwise(F.col("at_low") <= level)).over(w)
-        paths = paths.withColumns({"_top": F.greatest(F.max("at_high").over(w), "_top"), "_bottom": F.least(F.min("at_low").over(w), "_bottom"), "_on": F.col("_on") | F.coalesce(on, F.lit(False))})
-        trail = F.when(F.col("_on"), F.when(long, F.col("_top") * (1 - trailing_pct / 100.0)).otherwise(F.col("_bottom") * (1 + trailing_pct / 100.0)))
-        paths = paths.withColumn("_trail", trail)
-        o, t = F.col("at_open"), F.col("_trail")
-        hit = F.coalesce(F.when(long, F.least(o, F.col("at_low")) <= t).otherwise(F.greatest(o, F.col("at_high")) >= t), F.lit(False))
-        return paths, hit, F.when(long, F.least(o, t)).otherwise(F.greatest(o, t)), F.lit(TRAIL)
+    def trails(x: Column, m: Column) -> Column:
+        return F.when(long, x["_long"] | F.coalesce(x["_down"] <= m * behind, F.lit(False))).otherwise(x["_short"] | F.coalesce(x["_up"] <= m * ahead, F.lit(False)))
 
-    state = {"_top": F.max, "_bottom": F.min, "_on": F.max}
-    return _closed(entries, follow(started, bars, rule, state=state, horizon=horizon, key=key), bars, horizon, key)
+    met = _at_exit(pyramid.first(active, trails, F.col("_top"), best), bars, (), key)
+    trail = F.when(long, F.greatest("_carried", "at_high") * behind).otherwise(F.least(-F.col("_carried"), "at_low") * ahead)
+    price = F.when(long, F.least("at_open", trail)).otherwise(F.greatest("at_open", trail))
+    return _closed(entries, met, F.col("_at"), F.col("at_time"), price, F.when(F.col("_at").isNotNull(), TRAIL), False, bars, horizon, key)
 
 
-def _next_open(entries: DataFrame, fired: DataFrame, bars: DataFrame, horizon: int | None, key: Key) -> DataFrame:
-    """The first bar with a reason queues an exit at the open of the bar after it; without one the trade stays open."""
-    by = [*key, "entry_bar", "signal_bar"]
-    fill = bars.select(*key, F.col("bar_idx").alias("_bar"), F.col("ts").alias("_time"), F.col("open").alias("_open"))
-    queued = fired.select(*by, F.col("_exit").alias("_f")).withColumn("_bar", F.col("_f.bar") + 1).join(fill, [*key, "_bar"], "left")
-    made = F.struct(F.when(F.col("_open").isNotNull(), F.col("_bar")).alias("bar"), F.col("_time").alias("time"), F.col("_open").alias("price"), F.when(F.col("_open").isNotNull(), F.col("_f.reason")).otherwise(F.lit(OPEN)).alias("reason"), F.lit(True).alias("at_open"))
-    return _closed(entries, queued.select(*by, made.alias("_exit")), bars, horizon, key)
+def _begun(active: DataFrame, carried: str) -> DataFrame:
+    """Searches that go on from the bar they found, that one included. Those without one end before they begin."""
+    from_, until = F.coalesce(F.col("_at") - 1, F.col("_from")), F.when(F.col("_at").isNull(), -1).otherwise(F.col("_until")).cast("long")
+    return active.withColumns({"_from": from_, "_until": until, carried: F.col("_carried")}).drop("_at", "_carried")
+
+
+def _next_open(entries: DataFrame, met: DataFrame, reason: Column, bars: DataFrame, horizon: int | None, key: Key) -> DataFrame:
+    """The bar that a search found queues an exit at the open of the bar after it; without one the trade stays open."""
+    fill = bars.select(*key, F.col("bar_idx").alias("_next"), F.col("ts").alias("_fill_time"), F.col("open").alias("_fill"))
+    queued = met.withColumn("_next", F.coalesce(F.col("_at") + 1, -1 - F.abs(F.col("entry_bar")))).join(fill, [*key, "_next"], "left")
+    filled = F.col("_fill").isNotNull()
+    reason = F.when(F.col("_at").isNotNull(), F.when(filled, reason).otherwise(OPEN))
+    return _closed(entries, queued, F.when(filled, F.col("_next")), F.col("_fill_time"), F.col("_fill"), reason, True, bars, horizon, key)
 
 
 def close_signal_exit(entries: DataFrame, bars: DataFrame, stop_pct: float = 0.0, activation_pct: float = 0.0, trailing_pct: float = 0.0, osc: str | None = None, ob_level: float = 100.0, horizon: int | None = None, key: Key = KEY) -> DataFrame:
     """Exits judged at the close and filled at the next open: stop, then trailing stop behind the highest close (both for
     longs only), then the oscillator falling through its overbought level."""
-    source = bars.withColumn("_osc_before", lag(osc, 1, key)) if osc else bars
-    long, c, p = F.col("direction") != "short", F.col("at_close"), F.col("entry_price")
-    w = Window.partitionBy(*key, "entry_bar", "signal_bar").orderBy("at_bar").rowsBetween(Window.unboundedPreceding, 0)
-    started, state = entries, {}
+    falls = (lag(osc, 1, key) >= ob_level) & (F.col(osc) < ob_level) if osc else F.lit(False)
+    bars = materialise(bars.select(*key, "bar_idx", "ts", *OHLC, F.coalesce(falls, F.lit(False)).cast("int").alias("_falls")), "path-bars")
+    behind = 1 - trailing_pct / 100.0
+    pyramid = Pyramid(bars.withColumn("_low", F.col("close")), ("_low",), ("close", "_falls"), {"_trails": Trail("_low", "close", behind)}, key)
+    long, p = F.col("direction") != "short", F.col("entry_price")
+    stopped = lambda c: long & (c <= p * (1 - stop_pct / 100.0)) if stop_pct > 0 else F.lit(False)
+    searches = _searches(entries, bars, horizon, key)
+    found = pyramid.first(searches, lambda x, m: F.coalesce(stopped(x["_low"]), F.lit(False)) | (x["_falls"] == 1)).drop("_carried").withColumnRenamed("_at", "_other")
+    found = found.withColumn("_trailed", F.lit(None).cast("long"))
     if trailing_pct > 0:
-        started = _entry_bar(entries, bars, key, _close0="close").withColumns({"_best": F.greatest("_close0", "entry_price"), "_on": F.lit(False)}).drop("_close0")
-        state = {"_best": F.max, "_on": F.max}
-
-    def rule(paths: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
-        reasons = []
-        if stop_pct > 0:
-            reasons.append(F.when(long & (c <= p * (1 - stop_pct / 100.0)), F.lit(STOP)))
-        if trailing_pct > 0:
-            on = F.max((c - p) / p * 100 >= activation_pct).over(w)
-            paths = paths.withColumns({"_best": F.greatest(F.max("at_close").over(w), "_best"), "_on": F.col("_on") | F.coalesce(on, F.lit(False))})
-            reasons.append(F.when(long & F.col("_on") & (c <= F.col("_best") * (1 - trailing_pct / 100.0)), F.lit(TRAIL)))
-        if osc:
-            reasons.append(F.when((F.col("at__osc_before") >= ob_level) & (F.col(f"at_{osc}") < ob_level), F.lit(OVERBOUGHT)))
-        paths = paths.withColumn("_why", F.coalesce(*reasons, F.lit(None).cast("string")))
-        return paths, F.col("_why").isNotNull(), c, F.col("_why")
-
-    return _next_open(entries, follow(started, source, rule, (osc, "_osc_before") if osc else (), state, horizon, key), bars, horizon, key)
+        best = lambda m, x: F.greatest(m, x["close"])
+        started = _entry_bar(found.drop("_trailed"), bars, key, _close0="close").withColumn("_best", F.greatest("_close0", "entry_price"))
+        active = pyramid.first(started, lambda x, m: long & ((x["close"] - p) / p * 100 >= activation_pct), F.col("_best"), best)
+        found = pyramid.first(_begun(active, "_best"), lambda x, m: x["_trails"] | F.coalesce(x["_low"] <= m * behind, F.lit(False)), F.col("_best"), best).drop("_carried").withColumnRenamed("_at", "_trailed")
+    met = _at_exit(found.withColumn("_at", F.least("_other", "_trailed")), bars, (), key)
+    why = F.when(stopped(F.col("at_close")), STOP).when(F.col("_at") == F.col("_trailed"), TRAIL).otherwise(OVERBOUGHT)
+    return _next_open(entries, met, why, bars, horizon, key)
 
 
 def custom_exit(entries: DataFrame, bars: DataFrame, condition: str, horizon: int | None = None, key: Key = KEY) -> DataFrame:
     """Exit at the open after the first bar on which the Boolean column ``condition`` holds."""
-
-    def rule(paths: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
-        return paths, F.coalesce(F.col(f"at_{condition}"), F.lit(False)), F.col("at_close"), F.lit(SIGNAL)
-
-    return _next_open(entries, follow(entries, bars, rule, (condition,), horizon=horizon, key=key), bars, horizon, key)
+    bars = materialise(bars.select(*key, "bar_idx", "ts", *OHLC, F.coalesce(condition, F.lit(False)).cast("int").alias("_leaves")), "path-bars")
+    found = Pyramid(bars, (), ("_leaves",), key=key).first(_searches(entries, bars, horizon, key), lambda x, m: x["_leaves"] == 1)
+    return _next_open(entries, found, F.lit(SIGNAL), bars, horizon, key)
 
 
 def _streamed(rows: DataFrame, by: list[str], order: list[str], step: Callable, start: float, out: str, key: Key) -> DataFrame:
@@ -254,6 +274,7 @@ def resolve_overlaps(trades: DataFrame, key: Key = KEY) -> DataFrame:
     After an exit within a bar the next signal may come one bar later, after an exit at an open on that bar. The sorted
     candidates stream by with the bar from which a signal counts again; two numbers of each are read.
     """
+    trades = materialise(trades, "candidates")  # read twice
     free = F.when(F.col("exit_bar").isNull(), F.lit(2**62)).when(F.col("fills_at_open"), F.col("exit_bar")).otherwise(F.col("exit_bar") + 1)
     rows = trades.select(*key, "signal_bar", free.cast("long").alias("_free"))
 
@@ -267,17 +288,16 @@ def resolve_overlaps(trades: DataFrame, key: Key = KEY) -> DataFrame:
 def excursions(trades: DataFrame, bars: DataFrame, key: Key = KEY) -> DataFrame:
     """``mfe_pct`` and ``mae_pct`` (largest favourable and adverse moves, 0 at least) and ``bars_in_trade``, from the entry
     bar to the exit bar; a trade that leaves at an open doesn't see that bar."""
-    by = [*key, "entry_bar"]
     last = F.col("exit_bar") - F.when(F.col("fills_at_open"), 1).otherwise(0)
-    spans = trades.filter(F.col("exit_bar").isNotNull()).select(*by, "direction", "entry_price", F.explode(F.sequence(F.col("entry_bar"), F.greatest(last, "entry_bar"))).alias("bar_idx"))
-    seen = spans.join(bars.select(*key, "bar_idx", "high", "low"), [*key, "bar_idx"])
-    long, p = F.col("direction") != "short", F.col("entry_price")
-    up, down = (F.col("high") - p) / p * 100, (p - F.col("low")) / p * 100
-    found = seen.groupBy(*by).agg(
-        F.greatest(F.lit(0.0), F.max(F.when(long, up).otherwise(down))).alias("mfe_pct"), F.greatest(F.lit(0.0), F.max(F.when(long, down).otherwise(up))).alias("mae_pct"),
-        F.count(F.lit(1)).alias("bars_in_trade"),
+    own = bars.select(*key, "bar_idx", F.col("low").alias("_lo"), F.col("high").alias("_hi"))
+    spans = trades.withColumns({"_from": F.col("entry_bar"), "_until": F.when(F.col("exit_bar").isNull(), -1).otherwise(F.greatest(last, "entry_bar")).cast("long")})
+    seen = Pyramid(own, ("_lo",), ("_hi",), key=key).ranges(spans)
+    long, p, any_bar = F.col("direction") != "short", F.col("entry_price"), F.col("_bars") > 0
+    up, down = (F.col("_hi") - p) / p * 100, (p - F.col("_lo")) / p * 100
+    return seen.select(
+        *trades.columns, F.when(any_bar, F.greatest(F.lit(0.0), F.when(long, up).otherwise(down))).alias("mfe_pct"),
+        F.when(any_bar, F.greatest(F.lit(0.0), F.when(long, down).otherwise(up))).alias("mae_pct"), F.when(any_bar, F.col("_bars")).alias("bars_in_trade"),
     )
-    return trades.join(found, by, "left")
 
 
 def size_and_pnl(trades: DataFrame, capital: float = 10_000.0, size_pct: float = 100.0, commission_pct: float = 0.0, key: Key = KEY) -> DataFrame:
@@ -286,7 +306,7 @@ def size_and_pnl(trades: DataFrame, capital: float = 10_000.0, size_pct: float =
     Trades too small for one unit are left out; ids are dense. An open trade has a size but no P&L. Cash moves by the net
     P&L for both directions. The sorted prices stream by with the cash; the results are joined to the trades.
     """
-    rate = commission_pct / 100.0
+    trades, rate = materialise(trades, "taken"), commission_pct / 100.0  # read twice
     short = F.coalesce(F.col("direction") == "short", F.lit(False))
     rows = trades.select(*key, "entry_bar", "signal_bar", F.col("entry_price").alias("_in"), F.coalesce("exit_price", F.lit(float("nan"))).alias("_out"), short.alias("_short"))
 
@@ -311,13 +331,17 @@ def size_and_pnl(trades: DataFrame, capital: float = 10_000.0, size_pct: float =
 def mark_to_market(trades: DataFrame, bars: DataFrame, capital: float = 10_000.0, commission_pct: float = 0.0, key: Key = KEY) -> DataFrame:
     """``equity``, ``peak`` and ``drawdown`` of every bar: the cash, and while a trade is open its gain at the close."""
     rate = commission_pct / 100.0
-    size = bars.groupBy(*key).agg(F.max("bar_idx").alias("_end"))
-    spans = trades.join(size, list(key)).withColumn("_last", F.coalesce(F.col("exit_bar") - 1, F.col("_end"))).filter(F.col("_last") >= F.col("entry_bar"))
-    held = spans.select(*key, F.explode(F.sequence("entry_bar", "_last")).alias("bar_idx"), "qty", "entry_price", _side().alias("_side"))
+    trades = materialise(trades, "trades")  # read twice
+    # A trade opens at its entry bar and is carried on until one opens or closes; a bar that closes one may open the next.
+    opens = trades.filter(F.col("exit_bar").isNull() | (F.col("exit_bar") > F.col("entry_bar")))
+    opens = opens.select(*key, F.col("entry_bar").alias("bar_idx"), F.struct("qty", "entry_price", _side().alias("side")).alias("_opens"))
     paid = trades.filter(F.col("exit_bar").isNotNull()).select(*key, F.col("exit_bar").alias("bar_idx"), "cash_after")
-    joined = bars.join(held, [*key, "bar_idx"], "left").join(paid, [*key, "bar_idx"], "left")
+    joined = bars.join(opens, [*key, "bar_idx"], "left").join(paid, [*key, "bar_idx"], "left")
+    event = F.when(F.col("_opens").isNotNull(), F.struct(F.lit(True).alias("open"), F.col("_opens").alias("trade"))).when(F.col("cash_after").isNotNull(), F.struct(F.lit(False).alias("open"), F.col("_opens").alias("trade")))
+    joined = joined.withColumn("_held", F.last(event, ignorenulls=True).over(so_far(key)))
+    joined = joined.withColumns({c: F.when(F.col("_held.open"), F.col(f"_held.trade.{c}")) for c in ("qty", "entry_price", "side")})
     cash = F.coalesce(F.last("cash_after", ignorenulls=True).over(so_far(key)), F.lit(float(capital)))
-    gain = F.coalesce(F.col("qty") * F.col("_side") * (F.col("close") - F.col("entry_price")) - F.col("qty") * F.col("entry_price") * rate, F.lit(0.0))
+    gain = F.coalesce(F.col("qty") * F.col("side") * (F.col("close") - F.col("entry_price")) - F.col("qty") * F.col("entry_price") * rate, F.lit(0.0))
     found = joined.withColumn("_cash", cash).withColumn("equity", F.col("_cash") + gain)
     found = found.withColumn("peak", F.greatest(F.max("equity").over(so_far(key)), F.lit(float(capital))))
     return found.select(*bars.columns, "equity", "peak", (F.col("peak") - F.col("equity")).alias("drawdown"))
