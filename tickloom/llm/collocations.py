@@ -3,8 +3,8 @@
 Texts are cut into pieces and words once: each task writes, for each language, its words as numbers in reading order beside
 its own vocabulary. These chunks are dealt to a fixed number of shards. A phrase that is frequent in the whole corpus is
 frequent in one shard at least, measured by the support lowered to the shard's share of the language's words. So each shard
-is mined completely, one length after the other: a chunk counts the phrases both of whose shorter parts are frequent in its
-shard, and counts are added up by shard. The locally frequent phrases of all shards are the candidates; their occurrences
+is mined completely: a chunk counts the pairs of words that are frequent in its shard, then the longer phrases all of whose
+pairs are, and counts are added up by shard. The locally frequent phrases of all shards are the candidates; their occurrences
 are then counted in all chunks, and the sums are exact. A shard isn't a task: its chunks are counted wherever they lie.
 
 What is frequent reaches the chunks as a bit filter of fixed size (``BITS``). A false positive of the filter only lets a phrase
@@ -98,38 +98,37 @@ def _chunks(shards: int, size: int):
 
 # ---- filters ----
 
-
-def _key(lang: str, shard: int | None) -> str:
-    return f"{lang}\t" if shard is None else f"{lang}\t{shard}\t"
+#: Bits by which a hash is turned before that of the next word is added.
+TURN = 21
+#: Where a filter's three bits are read off a hash.
+SHIFTS = (0, 19, 38)
 
 
 def bit_filter(phrases: DataFrame, key: Column, bits: int) -> np.ndarray:
-    """Bits of the filter of the keys, packed: three bits a key."""
-    h = F.xxhash64(key)
-    place = F.explode(F.array(*[F.shiftrightunsigned(h, s).bitwiseAND(F.lit(bits - 1)) for s in (0, 19, 38)]))
-    words = phrases.select(place.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    got = words.toArrow()  # at most bits / 64 rows
+    """Bits of the filter of ``phrase`` under ``key``, packed: three bits a phrase."""
+    turned = lambda h: F.shiftleft(h, TURN).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN))
+    words = F.transform(F.split("phrase", " ", -1), lambda w: F.xxhash64(w))
+    hashed = phrases.select(F.aggregate(words, F.xxhash64(key), lambda h, w: turned(h).bitwiseXOR(w)).alias("h"))
+    place = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit(bits - 1)) for s in SHIFTS]))
+    found = hashed.select(place.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    got = found.toArrow()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out
 
 
-def _passes(bits: np.ndarray, key: str, phrases: pa.Array) -> np.ndarray:
-    parts = [_passes_some(bits, key, phrases.slice(s, AT_ONCE).to_pylist()) for s in range(0, len(phrases), AT_ONCE)]
-    return np.concatenate(parts) if parts else np.zeros(0, bool)
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode(), 42)
 
 
-def _passes_some(bits: np.ndarray, key: str, phrases: list[str]) -> np.ndarray:
-    head = xxhash.xxh64(key.encode(), seed=42)
+def _next(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases that go on with one more word."""
+    return (h << np.uint64(TURN) | h >> np.uint64(64 - TURN)) ^ words
 
-    def digest(phrase: str) -> int:
-        h = head.copy()
-        h.update(phrase.encode())
-        return h.intdigest()
 
-    h = np.fromiter(map(digest, phrases), np.uint64, len(phrases))
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     out = np.ones(len(h), bool)
-    for s in (0, 19, 38):
+    for s in SHIFTS:
         bit = (h >> np.uint64(s)) & np.uint64(len(bits) * 64 - 1)
         out &= (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)).astype(np.int64)) & 1 == 1
     return out
@@ -138,54 +137,62 @@ def _passes_some(bits: np.ndarray, key: str, phrases: list[str]) -> np.ndarray:
 # ---- counting in a chunk ----
 
 
-def _level(ids: np.ndarray, shorter: np.ndarray, texts: pa.Array, words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Phrases of ``n`` words whose shorter parts pass: their numbers by place (-1: none), their counts and texts.
-
-    ``shorter`` has by place the number of the phrase of ``n - 1`` words that starts there, ``texts`` their texts.
-    """
-    after = np.full(len(shorter), -1, np.int64)
-    after[:-1] = shorter[1:]
-    last = np.zeros(len(ids), np.int64)
-    last[: max(0, len(ids) - n + 1)] = ids[n - 1 :]
-    spots = np.flatnonzero((shorter >= 0) & (after >= 0))
-    keys, which, counts = np.unique(shorter[spots] << 32 | last[spots], return_inverse=True, return_counts=True)
-    out = np.full(len(ids), -1, np.int64)
-    out[spots] = which
-    return out, counts, pc.binary_join_element_wise(texts.take(pa.array(keys >> 32)), words.take(pa.array(keys & 0xFFFFFFFF)), " ")
-
-
-def _found(lang: str, shard: int, texts: pa.Array, n: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for s in range(0, len(texts), AT_ONCE):
-        some = texts.slice(s, AT_ONCE)
-        yield _batch(_FOUND, _FOUND_TYPES, [[lang] * len(some), [shard] * len(some), some, [n] * len(some), counts[s : s + AT_ONCE].tolist()])
-
-
-def _counting(bits: dict[int, object], level: int | None, longest: int):
-    """Counts in chunks. With ``level``: of phrases of so many words whose parts are frequent in the chunk's shard. Without: of
-    all phrases of two words or more that pass the last filter, which is one of the whole corpus."""
+class _Chunk:
+    """A chunk's words by place. Phrases of n words start at the first ``len(ids) - n + 1`` places; ``inside[n - 1]`` tells which
+    of these lie in one piece."""
+
+    def __init__(self, lang: str, shard: int, words: pa.Array, ids: np.ndarray, longest: int) -> None:
+        self.lang, self.shard, self.ids = lang, shard, ids
+        self.words = pa.concat_arrays([pa.array([""], pa.string()), words])
+        self.inside = [ids > 0]
+        for n in range(2, longest + 1):
+            self.inside.append(self.inside[-1][: max(0, len(ids) - n + 1)] & (ids[n - 1 :] > 0))
+
+    def hashes(self, key: str, longest: int) -> list[np.ndarray]:
+        """Hashes of the phrases of 1 to ``longest`` words at each place, under a key."""
+        of_words = np.fromiter(map(_hash, self.words.to_pylist()), np.uint64, len(self.words))[self.ids]
+        out = [_next(np.full(len(self.ids), _hash(key), np.uint64), of_words)]
+        for n in range(2, longest + 1):
+            out.append(_next(out[-1][: max(0, len(self.ids) - n + 1)], of_words[n - 1 :]))
+        return out
+
+    def counted(self, spots: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+        """The distinct phrases of ``n`` words at some places, and how many there are of each."""
+        code = self.ids[spots]
+        for i in range(1, n):
+            __, first, code, counts = np.unique(code << 32 | self.ids[spots + i], return_index=True, return_inverse=True, return_counts=True)
+        for s in range(0, len(first), AT_ONCE):
+            places = spots[first[s : s + AT_ONCE]]
+            text = pc.binary_join_element_wise(*[self.words.take(pa.array(self.ids[places + i])) for i in range(n)], " ")
+            size = len(places)
+            yield _batch(_FOUND, _FOUND_TYPES, [[self.lang] * size, [self.shard] * size, text, [n] * size, counts[s : s + size].tolist()])
+
+
+def _counting(kind: str, bits, longest: int):
+    """Counts in chunks. ``pairs``: of two words that are frequent in the chunk's shard. ``longer``: of three words and more, all
+    of whose pairs are. ``candidates``: of all phrases that pass the filter of the whole corpus."""
+
+    def spots(chunk: _Chunk) -> Iterator[tuple[np.ndarray, int]]:
+        if kind == "candidates":
+            hashes = chunk.hashes(f"{chunk.lang}\t", longest)
+            for n in range(2, longest + 1):
+                yield np.flatnonzero(chunk.inside[n - 1] & _passes(bits.value, hashes[n - 1])), n
+            return
+        size = 1 if kind == "pairs" else 2
+        hashes = chunk.hashes(f"{chunk.lang}\t{chunk.shard}\t", size)
+        part = chunk.inside[size - 1] & _passes(bits.value, hashes[size - 1])
+        ok = part
+        for n in range(size + 1, (2 if kind == "pairs" else longest) + 1):
+            ok = ok[: max(0, len(chunk.ids) - n + 1)] & part[n - size :]
+            yield np.flatnonzero(ok), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, shard, words, ids in zip(*[batch.column(c) for c in ("lang", "shard", "words", "ids")]):
-                lang, shard = lang.as_py(), shard.as_py()
-                words = pa.concat_arrays([pa.array([""], pa.string()), words.values])
-                ids = np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64)
-                key = _key(lang, shard if level else None)
-                texts, places = words, np.where(ids > 0, ids, -1)
-                for n in range(1, (level or longest + 1)):
-                    # Phrases of n words: keep those that pass, then go on to n + 1.
-                    ok = np.ones(len(texts), bool)
-                    if n > 1:
-                        places, counts, texts = _level(ids, places, texts, words, n)
-                    if level:
-                        ok = _passes(bits[n].value, key, texts)
-                    elif n > 1:
-                        ok = _passes(bits[0].value, key, texts)
-                        yield from _found(lang, shard, texts.filter(pa.array(ok)), n, counts[ok])
-                    places[places >= 0] = np.where(ok[places[places >= 0]], places[places >= 0], -1)
-                if level:
-                    __, counts, texts = _level(ids, places, texts, words, level)
-                    yield from _found(lang, shard, texts, level, counts)
+                chunk = _Chunk(lang.as_py(), shard.as_py(), words.values, np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64), longest)
+                for at, n in spots(chunk):
+                    if len(at):
+                        yield from chunk.counted(at, n)
 
     return run
 
@@ -207,17 +214,18 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", suppor
         return materialise(sums.join(if_small(share, 32), ["lang", "shard"]).filter(F.col("n") >= F.col("least")).drop("least"), name)
 
     words = chunks.select("lang", "shard", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "shard", F.col("w.words").alias("phrase"), F.lit(1).alias("n_words"), F.col("w.counts").alias("n"))
-    by_shard = F.concat(F.col("lang"), F.lit("\t"), F.col("shard").cast("string"), F.lit("\t"), F.col("phrase"))
-    levels, filters = [frequent(words, "frequent-1")], {}
+    by_shard = F.concat("lang", F.lit("\t"), F.col("shard").cast("string"), F.lit("\t"))
     slim = small_batches(chunks.select("lang", "shard", "words", "ids"))
-    for n in range(2, longest + 1):
-        filters[n - 1] = spark.sparkContext.broadcast(bit_filter(levels[-1], by_shard, bits))
-        levels.append(frequent(slim.mapInArrow(_counting(dict(filters), n, longest), _FOUND), f"frequent-{n}"))
-    candidates = levels[1].select("lang", "phrase")
-    for found in levels[2:]:
-        candidates = candidates.unionByName(found.select("lang", "phrase"))
-    last = {0: spark.sparkContext.broadcast(bit_filter(candidates, F.concat(F.col("lang"), F.lit("\t"), F.col("phrase")), bits))}
-    exact = words.drop("shard").unionByName(slim.mapInArrow(_counting(last, None, longest), _FOUND).drop("shard"))
+
+    def counted(kind: str, phrases: DataFrame, key: Column) -> DataFrame:
+        filled = spark.sparkContext.broadcast(bit_filter(phrases, key, bits))
+        return slim.mapInArrow(_counting(kind, filled, longest), _FOUND)
+
+    pairs = frequent(counted("pairs", frequent(words, "frequent-words"), by_shard), "frequent-pairs")
+    candidates = pairs
+    if longest > 2:
+        candidates = pairs.unionByName(frequent(counted("longer", pairs, by_shard), "frequent-phrases"))
+    exact = words.drop("shard").unionByName(counted("candidates", candidates, F.concat("lang", F.lit("\t"))).drop("shard"))
     exact = exact.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("a")).filter(F.col("a") >= support)
     return materialise(exact, "exact-counts"), totals
 
