@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset one in the warehouse."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset one in the warehouse, which on a
+    cluster must not be a folder of one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if found.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     return found.rstrip("/")
 
 
