@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, if_small, materialise, small_batches
 
 LONGEST, SUPPORT, COVERED, TOP = 4, 30, 80, 2000
-#: Shards of the mining.
-SHARDS = 8
+#: Shards of the mining. They are spread over tasks, so few will do, and with fewer the local support is higher and the
+#: candidates are fewer.
+SHARDS = 4
 #: Words of a chunk.
 CHUNK = 1 << 19
 #: Phrases that are handed on, or looked up in a filter, at once.
