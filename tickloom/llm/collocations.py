@@ -20,13 +20,14 @@ empty table gives an empty result; extra columns are left out, whatever their na
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, if_small, materialise, small_batches
@@ -198,6 +199,22 @@ def _counting(kind: str, bits, longest: int):
     return run
 
 
+#: Chunks that a task is handed at once.
+HANDED = 4
+
+
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few rows for what runs inside: a chunk is a row of megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(HANDED))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS, chunk: int = CHUNK, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, n_words, a`` of all phrases of up to ``longest`` words that stand ``support`` times in a language, and
     ``lang, n``, the words of each language."""
@@ -216,19 +233,20 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", suppor
 
     words = chunks.select("lang", "shard", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "shard", F.col("w.words").alias("phrase"), F.lit(1).alias("n_words"), F.col("w.counts").alias("n"))
     by_shard = F.concat("lang", F.lit("\t"), F.col("shard").cast("string"), F.lit("\t"))
-    slim = small_batches(chunks.select("lang", "shard", "words", "ids"))
+    slim = chunks.select("lang", "shard", "words", "ids")
 
     def counted(kind: str, phrases: DataFrame, key: Column) -> DataFrame:
         filled = spark.sparkContext.broadcast(bit_filter(phrases, key, bits))
         return slim.mapInArrow(_counting(kind, filled, longest), _FOUND)
 
-    pairs = frequent(counted("pairs", frequent(words, "frequent-words"), by_shard), "frequent-pairs")
-    candidates = pairs
-    if longest > 2:
-        candidates = pairs.unionByName(frequent(counted("longer", pairs, by_shard), "frequent-phrases"))
-    exact = words.drop("shard").unionByName(counted("candidates", candidates, F.concat("lang", F.lit("\t"))).drop("shard"))
-    exact = exact.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("a")).filter(F.col("a") >= support)
-    return materialise(exact, "exact-counts"), totals
+    with _few_rows(spark):
+        pairs = frequent(counted("pairs", frequent(words, "frequent-words"), by_shard), "frequent-pairs")
+        candidates = pairs
+        if longest > 2:
+            candidates = pairs.unionByName(frequent(counted("longer", pairs, by_shard), "frequent-phrases"))
+        exact = words.drop("shard").unionByName(counted("candidates", candidates, F.concat("lang", F.lit("\t"))).drop("shard"))
+        exact = exact.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("a")).filter(F.col("a") >= support)
+        return materialise(exact, "exact-counts"), totals
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST, covered: int = COVERED, top: int = TOP, **options) -> DataFrame:
