@@ -229,7 +229,9 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", suppor
 
     def frequent(counted: DataFrame, name: str) -> DataFrame:
         sums = counted.groupBy("lang", "shard", "phrase", "n_words").agg(F.sum("n").alias("n"))
-        return materialise(sums.join(if_small(share, 32), ["lang", "shard"]).filter(F.col("n") >= F.col("least")).drop("least"), name)
+        sums = sums.join(if_small(share, 32), ["lang", "shard"]).filter(F.col("n") >= F.col("least")).drop("least")
+        with _few_rows(spark):
+            return materialise(sums, name)
 
     words = chunks.select("lang", "shard", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "shard", F.col("w.words").alias("phrase"), F.lit(1).alias("n_words"), F.col("w.counts").alias("n"))
     by_shard = F.concat("lang", F.lit("\t"), F.col("shard").cast("string"), F.lit("\t"))
@@ -239,13 +241,13 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", suppor
         filled = spark.sparkContext.broadcast(bit_filter(phrases, key, bits))
         return slim.mapInArrow(_counting(kind, filled, longest), _FOUND)
 
+    pairs = frequent(counted("pairs", frequent(words, "frequent-words"), by_shard), "frequent-pairs")
+    candidates = pairs
+    if longest > 2:
+        candidates = pairs.unionByName(frequent(counted("longer", pairs, by_shard), "frequent-phrases"))
+    exact = words.drop("shard").unionByName(counted("candidates", candidates, F.concat("lang", F.lit("\t"))).drop("shard"))
+    exact = exact.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("a")).filter(F.col("a") >= support)
     with _few_rows(spark):
-        pairs = frequent(counted("pairs", frequent(words, "frequent-words"), by_shard), "frequent-pairs")
-        candidates = pairs
-        if longest > 2:
-            candidates = pairs.unionByName(frequent(counted("longer", pairs, by_shard), "frequent-phrases"))
-        exact = words.drop("shard").unionByName(counted("candidates", candidates, F.concat("lang", F.lit("\t"))).drop("shard"))
-        exact = exact.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("a")).filter(F.col("a") >= support)
         return materialise(exact, "exact-counts"), totals
 
 
