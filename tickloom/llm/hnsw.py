@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-M, NEAR, EF_SEARCH = 16, 48, 128
-#: Bytes of the vectors (in double precision) of a shard and of a block of queries: as a shard is sent for each block and
-#: a query for each shard, blocks as large as shards move the least.
-SHARD_BYTES = QUERY_BYTES = 64 << 20
+M, NEAR, EF_SEARCH = 16, 48, 256
+#: Bytes of the vectors (in double precision) of a shard and of a block of queries: a shard is sent for each block and a query
+#: for each shard. Building costs the square of a shard, and a search of ``EF_SEARCH`` finds less in a larger one.
+SHARD_BYTES, QUERY_BYTES = 16 << 20, 64 << 20
 
 
 class Graph:
