@@ -53,7 +53,12 @@ def metrics_bar(df: DataFrame, ret: str = "strategy_return", key: Key = KEY) ->
     """Ten metrics for each series, over its bars that have a return. ``profit_factor`` is infinite without a loss."""
     r = F.col(ret)
     found = df.withColumn("_eq", F.when(r.isNotNull(), F.product(1 + F.coalesce(r, F.lit(0.0))).over(so_far(key))))
-    found = found.withColumn("_dd", F.try_divide(F.col("_eq"), F.max("_eq").over(so_far(key))) - 1)
+    return metrics_of(found.withColumn("_dd", F.try_divide(F.col("_eq"), F.max("_eq").over(so_far(key))) - 1), ret, key)
+
+
+def metrics_of(found: DataFrame, ret: str, key: Key) -> DataFrame:
+    """The metrics from returns whose drawdowns ``_dd`` are known."""
+    r = F.col(ret)
     n = F.count(r)
     sums = found.groupBy(*key).agg(
         n.alias("_n"), F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)).alias("_gain"), F.abs(F.coalesce(F.sum(F.when(r < 0, r)), F.lit(0.0))).alias("_loss"),

@@ -23,13 +23,22 @@ def _averages(df: DataFrame, fast: int, slow: int, key: Key, c: ColumnLike = "cl
 
 def sig_donchian(df: DataFrame, lookback: int = 20, source: str = "close", out: str = "signal", key: Key = KEY) -> DataFrame:
     """1 at or above the highest of the prior bars, -1 at or below the lowest, held; 0 while there are too few."""
+    found = donchian_levels(df, lookback, source, key)
+    return donchian_signal(found.withColumn("_held", hold("_raw", key)), out)
+
+
+def donchian_levels(df: DataFrame, lookback: int, source: str, key: Key) -> DataFrame:
+    """The levels ``_hi`` and ``_lo`` of the prior bars and the decision ``_raw`` of each bar."""
     if lookback < 2:
         raise ValueError("lookback must be >= 2")
     w, full = prior(lookback, key), F.count(source).over(prior(lookback, key)) == lookback
     found = df.withColumns({"_hi": F.when(full, F.max(source).over(w)), "_lo": F.when(full, F.min(source).over(w))})
-    raw = F.when(F.col(source) >= F.col("_hi"), 1).when(F.col(source) <= F.col("_lo"), -1)
-    held = found.withColumn("_raw", raw).withColumn("_held", hold("_raw", key))
-    return held.withColumn(out, F.when(F.col("_hi").isNotNull(), F.col("_held")).otherwise(0).cast("int")).drop("_hi", "_lo", "_raw", "_held")
+    return found.withColumn("_raw", F.when(F.col(source) >= F.col("_hi"), 1).when(F.col(source) <= F.col("_lo"), -1))
+
+
+def donchian_signal(found: DataFrame, out: str) -> DataFrame:
+    held = F.when(F.col("_hi").isNotNull(), F.coalesce("_held", F.lit(0))).otherwise(0).cast("int")
+    return found.withColumn(out, held).drop("_hi", "_lo", "_raw", "_held")
 
 
 def sig_ema_long_flat(df: DataFrame, fast_period: int = 12, slow_period: int = 26, source: str = "close", out: str = "signal", key: Key = KEY) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import files, indicators, preparation, reconciliation, signals_returns, sweeps, trades
+from . import files, indicators, long_series, preparation, reconciliation, signals_returns, sweeps, trades
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "files", "indicators", "preparation", "reconciliation", "signals_returns", "sweeps", "trades"]
+__all__ = ["QUERIES", "SQL", "files", "indicators", "long_series", "preparation", "reconciliation", "signals_returns", "sweeps", "trades"]
