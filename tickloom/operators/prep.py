@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import KEY, OHLC, Key, whole, with_bar_idx
+from .asof import as_of
 
 #: Bar sizes by name (fixed values).
 FREQUENCIES = {"1min": "1 minute", "5min": "5 minutes", "15min": "15 minutes", "30min": "30 minutes", "1h": "1 hour", "4h": "4 hours", "1d": "1 day"}
@@ -37,18 +38,14 @@ def resample_offset(df: DataFrame, key: Key = KEY, order: Key = ("ts",)) -> Data
 
 
 def split_adjust(df: DataFrame, splits: DataFrame, key: Key = KEY) -> DataFrame:
-    """Divide the prices before each split by its ratio; later splits compound. ``splits``: key, ``split_ts``, ``ratio``."""
+    """Divide the prices before each split by its ratio; later splits compound. ``splits``: key, ``split_ts``, ``ratio``.
+    One pass over the bars of a series, whatever the number of its splits."""
     w = Window.partitionBy(*key).orderBy("split_ts")
-    factors = splits.groupBy(*key, "split_ts").agg(F.product("ratio").alias("ratio"))
-    steps = factors.withColumns({"_from": F.lag("split_ts").over(w), "_factor": F.product("ratio").over(w.rowsBetween(0, Window.unboundedFollowing))})
-    bars, s = df.alias("b"), steps.alias("s")
-    same = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in key]
-    inside = (F.col("b.ts") < F.col("s.split_ts")) & (F.col("s._from").isNull() | (F.col("b.ts") >= F.col("s._from")))
-    condition = inside
-    for c in same:
-        condition = condition & c
-    factor = F.coalesce(F.col("s._factor"), F.lit(1.0))
-    return bars.join(s, condition, "left").select(*[(F.col(f"b.{c}") / factor).alias(c) if c in OHLC else F.col(f"b.{c}") for c in df.columns])
+    dated = splits.filter(F.col("split_ts").isNotNull()).groupBy(*key, "split_ts").agg(F.product("ratio").alias("ratio"))
+    steps = dated.select(*key, F.col("split_ts").alias("ts"), F.product("ratio").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_factor"))
+    factor = F.coalesce("_factor", F.lit(1.0))
+    found = as_of(df, steps, ("_factor",), "ts", key, "forward", equal=False)
+    return found.select(*[(F.col(c) / factor).alias(c) if c in OHLC else F.col(c) for c in df.columns])
 
 
 def filter_session_hours(df: DataFrame, start: int = 12, end: int = 21) -> DataFrame:

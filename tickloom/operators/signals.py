@@ -5,10 +5,12 @@ A strategy is a function ``f(df, key=..., out=..., **params) -> df``; other colu
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import KEY, ColumnLike, Key, averages, hold, lag, prior, so_far, strict
+from ..core import KEY, ColumnLike, Key, averages, hold, lag, ordered, prior, so_far, strict
 from ..functions import indicators as ind
 
 
@@ -41,6 +43,50 @@ def donchian_signal(found: DataFrame, out: str) -> DataFrame:
     return found.withColumn(out, held).drop("_hi", "_lo", "_raw", "_held")
 
 
+def _donchian_grid(bars: DataFrame, params: Sequence[Mapping], key: Key) -> DataFrame | None:
+    """The breakout for many lookbacks at once, as rows ``param_id`` and ``signal``.
+
+    Extremes of the last 2 ** j bars come from those of half as many; any lookback is covered by two such runs. So a window for
+    each power of two serves all sets, and the number of windows grows with the logarithm of the longest.
+    """
+    sources = {p.get("source", "close") for p in params}
+    if len(sources) > 1 or any(set(p) - {"lookback", "source"} for p in params):
+        return None
+    source, lookbacks = sources.pop(), [p.get("lookback", 20) for p in params]
+    if min(lookbacks) < 2:
+        raise ValueError("lookback must be >= 2")
+    w, x = ordered(key), F.col(source)
+
+    def both(a: Column, b: Column, *names: str) -> Column:
+        """Extremes of two runs; a missing value in one makes the whole missing."""
+        known = a["hi"].isNotNull() & b["hi"].isNotNull()
+        return F.struct(F.when(known, F.greatest(a["hi"], b["hi"])).alias(names[0]), F.when(known, F.least(a["lo"], b["lo"])).alias(names[1]))
+
+    levels = range(max(lookbacks).bit_length())
+    longest = {j: max([n for n in lookbacks if n.bit_length() - 1 == j], default=0) - (1 << j) for j in levels}
+    out = bars.withColumn("_m0", F.lag(F.struct(x.alias("hi"), x.alias("lo")), 1).over(w))
+    for j in levels:
+        if j:
+            before = F.lag(f"_m{j - 1}", 1 << (j - 1)).over(w)
+            out = out.withColumn("_b", before).withColumn(f"_m{j}", both(F.col(f"_m{j - 1}"), F.col("_b"), "hi", "lo")).drop("_b")
+        if longest[j] > 0:  # the runs that end up to so many bars earlier
+            out = out.withColumn(f"_l{j}", F.collect_list(f"_m{j}").over(w.rowsBetween(-longest[j], 0)))
+    runs = F.array(*[F.col(f"_l{j}") if longest[j] > 0 else F.array(f"_m{j}") for j in levels])
+    sets = F.array(*[F.struct(F.lit(n.bit_length() - 1).alias("level"), F.lit(n - (1 << (n.bit_length() - 1))).alias("far")) for n in lookbacks])
+    out = out.withColumn("_runs", runs)
+
+    def channel(t: Column) -> Column:
+        own = F.get("_runs", t["level"])
+        return both(F.get(own, F.size(own) - 1), F.get(own, F.size(own) - 1 - t["far"]), "_hi", "_lo")
+
+    rows = out.select(*bars.columns, F.posexplode(F.transform(sets, channel)).alias("param_id", "_set")).select(*bars.columns, "param_id", "_set.*")
+    rows = rows.withColumn("_raw", F.when(x >= F.col("_hi"), 1).when(x <= F.col("_lo"), -1))
+    return donchian_signal(rows.withColumn("_held", hold("_raw", [*key, "param_id"])), "signal").select(*bars.columns, "param_id", "signal")
+
+
+sig_donchian.grid = _donchian_grid
+
+
 def sig_ema_long_flat(df: DataFrame, fast_period: int = 12, slow_period: int = 26, source: str = "close", out: str = "signal", key: Key = KEY) -> DataFrame:
     """1 after a cross up, 0 after a cross down; 0 until both averages have their full number of bars."""
     if fast_period >= slow_period:

@@ -20,6 +20,9 @@ Params = Sequence[Mapping[str, object]]
 
 ALPHA, WEAK_FACTOR = 0.05, 1.1
 
+#: Sets from which on a strategy that can makes them together; below, windows of their own are the smaller plan.
+SHARED = 8
+
 
 def param_sets(grid: Mapping[str, Iterable] | Params, allowed: Callable[[Mapping], bool] | None = None) -> list[dict]:
     """All combinations in key order, or a list of sets as it is; ``allowed`` leaves out combinations that make no sense."""
@@ -47,7 +50,14 @@ def expand_grid(values: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def sweep(bars: DataFrame, strategy: Strategy, params: Params, key: Key = KEY) -> DataFrame:
-    """Bars times parameter sets: ``param_id`` and ``signal``. All sets share the bars' one shuffle and sort."""
+    """Bars times parameter sets: ``param_id`` and ``signal``. All sets share the bars' one shuffle and sort.
+
+    A strategy with an attribute ``grid`` makes the signals of many sets together: ``grid(bars, params, key)`` gives these
+    rows, or None where it can't."""
+    shared = getattr(strategy, "grid", None)
+    found = shared(bars, params, key) if shared and len(params) >= SHARED else None
+    if found is not None:
+        return found
     out = bars
     for i, p in enumerate(params):
         out = strategy(out, key=key, out=f"_sig_{i}", **p)
@@ -134,10 +144,13 @@ def permute_bars(bars: DataFrame, n_perms: int, seed: int = 7, start_index: int
 
 def p_value(scored: DataFrame, score: str = "score", key: Key = KEY, alpha: float = ALPHA) -> DataFrame:
     """From scores by ``perm_id`` (0: the real one): share of permutations at least as good, the real one counted in."""
-    real = F.max(F.when(F.col("perm_id") == 0, F.col(score)))
-    sums = scored.groupBy(*key).agg(real.alias("real_score"), F.collect_list(F.when(F.col("perm_id") > 0, F.col(score))).alias("_perms"))
-    p = (1 + F.size(F.filter("_perms", lambda s: s >= F.col("real_score")))) / (1 + F.size("_perms"))
-    return sums.select(*key, "real_score", F.size("_perms").cast("long").alias("n_perms"), p.alias("p_value"), (p < alpha).alias("passed"))
+    real = F.max(F.when(F.col("perm_id") == 0, F.col(score))).over(whole(key))
+    drawn = F.when(F.col("perm_id") > 0, F.col(score))
+    sums = scored.withColumns({"_real": real, "_drawn": drawn}).groupBy(*key).agg(
+        F.max("_real").alias("real_score"), F.count("_drawn").alias("n_perms"), F.count_if(F.col("_drawn") >= F.col("_real")).alias("_better")
+    )
+    p = (1 + F.col("_better")) / (1 + F.col("n_perms"))
+    return sums.select(*key, "real_score", "n_perms", p.alias("p_value"), (p < alpha).alias("passed"))
 
 
 def is_perm_test(bars: DataFrame, strategy: Strategy, params: Params, n_perms: int, seed: int = 7, metric: str = "profit_factor", key: Key = KEY, digits: int | None = None) -> DataFrame:

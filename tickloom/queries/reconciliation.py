@@ -73,11 +73,24 @@ def reconcile_summary(spark, sf):
 @query(with_(*LISTS, "ln AS (SELECT symbol, string_agg('  number ' || (trade_idx + 1) || ' differs in ' || array_to_string(diffs, ', '), chr(10) ORDER BY trade_idx) AS bad_lines, count(*) AS n FROM cp WHERE len(diffs) > 0 GROUP BY symbol)") + "SELECT symbol, bad_lines, n AS n_lines FROM ln")
 def reconcile_report(spark, sf):
     ours, theirs, found = compared(spark, sf)
-    reports = reconcile.reconcile_report(reconcile.reconcile_summary(ours, theirs, found), found)
+    reports = reconcile.reconcile_report(reconcile.reconcile_summary(ours, theirs, found), found, most=2**31 - 1)
     lines = F.filter(F.split("report", "\n"), lambda x: x.startswith("  number "))
     return reports.select("symbol", F.array_join(lines, "\n").alias("bad_lines"), F.size(lines).cast("long").alias("n_lines"))
 
 
+VERDICTS = """vd AS (SELECT *, abs(n_ours - n_theirs) > 1 AS far FROM sm)"""
+
+
+@query(with_(*LISTS, SUMMARY, VERDICTS) + """SELECT symbol, 0 AS section, NULL::BIGINT AS trade_idx, CASE WHEN NOT far AND bad = 0 THEN 'agrees: ' ELSE 'does not agree: ' END
+  || CASE WHEN far THEN n_ours || ' own trades against ' || n_theirs || ' external ones' WHEN bad = 0 THEN ok || ' trades agree' ELSE first_bad END AS line FROM vd
+UNION ALL SELECT symbol, 1, NULL, CASE WHEN far THEN 0 ELSE ok END || ' of ' || CASE WHEN far THEN 0 ELSE ok + bad END || ' pairs agree' FROM vd
+UNION ALL SELECT symbol, 2, NULL, printf('total P&L %.2f, external %.2f, apart by %.2f', our_total_pnl, their_total_pnl, our_total_pnl - their_total_pnl) FROM vd
+UNION ALL SELECT symbol, 3, trade_idx, '  number ' || (trade_idx + 1) || ' differs in ' || array_to_string(diffs, ', ') FROM cp WHERE len(diffs) > 0""")
+def reconcile_lines(spark, sf):
+    ours, theirs, found = compared(spark, sf)
+    return reconcile.reconcile_lines(reconcile.reconcile_summary(ours, theirs, found), found)
+
+
 CATEGORIES = """ct AS (SELECT symbol, trade_idx, entry_bar, list_concat(list_transform(diffs, lambda d: d || '_mismatch'), CASE WHEN list_contains(diffs, 'exit_signal') AND list_contains(diffs, 'exit_price') THEN ['stop_target_fill_mismatch'] ELSE [] END) AS cs FROM cp)"""
 
 

@@ -91,6 +91,16 @@ def permute_bars(spark, sf):
     return sweep.permute_bars(bars(spark, sf), PERMS, 7).select("symbol", "perm_id", "bar_idx", *r6("open", "high", "low", "close"))
 
 
+GRID = tuple(range(2, 66))
+
+
+@query(with_(BARS, *[donchian("bars", n, f"d{n}") for n in GRID]) + " UNION ALL ".join(f"SELECT symbol, {i} AS param_id, count(*) AS n, sum(signal)::BIGINT AS total, sum(signal * bar_idx)::BIGINT AS placed FROM d{n} GROUP BY symbol" for i, n in enumerate(GRID)))
+def grid_signals(spark, sf):
+    """Signals of 64 lookbacks made together: their number, sum and places."""
+    found = sweep.sweep(bars(spark, sf), sig.sig_donchian, [{"lookback": n} for n in GRID])
+    return found.groupBy("symbol", "param_id").agg(F.count(F.lit(1)).alias("n"), F.sum("signal").alias("total"), F.sum(F.col("signal") * F.col("bar_idx")).alias("placed"))
+
+
 @query(with_("sc AS (SELECT p_brand AS symbol, p_partkey AS k, p_retailprice AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS perm_id FROM part)", "rl AS (SELECT symbol, s AS real_score FROM sc WHERE perm_id = 0)")
     + """SELECT sc.symbol, any_value(real_score) AS real_score, count(*) - 1 AS n_perms, round((1 + count(*) FILTER (perm_id > 0 AND s >= real_score)) / count(*)::DOUBLE, 6) AS p_value,
   (1 + count(*) FILTER (perm_id > 0 AND s >= real_score)) / count(*)::DOUBLE < 0.05 AS passed FROM sc JOIN rl ON rl.symbol = sc.symbol GROUP BY sc.symbol""")

@@ -17,6 +17,14 @@ def write_bar_cache(bars: DataFrame, path: str) -> None:
     bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "interval").parquet(path)
 
 
+def write_bucketed_bars(bars: DataFrame, table: str, path: str, buckets: int = 200, key: tuple[str, ...] = ("symbol",)) -> None:
+    """Replace the table by these bars, hashed by series into ``buckets`` and sorted within: chains of windows over a series that
+    read it with ``spark.table`` need no shuffle. A shuffle first makes one file a bucket. Give about 128 MB of bars a bucket;
+    series longer than that are cut into blocks instead (``blocks``)."""
+    placed = bars.repartition(buckets, *key)
+    placed.write.mode("overwrite").format("parquet").bucketBy(buckets, *key).sortBy(*key, "bar_idx").option("path", path).saveAsTable(table)
+
+
 def write_trades(trades: DataFrame, path: str, keep: tuple[str, ...] = ()) -> None:
     """Trades as CSV, 17 columns; those that the frame lacks are empty."""
     shown = [F.col(c) if c in trades.columns else F.lit(None).cast("string").alias(c) for c in TRADE_COLUMNS]
