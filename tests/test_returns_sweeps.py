@@ -283,3 +283,21 @@ def test_empty_bars_give_empty_results(spark):
     assert ret.metrics_bar(ret.bar_returns(sig.sig_donchian(empty))).count() == 0
     assert sweep.permute_bars(empty, 3).count() == 0
     assert ret.trades_from_signals(sig.sig_donchian(empty)).count() == 0
+
+
+def test_overlaps_by_pointers_are_those_of_a_walk(spark):
+    rng, rows = random.Random(5), []
+    for symbol, longest, n in (("A", 4, 300), ("B", 40, 300), ("C", 2, 1), ("D", 3000, 200)):
+        for bar in sorted(rng.sample(range(600), n)):
+            leaves = bar + rng.randint(1, longest)
+            rows.append((symbol, bar, None if leaves > 590 else leaves, rng.random() < 0.5))
+    rows.append(("A", None, 5, True))
+    trades = spark.createDataFrame(rows, "symbol string, signal_bar long, exit_bar long, fills_at_open boolean").withColumn("bar_idx", F.lit("x"))
+    want, free = [], {}
+    for symbol, bar, leaves, at_open in rows:
+        if bar is not None and bar >= free.get(symbol, -1):
+            want.append((symbol, bar))
+            free[symbol] = math.inf if leaves is None else leaves + (not at_open)
+    found = tr.resolve_overlaps(trades)
+    assert sorted((r["symbol"], r["signal_bar"]) for r in found.collect()) == sorted(want) and found.columns == ["symbol", "signal_bar", "exit_bar", "fills_at_open", "bar_idx"]
+    assert tr.resolve_overlaps(trades.limit(0)).count() == 0

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..core import KEY, OHLC, Key, lag, ordered, so_far
 from ..sources.scratch import materialise
+from .asof import as_of
 from .pyramid import Pyramid, Trail
 
 #: Names of the exits (fixed values).
@@ -271,18 +272,28 @@ def _streamed(rows: DataFrame, by: list[str], order: list[str], step: Callable,
 def resolve_overlaps(trades: DataFrame, key: Key = KEY) -> DataFrame:
     """One position at a time: drop candidates whose signal falls into a trade that was taken.
 
-    After an exit within a bar the next signal may come one bar later, after an exit at an open on that bar. The sorted
-    candidates stream by with the bar from which a signal counts again; two numbers of each are read.
+    After an exit within a bar the next signal may come one bar later, after an exit at an open on that bar. A candidate that
+    comes when all before it have left is taken for certain. Every candidate points to the first that may follow it, up to
+    the next certain one; the pointers are doubled until all that is reached is marked: log2 rounds of the most trades taken
+    between two certain ones. Candidates of one bar count as one, free again at their earliest exit.
     """
     trades = materialise(trades, "candidates")  # read twice
     free = F.when(F.col("exit_bar").isNull(), F.lit(2**62)).when(F.col("fills_at_open"), F.col("exit_bar")).otherwise(F.col("exit_bar") + 1)
-    rows = trades.select(*key, "signal_bar", free.cast("long").alias("_free"))
-
-    def step(state: float, signal: int, free: int) -> tuple[float, tuple | None]:
-        return (free, (True,)) if signal >= state else (state, None)
-
-    taken = _streamed(rows, [*key, "signal_bar"], ["signal_bar", "_free"], step, -1, "_taken boolean", key)
-    return trades.join(taken.drop("_taken"), [*key, "signal_bar"])
+    nodes = trades.filter("signal_bar IS NOT NULL").groupBy(*key, F.col("signal_bar").cast("long").alias("bar_idx")).agg(F.min(free).cast("long").alias("_free"))
+    before = F.max("_free").over(ordered(key).rowsBetween(Window.unboundedPreceding, -1))
+    nodes = nodes.withColumns({"_node": F.col("bar_idx"), "_sure": F.coalesce(F.col("bar_idx") >= before, F.lit(True))})
+    later = nodes.select(*key, "bar_idx", F.col("_node").alias("_next"), F.col("_sure").alias("_stops"))
+    asks = nodes.withColumn("bar_idx", F.greatest("_free", F.col("bar_idx") + 1))
+    found = as_of(asks, later, ("_next", "_stops"), "bar_idx", key, "forward")
+    found = materialise(found.select(*key, "_node", "_sure", F.when(~F.col("_stops"), F.col("_next")).alias("_next")), "pointers")
+    taken = found.filter("_sure").select(*key, "_node")
+    links = found.filter("_next IS NOT NULL").select(*key, "_node", "_next")
+    while not links.isEmpty():
+        reached = taken.join(links, [*key, "_node"]).select(*key, F.col("_next").alias("_node"))
+        taken = materialise(taken.unionByName(reached), "reached")
+        onward = links.select(*key, F.col("_node").alias("_next"), F.col("_next").alias("_last"))
+        links = materialise(links.join(onward, [*key, "_next"]).select(*key, "_node", F.col("_last").alias("_next")), "pointers")
+    return trades.join(taken.withColumnRenamed("_node", "signal_bar"), [*key, "signal_bar"])
 
 
 def excursions(trades: DataFrame, bars: DataFrame, key: Key = KEY) -> DataFrame:
