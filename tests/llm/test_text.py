@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -159,6 +160,62 @@ def test_each_template_has_its_own_label():
             assert label in labels and set(labels) <= {label} | base, passage
 
 
+def test_places_are_those_of_a_search():
+    rng = random.Random(3)
+    for _ in range(40):
+        templates = [(str(k), [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(1, 9))]) for k in range(4)]
+        automaton = licenses.SuffixAutomaton(templates)
+        words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(60)]
+        for end, n, state in automaton.maximal_matches(words, 1):
+            passage = words[end - n + 1 : end + 1]
+            want = [(t, i) for t, (_, ws) in enumerate(templates) for i in range(len(ws) - n + 1) if ws[i : i + n] == passage]
+            assert sorted(automaton.places(state, n)) == want
+
+
+def test_chains_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        hits = []
+        for _ in range(rng.randrange(1, 9)):
+            n = rng.randrange(1, 5)
+            hits.append((n + rng.randrange(14), n + rng.randrange(8), n))
+        hits = sorted(set(hits))
+        ways = []
+        for chosen in itertools.chain.from_iterable(itertools.combinations(hits, k) for k in range(1, len(hits) + 1)):
+            covered = chosen[0][2]
+            for (end, at, _), (end_2, at_2, n) in itertools.pairwise(chosen):
+                if end_2 <= end or at_2 <= at or end_2 - n - end > 2:
+                    break
+                covered += min(n, end_2 - end, at_2 - at)
+            else:
+                ways.append((covered, chosen[0][0] - chosen[0][2], chosen[-1]))
+        best = licenses.best_chains(hits, 2)
+        assert best == [max(w[:2] for w in ways if w[2] == h) for h in hits]
+        found = licenses.chains(hits, 2)
+        assert max(c for _, _, c in found) == max(w[0] for w in ways)
+        covered = sorted((first, end) for first, end, _ in found)
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(covered))
+        assert all(any(first < end and end - n < last for first, last in covered) for end, _, n in hits)
+
+
+@pytest.mark.parametrize("repeat", ["front", "moved", "between"])
+def test_repeated_and_moved_words_do_not_end_a_chain(repeat):
+    label, passage = "mpl", licenses.TEMPLATES["mpl"][1].split()
+    other = licenses.TEMPLATES["mit"][1].split()
+    half = len(passage) // 2
+    middle = {"front": passage[:4], "moved": passage[-4:], "between": other[:5]}[repeat]
+    got = licenses.Scanner().scan(" ".join([*passage[:half], *middle, *passage[half:]]))
+    assert label in got[5].split(",") and got[6] >= 0.9
+
+
+def test_many_copies_of_a_template_are_spans_of_their_own():
+    passage = licenses.TEMPLATES["mit"][1]
+    started = time.monotonic()
+    got = licenses.Scanner().scan(" ".join([passage] * 5_000))
+    n = len(passage.split())
+    assert [(s[1], s[2]) for s in got[7]] == [(k * n, k * n + n - 1) for k in range(5_000)] and time.monotonic() - started < 30
+
+
 def test_stronger_spans_by_brute_force():
     rng = random.Random(8)
     for _ in range(300):

@@ -2,8 +2,10 @@
 
 The automaton is built once from the templates (a fixed, small list) and shipped with the task. Every document is
 streamed through it word by word, which gives the matching statistics: the length of the longest template passage that
-ends at each word. Maximal matches of a minimum length are chained, in template order, into covered spans. Of spans over
-the same words the one with the better covered template stands: names of licenses often hold those of others.
+ends at each word. Maximal matches of a minimum length are chained, in template order, into covered spans: for each template
+the chains that cover most of it, by dynamic programming, so a match that fits no chain (words repeated or moved) is left out
+of it instead of ending it. Of spans over the same words the one with the better covered template stands: names of licenses
+often hold those of others. Spans of one template don't overlap.
 
 Defined cases: a null text is the empty text (no words, no labels, score 0); repeated rows, null ids and extra columns
 pass through; any length of text takes memory for its words only.
@@ -11,6 +13,8 @@ pass through; any length of text takes memory for its words only.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -101,38 +105,46 @@ def words_of(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised suffix automaton over sequences of word numbers.
 
-    States are flat lists: ``step`` (word -> state), ``link``, ``length`` and, for each state, one place (template,
-    end) where its passages stand. Templates are added one after another, each from the root.
+    States are flat lists: ``step`` (word -> state), ``link``, ``length`` and ``ends``, all places (template, end) where the
+    state's passages end. Templates are added one after another, each from the root.
     """
 
     def __init__(self, templates: list[tuple[str, list[bytes]]]) -> None:
         self.templates = templates
         self.words = {w: i for i, w in enumerate(sorted({w for _, t in templates for w in t}))}
         self.step: list[dict[int, int]] = [{}]
-        self.link, self.length, self.place = [-1], [0], [(-1, -1)]
+        self.link, self.length = [-1], [0]
+        prefixes = []
         for number, (_, template) in enumerate(templates):
             last = 0
             for end, w in enumerate(template):
-                last = self._extend(last, self.words[w], (number, end))
-
-    def _new(self, step: dict[int, int], link: int, length: int, place: tuple[int, int]) -> int:
-        for column, value in ((self.step, step), (self.link, link), (self.length, length), (self.place, place)):
+                last = self._extend(last, self.words[w])
+                prefixes.append((last, (number, end)))
+        own: list[set[tuple[int, int]]] = [set() for _ in self.step]
+        for state, place in prefixes:
+            own[state].add(place)
+        for state in sorted(range(1, len(own)), key=lambda k: -self.length[k]):
+            own[self.link[state]] |= own[state]
+        self.ends = [sorted(places) for places in own]
+
+    def _new(self, step: dict[int, int], link: int, length: int) -> int:
+        for column, value in ((self.step, step), (self.link, link), (self.length, length)):
             column.append(value)
         return len(self.step) - 1
 
     def _split(self, at: int, word: int, to: int) -> int:
         """A copy of state ``to`` for the passages up to one word longer than those of ``at``."""
-        copy = self._new(dict(self.step[to]), self.link[to], self.length[at] + 1, self.place[to])
+        copy = self._new(dict(self.step[to]), self.link[to], self.length[at] + 1)
         self.link[to] = copy
         while at >= 0 and self.step[at].get(word) == to:
             self.step[at][word] = copy
             at = self.link[at]
         return copy
 
-    def _extend(self, last: int, word: int, place: tuple[int, int]) -> int:
+    def _extend(self, last: int, word: int) -> int:
         if (to := self.step[last].get(word)) is not None:  # another template holds this passage
             return to if self.length[to] == self.length[last] + 1 else self._split(last, word, to)
-        new, at = self._new({}, 0, self.length[last] + 1, place), last
+        new, at = self._new({}, 0, self.length[last] + 1), last
         while at >= 0 and word not in self.step[at]:
             self.step[at][word] = new
             at = self.link[at]
@@ -168,9 +180,9 @@ class SuffixAutomaton:
             out.append((len(words) - 1, n, state))
         return out
 
-    def places(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """All (template, first word) where the passage stands in a template."""
-        return [(t, i) for t, (_, ws) in enumerate(self.templates) for i in range(len(ws) - len(words) + 1) if ws[i : i + len(words)] == words]
+    def places(self, state: int, n: int) -> list[tuple[int, int]]:
+        """All (template, first word) of the state's passage of ``n`` words."""
+        return [(t, end - n + 1) for t, end in self.ends[state]]
 
 
 class Scanner:
@@ -183,7 +195,6 @@ class Scanner:
         self.automaton = SuffixAutomaton(own + [(label, list(p)) for p, label in self.base])
         self.own = len(own)
         self.shortest = min(least, *(len(t) for _, t in own))
-        self.known: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
 
     def scan(self, text: str | None) -> tuple:
         words = words_of(text)
@@ -198,7 +209,7 @@ class Scanner:
                         starts.append(end - n + 1 + i)
                         labels.add(label)
         starts = sorted(set(starts))  # overlapping matches may both hold a phrase
-        spans = self._chains(words, [(end, n) for end, n, _ in matches if n >= self.shortest])
+        spans = self._chains([m for m in matches if m[1] >= self.shortest])
         best = max((s[3] for s in spans), default=0.0)
         found = {s[0] for s in spans if s[3] >= self.enough}
         return (
@@ -206,34 +217,64 @@ class Scanner:
             ",".join(sorted(labels | found)), max(best, 1.0 if starts else 0.0), [s for s in spans if s[3] >= self.enough],
         )
 
-    def _chains(self, words: list[bytes], matches: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, last word, share of the template covered) of the best chain for each template and place."""
+    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, last word, share of the template covered) of the chains of each template."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for end, n in matches:
-            passage = words[end - n + 1 : end + 1]
-            key = tuple(passage)
-            if key not in self.known:
-                if len(self.known) > 10_000:
-                    self.known.clear()
-                self.known[key] = self.automaton.places(passage)
-            for t, at in self.known[key]:
+        for end, n, state in matches:
+            for t, at in self.automaton.places(state, n):
                 if t < self.own and (n >= self.least or n == len(self.automaton.templates[t][1])):
-                    by_template.setdefault(t, []).append((end - n + 1, at, n))
+                    by_template.setdefault(t, []).append((end + 1, at + n, n))
         out = []
         for t, hits in by_template.items():
             label, template = self.automaton.templates[t]
-            start, at, n = hits[0]
-            chain = [start, start + n, at + n, n]  # first word, end, end in the template, words covered
-            for start, at, n in [*hits[1:], (1 << 60, 0, 0)]:
-                overlap = max(0, chain[1] - start, chain[2] - at)
-                if start - chain[1] <= self.gap and overlap < n and start + n > chain[1] and at + n > chain[2]:
-                    chain = [chain[0], start + n, at + n, chain[3] + n - overlap]
-                    continue
-                out.append((label, chain[0], chain[1] - 1, min(1.0, chain[3] / len(template)), chain[3]))
-                chain = [start, start + n, at + n, n]
+            out += [(label, first, stop - 1, covered / len(template), covered) for first, stop, covered in chains(hits, self.gap)]
         return [s[:4] for s in strongest(sorted(out, key=lambda s: (s[1], s[2], s[0])))]
 
 
+def best_chains(hits: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int]]:
+    """For each hit (end in the text, end in the template, words), by ends: words covered and first word of the chain that
+    ends with it and covers most; of equals the one that begins last.
+
+    A hit follows one that ends before it both ways, at most ``gap`` words away in the text; words they share count once.
+    Only hits that end within a template's length and a gap of each other are looked at, so long texts take time by length.
+    """
+    best: list[tuple[int, int]] = []
+    for i, (end, at, n) in enumerate(hits):
+        most = (n, end - n)
+        for k in range(i - 1, -1, -1):
+            before, at_before, _ = hits[k]
+            if before < end - n - gap:
+                break
+            new = min(n, end - before, at - at_before)
+            if new > 0:
+                most = max(most, (best[k][0] + new, best[k][1]))
+        best.append(most)
+    return best
+
+
+def chains(hits: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """(first word, end, words covered) of the chains that cover most, none over another's words, until no hit is left
+    beside them. Of equals the shorter and then the earlier comes first."""
+    out, runs = [], [sorted(hits)]
+    while runs:
+        run = runs.pop()
+        spans = sorted((-covered, end - first, first, end) for (covered, first), (end, _, _) in zip(best_chains(run, gap), run, strict=True))
+        firsts, taken = [], []  # sorted alike
+        for less, _, first, end in spans:
+            k = bisect.bisect_left(firsts, first)
+            if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or end <= taken[k][0]):
+                firsts.insert(k, first)
+                taken.insert(k, (first, end, -less))
+        out += taken
+        rest: dict[int, list[tuple[int, int, int]]] = {}
+        for end, at, n in run:
+            k = bisect.bisect_right(firsts, end - 1)
+            if k == 0 or taken[k - 1][1] <= end - n:
+                rest.setdefault(k, []).append((end, at, n))
+        runs += rest.values()
+    return out
+
+
 def strongest(spans: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float, int]]:
     """The spans (sorted by first word) that no other label's span on most of their words beats: one with no smaller share
     of its template and no fewer words of it, and more of either. So a license isn't taken for one that differs in a word."""
