@@ -301,3 +301,16 @@ def test_overlaps_by_pointers_are_those_of_a_walk(spark):
     found = tr.resolve_overlaps(trades)
     assert sorted((r["symbol"], r["signal_bar"]) for r in found.collect()) == sorted(want) and found.columns == ["symbol", "signal_bar", "exit_bar", "fills_at_open", "bar_idx"]
     assert tr.resolve_overlaps(trades.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("train,step,lookbacks,opens", [(60, 20, (2, 5, 30), True), (40, 7, (3, 39, 40, 55), True), (25, 1, (4, 9), False), (10, 50, (2, 3), True), (200, 20, (5, 8), True)])
+def test_fold_scores_from_running_sums_are_those_of_copied_bars(spark, train, step, lookbacks, opens):
+    bars = walk(spark, 150, seed=train).withColumn("close", F.when(F.col("bar_idx") != 77, F.col("close"))).withColumn("fold", F.lit("kept"))
+    bars = bars.unionByName(walk(spark, 90, seed=step).withColumns({"symbol": F.lit("other"), "fold": F.lit("kept")}))
+    bars = bars if opens else bars.drop("open")
+    params = [{"lookback": n} for n in lookbacks]
+    want = sweep.scores(sweep.wf_folds(bars, train, step), sig.sig_donchian, params, key=("symbol", "fold_id"), digits=6)
+    found = sweep.fold_scores(bars, sig.sig_donchian, params, train, step, digits=6)
+    rows = lambda df: sorted(tuple(r) for r in df.select("symbol", "fold_id", "param_id", "score").collect())
+    assert rows(found) == rows(want)
+    assert bool(rows(want)) == (train < 150)

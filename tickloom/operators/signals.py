@@ -43,6 +43,15 @@ def donchian_signal(found: DataFrame, out: str) -> DataFrame:
     return found.withColumn(out, held).drop("_hi", "_lo", "_raw", "_held")
 
 
+def _donchian_decided(df: DataFrame, lookback: int = 20, source: str = "close", out: str = "decided", key: Key = KEY) -> DataFrame:
+    """Whether the breakout decides on a bar, whatever came before its look-back."""
+    return donchian_levels(df, lookback, source, key).withColumn(out, F.col("_raw").isNotNull()).drop("_hi", "_lo", "_raw")
+
+
+def _donchian_memory(lookback: int = 20, source: str = "close") -> int:
+    return lookback
+
+
 def _donchian_grid(bars: DataFrame, params: Sequence[Mapping], key: Key) -> DataFrame | None:
     """The breakout for many lookbacks at once, as rows ``param_id`` and ``signal``.
 
@@ -85,6 +94,7 @@ def _donchian_grid(bars: DataFrame, params: Sequence[Mapping], key: Key) -> Data
 
 
 sig_donchian.grid = _donchian_grid
+sig_donchian.decided, sig_donchian.memory = _donchian_decided, _donchian_memory
 
 
 def sig_ema_long_flat(df: DataFrame, fast_period: int = 12, slow_period: int = 26, source: str = "close", out: str = "signal", key: Key = KEY) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import KEY, OHLC, Key, ordered, whole
+from ..core import KEY, OHLC, Key, ordered, so_far, whole
 from ..operators.returns import bar_returns, metrics_bar
 
 Strategy = Callable[..., DataFrame]
@@ -175,11 +175,58 @@ def wf_folds(bars: DataFrame, train: int, step: int, key: Key = KEY) -> DataFram
     return rows.withColumn("bar_idx", i - F.col("fold_id") * step).drop("_n", "_low", "_high")
 
 
+def fold_scores(bars: DataFrame, strategy: Strategy, params: Params, train: int, step: int, key: Key = KEY, digits: int | None = None) -> DataFrame:
+    """``score`` (profit factor) of each series, fold and set, as of ``scores`` over ``wf_folds``, without a copy of the bars for
+    each fold: a row for each bar and set.
+
+    For strategies that say how far they look back (``memory(**params)``, bars) and on which bars they decide anew
+    (``decided(df, key=..., out=..., **params)``, a Boolean column); before the first decision they are flat. From the first
+    decision in a fold on, signals are those of the whole series, so gains and losses are differences of running sums. Only the
+    bar after that decision is another: the fold enters there from flat. Returns must be finite.
+    """
+    by, n_sets = [*key, "param_id"], range(len(params))
+    out = bars.withColumn("_n", F.count(F.lit(1)).over(whole(key)))
+    for i, p in enumerate(params):
+        out = strategy.decided(strategy(out, key=key, out=f"_sig_{i}", **p), key=key, out=f"_set_{i}", **p)
+    sets = F.array(*[F.struct(F.col(f"_sig_{i}").alias("signal"), F.col(f"_set_{i}").alias("_set"), F.lit(strategy.memory(**params[i])).cast("long").alias("_memory")) for i in n_sets])
+    prices = [c for c in ("open", "close") if c in bars.columns]
+    rows = out.select(*key, "bar_idx", *prices, "_n", F.posexplode(sets).alias("param_id", "_p")).select("*", "_p.*").drop("_p")
+    r, w = F.col("strategy_return"), ordered(by)
+    rows = bar_returns(rows, key=by)
+    entry = r
+    if "open" in prices:
+        entry = F.when(F.col("active") != 0, F.col("active") * F.try_divide(F.col("close") - F.col("open"), F.col("open")))
+    parts = {"gain": F.when(r > 0, r).otherwise(0.0), "loss": F.when(r < 0, -r).otherwise(0.0), "wins": F.when(r > 0, 1).otherwise(0), "losses": F.when(r < 0, 1).otherwise(0)}
+    rows = rows.withColumn("_entry", entry).withColumns({f"_{c}": F.sum(x).over(so_far(by)) for c, x in parts.items()})
+    sums = F.struct(*[F.col(f"_{c}").alias(c) for c in parts])
+    rows = rows.withColumn("_entered", F.lead(F.struct("bar_idx", sums.alias("sums"), F.col("_entry").alias("r"))).over(w))
+    # Backwards from the last bar: the nearest decision from this bar on.
+    back = Window.partitionBy(*by).orderBy(F.col("bar_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_first", F.last(F.when(F.col("_set"), F.struct(F.col("_entered").alias("at"))), ignorenulls=True).over(back))
+    folds, begins, ends = F.ceil((F.col("_n") - train) / step), F.col("bar_idx") - F.col("_memory"), F.col("bar_idx") - (train - 1)
+
+    def event(at: Column, first: Column, last: Column) -> Column:
+        fold = F.floor(at / step)
+        return F.when((at >= 0) & (at % step == 0) & (fold < folds), F.struct(fold.alias("fold_id"), first.alias("first"), last.alias("last")))
+
+    none_first, none_last = F.when(F.lit(False), F.col("_first.at")), F.when(F.lit(False), sums)
+    events = rows.select(*by, F.explode(F.array(event(begins, F.col("_first.at"), none_last), event(ends, none_first, sums))).alias("_e")).filter("_e IS NOT NULL").select(*by, "_e.*")
+    met = events.groupBy(*key, "fold_id", "param_id").agg(F.max("first").alias("first"), F.max("last").alias("last"))
+    inside, own = F.col("first.bar_idx") <= F.col("fold_id") * step + train - 1, F.col("first.r")
+    change = {"gain": F.greatest(own, F.lit(0.0)), "loss": F.greatest(-own, F.lit(0.0)), "wins": (own > 0).cast("int"), "losses": (own < 0).cast("int")}
+    met = met.withColumns({f"_{c}": F.when(inside, F.col(f"last.{c}") - F.col(f"first.sums.{c}") + F.coalesce(x, F.lit(0))) for c, x in change.items()})
+    score = F.when(F.col("_losses") > 0, F.when(F.col("_wins") > 0, F.try_divide("_gain", "_loss")).otherwise(0.0)).when(F.col("_wins") > 0, F.lit(float("inf"))).otherwise(0.0)
+    if digits is not None:
+        score = F.when(score < float("inf"), F.round(score, digits)).otherwise(score)
+    return met.select(*key, "fold_id", "param_id", score.alias("score"))
+
+
 def walk_forward(bars: DataFrame, strategy: Strategy, params: Params, train: int, step: int = 30, metric: str = "profit_factor", key: Key = KEY, digits: int | None = None, reoptimise: bool = True) -> DataFrame:
     """Out-of-sample returns: each block of ``step`` bars acts on the set that was best on the ``train`` bars before it.
 
     Signals of the applied block see the whole history (they look back only), those of the training start in its slice.
     With one set, or ``reoptimise=False`` (the first set), nothing is optimised. Series of ``train`` bars or fewer give no rows.
+    Folds are scored by ``fold_scores`` where the strategy allows it and scores are rounded (so that ties stay ties), else by copies.
     """
     if train < 1 or step < 1:
         raise ValueError("train and step must be at least 1")
@@ -189,7 +236,11 @@ def walk_forward(bars: DataFrame, strategy: Strategy, params: Params, train: int
     chosen = F.array(*[F.col(f"_sig_{i}") for i in range(len(params))])
     out = out.withColumn("_signals", chosen).drop(*[f"_sig_{i}" for i in range(len(params))])
     if reoptimise and len(params) > 1:
-        winners = best(scores(wf_folds(bars, train, step, key), strategy, params, metric, [*key, "fold_id"], digits), [*key, "fold_id"]).drop("score")
+        if metric == "profit_factor" and digits is not None and hasattr(strategy, "decided"):
+            scored = fold_scores(bars, strategy, params, train, step, key, digits)
+        else:
+            scored = scores(wf_folds(bars, train, step, key), strategy, params, metric, [*key, "fold_id"], digits)
+        winners = best(scored, [*key, "fold_id"]).drop("score")
         placed = out.withColumn("fold_id", F.when(F.col("bar_idx") >= train, F.floor((F.col("bar_idx") - train) / step)))
         joined = placed.join(winners, [*key, "fold_id"], "left")
     else:
