@@ -9,7 +9,7 @@ from tickloom.queries import QUERIES, SQL
 
 SPREAD = [
     "resample_ohlcv", "split_adjust", "filter_rth", "infer_frequency", "ema_seeded", "dmi", "rsi_first", "macd_seeded", "stochastic", "consolidation_flag", "sig_donchian", "sig_trend_rsi",
-    "combine_hold", "entry_filters", "bar_returns", "metrics_bar", "trades_from_signals", "risk_ratios", "grid_search", "permute_bars", "walk_forward", "first_touch_exit", "trailing_exit",
+    "combine_hold", "entry_filters", "bar_returns", "metrics_bar", "trades_from_signals", "risk_ratios", "grid_search", "permute_bars", "fold_scores", "walk_forward", "first_touch_exit", "trailing_exit",
     "number_bars", "atr_seeded_blocks", "sig_donchian_blocks", "metrics_bar_blocks", "grid_signals", "reconcile_lines", "p_value", "resolve_overlaps", "size_and_pnl", "time_exit", "mark_to_market", "parse_trade_datetime", "detect_epoch_unit", "write_report", "compare_trades", "reconcile_summary", "script_inventory", "read_bars_csv", "write_bar_cache", "parse_mixed_timestamps", "custom_entry_exit",
 ]
 

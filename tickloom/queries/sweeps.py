@@ -145,6 +145,11 @@ def wf_folds(spark, sf):
     return sweep.wf_folds(bars(spark, sf), TRAIN, STEP).select("symbol", "fold_id", "bar_idx", "source_idx", *r6("close"))
 
 
+@query(with_(BARS, folds(), searched("fb", "f")) + f"SELECT own.symbol, own.fold_id, f_sc.param_id, {finite('f_sc.score')} AS score FROM f_sc JOIN (SELECT DISTINCT symbol AS grp, whole_symbol AS symbol, fold_id FROM fb) own ON own.grp = f_sc.grp")
+def fold_scores(spark, sf):
+    return sweep.fold_scores(bars(spark, sf), sig.sig_donchian, PARAMS, TRAIN, STEP, digits=DIGITS).select("symbol", "fold_id", "param_id", shown("score"))
+
+
 def walked(source: str = "bars") -> str:
     """CTEs up to ``rsw``: out-of-sample returns ``r`` of ``symbol``."""
     picked = f"""wn AS (SELECT DISTINCT fb.whole_symbol AS symbol, fb.fold_id, f_best.param_id FROM f_best JOIN fb ON fb.symbol = f_best.grp),
