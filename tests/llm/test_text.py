@@ -598,6 +598,37 @@ def test_both_paths_give_equal_rows(spark):
     assert small == large and any("item_id=0," in r for r in large) and any("item_id=1," in r for r in large)
 
 
+def test_rarest_seeds_find_all_that_hold_enough(spark):
+    rng = random.Random(13)
+    items = {k: Counter(rng.choices(range(12), weights=[30, *[3] * 11], k=rng.randrange(1, 15))) for k in range(12)}
+    held = [set(rng.sample(range(12), rng.randrange(12))) | {0} for _ in range(60)]
+    needs = {k: rng.randrange(1, sum(c.values()) + 1) for k, c in items.items()}
+    rows = [(k, 5, needs[k], g, n) for k, c in items.items() for g, n in c.items()]
+    seeds = spark.createDataFrame([*rows, (None, 5, 2, 0, 2), (None, 5, 2, 99, 1)], "item_id long, item_part long, need long, gram long, n long")
+    counts = spark.createDataFrame([(g, sum(g in h for h in held)) for g in range(12)], "gram long, n_docs long")
+    kept = {(r["item_id"], r["gram"]) for r in decontaminate.rarest(seeds, counts).filter("rare").collect()}
+    for k, c in items.items():
+        assert all(any((k, g) in kept for g in h) for h in held if sum(n for g, n in c.items() if g in h) >= needs[k])
+        if sum(c.values()) - c[0] >= sum(c.values()) - needs[k] + 1:  # enough others: what all documents hold isn't looked for
+            assert (k, 0) not in kept
+    assert {g for k, g in kept if k is None} == {0, 99}
+    assert decontaminate.rarest(seeds.limit(0), counts).count() == 0
+
+
+def test_a_run_that_all_texts_hold_finds_no_pairs(spark, monkeypatch):
+    rng = random.Random(14)
+    own = lambda k: " ".join(f"{rng.choice('abc')}{k}y{i}" for i in range(26))
+    items = [f"one and the same {own(k)}" for k in range(20)]
+    texts = [f"one and the same {own(100 + k)}" for k in range(100)] + items[:3]
+    seen, rarest = [], decontaminate.rarest
+    monkeypatch.setattr(decontaminate, "rarest", lambda *a: seen.append(rarest(*a)) or seen[-1])
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, texts, extra=False), bench, small=0).collect()}
+    assert found == {(100 + k, k) for k in range(3)}
+    rows = seen[0].collect()
+    assert max(r["n_docs"] for r in rows if r["rare"]) <= 1 and sum(r["n_docs"] == 103 for r in rows) == 3 * len(items)
+
+
 def test_words_between_tabs_and_newlines_count(spark, monkeypatch):
     taken = []
     joined = decontaminate._joined

@@ -6,7 +6,9 @@ item stand together as such an alignment must hold is aligned there with the who
 that reaches the threshold is lost. The score as a share of the item's own tells verbatim, edited and paraphrased copies.
 
 The seeds of the items reach the tasks as a lookup table while they are few (``small`` is checked against their
-words, and their bytes too); beyond that the documents' n-grams are joined to them by a shuffle, and texts are read for the hits only.
+words, and their bytes too). Beyond that documents are found by each item's rarest seeds through a shuffle, and texts are read for
+the hits only: an item of n seeds of which an alignment holds q is found by its n - q + 1 seeds in the fewest documents,
+since q others don't exist. The q - 1 others, however common, are only counted for documents already found.
 
 Defined cases: null and empty texts match nothing; items of few words have seeds of one word; items without words
 match nothing; repeated rows give their matches once; a repeated item id with
@@ -22,7 +24,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, free_names, if_small, materialise, named, small_batches
@@ -208,9 +210,21 @@ def _named(found: DataFrame, id_col: str) -> DataFrame:
     return found.distinct().withColumnRenamed("id", id_col)
 
 
+def rarest(seeds: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rare`` for each of ``seeds`` (``item_id, item_part, need, gram, n`` times in the item): whether it is one of those in the
+    fewest documents, ties by hash, of which no ``need`` seeds of the item can do without one. The others hold ``need`` - 1 places
+    of the item at most. Seeds of no document count as well."""
+    item = Window.partitionBy("item_id", "item_part")
+    known = seeds.join(counts, "gram", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
+    before = F.sum("n").over(item.orderBy("n_docs", "gram").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    known = known.withColumns({"_before": before, "_all": F.sum("n").over(item)})
+    return known.withColumn("rare", F.col("_before") < F.col("_all") - F.col("need") + 1).drop("_before", "_all")
+
+
 def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, threshold: float, size: int) -> DataFrame:
-    """The same for items too many for a lookup table: seeds of both sides meet in a shuffle by hash. A document is read for
-    an item if it holds as many of the item's seeds as an alignment that reaches the threshold must have."""
+    """The same for items too many for a lookup table: the items' rarest seeds and the documents' n-grams meet in a shuffle by
+    hash. For the pairs so found the other seeds are counted; a document is read for an item if it holds as many of the item's
+    seeds as an alignment that reaches the threshold must have."""
     def digests(words: list[bytes], size: int) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(b" ".join(g)) for g in zip(*[words[i:] for i in range(size)])], np.uint64).view(np.int64)
 
@@ -233,9 +247,18 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, thres
 
     corpus = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("part"), F.col(text_col).alias("text"))
     theirs = tests.select("item_id", "item_part", F.col("rule.need").alias("need"), F.explode(seeds("item")).alias("gram")).groupBy("item_id", "item_part", "need", "gram").agg(F.count(F.lit(1)).alias("n"))
+    theirs = materialise(theirs, "item-seeds")
     ours = corpus.select("id", "part", F.explode(every_seed("text")).alias("gram"))
-    shared = ours.join(theirs, "gram").groupBy("id", "part", "item_id", "item_part", "need").agg(F.sum("n").alias("n"))
-    pairs = shared.filter(F.col("n") >= F.col("need")).select("id", "part", "item_id", "item_part")
+    ours = materialise(ours.join(if_small(theirs.select("gram").distinct(), 16), "gram", "left_semi"), "document-seeds")
+    ranked = materialise(rarest(theirs, ours.groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"))), "ranked-seeds")
+    pair = ["id", "part", "item_id", "item_part", "need"]
+    met = materialise(ours.join(ranked.filter("rare"), "gram").groupBy(*pair).agg(F.sum("n").alias("n")), "met-by-rare-seeds")
+    common = ranked.filter("NOT rare").select(F.col("item_id").alias("test"), F.col("item_part").alias("test_part"), "gram", F.col("n").alias("more"))
+    asked = met.filter("n < need").join(common, (F.col("item_part") == F.col("test_part")) & F.col("item_id").eqNullSafe(F.col("test")))
+    holds = ours.select(F.col("id").alias("doc"), F.col("part").alias("doc_part"), F.col("gram").alias("own"))
+    held = asked.join(holds, (F.col("gram") == F.col("own")) & (F.col("part") == F.col("doc_part")) & F.col("id").eqNullSafe(F.col("doc")))
+    shared = held.groupBy(*pair, "n").agg(F.sum("more").alias("more")).filter("n + more >= need").select(*pair)
+    pairs = met.filter("n >= need").select(*pair).unionByName(shared).drop("need").distinct()
     read = corpus.select(F.col("id").alias("doc"), F.col("part").alias("doc_part"), "text").distinct()
     texts = pairs.join(read, (F.col("part") == F.col("doc_part")) & F.col("id").eqNullSafe(F.col("doc"))).select("id", "text", "item_id", "item_part")
     every = tests.select(F.col("item_part").alias("test_part"), F.col("item_id").alias("test"), "item")
