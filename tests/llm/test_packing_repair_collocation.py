@@ -267,3 +267,25 @@ def test_counts_beyond_64_bits(spark):
 def test_no_collocations(spark):
     frame = spark.createDataFrame([("en", "few words")], "lang string, text string")
     assert collocations.collocations(frame).collect() == [] and collocations.collocations(frame.limit(0)).collect() == []
+
+
+def shuffled(spark):
+    """Bytes of shuffle written by each stage so far."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_rare_phrases_are_not_shuffled_as_texts(spark):
+    """Pairs of frequent words that are rare themselves: less than eight bytes of shuffle for each, results as ever."""
+    rng = random.Random(5)
+    words = [f"longish{i}" for i in range(300)]
+    docs = [("en", " ".join(rng.choices(words, k=100)) + (" new york city" if i % 20 == 0 else "")) for i in range(2000)]
+    frame = spark.createDataFrame(docs, "lang string, text string").repartition(4)
+    frame.write.format("noop").mode("overwrite").save()
+    before = shuffled(spark)
+    counts, __ = collocations.mine(frame)
+    written = sum(n for k, n in shuffled(spark).items() if k not in before)
+    pairs = Counter(p for __, t in docs for p in zip(t.split(), t.split()[1:]))
+    assert {r.phrase: r.a for r in counts.collect() if r.n_words == 2} == {" ".join(p): a for p, a in pairs.items() if a >= 30}
+    assert 0 < written < 8 * sum(pairs.values())

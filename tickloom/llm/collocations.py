@@ -1,15 +1,16 @@
-"""Phrases whose words stand together more often than their parts let expect, by partitioned mining.
+"""Phrases whose words stand together more often than their parts let expect, by mining level by level.
 
 Texts are cut into pieces and words once: each task writes, for each language, its words as numbers in reading order beside
-its own vocabulary. These chunks are dealt to a fixed number of shards. A phrase that is frequent in the whole corpus is
-frequent in one shard at least, measured by the support lowered to the shard's share of the language's words. So each shard
-is mined completely: a chunk counts the pairs of words that are frequent in its shard, then the longer phrases all of whose
-pairs are, and counts are added up by shard. The locally frequent phrases of all shards are the candidates; their occurrences
-are then counted in all chunks, and the sums are exact. A shard isn't a task: its chunks are counted wherever they lie.
+its own vocabulary. A phrase can't be more frequent than its parts. So after the words, which are counted exactly, each level
+takes the phrases of one more word whose two parts were found frequent, first all but the last word, then all but the first.
 
-What is frequent reaches the chunks as a bit filter of fixed size (``BITS``). A false positive of the filter only lets a phrase
-be counted in vain; however full the filter gets, all results are exact. The number of shards is fixed too, so that work and
-messages grow with the input.
+A level is first tallied by a key of ``KEY`` bits for each phrase instead of its text: each task adds up what it meets and
+hands on, for each of ``BUCKETS`` ranges of keys, four bytes a key and its count up to the support. Phrases that share a key
+are added together, so a tally is never below a phrase's count: whatever is frequent is found, and little else. Only then the
+phrases found at all levels are counted as texts, which makes the results exact.
+
+What was found reaches the chunks as a bit filter of ``BITS_A_KEY`` bits a phrase, ``BITS`` at most. A false positive of the
+filter only lets a phrase be counted in vain; however full the filter gets, all results are exact.
 
 Defined cases: a null text is empty, a null language is ``und``; repeated rows count as often as they stand there; pieces
 end at ``[.,;:!?\\x0A-\\x0D]``, words at spaces and tabs, so words may hold any other character; A-Z are lower-cased, other
@@ -21,27 +22,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, if_small, materialise, small_batches
 
 LONGEST, SUPPORT, COVERED, TOP = 4, 30, 80, 2000
-#: Shards of the mining. They are spread over tasks, so few will do, and with fewer the local support is higher and the
-#: candidates are fewer.
-SHARDS = 4
 #: Words of a chunk.
 CHUNK = 1 << 19
-#: Phrases that are handed on, or looked up in a filter, at once.
+#: Phrases that are handed on as texts at once.
 AT_ONCE = 1 << 15
-#: Bits of the filters of frequent phrases.
-BITS = 1 << 26
+#: Bits of a phrase's hash that are its key. Their first ten tell the bucket, the others are four bytes.
+KEY = 42
+BUCKETS = 1 << KEY - 32
+#: Keys that a task adds up at once.
+TALLIED = 1 << 22
+#: Bits of the filters of frequent phrases: for each, and at most.
+BITS_A_KEY, BITS = 16, 1 << 28
 #: Parts in which the best phrases of a language are first looked for.
 PARTS = 16
 
@@ -49,10 +53,12 @@ PARTS = 16
 _SIGNS = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\r\t", LOWER.encode() + b"\n" * 9 + b" ")
 END = b"\n"
 
-_CHUNKS = "lang string, part int, no int, shard int, n long, words array<string>, counts array<long>, ids binary"
-_CHUNK_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-_FOUND = "lang string, shard int, phrase string, n_words int, n long"
-_FOUND_TYPES = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64()]
+_CHUNKS = "lang string, part int, no int, n long, words array<string>, counts array<long>, ids binary"
+_CHUNK_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+_FOUND = "lang string, phrase string, n_words int, n long"
+_FOUND_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int64()]
+_TALLIES = "bucket int, keys binary, counts binary"
+_TALLY_TYPES = [pa.int32(), pa.binary(), pa.binary()]
 
 
 class _Numbers(dict):
@@ -65,10 +71,9 @@ def _batch(ddl: str, types: list[pa.DataType], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c.cast(t) for c, t in zip(columns, types)], [x.split()[0] for x in ddl.split(", ")])
 
 
-def _chunks(shards: int, size: int):
+def _chunks(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no = TaskContext.get().partitionId(), 0
-        shard = xxhash.xxh64_intdigest(str(part)) % shards  # one for all chunks of a task: what they share is added up there
         open_chunks: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
         held = 0
 
@@ -79,7 +84,7 @@ def _chunks(shards: int, size: int):
             counts = np.bincount(ids, minlength=len(numbers))
             words = [w.decode() for w in numbers]
             n = int(counts.sum() - counts[0])
-            row = [[lang], [part], [no], [shard], [n], [words[1:]], [counts[1:].tolist()], [ids.astype("<i4").tobytes()]]
+            row = [[lang], [part], [no], [n], [words[1:]], [counts[1:].tolist()], [ids.astype("<i4").tobytes()]]
             no, held = no + 1, held - len(ids)
             return _batch(_CHUNKS, _CHUNK_TYPES, row)
 
@@ -102,17 +107,23 @@ def _chunks(shards: int, size: int):
 
 #: Bits by which a hash is turned before that of the next word is added.
 TURN = 21
-#: Where a filter's three bits are read off a hash.
-SHIFTS = (0, 19, 38)
+#: Where a filter's three bits are read off a key that stands twice in a row.
+SHIFTS = (0, 16, 30)
+
+
+def word_keys(words: DataFrame) -> DataFrame:
+    """``key`` of each word of a language, as the chunks have it."""
+    h = F.xxhash64(F.concat("lang", F.lit("\t")))
+    turned = F.shiftleft(h, TURN).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN))
+    return words.select(F.shiftrightunsigned(turned.bitwiseXOR(F.xxhash64("phrase")), 64 - KEY).alias("key"))
 
 
-def bit_filter(phrases: DataFrame, key: Column, bits: int) -> np.ndarray:
-    """Bits of the filter of ``phrase`` under ``key``, packed: three bits a phrase."""
-    turned = lambda h: F.shiftleft(h, TURN).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN))
-    words = F.transform(F.split("phrase", " ", -1), lambda w: F.xxhash64(w))
-    hashed = phrases.select(F.aggregate(words, F.xxhash64(key), lambda h, w: turned(h).bitwiseXOR(w)).alias("h"))
-    place = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit(bits - 1)) for s in SHIFTS]))
-    found = hashed.select(place.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+def bit_filter(keys: DataFrame, bits: int | None) -> np.ndarray:
+    """Bits of the filter of ``key``, packed: three bits a key. Their number is a power of two; if not given, it follows that of the keys."""
+    bits = bits or min(BITS, 1 << max(20, (keys.count() * BITS_A_KEY - 1).bit_length()))
+    twice = F.col("key").bitwiseOR(F.shiftleft("key", KEY))
+    place = F.explode(F.array(*[F.shiftrightunsigned(twice, s).bitwiseAND(F.lit(bits - 1)) for s in SHIFTS]))
+    found = keys.select(place.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     got = found.toArrow()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
@@ -128,10 +139,15 @@ def _next(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (h << np.uint64(TURN) | h >> np.uint64(64 - TURN)) ^ words
 
 
-def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
+def _keys(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - KEY)
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    twice = keys | keys << np.uint64(KEY)
+    out = np.ones(len(keys), bool)
     for s in SHIFTS:
-        bit = (h >> np.uint64(s)) & np.uint64(len(bits) * 64 - 1)
+        bit = (twice >> np.uint64(s)) & np.uint64(len(bits) * 64 - 1)
         out &= (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)).astype(np.int64)) & 1 == 1
     return out
 
@@ -143,20 +159,20 @@ class _Chunk:
     """A chunk's words by place. Phrases of n words start at the first ``len(ids) - n + 1`` places; ``inside[n - 1]`` tells which
     of these lie in one piece."""
 
-    def __init__(self, lang: str, shard: int, words: pa.Array, ids: np.ndarray, longest: int) -> None:
-        self.lang, self.shard, self.ids = lang, shard, ids
+    def __init__(self, lang: str, words: pa.Array, ids: np.ndarray, longest: int) -> None:
+        self.lang, self.ids = lang, ids
         self.words = pa.concat_arrays([pa.array([""], pa.string()), words])
         self.inside = [ids > 0]
         for n in range(2, longest + 1):
             self.inside.append(self.inside[-1][: max(0, len(ids) - n + 1)] & (ids[n - 1 :] > 0))
 
-    def hashes(self, key: str, longest: int) -> list[np.ndarray]:
-        """Hashes of the phrases of 1 to ``longest`` words at each place, under a key."""
+    def keys(self, longest: int) -> list[np.ndarray]:
+        """Keys of the phrases of 1 to ``longest`` words at each place."""
         of_words = np.fromiter(map(_hash, self.words.to_pylist()), np.uint64, len(self.words))[self.ids]
-        out = [_next(np.full(len(self.ids), _hash(key), np.uint64), of_words)]
+        out = [_next(np.full(len(self.ids), _hash(f"{self.lang}\t"), np.uint64), of_words)]
         for n in range(2, longest + 1):
             out.append(_next(out[-1][: max(0, len(self.ids) - n + 1)], of_words[n - 1 :]))
-        return out
+        return [_keys(h) for h in out]
 
     def counted(self, spots: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
         """The distinct phrases of ``n`` words at some places, and how many there are of each."""
@@ -167,34 +183,73 @@ class _Chunk:
             places = spots[first[s : s + AT_ONCE]]
             text = pc.binary_join_element_wise(*[self.words.take(pa.array(self.ids[places + i])) for i in range(n)], " ")
             size = len(places)
-            yield _batch(_FOUND, _FOUND_TYPES, [[self.lang] * size, [self.shard] * size, text, [n] * size, counts[s : s + size].tolist()])
+            yield _batch(_FOUND, _FOUND_TYPES, [[self.lang] * size, text, [n] * size, counts[s : s + size].tolist()])
 
 
-def _counting(kind: str, bits, longest: int):
-    """Counts in chunks. ``pairs``: of two words that are frequent in the chunk's shard. ``longer``: of three words and more, all
-    of whose pairs are. ``candidates``: of all phrases that pass the filter of the whole corpus."""
+def _opened(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[_Chunk]:
+    for batch in batches:
+        for lang, words, ids in zip(*[batch.column(c) for c in ("lang", "words", "ids")]):
+            yield _Chunk(lang.as_py(), words.values, np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64), longest)
 
-    def spots(chunk: _Chunk) -> Iterator[tuple[np.ndarray, int]]:
-        if kind == "candidates":
-            hashes = chunk.hashes(f"{chunk.lang}\t", longest)
-            for n in range(2, longest + 1):
-                yield np.flatnonzero(chunk.inside[n - 1] & _passes(bits.value, hashes[n - 1])), n
-            return
-        size = 1 if kind == "pairs" else 2
-        hashes = chunk.hashes(f"{chunk.lang}\t{chunk.shard}\t", size)
-        part = chunk.inside[size - 1] & _passes(bits.value, hashes[size - 1])
-        ok = part
-        for n in range(size + 1, (2 if kind == "pairs" else longest) + 1):
-            ok = ok[: max(0, len(chunk.ids) - n + 1)] & part[n - size :]
-            yield np.flatnonzero(ok), n
+
+def _tallying(bits, n: int, support: int):
+    """Tallies of the phrases of ``n`` words whose parts of one word less pass the filter."""
+    kind = np.min_scalar_type(support).newbyteorder("<")
+
+    def tallied(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(np.concatenate(found), return_counts=True)
+        counts = np.minimum(counts, support).astype(kind)
+        edges = np.searchsorted(keys, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(32))
+        keys = keys.astype("<u4")  # without the bucket
+        held = np.flatnonzero(np.diff(edges))
+        for some in np.array_split(held, -(-len(held) // 64)):
+            cut = [[x[edges[b] : edges[b + 1]].tobytes() for b in some] for x in (keys, counts)]
+            yield _batch(_TALLIES, _TALLY_TYPES, [some.tolist(), *cut])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, shard, words, ids in zip(*[batch.column(c) for c in ("lang", "shard", "words", "ids")]):
-                chunk = _Chunk(lang.as_py(), shard.as_py(), words.values, np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64), longest)
-                for at, n in spots(chunk):
-                    if len(at):
-                        yield from chunk.counted(at, n)
+        found, size = [], 0
+        for chunk in _opened(batches, n):
+            keys = chunk.keys(n)
+            part = _passes(bits.value, keys[n - 2]) & chunk.inside[n - 2]
+            keys = keys[n - 1][part[:-1] & part[1:] & chunk.inside[n - 1]]
+            if size and size + len(keys) > TALLIED:
+                yield from tallied(found)
+                found, size = [], 0
+            if len(keys):
+                found.append(keys)
+                size += len(keys)
+        if size:
+            yield from tallied(found)
+
+    return run
+
+
+def _frequent(support: int):
+    """Keys of a bucket whose tallies add up to the support."""
+    kind = np.min_scalar_type(support).newbyteorder("<")
+
+    def run(tallies: pa.Table) -> pa.Table:
+        keys, counts = (np.frombuffer(b"".join(tallies[c].to_pylist()), t).astype(np.uint64) for c, t in (("keys", "<u4"), ("counts", kind)))
+        both = np.sort(keys << np.uint64(32) | counts)
+        keys = both >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        often = np.add.reduceat(both & np.uint64(0xFFFFFFFF), first) >= support
+        bucket = np.uint64(tallies["bucket"][0].as_py()) << np.uint64(32)
+        return pa.table({"key": pa.array((keys[first[often]] | bucket).astype(np.int64))})
+
+    return run
+
+
+def _counting(bits, longest: int):
+    """Counts of the phrases that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _opened(batches, longest):
+            keys = chunk.keys(longest)
+            for n in range(2, longest + 1):
+                at = np.flatnonzero(chunk.inside[n - 1] & _passes(bits.value, keys[n - 1]))
+                if len(at):
+                    yield from chunk.counted(at, n)
 
     return run
 
@@ -215,40 +270,31 @@ def _few_rows(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS, chunk: int = CHUNK, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST, chunk: int = CHUNK, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, n_words, a`` of all phrases of up to ``longest`` words that stand ``support`` times in a language, and
     ``lang, n``, the words of each language."""
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chunks = materialise(small_batches(source).mapInArrow(_chunks(shards, chunk), _CHUNKS), "word-chunks")
-    sizes = chunks.groupBy("lang", "shard").agg(F.sum("n").alias("n"))
-    totals = sizes.groupBy("lang").agg(F.sum("n").alias("n"))
-    # ceil(support * n / total): a phrase that is rarer in all shards has less than the support.
-    share = sizes.alias("s").join(totals.alias("t"), "lang").select("lang", "shard", F.greatest(F.lit(1), F.ceil(F.lit(support).cast("decimal(20,0)") * F.col("s.n") / F.col("t.n"))).cast("long").alias("least"))
-    share = materialise(share, "shard-support")
+    chunks = materialise(small_batches(source).mapInArrow(_chunks(chunk), _CHUNKS), "word-chunks")
+    totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
+    words = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.lit(1).alias("n_words"), F.col("w.counts").alias("n"))
+    slim = chunks.select("lang", "words", "ids")
 
     def frequent(counted: DataFrame, name: str) -> DataFrame:
-        sums = counted.groupBy("lang", "shard", "phrase", "n_words").agg(F.sum("n").alias("n"))
-        sums = sums.join(if_small(share, 32), ["lang", "shard"]).filter(F.col("n") >= F.col("least")).drop("least")
+        sums = counted.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("a")).filter(F.col("a") >= support)
         with _few_rows(spark):
             return materialise(sums, name)
 
-    words = chunks.select("lang", "shard", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "shard", F.col("w.words").alias("phrase"), F.lit(1).alias("n_words"), F.col("w.counts").alias("n"))
-    by_shard = F.concat("lang", F.lit("\t"), F.col("shard").cast("string"), F.lit("\t"))
-    slim = chunks.select("lang", "shard", "words", "ids")
-
-    def counted(kind: str, phrases: DataFrame, key: Column) -> DataFrame:
-        filled = spark.sparkContext.broadcast(bit_filter(phrases, key, bits))
-        return slim.mapInArrow(_counting(kind, filled, longest), _FOUND)
-
-    pairs = frequent(counted("pairs", frequent(words, "frequent-words"), by_shard), "frequent-pairs")
-    candidates = pairs
-    if longest > 2:
-        candidates = pairs.unionByName(frequent(counted("longer", pairs, by_shard), "frequent-phrases"))
-    exact = words.drop("shard").unionByName(counted("candidates", candidates, F.concat("lang", F.lit("\t"))).drop("shard"))
-    exact = exact.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("a")).filter(F.col("a") >= support)
-    with _few_rows(spark):
-        return materialise(exact, "exact-counts"), totals
+    words = frequent(words, "frequent-words")
+    keys, found = word_keys(words), []
+    for n in range(2, longest + 1):
+        tallies = slim.mapInArrow(_tallying(spark.sparkContext.broadcast(bit_filter(keys, bits)), n, support), _TALLIES)
+        with _few_rows(spark):
+            keys = materialise(tallies.groupBy("bucket").applyInArrow(_frequent(support), "key long"), "frequent-keys")
+        found.append(keys)
+    filled = spark.sparkContext.broadcast(bit_filter(reduce(DataFrame.unionAll, found), bits))
+    phrases = frequent(slim.mapInArrow(_counting(filled, longest), _FOUND), "frequent-phrases")
+    return words.unionByName(phrases), totals
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST, covered: int = COVERED, top: int = TOP, **options) -> DataFrame:
