@@ -7,13 +7,16 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import collocations, conversations, packing
+from tickloom.llm import collocations, common, conversations, packing
 from tickloom.llm.queries import SQL
 
 # ---- packing ----
@@ -289,3 +292,41 @@ def test_rare_phrases_are_not_shuffled_as_texts(spark):
     pairs = Counter(p for __, t in docs for p in zip(t.split(), t.split()[1:]))
     assert {r.phrase: r.a for r in counts.collect() if r.n_words == 2} == {" ".join(p): a for p, a in pairs.items() if a >= 30}
     assert 0 < written < 8 * sum(pairs.values())
+
+
+def test_disk_of_tallies_texts_and_chunks(spark):
+    """Shuffle and the table of chunks together: less than six bytes for each pair of words that stands somewhere."""
+    rng = random.Random(6)
+    words = [f"longish{i}" for i in range(2000)]
+    docs = [("en", " ".join(rng.choices(words, k=300))) for i in range(3000)]
+    frame = spark.createDataFrame(docs, "lang string, text string").coalesce(1)
+    frame.write.format("noop").mode("overwrite").save()
+    root = Path(common.shared_folder(spark).removeprefix("file:"))
+    before, old = shuffled(spark), set(root.glob("word-chunks-*"))
+    counts, __ = collocations.mine(frame)
+    written = sum(n for k, n in shuffled(spark).items() if k not in before)
+    [chunks] = set(root.glob("word-chunks-*")) - old
+    kept = sum(p.stat().st_size for p in chunks.glob("*.parquet"))
+    found = Counter(w for __, t in docs for w in t.split())
+    assert {r.phrase: r.a for r in counts.collect() if r.n_words == 1} == {w: a for w, a in found.items() if a >= 30}
+    assert 0 < written and 0 < kept and written + kept < 6 * 299 * len(docs)
+
+
+@pytest.mark.parametrize("held", [1, 400, 1 << 20])
+def test_packed_texts_add_up(monkeypatch, held):
+    """Whatever is handed on early, counts of texts come back whole, those beyond 32 bits too."""
+    monkeypatch.setattr(collocations, "HELD", held)
+    rng = random.Random(held)
+    words = ["a", "ß", "日本", "\x00", "x" * 300, "b c", "a ß", "日本 a b"]
+    want, packed = Counter(), []
+    for __ in range(20):
+        counts = {w: rng.choice([1, 5, 1 << 40]) for w in rng.sample(words, rng.randrange(1, 9))}
+        want.update(counts)
+        keys = pa.array([words.index(w) for w in counts], pa.uint64())
+        packed += collocations._packed("en", pa.table({"phrase": list(counts), "key": keys, "n": list(counts.values())}), 4)
+    rows, got = pa.Table.from_batches(packed), {}
+    for bucket in range(4):
+        found = collocations._summed(40)(rows.filter(pc.equal(rows["bucket"], bucket))).to_pylist()
+        assert all(r["lang"] == "en" and r["n_words"] == r["phrase"].count(" ") + 1 and words.index(r["phrase"]) % 4 == bucket for r in found)
+        got |= {r["phrase"]: r["a"] for r in found}
+    assert got == {w: a for w, a in want.items() if a >= 40}

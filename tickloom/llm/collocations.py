@@ -1,13 +1,14 @@
 """Phrases whose words stand together more often than their parts let expect, by mining level by level.
 
 Texts are cut into pieces and words once: each task writes, for each language, its words as numbers in reading order beside
-its own vocabulary. A phrase can't be more frequent than its parts. So after the words, which are counted exactly, each level
-takes the phrases of one more word whose two parts were found frequent, first all but the last word, then all but the first.
+its own vocabulary. A phrase can't be more frequent than its parts. So after the words each level takes the phrases of one more
+word whose two parts were found frequent, first all but the last word, then all but the first.
 
-A level is first tallied by a key of ``KEY`` bits for each phrase instead of its text: each task adds up what it meets and
-hands on, for each of ``BUCKETS`` ranges of keys, four bytes a key and its count up to the support. Phrases that share a key
-are added together, so a tally is never below a phrase's count: whatever is frequent is found, and little else. Only then the
-phrases found at all levels are counted as texts, which makes the results exact.
+A level, that of the words too, is first tallied by a key of ``KEY`` bits for each phrase instead of its text: each task adds up
+what it meets and hands on, for each of ``BUCKETS`` ranges of keys, the steps from key to key and the counts up to the support,
+compressed. Phrases that share a key are added together, so a tally is never below a phrase's count: whatever is frequent is
+found, and little else. Only then the words and phrases found at all levels are counted as texts, which makes the results exact.
+Texts travel sorted and compressed: a task adds up what it finds, and deals it to buckets of some thousand phrases each.
 
 What was found reaches the chunks as a bit filter of ``BITS_A_KEY`` bits a phrase, ``BITS`` at most. A false positive of the
 filter only lets a phrase be counted in vain; however full the filter gets, all results are exact.
@@ -37,11 +38,13 @@ from .common import LOWER, UPPER, if_small, materialise, small_batches
 LONGEST, SUPPORT, COVERED, TOP = 4, 30, 80, 2000
 #: Words of a chunk.
 CHUNK = 1 << 19
-#: Phrases that are handed on as texts at once.
-AT_ONCE = 1 << 15
-#: Bits of a phrase's hash that are its key. Their first ten tell the bucket, the others are four bytes.
-KEY = 42
-BUCKETS = 1 << KEY - 32
+#: Bytes of counted texts that a task holds before it adds them up; if more than half are left then, it hands them on.
+HELD = 48 << 20
+#: Phrases of a bucket of texts, about.
+TEXTS = 1 << 13
+#: Bits of a phrase's hash that are its key, and of those the last, by which keys of one bucket differ.
+KEY, LOW = 38, 28
+BUCKETS = 1 << KEY - LOW
 #: Keys that a task adds up at once.
 TALLIED = 1 << 22
 #: Bits of the filters of frequent phrases: for each, and at most.
@@ -55,10 +58,20 @@ END = b"\n"
 
 _CHUNKS = "lang string, part int, no int, n long, words array<string>, counts array<long>, ids binary"
 _CHUNK_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-_FOUND = "lang string, phrase string, n_words int, n long"
-_FOUND_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int64()]
-_TALLIES = "bucket int, keys binary, counts binary"
-_TALLY_TYPES = [pa.int32(), pa.binary(), pa.binary()]
+_FOUND = "lang string, phrase string, n_words int, a long"
+_TEXTS = "lang string, bucket int, size int, raw long, packed binary"
+_TEXT_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+_TALLIES = "bucket int, size int, packed binary"
+_TALLY_TYPES = [pa.int32(), pa.int32(), pa.binary()]
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as all their first bytes, all their second and so on: what is alike stands together."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def _from_planes(data, kind: str) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 class _Numbers(dict):
@@ -84,7 +97,7 @@ def _chunks(size: int):
             counts = np.bincount(ids, minlength=len(numbers))
             words = [w.decode() for w in numbers]
             n = int(counts.sum() - counts[0])
-            row = [[lang], [part], [no], [n], [words[1:]], [counts[1:].tolist()], [ids.astype("<i4").tobytes()]]
+            row = [[lang], [part], [no], [n], [words[1:]], [counts[1:].tolist()], [_planes(ids.astype("<i4"))]]
             no, held = no + 1, held - len(ids)
             return _batch(_CHUNKS, _CHUNK_TYPES, row)
 
@@ -108,14 +121,7 @@ def _chunks(size: int):
 #: Bits by which a hash is turned before that of the next word is added.
 TURN = 21
 #: Where a filter's three bits are read off a key that stands twice in a row.
-SHIFTS = (0, 16, 30)
-
-
-def word_keys(words: DataFrame) -> DataFrame:
-    """``key`` of each word of a language, as the chunks have it."""
-    h = F.xxhash64(F.concat("lang", F.lit("\t")))
-    turned = F.shiftleft(h, TURN).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN))
-    return words.select(F.shiftrightunsigned(turned.bitwiseXOR(F.xxhash64("phrase")), 64 - KEY).alias("key"))
+SHIFTS = (0, 13, 26)
 
 
 def bit_filter(keys: DataFrame, bits: int | None) -> np.ndarray:
@@ -134,6 +140,15 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode(), 42)
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(_hash, words.to_pylist()), np.uint64, len(words))
+
+
+def _start(lang: str) -> np.ndarray:
+    """What the hash of a language's phrases starts from."""
+    return np.full(1, _hash(f"{lang}\t"), np.uint64)
+
+
 def _next(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Hashes of phrases that go on with one more word."""
     return (h << np.uint64(TURN) | h >> np.uint64(64 - TURN)) ^ words
@@ -162,64 +177,91 @@ class _Chunk:
     def __init__(self, lang: str, words: pa.Array, ids: np.ndarray, longest: int) -> None:
         self.lang, self.ids = lang, ids
         self.words = pa.concat_arrays([pa.array([""], pa.string()), words])
+        self.hashes = _hashes(self.words)
         self.inside = [ids > 0]
         for n in range(2, longest + 1):
             self.inside.append(self.inside[-1][: max(0, len(ids) - n + 1)] & (ids[n - 1 :] > 0))
 
     def keys(self, longest: int) -> list[np.ndarray]:
         """Keys of the phrases of 1 to ``longest`` words at each place."""
-        of_words = np.fromiter(map(_hash, self.words.to_pylist()), np.uint64, len(self.words))[self.ids]
-        out = [_next(np.full(len(self.ids), _hash(f"{self.lang}\t"), np.uint64), of_words)]
+        of_words = self.hashes[self.ids]
+        out = [_next(_start(self.lang), of_words)]
         for n in range(2, longest + 1):
             out.append(_next(out[-1][: max(0, len(self.ids) - n + 1)], of_words[n - 1 :]))
         return [_keys(h) for h in out]
 
-    def counted(self, spots: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    def counted_words(self, chosen: np.ndarray, keys: np.ndarray) -> pa.Table:
+        """How often the words of some numbers occur."""
+        return pa.table({"phrase": self.words.take(pa.array(chosen)), "key": keys, "n": np.bincount(self.ids, minlength=len(self.words))[chosen]})
+
+    def counted(self, spots: np.ndarray, n: int, keys: np.ndarray) -> pa.Table:
         """The distinct phrases of ``n`` words at some places, and how many there are of each."""
         code = self.ids[spots]
         for i in range(1, n):
             __, first, code, counts = np.unique(code << 32 | self.ids[spots + i], return_index=True, return_inverse=True, return_counts=True)
-        for s in range(0, len(first), AT_ONCE):
-            places = spots[first[s : s + AT_ONCE]]
-            text = pc.binary_join_element_wise(*[self.words.take(pa.array(self.ids[places + i])) for i in range(n)], " ")
-            size = len(places)
-            yield _batch(_FOUND, _FOUND_TYPES, [[self.lang] * size, text, [n] * size, counts[s : s + size].tolist()])
+        places = spots[first]
+        text = pc.binary_join_element_wise(*[self.words.take(pa.array(self.ids[places + i])) for i in range(n)], " ")
+        return pa.table({"phrase": text, "key": keys[places], "n": counts})
 
 
 def _opened(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[_Chunk]:
     for batch in batches:
         for lang, words, ids in zip(*[batch.column(c) for c in ("lang", "words", "ids")]):
-            yield _Chunk(lang.as_py(), words.values, np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64), longest)
+            yield _Chunk(lang.as_py(), words.values, _from_planes(ids.as_buffer(), "<i4").astype(np.int64), longest)
 
 
-def _tallying(bits, n: int, support: int):
-    """Tallies of the phrases of ``n`` words whose parts of one word less pass the filter."""
+def _tallying(found_in, support: int):
+    """Tallies of the keys, each with its count or None for ones, that ``found_in`` yields from some chunks."""
     kind = np.min_scalar_type(support).newbyteorder("<")
 
-    def tallied(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.unique(np.concatenate(found), return_counts=True)
+    def tallied(found: list[np.ndarray], times: list[np.ndarray | None]) -> Iterator[pa.RecordBatch]:
+        if times[0] is None:
+            keys, counts = np.unique(np.concatenate(found), return_counts=True)
+        else:
+            keys, at = np.unique(np.concatenate(found), return_inverse=True)
+            counts = np.bincount(at, np.minimum(np.concatenate(times), support))
         counts = np.minimum(counts, support).astype(kind)
-        edges = np.searchsorted(keys, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(32))
-        keys = keys.astype("<u4")  # without the bucket
+        edges = np.searchsorted(keys, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(LOW))
         held = np.flatnonzero(np.diff(edges))
+        low = (keys & np.uint64((1 << LOW) - 1)).astype("<u4")
+        steps = np.diff(low, prepend=low[:1])
+        steps[edges[held]] = low[edges[held]]
         for some in np.array_split(held, -(-len(held) // 64)):
-            cut = [[x[edges[b] : edges[b + 1]].tobytes() for b in some] for x in (keys, counts)]
-            yield _batch(_TALLIES, _TALLY_TYPES, [some.tolist(), *cut])
+            cut = [slice(edges[b], edges[b + 1]) for b in some]
+            packed = [pa.compress(_planes(steps[c]) + counts[c].tobytes(), "zstd", asbytes=True) for c in cut]
+            yield _batch(_TALLIES, _TALLY_TYPES, [some.tolist(), [c.stop - c.start for c in cut], packed])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size = [], 0
-        for chunk in _opened(batches, n):
-            keys = chunk.keys(n)
-            part = _passes(bits.value, keys[n - 2]) & chunk.inside[n - 2]
-            keys = keys[n - 1][part[:-1] & part[1:] & chunk.inside[n - 1]]
+        found, times, size = [], [], 0
+        for keys, counts in found_in(batches):
             if size and size + len(keys) > TALLIED:
-                yield from tallied(found)
-                found, size = [], 0
+                yield from tallied(found, times)
+                found, times, size = [], [], 0
             if len(keys):
                 found.append(keys)
+                times.append(counts)
                 size += len(keys)
         if size:
-            yield from tallied(found)
+            yield from tallied(found, times)
+
+    return run
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of the chunks' words."""
+    for batch in batches:
+        for lang, words, counts in zip(*[batch.column(c) for c in ("lang", "words", "counts")]):
+            yield _keys(_next(_start(lang.as_py()), _hashes(words.values))), counts.values.to_numpy()
+
+
+def _longer(bits, n: int):
+    """Keys of the phrases of ``n`` words whose parts of one word less pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, None]]:
+        for chunk in _opened(batches, n):
+            keys = chunk.keys(n)
+            part = _passes(bits.value, keys[n - 2]) & chunk.inside[n - 2]
+            yield keys[n - 1][part[:-1] & part[1:] & chunk.inside[n - 1]], None
 
     return run
 
@@ -229,27 +271,105 @@ def _frequent(support: int):
     kind = np.min_scalar_type(support).newbyteorder("<")
 
     def run(tallies: pa.Table) -> pa.Table:
-        keys, counts = (np.frombuffer(b"".join(tallies[c].to_pylist()), t).astype(np.uint64) for c, t in (("keys", "<u4"), ("counts", kind)))
-        both = np.sort(keys << np.uint64(32) | counts)
+        found = []
+        for size, packed in zip(tallies["size"].to_pylist(), tallies["packed"]):
+            data = pa.decompress(packed.as_buffer(), size * (4 + kind.itemsize), "zstd")
+            keys = np.cumsum(_from_planes(data[: 4 * size], "<u4"), dtype=np.uint64)
+            found.append(keys << np.uint64(32) | np.frombuffer(data, kind, offset=4 * size))
+        both = np.sort(np.concatenate(found))
         keys = both >> np.uint64(32)
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         often = np.add.reduceat(both & np.uint64(0xFFFFFFFF), first) >= support
-        bucket = np.uint64(tallies["bucket"][0].as_py()) << np.uint64(32)
+        bucket = np.uint64(tallies["bucket"][0].as_py()) << np.uint64(LOW)
         return pa.table({"key": pa.array((keys[first[often]] | bucket).astype(np.int64))})
 
     return run
 
 
-def _counting(bits, longest: int):
-    """Counts of the phrases that pass the filter."""
+def _added_up(tables: list[pa.Table]) -> pa.Table:
+    found = pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("key", "min"), ("n", "sum")])
+    return pa.table({"phrase": found["phrase"], "key": found["key_min"], "n": found["n_sum"]})
+
+
+def _packed(lang: str, found: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Distinct phrases with their counts by bucket, as lengths, counts and texts in their order."""
+    found = found.take(pc.sort_indices(found["phrase"]))
+    of = (found["key"].to_numpy() & np.uint64(buckets - 1)).astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    found = found.take(pa.array(order)).combine_chunks()
+    edges = np.searchsorted(of[order], np.arange(buckets + 1))
+    texts, counts = pa.concat_arrays(found["phrase"].chunks), found["n"].to_numpy()
+    __, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, "<i4", len(texts) + 1, 4 * texts.offset)
+    held = np.flatnonzero(np.diff(edges))
+    for some in np.array_split(held, -(-len(held) // 64)):
+        raw = []
+        for b in some:
+            s, e = edges[b], edges[b + 1]
+            raw.append(_planes(np.diff(offsets[s : e + 1]).astype("<u4")) + _planes(counts[s:e].astype("<i8")) + data[offsets[s] : offsets[e]].to_pybytes())
+        sizes = [edges[b + 1] - edges[b] for b in some]
+        yield _batch(_TEXTS, _TEXT_TYPES, [[lang] * len(some), some.tolist(), sizes, list(map(len, raw)), [pa.compress(r, "zstd", asbytes=True) for r in raw]])
+
+
+def _counting(word_bits, bits, longest: int, buckets: int):
+    """Counts of the words and of the phrases that pass their filters."""
+
+    def counted(chunk: _Chunk) -> Iterator[pa.Table]:
+        words = _keys(_next(_start(chunk.lang), chunk.hashes))
+        at = np.flatnonzero(_passes(word_bits.value, words))
+        at = at[at > 0]
+        yield chunk.counted_words(at, words[at])
+        keys = chunk.keys(longest)
+        for n in range(2, longest + 1):
+            at = np.flatnonzero(chunk.inside[n - 1] & _passes(bits.value, keys[n - 1]))
+            if len(at):
+                yield chunk.counted(at, n, keys[n - 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[pa.Table]] = {}
+        size = 0
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for lang, tables in held.items():
+                if any(map(len, tables)):
+                    yield from _packed(lang, _added_up(tables), buckets)
+            held.clear()
+
         for chunk in _opened(batches, longest):
-            keys = chunk.keys(longest)
-            for n in range(2, longest + 1):
-                at = np.flatnonzero(chunk.inside[n - 1] & _passes(bits.value, keys[n - 1]))
-                if len(at):
-                    yield from chunk.counted(at, n)
+            for table in counted(chunk):
+                held.setdefault(chunk.lang, []).append(table)
+                size += table.nbytes
+            if size > HELD:
+                for lang in held:
+                    held[lang] = [_added_up(held[lang])]
+                size = sum(t.nbytes for [t] in held.values())
+                if size > HELD // 2:
+                    yield from emptied()
+                    size = 0
+        yield from emptied()
+
+    return run
+
+
+def _summed(support: int):
+    """Phrases of a bucket that reach the support, with their counts from all tasks."""
+
+    def run(packed: pa.Table) -> pa.Table:
+        held, size = [], 0
+        for rows, raw, data in zip(packed["size"].to_pylist(), packed["raw"].to_pylist(), packed["packed"]):
+            data = pa.decompress(data.as_buffer(), raw, "zstd")
+            offsets = np.concatenate([[0], np.cumsum(_from_planes(data[: 4 * rows], "<u4"))]).astype("<i4")
+            texts = pa.StringArray.from_buffers(rows, pa.py_buffer(offsets), data[12 * rows :])
+            held.append(pa.table({"phrase": texts, "key": np.zeros(rows, np.uint64), "n": _from_planes(data[4 * rows : 12 * rows], "<i8")}))
+            size += held[-1].nbytes
+            if size > HELD:
+                held = [_added_up(held)]
+                size = 0
+        found = _added_up(held)
+        found = found.filter(pc.greater_equal(found["n"], support))
+        lang = pa.array([packed["lang"][0].as_py()] * len(found), pa.string())
+        n_words = pc.add(pc.count_substring(found["phrase"], " "), 1).cast(pa.int32())
+        return pa.table({"lang": lang, "phrase": found["phrase"], "n_words": n_words, "a": found["n"].cast(pa.int64())})
 
     return run
 
@@ -275,26 +395,25 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", suppor
     ``lang, n``, the words of each language."""
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chunks = materialise(small_batches(source).mapInArrow(_chunks(chunk), _CHUNKS), "word-chunks")
+    chunks = materialise(small_batches(source).mapInArrow(_chunks(chunk), _CHUNKS), "word-chunks", compression="zstd")
     totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.lit(1).alias("n_words"), F.col("w.counts").alias("n"))
     slim = chunks.select("lang", "words", "ids")
 
-    def frequent(counted: DataFrame, name: str) -> DataFrame:
-        sums = counted.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("a")).filter(F.col("a") >= support)
+    def frequent_keys(tallies: DataFrame) -> DataFrame:
         with _few_rows(spark):
-            return materialise(sums, name)
+            return materialise(tallies.groupBy("bucket").applyInArrow(_frequent(support), "key long"), "frequent-keys")
 
-    words = frequent(words, "frequent-words")
-    keys, found = word_keys(words), []
+    keys, found, filters = frequent_keys(chunks.select("lang", "words", "counts").mapInArrow(_tallying(_words, support), _TALLIES)), [], []
     for n in range(2, longest + 1):
-        tallies = slim.mapInArrow(_tallying(spark.sparkContext.broadcast(bit_filter(keys, bits)), n, support), _TALLIES)
-        with _few_rows(spark):
-            keys = materialise(tallies.groupBy("bucket").applyInArrow(_frequent(support), "key long"), "frequent-keys")
+        filters.append(spark.sparkContext.broadcast(bit_filter(keys, bits)))
+        keys = frequent_keys(slim.mapInArrow(_tallying(_longer(filters[-1], n), support), _TALLIES))
         found.append(keys)
-    filled = spark.sparkContext.broadcast(bit_filter(reduce(DataFrame.unionAll, found), bits))
-    phrases = frequent(slim.mapInArrow(_counting(filled, longest), _FOUND), "frequent-phrases")
-    return words.unionByName(phrases), totals
+    found = reduce(DataFrame.unionAll, found)
+    filled = spark.sparkContext.broadcast(bit_filter(found, bits))
+    buckets = min(1 << 20, 1 << max(4, (found.count() // TEXTS).bit_length()))
+    counted = slim.mapInArrow(_counting(filters[0], filled, longest, buckets), _TEXTS)
+    with _few_rows(spark):
+        return materialise(counted.groupBy("lang", "bucket").applyInArrow(_summed(support), _FOUND), "frequent-phrases"), totals
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST, covered: int = COVERED, top: int = TOP, **options) -> DataFrame:
